@@ -1 +1,161 @@
-"""Placeholder until its queries are written."""
+"""Feed, landing-zone and curated-store queries (payloads built from pages,
+articles from documents)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brook.functions import stable_id
+from brook.operators import clean as C
+from brook.operators.dedup import dedup_latest, only_new
+from brook.plans import views as V
+from brook.plans.catalog import register
+from brook.plans.oracle_views import with_views
+from brook.session import scratch_path
+from brook.sources import feeds as FD
+from brook.sources import lake as L
+
+_PG = f"""pg AS (
+  SELECT page_id AS p, url, page_id % 6 AS kind, CAST(page_id AS VARCHAR) AS sp,
+    (DATE '2024-01-01' + CAST(page_id % 400 AS INTEGER)) AS day,
+    CASE WHEN page_id % 10 = 7 THEN url ELSE 'feed' || CAST(page_id % 5 AS VARCHAR) END AS src,
+    (page_id % 11 = 0 AND page_id % 6 NOT IN (2, 5)) AS broken
+  FROM pages)"""
+
+_SID = "substr(sha1({link} || chr(31) || {title}), 1, 16)"
+
+_XML_ROWS = f"""
+  SELECT 'guid-' || sp AS id, src AS source, 'Item ' || sp || ' a' AS title, url AS link,
+    strftime(day, '%a, %d %b %Y') || ' 08:00:00 +0000' AS published_at,
+    '<b>Story ' || sp || '</b> text' AS summary, 'cat' || CAST(p % 7 AS VARCHAR) AS category, src AS _source
+  FROM pg WHERE kind IN (0, 3) AND NOT broken
+  UNION ALL
+  SELECT {_SID.format(link="url || '#b'", title="'Item ' || sp || ' b'")}, src, 'Item ' || sp || ' b', url || '#b',
+    strftime(day, '%a, %d %b %Y') || ' 08:00:00 +0000', NULL, NULL, src
+  FROM pg WHERE kind IN (0, 3) AND NOT broken
+  UNION ALL
+  SELECT 'urn:entry:' || sp, src, 'Entry ' || sp || ' a', url, strftime(day, '%Y-%m-%d') || 'T08:00:00Z',
+    'Summary ' || sp, 'topic' || CAST(p % 5 AS VARCHAR), src
+  FROM pg WHERE kind = 1 AND NOT broken
+  UNION ALL
+  SELECT {_SID.format(link="url || '?b=1'", title="'Entry ' || sp || ' b'")}, src, 'Entry ' || sp || ' b', url || '?b=1',
+    strftime(day, '%Y-%m-%d') || 'T22:00:00-03:00', '<p>Body ' || sp || '</p>', NULL, src
+  FROM pg WHERE kind = 1 AND NOT broken
+  UNION ALL
+  SELECT {_SID.format(link="url", title="'Rdf ' || sp")}, src, 'Rdf ' || sp, url, NULL, 'Desc ' || sp, NULL, src
+  FROM pg WHERE kind = 4 AND NOT broken"""
+
+_CSV_ROWS = f"""
+  SELECT {_SID.format(link="''", title="'Land ' || sp")} AS id, src AS source, 'Land ' || sp AS title,
+    NULL AS link, CAST(1990 + p % 30 AS VARCHAR) AS published_at, NULL AS summary, NULL AS category, src AS _source
+  FROM pg WHERE kind IN (2, 5) AND p % 4 = 2
+  UNION ALL
+  SELECT {_SID.format(link="''", title="'Land ' || sp || ', North'")}, src, 'Land ' || sp || ', North', NULL,
+    CAST(2000 + p % 20 AS VARCHAR), NULL, NULL, src
+  FROM pg WHERE kind IN (2, 5) AND p % 4 = 2
+  UNION ALL
+  SELECT {_SID.format(link="url", title="'Title ' || sp")}, src, 'Title ' || sp, url, strftime(day, '%Y-%m-%d'),
+    'Line one' || chr(10) || 'line two of ' || sp, 'news', src
+  FROM pg WHERE kind IN (2, 5) AND p % 4 <> 2
+  UNION ALL
+  SELECT {_SID.format(link="url || '/2'", title="''")}, src, NULL, url || '/2', NULL, NULL, NULL, src
+  FROM pg WHERE kind IN (2, 5) AND p % 4 <> 2"""
+
+_RAW_COLS = "id, source, title, link, published_at, summary, category, _source, '" + V.SCRAPED_AT + "' AS _scraped_at"
+
+
+@register("feed_xml_items", f"WITH {_PG} SELECT {_RAW_COLS} FROM ({_XML_ROWS})")
+def feed_xml_items(spark, sf):
+    p = V.payloads(spark, sf)
+    return FD.feed_xml_explode(p.filter(F.lower("format") == "xml"))
+
+
+@register("feed_csv_items", f"WITH {_PG} SELECT {_RAW_COLS} FROM ({_CSV_ROWS})")
+def feed_csv_items(spark, sf):
+    p = V.payloads(spark, sf)
+    return FD.open_csv_normalise(p.filter(F.lower("format") != "xml"))
+
+
+@register("feed_union", f"""WITH {_PG}
+  SELECT _source, count(*) AS n_items, count(title) AS n_titled, count(DISTINCT id) AS n_ids
+  FROM ({_XML_ROWS} UNION ALL {_CSV_ROWS}) GROUP BY 1""")
+def feed_union(spark, sf):
+    u = FD.feed_union(V.payloads(spark, sf))
+    return u.groupBy("_source").agg(F.count(F.lit(1)).alias("n_items"), F.count("title").alias("n_titled"),
+                                    F.countDistinct("id").alias("n_ids"))
+
+
+@register("manifest_scan", """
+  SELECT url, CASE WHEN page_id % 6 IN (0, 1, 3) THEN 'xml' WHEN page_id % 6 = 4 THEN 'XML' ELSE 'csv' END AS format,
+    CASE WHEN page_id % 10 = 7 THEN NULL ELSE 'feed' || CAST(page_id % 5 AS VARCHAR) END AS source
+  FROM pages""")
+def manifest_scan(spark, sf):
+    """Manifest files written from the pages' feed list, read back."""
+    p = V.payloads(spark, sf).select("url", "format", "source")
+    path = scratch_path(spark, "manifest")
+    L.write_manifest(p, path)
+    return L.manifest_scan(spark, path)
+
+
+def _landed(spark, sf):
+    a = V.articles(spark, sf).withColumn("_source", F.lower(F.trim("category")))
+    path = scratch_path(spark, "landing")
+    L.write_raw(a, path, "2024-06-01")
+    return L.raw_scan(spark, path)
+
+
+@register("raw_roundtrip", with_views("""
+  SELECT id, source, md5(title) AS title_md5, link, published_at, md5(summary) AS summary_md5, category,
+    lower(trim(category)) AS _source, '2024-06-01' AS scrape_date, false AS is_corrupt
+  FROM articles""", "articles"))
+def raw_roundtrip(spark, sf):
+    """Landing CSV write + permissive read back: values, NULLs, newlines and
+    quotes survive; no row is corrupt."""
+    r = _landed(spark, sf)
+    return r.select("id", "source", F.md5("title").alias("title_md5"), "link", "published_at",
+                    F.md5("summary").alias("summary_md5"), "category", "_source",
+                    F.col("scrape_date").cast("string").alias("scrape_date"),
+                    F.col("_corrupt_record").isNotNull().alias("is_corrupt"))
+
+
+@register("curated_roundtrip", with_views("""
+  SELECT CAST(true_date AS VARCHAR) AS published_date, count(*) AS n_rows,
+    count(DISTINCT lower(trim(source))) AS n_sources
+  FROM articles WHERE title IS NOT NULL AND true_date IS NOT NULL GROUP BY 1""", "articles"))
+def curated_roundtrip(spark, sf):
+    """Full ELT: landing -> scan -> clean -> curated Parquet -> curated scan."""
+    good, _ = C.split(C.clean(_landed(spark, sf)))
+    path = scratch_path(spark, "curated")
+    L.write_curated(good, path, "published_date")
+    back = L.curated_scan(spark, path, required=["title", "source", "published_date"])
+    return (back.groupBy(F.col("published_date").cast("string").alias("published_date"))
+                .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources")))
+
+
+def _two_runs(spark, sf):
+    a = V.articles(spark, sf)
+    rerun = a.filter(F.col("id").cast("bigint") % 3 == 0).withColumn("_scraped_at", F.lit("2024-06-02T00:00:00+00:00"))
+    return a.unionByName(rerun)
+
+
+@register("dedup_articles", with_views(f"""
+  SELECT id, lower(trim(source)) AS source, published_at,
+    CASE WHEN doc_id % 3 = 0 THEN '2024-06-02T00:00:00+00:00' ELSE '{V.SCRAPED_AT}' END AS _scraped_at,
+    CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS n_copies
+  FROM articles""", "articles"))
+def dedup_articles(spark, sf):
+    """Two scrape runs; articles seen twice are kept once (the latest copy)."""
+    r = _two_runs(spark, sf).withColumn("source", F.lower(F.trim("source")))
+    return (dedup_latest(r, ["source", "id", "published_at"], "_scraped_at", count_col="n_copies")
+            .select("id", "source", "published_at", "_scraped_at", "n_copies"))
+
+
+@register("only_new_articles", with_views("""
+  SELECT id, lower(trim(source)) AS source FROM articles
+  WHERE doc_id % 2 = 1 AND title IS NOT NULL""", "articles"))
+def only_new_articles(spark, sf):
+    """Yesterday's store holds the even ids; today's batch keeps only new ones."""
+    good, _ = C.split(C.clean(V.articles(spark, sf), lineage=False))
+    store = good.filter(F.col("id").cast("bigint") % 2 == 0).select("id")
+    batch = C.clean(V.articles(spark, sf), lineage=False).filter(F.col("title").isNotNull())
+    return only_new(batch, store, ["id"]).select("id", "source")

@@ -22,7 +22,8 @@ def dated_path(base: str | None, date: str | None = None, override: str | None =
 
 # CSV options used on both sides of the landing zone so that summaries with
 # newlines and quotes survive the round trip.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _clustered(df: DataFrame, *cols: str) -> DataFrame:
@@ -95,11 +96,30 @@ def curated_scan(spark: SparkSession, path: str, required=(), base_path: str | N
     return df
 
 
-def manifest_scan(spark: SparkSession, path: str) -> DataFrame:
+def manifest_scan(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The feed manifest: a JSON array of {url, format, source} per file."""
     from brook.schemas import MANIFEST
 
-    df = spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
+    df = spark.read.schema(MANIFEST).option("multiLine", str(multi_line).lower()).json(path)
     if df.isEmpty():
         raise ValueError(f"empty manifest: {path}")
     return df
+
+
+def _json_array_per_partition(batches):
+    import pandas as pd
+
+    parts = []
+    for pdf in batches:
+        parts.extend(pdf["j"].tolist())
+    if parts:
+        yield pd.DataFrame({"value": ["[" + ",".join(parts) + "]"]})
+
+
+def write_manifest(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Write {url, format, source} rows as JSON-array files (the manifest
+    format), one array per file; ``files`` bounds the file count."""
+    rows = df.select(F.to_json(F.struct("url", "format", "source")).alias("j"))
+    if files:
+        rows = rows.repartition(files)
+    rows.mapInPandas(_json_array_per_partition, "value string").write.mode("overwrite").text(path)
