@@ -71,6 +71,7 @@ VIEWS["job_runs"] = """
     CASE o_orderpriority WHEN '1-URGENT' THEN '0.50' WHEN '2-HIGH' THEN '0.25' WHEN '3-MEDIUM' THEN '0'
       WHEN '4-NOT SPECIFIED' THEN '' ELSE 'n/a' END AS cost_per_hour,
     CAST(CASE WHEN o_orderkey % 101 = 0 THEN -1 ELSE o_orderkey % 3 END AS INTEGER) AS max_retries,
+    CAST(o_orderkey % 4 AS INTEGER) AS retries,
     (['500m', '2', '1500m', '0'])[CAST(o_orderkey % 4 + 1 AS INTEGER)] AS exec_cpu,
     (['512Mi', '2Gi', '1536Mi', '1G'])[CAST(o_custkey % 4 + 1 AS INTEGER)] AS exec_memory,
     (o_orderkey % 13 = 0) AS checkpoint_enabled,
@@ -111,11 +112,12 @@ VIEWS["training_runs"] = """
   SELECT 'team-' || CAST(o_custkey % 3 AS VARCHAR) AS namespace,
     'job-' || CAST(o_orderkey AS VARCHAR) AS name,
     CAST(o_orderkey % 4 + 1 AS INTEGER) AS world_size,
-    CAST(o_orderkey % 3 AS INTEGER) AS max_retries
+    CAST(o_orderkey % 3 AS INTEGER) AS max_retries,
+    CAST(o_orderkey % 2 AS INTEGER) AS resumes
   FROM orders"""
 
 VIEWS["status_history"] = """
-  SELECT event_id, 'run-' || CAST(user_id AS VARCHAR) AS run, CAST(ts AS TIMESTAMP) AS ts,
+  SELECT event_id, user_id, 'run-' || CAST(user_id AS VARCHAR) AS run, CAST(ts AS TIMESTAMP) AS ts,
     CASE event_type WHEN 'view' THEN 'Pending' WHEN 'click' THEN 'Running' WHEN 'signup' THEN 'Resuming'
       WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' END AS phase,
     CAST(trunc(value / 10) AS INTEGER) AS running,

@@ -1 +1,244 @@
-"""Placeholder until its queries are written."""
+"""Run-fleet queries: job runs (orders), pods (lineitem), status history
+(events), dependencies (orders, customer), config layers (lineitem, part)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brook.functions.quantity import SUFFIX_FACTORS
+from brook.operators import fleet as FL
+from brook.plans import views as V
+from brook.plans.catalog import register
+from brook.plans.oracle_views import with_views
+
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+DUCK_TS_FMT = "%Y-%m-%d %H:%M:%S.%f"
+
+
+def _duck_quantity(col: str) -> str:
+    rx = r"'^\s*([+-]?[0-9]+(?:\.[0-9]*)?|[+-]?\.[0-9]+)([a-zA-Z]*)\s*$'"
+    cases = " ".join(f"WHEN '{k}' THEN CAST('{v}' AS DECIMAL(38,9))" for k, v in SUFFIX_FACTORS.items())
+    return (f"(CAST(regexp_extract({col}, {rx}, 1) AS DECIMAL(38,9)) * "
+            f"CASE regexp_extract({col}, {rx}, 2) {cases} END)")
+
+
+_DESIRED = """CAST(CASE WHEN executors > 0 THEN executors
+    WHEN input_size_mb > 0 THEN least(greatest(CAST(input_size_mb // 256 AS INTEGER), min_executors), max_executors)
+    WHEN min_executors > 0 THEN min_executors ELSE 1 END AS INTEGER)"""
+
+_RUNNING = """
+  owned AS (SELECT owner_uid, count(*) FILTER (WHERE phase = 'Running') AS running
+            FROM (SELECT unnest(list_distinct(owner_uids)) AS owner_uid, phase FROM pods WHERE role = 'executor')
+            GROUP BY 1),
+  drivers AS (SELECT run AS name, uid AS owner_uid, name AS driver_pod, phase AS driver_phase
+              FROM pods WHERE role = 'driver'),
+  rx AS (SELECT j.*, d.driver_pod, d.driver_phase, CAST(coalesce(o.running, 0) AS BIGINT) AS running
+         FROM job_runs j LEFT JOIN drivers d ON d.name = j.name LEFT JOIN owned o ON o.owner_uid = d.owner_uid)"""
+
+_RATE = """CASE WHEN TRY_CAST(cost_per_hour AS DOUBLE) IS NULL OR TRY_CAST(cost_per_hour AS DOUBLE) <= 0
+    THEN 0.10 ELSE TRY_CAST(cost_per_hour AS DOUBLE) END"""
+
+
+def _cost_sql(pods: str) -> str:
+    return f"""CASE WHEN start_time IS NULL THEN 0.0 ELSE round(greatest((epoch_us(coalesce(completion_time,
+    TIMESTAMP '{V.AS_OF}')) - epoch_us(start_time)) / 3.6e9, 0.0) * {_RATE} * ({pods}), 4) END"""
+
+
+def _w(views, ctes, body):
+    """WITH <views>, <extra ctes> <body>"""
+    head = with_views("", *views).rstrip()
+    return f"{head},{ctes}\n{body}"
+
+
+@register("capacity_plan", with_views(f"""
+  SELECT name, {_DESIRED} AS desired_executors,
+    CAST(greatest(floor((ceil({_duck_quantity('exec_cpu')} * 1000) + 999) / 1000), 1) AS BIGINT) AS executor_cores,
+    CASE WHEN CAST(ceil({_duck_quantity('exec_memory')}) AS BIGINT) % 1073741824 = 0
+      THEN CAST(CAST(ceil({_duck_quantity('exec_memory')}) AS BIGINT) // 1073741824 AS VARCHAR) || 'g'
+      ELSE CAST(CAST(ceil({_duck_quantity('exec_memory')}) AS BIGINT) // 1048576 AS VARCHAR) || 'm' END AS executor_memory
+  FROM job_runs""", "job_runs"))
+def capacity_plan(spark, sf):
+    return FL.capacity_plan(V.job_runs(spark, sf))
+
+
+def _runs_with_executors(spark, sf):
+    return FL.running_executors(V.job_runs(spark, sf), V.pods(spark, sf))
+
+
+@register("running_executors", _w(["job_runs", "pods"], _RUNNING, """
+  SELECT name, driver_pod, running FROM rx"""))
+def running_executors(spark, sf):
+    return _runs_with_executors(spark, sf).select("name", "driver_pod", "running")
+
+
+@register("scheduling_drag", _w(["job_runs", "pods"], _RUNNING, f"""
+  SELECT name, {_DESIRED} AS desired, running, {_DESIRED} - running AS drag FROM rx"""))
+def scheduling_drag(spark, sf):
+    r = _runs_with_executors(spark, sf)
+    d = FL.desired_executors()
+    return r.select("name", d.alias("desired"), "running", (d - F.col("running")).alias("drag"))
+
+
+@register("run_cost", _w(["job_runs", "pods"], _RUNNING, f"""
+  SELECT name, {_cost_sql('1 + running')} AS cost_usd FROM rx"""))
+def run_cost(spark, sf):
+    r = _runs_with_executors(spark, sf)
+    cost = FL.cost_usd(F.col("start_time"), F.col("completion_time"), 1 + F.col("running"),
+                       FL.rate_per_hour("cost_per_hour"), F.lit(V.AS_OF).cast("timestamp"))
+    return r.select("name", cost.alias("cost_usd"))
+
+
+@register("fleet_cost", _w(["job_runs", "pods", "training_runs"], _RUNNING, f"""
+  SELECT namespace, round(sum(job_cost), 2) AS job_cost, round(sum(training_cost), 2) AS training_cost,
+    round(sum(job_cost) + sum(training_cost), 2) AS total_cost
+  FROM (SELECT rx.namespace, {_cost_sql('1 + running')} AS job_cost, {_cost_sql('t.world_size')} AS training_cost
+        FROM rx JOIN training_runs t ON t.name = rx.name) GROUP BY 1"""))
+def fleet_cost(spark, sf):
+    r = _runs_with_executors(spark, sf).join(V.training_runs(spark, sf).select("name", "world_size"), "name")
+    as_of = F.lit(V.AS_OF).cast("timestamp")
+    rate = FL.rate_per_hour("cost_per_hour")
+    job = FL.cost_usd(F.col("start_time"), F.col("completion_time"), 1 + F.col("running"), rate, as_of)
+    tr = FL.cost_usd(F.col("start_time"), F.col("completion_time"), F.col("world_size"), rate, as_of)
+    return (r.groupBy("namespace").agg(F.sum(job).alias("j"), F.sum(tr).alias("t"))
+             .select("namespace", F.round("j", 2).alias("job_cost"), F.round("t", 2).alias("training_cost"),
+                     F.round(F.col("j") + F.col("t"), 2).alias("total_cost")))
+
+
+_JOB_STATUS_SQL = f"""
+  SELECT name,
+    CASE WHEN phase IN ('Succeeded', 'Failed') THEN phase
+      WHEN driver_phase IN ('Pending', 'Running', 'Succeeded') THEN driver_phase
+      WHEN driver_phase = 'Failed' AND retries < max_retries THEN 'Resuming'
+      WHEN driver_phase = 'Failed' THEN 'Failed' ELSE phase END AS phase,
+    CASE WHEN phase NOT IN ('Succeeded', 'Failed') AND driver_phase = 'Failed' AND retries < max_retries
+      THEN retries + 1 ELSE retries END AS retries,
+    running, {_DESIRED} AS desired, driver_pod
+  FROM rx"""
+
+
+@register("job_status", _w(["job_runs", "pods"], _RUNNING, _JOB_STATUS_SQL))
+def job_status(spark, sf):
+    return FL.job_status(V.job_runs(spark, sf), V.pods(spark, sf))
+
+
+@register("phase_counts", _w(["job_runs", "pods"], _RUNNING, f"""
+  SELECT phase, count(*) AS n_runs FROM ({_JOB_STATUS_SQL}) GROUP BY 1"""))
+def phase_counts(spark, sf):
+    return FL.phase_counts(FL.job_status(V.job_runs(spark, sf), V.pods(spark, sf)))
+
+
+@register("phase_gauge", with_views(f"""
+  SELECT name, g AS gauge_phase, CAST(g = phase AS INTEGER) AS value
+  FROM job_runs, (SELECT unnest({FL.PHASES!r}) AS g)""".replace('"', "'"), "job_runs"))
+def phase_gauge(spark, sf):
+    return FL.phase_gauge(V.job_runs(spark, sf))
+
+
+@register("training_status", with_views("""
+  SELECT name,
+    CASE WHEN succeeded = world_size AND world_size > 0 THEN 'Succeeded'
+      WHEN failed > 0 AND resumes < max_retries THEN 'Resuming'
+      WHEN failed > 0 THEN 'Failed'
+      WHEN ready_workers = world_size AND world_size > 0 THEN 'Running' ELSE 'Pending' END AS phase,
+    CAST(ready_workers AS BIGINT) AS ready_workers,
+    CASE WHEN succeeded <> world_size AND failed > 0 AND resumes < max_retries THEN resumes + 1 ELSE resumes END AS resumes
+  FROM (SELECT t.*, coalesce(p.ready_workers, 0) AS ready_workers, coalesce(p.failed, 0) AS failed,
+          coalesce(p.succeeded, 0) AS succeeded
+        FROM training_runs t LEFT JOIN (
+          SELECT run, count(*) FILTER (WHERE phase = 'Running' AND ready) AS ready_workers,
+            count(*) FILTER (WHERE phase = 'Failed') AS failed, count(*) FILTER (WHERE phase = 'Succeeded') AS succeeded
+          FROM pods GROUP BY run) p ON p.run = t.name)""", "training_runs", "pods"))
+def training_status(spark, sf):
+    return FL.training_status(V.training_runs(spark, sf), V.pods(spark, sf))
+
+
+@register("rank_diff", with_views("""
+  SELECT name, CAST(rank AS INTEGER) AS rank, 'create' AS action
+  FROM (SELECT name, unnest(range(0, world_size)) AS rank FROM training_runs) w
+  WHERE NOT EXISTS (SELECT 1 FROM pods p WHERE p.run = w.name AND p.rank = w.rank)
+  UNION ALL
+  SELECT t.name, p.rank, 'delete' FROM pods p JOIN training_runs t ON p.run = t.name WHERE p.rank >= t.world_size""",
+  "training_runs", "pods"))
+def rank_diff(spark, sf):
+    return FL.rank_diff(V.training_runs(spark, sf), V.pods(spark, sf))
+
+
+@register("missing_deps", with_views("""
+  SELECT run, kind, ref_name, 'waiting for ' || kind || ' "' || ref_name || '"' AS message
+  FROM (SELECT r.*, row_number() OVER (PARTITION BY run ORDER BY pos) AS rn FROM dependency_refs r
+        WHERE NOT optional AND NOT EXISTS (SELECT 1 FROM live_objects o
+          WHERE o.namespace = r.namespace AND o.kind = r.kind AND o.obj_name = r.ref_name))
+  WHERE rn = 1""", "dependency_refs", "live_objects"))
+def missing_deps(spark, sf):
+    return FL.missing_dependencies(V.dependency_refs(spark, sf), V.live_objects(spark, sf))
+
+
+@register("run_times", with_views(f"""
+  SELECT run, strftime(min(ts) FILTER (WHERE phase = 'Running'), '{DUCK_TS_FMT}') AS start_time,
+    strftime(min(ts) FILTER (WHERE phase IN ('Succeeded', 'Failed')), '{DUCK_TS_FMT}') AS completion_time
+  FROM status_history GROUP BY run""", "status_history"))
+def run_times(spark, sf):
+    t = FL.run_times(V.status_history(spark, sf))
+    return t.select("run", F.date_format("start_time", TS_FMT).alias("start_time"),
+                    F.date_format("completion_time", TS_FMT).alias("completion_time"))
+
+
+@register("history_retention", with_views("""
+  SELECT r.name, r.template, r.phase,
+    r.rn <= CASE WHEN r.phase = 'Succeeded' THEN coalesce(t.keep_succeeded, 3) ELSE coalesce(t.keep_failed, 3) END AS keep
+  FROM (SELECT name, template, phase,
+          row_number() OVER (PARTITION BY template, phase ORDER BY created DESC, name) AS rn
+        FROM job_runs WHERE phase IN ('Succeeded', 'Failed')) r
+  LEFT JOIN cron_templates t ON t.template = r.template""", "job_runs", "cron_templates"))
+def history_retention(spark, sf):
+    return FL.retention(V.job_runs(spark, sf), V.cron_templates(spark, sf))
+
+
+@register("status_changes", with_views("""
+  SELECT event_id, run, phase, running, desired, driver_pod, retries, cost FROM (
+    SELECT *, row_number() OVER w AS rn, lag(phase) OVER w AS p1, lag(running) OVER w AS p2,
+      lag(desired) OVER w AS p3, lag(driver_pod) OVER w AS p4, lag(retries) OVER w AS p5, lag(cost) OVER w AS p6
+    FROM status_history WINDOW w AS (PARTITION BY run ORDER BY ts, event_id))
+  WHERE rn = 1 OR p1 IS DISTINCT FROM phase OR p2 IS DISTINCT FROM running OR p3 IS DISTINCT FROM desired
+    OR p4 IS DISTINCT FROM driver_pod OR p5 IS DISTINCT FROM retries OR p6 IS DISTINCT FROM cost""",
+  "status_history"))
+def status_changes(spark, sf):
+    h = V.status_history(spark, sf)
+    return FL.status_changes(h).select("event_id", "run", "phase", "running", "desired", "driver_pod",
+                                       "retries", "cost")
+
+
+@register("attempts", with_views("""
+  SELECT run, event_id, attempt, CASE WHEN attempt <= user_id % 4 THEN 'Resuming' ELSE 'Failed' END AS phase
+  FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS attempt
+        FROM status_history WHERE phase = 'Failed')""", "status_history"))
+def attempts(spark, sf):
+    f = V.status_history(spark, sf).filter(F.col("phase") == "Failed") \
+         .withColumn("max_retries", F.col("user_id") % 4)
+    return FL.attempts(f).select("run", "event_id", "attempt", "phase")
+
+
+@register("outcome_counts", with_views("""
+  SELECT result, count(*) AS n_passes FROM status_history GROUP BY 1""", "status_history"))
+def outcome_counts(spark, sf):
+    return FL.outcome_counts(V.status_history(spark, sf))
+
+
+@register("live_series", with_views(f"""
+  SELECT run, strftime(ts, '{DUCK_TS_FMT}') AS last_ts, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC) AS rn FROM status_history
+    WHERE run IN (SELECT 'run-' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment <> 'BUILDING'))
+  WHERE rn = 1""", "status_history"))
+def live_series(spark, sf):
+    cu = V.table(spark, sf, "customer").filter(F.col("c_mktsegment") != "BUILDING")
+    runs = cu.select(F.concat(F.lit("run-"), F.col("c_custkey").cast("string")).alias("run"))
+    s = FL.live_series(V.status_history(spark, sf), runs)
+    return s.select("run", F.date_format("last_ts", TS_FMT).alias("last_ts"), "value")
+
+
+@register("config_overlay", with_views("""
+  SELECT run, key, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY layer DESC, value DESC) AS rn FROM config_layers)
+  WHERE rn = 1""", "config_layers"))
+def config_overlay(spark, sf):
+    return FL.config_overlay(V.config_layers(spark, sf))

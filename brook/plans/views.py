@@ -190,6 +190,7 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_totalprice") / 50).cast("bigint").alias("input_size_mb"),
         rate.alias("cost_per_hour"),
         F.when(k % 101 == 0, -1).otherwise(k % 3).cast("int").alias("max_retries"),
+        (k % 4).cast("int").alias("retries"),
         F.element_at(F.array(F.lit("500m"), F.lit("2"), F.lit("1500m"), F.lit("0")),
                      (k % 4 + 1).cast("int")).alias("exec_cpu"),
         F.element_at(F.array(F.lit("512Mi"), F.lit("2Gi"), F.lit("1536Mi"), F.lit("1G")),
@@ -251,7 +252,7 @@ def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("job-"), _s(k)).alias("name"),
         ((k % 4) + 1).cast("int").alias("world_size"),
         (k % 3).cast("int").alias("max_retries"),
-        F.col("o_totalprice").cast("bigint").alias("resumes_seed"),
+        (k % 2).cast("int").alias("resumes"),
     )
 
 
@@ -270,6 +271,7 @@ def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     return e.select(
         F.col("event_id"),
+        u.alias("user_id"),
         F.concat(F.lit("run-"), _s(u)).alias("run"),
         F.col("ts").cast("timestamp").alias("ts"),
         phase.alias("phase"),
