@@ -1 +1,113 @@
-"""Placeholder until its queries are written."""
+"""Streaming queries run with availableNow on files landed from the driver
+tables; each returns the sink read back, compared with the batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brook.plans import views as V
+from brook.plans.catalog import register
+from brook.plans.oracle_views import with_views
+from brook.session import scratch_path
+from brook.sources import lake as L
+from brook.streaming import jobs as SJ
+
+
+def _land(df, spark, name, files=4):
+    path = scratch_path(spark, name)
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+@register("stream_elt", with_views("""
+  SELECT lower(trim(source)) AS source, CAST(true_date AS VARCHAR) AS published_date, count(*) AS n_articles
+  FROM articles WHERE title IS NOT NULL AND true_date IS NOT NULL GROUP BY 1, 2""", "articles"))
+def stream_elt(spark, sf):
+    """Raw landing files -> streaming clean -> curated store, read back."""
+    a = V.articles(spark, sf).withColumn("_source", F.lower(F.trim("category")))
+    raw = scratch_path(spark, "stream-raw")
+    L.write_raw(a, raw, "2024-06-01")
+    dest = scratch_path(spark, "stream-curated")
+    SJ.await_all(SJ.stream_elt(spark, raw, dest, scratch_path(spark, "stream-elt-ckpt")))
+    back = spark.read.parquet(dest)
+    return back.groupBy("source", F.col("published_date").cast("string").alias("published_date")) \
+               .agg(F.count(F.lit(1)).alias("n_articles"))
+
+
+@register("stream_dedup", with_views("""
+  SELECT id, lower(trim(source)) AS source, published_at FROM articles""", "articles"))
+def stream_dedup(spark, sf):
+    """Two scrape runs streamed; each article key comes out once."""
+    a = V.articles(spark, sf)
+    rerun = a.filter(F.col("id").cast("bigint") % 3 == 0).withColumn("_scraped_at", F.lit("2024-06-01T00:05:00+00:00"))
+    both = a.unionByName(rerun).withColumn("source", F.lower(F.trim("source"))) \
+            .withColumn("scraped_ts", F.to_timestamp("_scraped_at"))
+    src = _land(both, spark, "dedup-src")
+    s = spark.readStream.schema(both.schema).parquet(src)
+    out = SJ.stream_dedup(s, ["source", "id", "published_at"], "scraped_ts", "1 hour") \
+            .select("id", "source", "published_at")
+    dest = scratch_path(spark, "dedup-out")
+    SJ.run_to_parquet(out, dest, scratch_path(spark, "dedup-ckpt"))
+    return spark.read.parquet(dest)
+
+
+@register("stream_error_rate", with_views("""
+  SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+    count(*) AS n_events, count(*) FILTER (WHERE result = 'error') AS n_errors,
+    round(count(*) FILTER (WHERE result = 'error') / 300.0, 6) AS errors_per_sec
+  FROM status_history GROUP BY 1""", "status_history"))
+def stream_error_rate(spark, sf):
+    """Error events per second over 5-minute windows, streamed (complete
+    output written per trigger)."""
+    h = V.status_history(spark, sf).select("event_id", "ts", "result")
+    src = _land(h, spark, "events-src")
+    s = spark.readStream.schema(h.schema).parquet(src)
+    dest = scratch_path(spark, "error-rate-out")
+    SJ.run_to_parquet(SJ.error_rate(s), dest, scratch_path(spark, "error-rate-ckpt"), mode="complete")
+    r = spark.read.parquet(dest)
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                    "n_events", "n_errors", "errors_per_sec")
+
+
+@register("error_rate_batch", with_views("""
+  SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+    count(*) AS n_events, count(*) FILTER (WHERE result = 'error') AS n_errors,
+    round(count(*) FILTER (WHERE result = 'error') / 300.0, 6) AS errors_per_sec
+  FROM status_history GROUP BY 1""", "status_history"))
+def error_rate_batch(spark, sf):
+    """The same windowed rate on the static table."""
+    r = SJ.error_rate(V.status_history(spark, sf))
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                    "n_events", "n_errors", "errors_per_sec")
+
+
+@register("stream_latest_status", with_views("""
+  SELECT event_id, run, phase, running, desired, driver_pod, retries, cost FROM (
+    SELECT *, row_number() OVER w AS rn, lag(phase) OVER w AS p1, lag(running) OVER w AS p2,
+      lag(desired) OVER w AS p3, lag(driver_pod) OVER w AS p4, lag(retries) OVER w AS p5, lag(cost) OVER w AS p6
+    FROM status_history WINDOW w AS (PARTITION BY run ORDER BY ts, event_id))
+  WHERE rn = 1 OR p1 IS DISTINCT FROM phase OR p2 IS DISTINCT FROM running OR p3 IS DISTINCT FROM desired
+    OR p4 IS DISTINCT FROM driver_pod OR p5 IS DISTINCT FROM retries OR p6 IS DISTINCT FROM cost""",
+  "status_history"))
+def stream_latest_status(spark, sf):
+    """Change-only status stream (state per run) read back from its sink."""
+    h = V.status_history(spark, sf).select("event_id", "run", "ts", *SJ.STATUS_COLS)
+    src = _land(h, spark, "status-src")
+    s = spark.readStream.schema(h.schema).parquet(src)
+    dest = scratch_path(spark, "status-out")
+    SJ.run_to_parquet(SJ.latest_status(s), dest, scratch_path(spark, "status-ckpt"))
+    return spark.read.parquet(dest).select("event_id", "run", *SJ.STATUS_COLS)
+
+
+@register("stream_phase_changes", with_views("""
+  SELECT event_id, run, phase FROM (
+    SELECT *, lag(phase) OVER (PARTITION BY run ORDER BY ts, event_id) AS p1 FROM status_history)
+  WHERE p1 IS DISTINCT FROM phase""", "status_history"))
+def stream_phase_changes(spark, sf):
+    """Change-only stream on the phase alone (a selective change filter)."""
+    h = V.status_history(spark, sf).select("event_id", "run", "ts", "phase")
+    src = _land(h, spark, "phase-src")
+    s = spark.readStream.schema(h.schema).parquet(src)
+    dest = scratch_path(spark, "phase-out")
+    SJ.run_to_parquet(SJ.latest_status(s, ["phase"]), dest, scratch_path(spark, "phase-ckpt"))
+    return spark.read.parquet(dest).select("event_id", "run", "phase")
