@@ -15,7 +15,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brook.functions.cron import day_matches, with_parsed_cron
+from brook.functions.cron import day_matches, join_parsed_cron
 
 TERMINAL = ["Succeeded", "Failed"]
 # Valid zone names come from the runtime's tz database (a rule, not a list
@@ -40,10 +40,7 @@ def parse_templates(templates: DataFrame) -> DataFrame:
     # Parse each distinct expression once: templates share a handful of
     # schedules, and the join keeps Catalyst from re-inlining the (regex
     # heavy) parse into every operator above it.
-    parsed = with_parsed_cron(templates.select("schedule").distinct(), "schedule", "cron")
-    t = (templates.join(parsed, templates["schedule"].eqNullSafe(parsed["schedule"]), "left")
-                  .drop(parsed["schedule"])
-                  .withColumn("zone", safe_zone))
+    t = join_parsed_cron(templates, "schedule", "cron").withColumn("zone", safe_zone)
     reason = F.when(~F.coalesce(F.col("cron.valid"), F.lit(False)), "bad_cron").when(~zone_ok, "bad_zone")
     return t.withColumn("reject_reason", reason)
 

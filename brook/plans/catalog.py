@@ -32,7 +32,7 @@ def register(key: str, oracle: str | None):
 
 def _import_all() -> None:
     # Each module registers its queries on import.
-    from brook.plans import q_elt, q_feeds, q_fleet, q_schedule, q_stream, q_train  # noqa: F401
+    from brook.plans import q_elt, q_feeds, q_fleet, q_rules, q_schedule, q_stream, q_train  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:

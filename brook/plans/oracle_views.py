@@ -168,6 +168,40 @@ VIEWS["cron_templates"] = f"""
   FROM customer"""
 
 
+VIEWS["job_specs"] = f"""
+  SELECT * REPLACE (CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 170 = 10 THEN 'Sometimes'
+                         ELSE concurrency_policy END AS concurrency_policy),
+    CASE WHEN k % 10 = 0 THEN ({_list(CRON_SAMPLES)})[CAST((k // 10) % {len(CRON_SAMPLES)} + 1 AS INTEGER)] END AS schedule,
+    CASE WHEN k % 10 = 0 THEN nullif(({_list(ZONE_SAMPLES)})[CAST((k // 10) % {len(ZONE_SAMPLES)} + 1 AS INTEGER)], '')
+         WHEN k % 41 = 1 THEN 'UTC' END AS time_zone,
+    CAST(CASE WHEN k % 19 = 0 THEN -5 WHEN k % 19 = 1 THEN 60 END AS BIGINT) AS starting_deadline_s,
+    CASE WHEN k % 23 = 0 THEN -1 END AS keep_succeeded,
+    CASE WHEN k % 29 = 0 THEN 2 END AS keep_failed,
+    CASE WHEN k % 31 = 0 THEN true END AS suspend
+  FROM (SELECT *, CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) AS k FROM job_runs)"""
+
+VIEWS["training_specs"] = """
+  SELECT 'train-' || CAST(p_partkey AS VARCHAR) AS name,
+    CASE WHEN p_partkey % 41 = 0 THEN ' ' ELSE 'registry.example/trainer:' || p_brand END AS image,
+    CAST(CASE WHEN p_partkey % 37 = 0 THEN 0 ELSE p_size % 4 + 1 END AS INTEGER) AS world_size,
+    CASE WHEN p_partkey % 3 = 0 THEN 'pvc-' || CAST(p_partkey AS VARCHAR) ELSE '' END AS dataset_pvc,
+    CASE WHEN p_partkey % 5 = 0 THEN 's3a://data/' || CAST(p_partkey AS VARCHAR)
+         WHEN p_partkey % 7 = 0 THEN 'gs://data/' || CAST(p_partkey AS VARCHAR) ELSE '' END AS dataset_s3_uri,
+    CASE WHEN p_partkey % 2 = 0 THEN 'train.py' ELSE '' END AS script,
+    CASE WHEN p_partkey % 11 = 0 THEN ['python', 'x.py'] ELSE [] END AS command,
+    CASE WHEN p_partkey % 13 = 0 THEN ['numpy'] ELSE [] END AS packages,
+    CASE WHEN p_partkey % 17 = 0 THEN 'BERTClassifier' WHEN p_partkey % 19 = 0 THEN 'GPT' ELSE '' END AS builtin_trainer,
+    (p_partkey % 4 = 0) AS gpu_enabled,
+    CAST(p_size % 3 AS INTEGER) AS gpu_per_worker,
+    (['nccl', 'gloo', ''])[CAST(p_partkey % 3 + 1 AS INTEGER)] AS gpu_backend,
+    CAST(CASE WHEN p_partkey % 43 = 0 THEN -1 ELSE 2 END AS INTEGER) AS max_retries,
+    (p_partkey % 47 = 0) AS checkpoint_enabled,
+    CASE WHEN p_partkey % 94 = 0 THEN 's3://ck/' WHEN p_partkey % 47 = 0 THEN '' WHEN p_partkey % 61 = 0 THEN 'hdfs://ck/'
+         ELSE '' END AS checkpoint_uri,
+    CASE WHEN p_partkey % 53 = 0 THEN '-1' WHEN p_partkey % 59 = 0 THEN 'abc' ELSE '0.40' END AS cost_per_hour
+  FROM part"""
+
+
 def with_views(sql: str, *names: str) -> str:
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     return f"WITH {ctes}\n{sql}"

@@ -358,3 +358,47 @@ CRON_SAMPLES = ["*/15 * * * *", "0 * * * *", "30 6 * * 1-5", "0 0 1 * *", "0 0 3
                 "not a cron", "5,35 */6 * * *", "0 12 * * SUN", "0 9-17/4 * JAN-DEC MON,WED",
                 "15 3 10-20 * 0"]
 ZONE_SAMPLES = ["", "America/New_York", "Europe/Berlin", "", "Asia/Tokyo", "Mars/Olympus"]
+
+
+# ------------------------------------------------------------- job specs
+def job_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job run specs with scheduling fields planted on some of them."""
+    j = job_runs(spark, sf_dir)
+    k = F.regexp_extract(F.col("name"), r"(\d+)$", 1).cast("bigint")
+    sched = F.element_at(F.array(*[F.lit(x) for x in CRON_SAMPLES]), ((k / 10).cast("bigint") % len(CRON_SAMPLES) + 1).cast("int"))
+    zone = F.element_at(F.array(*[F.lit(z) for z in ZONE_SAMPLES]), ((k / 10).cast("bigint") % len(ZONE_SAMPLES) + 1).cast("int"))
+    return j.withColumns({
+        "schedule": F.when(k % 10 == 0, sched),
+        "time_zone": F.when(k % 10 == 0, F.nullif(zone, F.lit(""))).when(k % 41 == 1, F.lit("UTC")),
+        "concurrency_policy": F.when(k % 170 == 10, F.lit("Sometimes")).otherwise(F.col("concurrency_policy")),
+        "starting_deadline_s": F.when(k % 19 == 0, F.lit(-5)).when(k % 19 == 1, F.lit(60)).cast("bigint"),
+        "keep_succeeded": F.when(k % 23 == 0, F.lit(-1)),
+        "keep_failed": F.when(k % 29 == 0, F.lit(2)),
+        "suspend": F.when(k % 31 == 0, F.lit(True)),
+    })
+
+
+def training_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training run specs, one per part, with planted faults."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        F.concat(F.lit("train-"), _s(k)).alias("name"),
+        F.when(k % 41 == 0, F.lit(" ")).otherwise(F.concat(F.lit("registry.example/trainer:"), F.col("p_brand"))).alias("image"),
+        F.when(k % 37 == 0, F.lit(0)).otherwise(F.col("p_size") % 4 + 1).cast("int").alias("world_size"),
+        F.when(k % 3 == 0, F.concat(F.lit("pvc-"), _s(k))).otherwise(F.lit("")).alias("dataset_pvc"),
+        F.when(k % 5 == 0, F.concat(F.lit("s3a://data/"), _s(k)))
+         .when(k % 7 == 0, F.concat(F.lit("gs://data/"), _s(k))).otherwise(F.lit("")).alias("dataset_s3_uri"),
+        F.when(k % 2 == 0, F.lit("train.py")).otherwise(F.lit("")).alias("script"),
+        F.when(k % 11 == 0, F.array(F.lit("python"), F.lit("x.py"))).otherwise(F.array().cast("array<string>")).alias("command"),
+        F.when(k % 13 == 0, F.array(F.lit("numpy"))).otherwise(F.array().cast("array<string>")).alias("packages"),
+        F.when(k % 17 == 0, F.lit("BERTClassifier")).when(k % 19 == 0, F.lit("GPT")).otherwise(F.lit("")).alias("builtin_trainer"),
+        (k % 4 == 0).alias("gpu_enabled"),
+        (F.col("p_size") % 3).cast("int").alias("gpu_per_worker"),
+        F.element_at(F.array(F.lit("nccl"), F.lit("gloo"), F.lit("")), (k % 3 + 1).cast("int")).alias("gpu_backend"),
+        F.when(k % 43 == 0, F.lit(-1)).otherwise(F.lit(2)).cast("int").alias("max_retries"),
+        (k % 47 == 0).alias("checkpoint_enabled"),
+        F.when(k % 94 == 0, F.lit("s3://ck/")).when(k % 47 == 0, F.lit("")).when(k % 61 == 0, F.lit("hdfs://ck/"))
+         .otherwise(F.lit("")).alias("checkpoint_uri"),
+        F.when(k % 53 == 0, F.lit("-1")).when(k % 59 == 0, F.lit("abc")).otherwise(F.lit("0.40")).alias("cost_per_hour"),
+    )
