@@ -111,8 +111,9 @@ def next_fire(templates: DataFrame, now: str, lookahead_days: int = NEXT_FIRE_LO
     near = scan(base, 0, NEAR_DAYS)
     unresolved = base.join(near.filter(F.col("next_day").isNotNull()), "template", "left_anti")
     far = scan(unresolved, NEAR_DAYS + 1, lookahead_days).select("template", F.col("next_day").alias("far_day"))
-    days = (near.join(far, "template", "left")
-                .select("template", F.coalesce("next_day", "far_day").alias("next_day"), "today_ok"))
+    days = (base.select("template").join(near, "template", "left").join(far, "template", "left")
+                .select("template", F.coalesce("next_day", "far_day").alias("next_day"),
+                        F.coalesce("today_ok", F.lit(False)).alias("today_ok")))
     j = base.join(days, "template")
     later = j.filter(F.col("next_day").isNotNull()).select(
         "template", "zone", _wall_clock(F.col("next_day"), F.array_min("cron.hour"),

@@ -14,18 +14,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _segmented(df: DataFrame, key: str, order, num_partitions: int | None):
+def _segmented(df: DataFrame, key: str, order, num_partitions: int | None, materialise: str = "persist"):
+    """Range-partition on (key, order) and tag each row with its partition.
+
+    ``spark_partition_id`` is nondeterministic, so Spark will not share one
+    exchange between the branches that read the result; each would re-sample
+    its own range bounds.  The tagged frame is therefore materialised once
+    (``persist``, memory + disk, recomputed from the same shuffle output if a
+    block is lost; or ``checkpoint`` to the shared checkpoint folder)."""
+    from brook.operators.ordering import materialise as _mat
+
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [key] + list(order)
-    return df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
+    tagged = df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
+    return _mat(tagged, materialise)
 
 
 def row_number_within(df: DataFrame, key: str, order, out_col: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, materialise: str = "persist") -> DataFrame:
     """1-based row number per ``key`` following ``order`` (which must be total
     within a key)."""
-    r = _segmented(df, key, order, num_partitions)
+    r = _segmented(df, key, order, num_partitions, materialise)
     w = Window.partitionBy("_pid", key).orderBy(*order)
     local = r.withColumn("_lrn", F.row_number().over(w))
     seg = local.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -36,10 +46,10 @@ def row_number_within(df: DataFrame, key: str, order, out_col: str = "rn",
 
 
 def previous_values(df: DataFrame, key: str, order, cols, prefix: str = "prev_",
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, materialise: str = "persist") -> DataFrame:
     """Add ``prev_<c>`` (the value of the previous row of the same key) for
     each of ``cols`` and ``has_prev``."""
-    r = _segmented(df, key, order, num_partitions)
+    r = _segmented(df, key, order, num_partitions, materialise)
     w = Window.partitionBy("_pid", key).orderBy(*order)
     local = r.withColumns({**{f"{prefix}{c}": F.lag(c).over(w) for c in cols},
                            "_first": F.row_number().over(w) == 1})

@@ -159,3 +159,20 @@ def only_new_articles(spark, sf):
     store = good.filter(F.col("id").cast("bigint") % 2 == 0).select("id")
     batch = C.clean(V.articles(spark, sf), lineage=False).filter(F.col("title").isNotNull())
     return only_new(batch, store, ["id"]).select("id", "source")
+
+
+@register("elt_job_quarantine", with_views("""
+  SELECT reason AS _reject_reason, count(*) AS n_rows, count(DISTINCT lower(trim(source))) AS n_sources FROM (
+    SELECT source, CASE WHEN title IS NULL THEN 'missing_title' WHEN true_date IS NULL THEN 'bad_date' END AS reason
+    FROM articles) WHERE reason IS NOT NULL GROUP BY 1""", "articles"))
+def elt_job_quarantine(spark, sf):
+    """The batch ELT job on a landing folder; the quarantine read back."""
+    from brook.plans.jobs import run_elt
+
+    a = V.articles(spark, sf).withColumn("_source", F.lower(F.trim("category")))
+    raw = scratch_path(spark, "job-raw")
+    L.write_raw(a, raw, "2024-06-01")
+    dest = scratch_path(spark, "job-curated")
+    run_elt(spark, dest, source_path=raw, gate=False)
+    q = spark.read.parquet(L.quarantine_path(dest))
+    return q.groupBy("_reject_reason").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources"))

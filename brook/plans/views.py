@@ -356,7 +356,7 @@ def cron_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sample schedules and zones spread over the templates.
 CRON_SAMPLES = ["*/15 * * * *", "0 * * * *", "30 6 * * 1-5", "0 0 1 * *", "0 0 31 2 *",
                 "not a cron", "5,35 */6 * * *", "0 12 * * SUN", "0 9-17/4 * JAN-DEC MON,WED",
-                "15 3 10-20 * 0"]
+                "15 3 10-20 * 0", "0 0 1 1 *", "0 6 29 2 *"]
 ZONE_SAMPLES = ["", "America/New_York", "Europe/Berlin", "", "Asia/Tokyo", "Mars/Olympus"]
 
 
