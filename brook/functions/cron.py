@@ -80,11 +80,16 @@ def with_parsed_cron(df: DataFrame, expr_col: str = "schedule", out: str = "cron
     d = d.withColumn("_cv", valid)
     vals = {n: F.when(F.col("_cv"), F.array_sort(F.array_distinct(F.flatten(F.transform(
         f"_ci_{n}", lambda p: F.sequence(p["a"], p["b"], p["step"])))))) for n, _, _ in FIELDS}
-    cron = F.struct(*[v.alias(n) for n, v in vals.items()],
+    d = d.withColumns({f"_cv_{n}": v for n, v in vals.items()})
+    # minute-of-day offsets of every fire in a matching day (hours x minutes)
+    day_minutes = F.flatten(F.transform("_cv_hour", lambda h: F.transform("_cv_minute", lambda m: h * 60 + m)))
+    cron = F.struct(*[F.col(f"_cv_{n}").alias(n) for n in vals],
+                    day_minutes.alias("day_minutes"),
                     F.exists("_ci_dom", lambda p: p["star"]).alias("dom_star"),
                     F.exists("_ci_dow", lambda p: p["star"]).alias("dow_star"),
                     F.col("_cv").alias("valid"))
-    drop = ["_cp", "_cv"] + [f"_cf_{n}" for n, _, _ in FIELDS] + [f"_ci_{n}" for n, _, _ in FIELDS]
+    drop = (["_cp", "_cv"] + [f"_cf_{n}" for n, _, _ in FIELDS] + [f"_ci_{n}" for n, _, _ in FIELDS]
+            + [f"_cv_{n}" for n, _, _ in FIELDS])
     return d.withColumn(out, cron).drop(*drop)
 
 
@@ -92,9 +97,12 @@ def join_parsed_cron(df: DataFrame, expr_col: str = "schedule", out: str = "cron
     """``with_parsed_cron`` over the distinct expressions, joined back: runs
     share a handful of schedules, so the parse runs once per expression, and
     the join keeps Catalyst from re-inlining it into later operators."""
-    parsed = with_parsed_cron(df.select(expr_col).distinct(), expr_col, out)
-    j = df.join(parsed, df[expr_col].eqNullSafe(parsed[expr_col]), "left").drop(parsed[expr_col])
-    return j
+    from pyspark import StorageLevel
+
+    # One row per distinct expression: persisted so the (interpreted, regex
+    # heavy) parse is computed once and every consumer reads the result.
+    parsed = with_parsed_cron(df.select(expr_col).distinct(), expr_col, out).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.join(parsed, df[expr_col].eqNullSafe(parsed[expr_col]), "left").drop(parsed[expr_col])
 
 
 def day_matches(cron: Column, day: Column) -> Column:

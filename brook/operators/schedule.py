@@ -65,11 +65,12 @@ def fire_calendar(templates: DataFrame, start: str, end: str, include_suspended:
     s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     days = p.select("template", "zone", "cron",
                     F.explode(F.sequence(F.date_sub(F.to_date(s), 1), F.date_add(F.to_date(e), 1))).alias("day"))
-    days = days.filter(day_matches(F.col("cron"), F.col("day")))
-    hours = days.select("template", "zone", "cron", "day", F.explode("cron.hour").alias("h"))
-    mins = hours.select("template", "zone", "day", "h", F.explode("cron.minute").alias("m"))
-    fires = mins.select("template", F.to_utc_timestamp(_wall_clock(F.col("day"), F.col("h"), F.col("m")),
-                                                       F.col("zone")).alias("fire_ts"))
+    days = (days.filter(day_matches(F.col("cron"), F.col("day")))
+                .select("template", "zone", "day", F.col("cron.day_minutes").alias("dm")))
+    mins = days.select("template", "zone", "day", F.explode("dm").alias("mod"))
+    wall = F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400 + F.col("mod").cast("bigint") * 60)
+    fire = F.when(F.col("zone") == "UTC", wall).otherwise(F.to_utc_timestamp(wall, F.col("zone")))
+    fires = mins.select("template", fire.alias("fire_ts"))
     return fires.filter((F.col("fire_ts") >= s) & (F.col("fire_ts") < e))
 
 
