@@ -207,9 +207,12 @@ def outcome_counts(events: DataFrame) -> DataFrame:
 
 def live_series(samples: DataFrame, runs: DataFrame, key="run") -> DataFrame:
     """Latest sample per run, for runs that still exist (left semi join)."""
-    live = samples.join(runs.select(key), key, "left_semi")
-    return live.groupBy(key).agg(F.max(F.struct("ts", "event_id", "value")).alias("m")) \
-               .select(key, F.col("m.ts").alias("last_ts"), F.col("m.value").alias("value"))
+    # Reduce to one row per run first (map-side combined, so a run holding a
+    # third of the samples never meets the join as one partition), then keep
+    # the runs that still exist.
+    latest = samples.groupBy(key).agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
+    return (latest.join(runs.select(key), key, "left_semi")
+                  .select(key, F.col("m.ts").alias("last_ts"), F.col("m.value").alias("value")))
 
 
 def config_overlay(layers: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brook.functions.cron import join_parsed_cron
 from brook.functions.quantity import millicores
-from brook.operators.schedule import VALID_ZONES
+from brook.operators.schedule import valid_zone
 
 # Accepted concurrency policies, checkpoint / dataset URI
 # schemes, and the built-in trainers.
@@ -79,7 +79,7 @@ def spec_report(specs: DataFrame) -> DataFrame:
                             | F.col("time_zone").isNotNull() | F.col("starting_deadline_s").isNotNull()
                             | F.col("keep_succeeded").isNotNull() | F.col("keep_failed").isNotNull()),
               "warning", "schedule_fields_without_schedule", "spec.schedule"),
-        _rule((zone != "") & ~F.array_contains(F.array(*[F.lit(z) for z in VALID_ZONES]), zone),
+        _rule((zone != "") & ~valid_zone(zone),
               "error", "bad_zone", "spec.timeZone"),
     ]
     conf = F.transform(F.filter(F.map_keys(F.coalesce(F.col("spark_conf"), F.create_map().cast("map<string,string>"))),

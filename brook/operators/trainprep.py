@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brook.operators.ordering import global_index
+from brook.operators.ordering import broadcast_if_small, global_index
 
 # The trainer's parameter names and defaults.
 TEXT_COLUMN = "title"
@@ -47,7 +47,10 @@ def encode(frame: DataFrame, lmap: DataFrame | None = None) -> DataFrame:
     turns the join into a broadcast once it has measured that."""
     lmap = lmap if lmap is not None else label_map(frame)
     m = lmap.select(F.col("label").alias("_label_name"), F.col("id").cast("int").alias("_label"))
-    return frame.join(m, "_label_name")
+    # A label can hold a third of the rows: a shuffle join would send it to
+    # one task.  The map is materialised (label_map persists its rows), so a
+    # count is cheap; broadcast it when that count proves it small.
+    return frame.join(broadcast_if_small(m), "_label_name")
 
 
 def train_profile(encoded: DataFrame) -> DataFrame:
