@@ -176,3 +176,38 @@ def elt_job_quarantine(spark, sf):
     run_elt(spark, dest, source_path=raw, gate=False)
     q = spark.read.parquet(L.quarantine_path(dest))
     return q.groupBy("_reject_reason").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources"))
+
+
+@register("acquire_payloads", """
+  SELECT CASE WHEN page_id % 6 IN (0, 1, 3) THEN 'xml' WHEN page_id % 6 = 4 THEN 'xml' ELSE 'csv' END AS format,
+    count(*) AS n_payloads, count(*) AS n_ok
+  FROM pages GROUP BY 1""")
+def acquire_payloads(spark, sf):
+    """Offline end to end fetch: one payload file per page (written by Spark),
+    a manifest built from Spark's own listing of those files, and the default
+    fetcher reading the file:// URLs on the executors."""
+    p = V.payloads(spark, sf)
+    files = scratch_path(spark, "payload-files")
+    p.select("page_id", "body").write.partitionBy("page_id").text(files)
+    listed = (spark.read.text(files, wholetext=True)
+                   .select(F.col("_metadata.file_path").alias("url"), "page_id")
+                   .join(p.select("page_id", "format", "source"), "page_id"))
+    manifest = listed.select(F.concat(F.lit("file://"), F.regexp_replace("url", "^file:", "")).alias("url"),
+                             "format", "source")
+    got = FD.acquire_payloads(manifest, pause_s=0.0)
+    return got.groupBy("format").agg(F.count(F.lit(1)).alias("n_payloads"),
+                                     F.count_if(F.col("error").isNull() & F.col("body").isNotNull()).alias("n_ok"))
+
+
+@register("label_map_json", with_views("""
+  SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS id
+  FROM (SELECT DISTINCT lower(trim(source)) AS label FROM articles WHERE title IS NOT NULL AND true_date IS NOT NULL)""",
+  "articles"))
+def label_map_json(spark, sf):
+    """The label map persisted as JSON and read back."""
+    from brook.operators import trainprep as T
+
+    good, _ = C.split(C.clean(V.articles(spark, sf), lineage=False))
+    path = scratch_path(spark, "label-map")
+    T.write_label_map(T.label_map(T.train_frame(good)), path)
+    return spark.read.schema("label string, id long").json(path)
