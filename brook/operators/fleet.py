@@ -54,20 +54,21 @@ def cost_usd(start: Column, end: Column, pods: Column, rate: Column, as_of: Colu
 def running_executors(runs: DataFrame, pods: DataFrame) -> DataFrame:
     """Per run: executors owned by the run's driver pod that are Running.
 
-    Executors are counted per owner uid first (a partial aggregate, so a
-    driver owning a third of all pods never concentrates rows), then joined
-    to drivers, then to runs (left, so runs without pods keep 0).  An owner
-    listed twice counts once (``array_distinct``).
+    One pass over the pods: a driver emits its own uid, an executor each
+    distinct uid among its owners (an owner listed twice counts once), and a
+    single aggregate by owner uid yields the running count and the driver.
+    The aggregate combines map-side, so a driver owning a third of all pods
+    never concentrates rows; runs join last (left, so runs without pods keep 0).
     """
-    owned = (pods.filter(F.col("role") == "executor")
-                 .select(F.explode(F.array_distinct("owner_uids")).alias("owner_uid"), "phase")
-                 .groupBy("owner_uid")
-                 .agg(F.count_if(F.col("phase") == "Running").alias("running")))
-    drivers = pods.filter(F.col("role") == "driver").select(F.col("run").alias("name"),
-                                                            F.col("uid").alias("owner_uid"),
-                                                            F.col("name").alias("driver_pod"),
-                                                            F.col("phase").alias("driver_phase"))
-    per_driver = drivers.join(owned, "owner_uid", "left")
+    is_driver = F.col("role") == "driver"
+    owners = F.when(is_driver, F.array(F.col("uid"))).otherwise(F.array_distinct("owner_uids"))
+    keyed = pods.select(F.explode(owners).alias("owner_uid"), "role", "phase", "run", "name")
+    per_uid = keyed.groupBy("owner_uid").agg(
+        F.count_if((F.col("role") == "executor") & (F.col("phase") == "Running")).alias("running"),
+        F.max(F.when(F.col("role") == "driver", F.struct("run", "name", "phase"))).alias("d"))
+    per_driver = per_uid.filter(F.col("d").isNotNull()).select(
+        F.col("d.run").alias("name"), F.col("d.name").alias("driver_pod"),
+        F.col("d.phase").alias("driver_phase"), "running")
     return (runs.join(per_driver, "name", "left")
                 .withColumn("running", F.coalesce(F.col("running"), F.lit(0)).cast("bigint")))
 

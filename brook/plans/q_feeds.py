@@ -141,7 +141,7 @@ def _two_runs(spark, sf):
 @register("dedup_articles", with_views(f"""
   SELECT id, lower(trim(source)) AS source, published_at,
     CASE WHEN doc_id % 3 = 0 THEN '2024-06-02T00:00:00+00:00' ELSE '{V.SCRAPED_AT}' END AS _scraped_at,
-    CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS n_copies
+    CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_copies
   FROM articles""", "articles"))
 def dedup_articles(spark, sf):
     """Two scrape runs; articles seen twice are kept once (the latest copy)."""
