@@ -4,10 +4,11 @@ batches, and a Spark ML classifier."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brook.operators.ordering import broadcast_if_small, global_index
+from brook.operators.sequence import row_number_within
 
 # The trainer's parameter names and defaults.
 TEXT_COLUMN = "title"
@@ -72,22 +73,34 @@ def tokens(df: DataFrame, text_col: str = "_text", max_length: int = MAX_LENGTH,
                            "attention_mask": mask})
 
 
-def shard_order_key(id_col: str, seed: int, epoch: int):
+def shard_order_key(id_col: str, seed: int, epoch) -> Column:
     """The shuffle of one epoch: a hash of (seed + epoch, id)."""
-    return F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col(id_col).cast("string")))
-
-
-def shard(df: DataFrame, id_col: str, world_size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Assign every row a rank: shuffled position ``i`` -> rank ``i % world_size``.
-    The first rows are repeated at the end until the count divides by the
-    world size, so every rank gets the same number of rows."""
-    keyed = df.withColumn("_key", shard_order_key(id_col, seed, epoch))
-    idx = global_index(keyed, ["_key", id_col], pos_col="pos", total_col="_n")
+    e = epoch if isinstance(epoch, Column) else F.lit(epoch)
+    return F.md5(F.concat((F.lit(seed) + e).cast("string"), F.lit(":"), F.col(id_col).cast("string")))
+
+
+def shard_epochs(df: DataFrame, id_col: str, world_size: int, seed: int = 42, epochs=(0,)) -> DataFrame:
+    """Assign every row a rank for each epoch: shuffled position ``i`` ->
+    rank ``i % world_size``.  The first rows are repeated at the end until the
+    count divides by the world size, so every rank gets the same number.
+
+    All epochs are numbered in one pass: positions come from the segmented
+    row number per epoch (one range shuffle for every epoch; an epoch is a
+    hot key spread over many partitions, never one task)."""
+    e = df.select("*", F.explode(F.array(*[F.lit(int(x)) for x in epochs])).alias("epoch"))
+    keyed = e.withColumn("_key", shard_order_key(id_col, seed, F.col("epoch")))
+    numbered = row_number_within(keyed, "epoch", ["_key", id_col], "_rn").withColumn("pos", F.col("_rn") - 1)
+    totals = numbered.groupBy("epoch").agg(F.max("_rn").alias("_n"))  # one row per epoch
+    idx = numbered.join(F.broadcast(totals), "epoch")
     pad = (F.lit(world_size) - F.col("_n") % world_size) % world_size
     extra = idx.filter(F.col("pos") < pad).withColumn("pos", F.col("pos") + F.col("_n"))
     out = idx.unionByName(extra)
-    return out.withColumns({"epoch": F.lit(epoch), "rank": (F.col("pos") % world_size).cast("int"),
-                            "shard_pos": F.floor(F.col("pos") / world_size)}).drop("_key", "_n")
+    return out.withColumns({"rank": (F.col("pos") % world_size).cast("int"),
+                            "shard_pos": F.floor(F.col("pos") / world_size)}).drop("_key", "_n", "_rn")
+
+
+def shard(df: DataFrame, id_col: str, world_size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
+    return shard_epochs(df, id_col, world_size, seed, (epoch,))
 
 
 def batches(sharded: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:

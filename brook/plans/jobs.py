@@ -78,8 +78,12 @@ def main(argv=None) -> int:
     s.add_argument("--dest-path")
     s.add_argument("--dest-base")
     s.add_argument("--date")
+    ap.add_argument("--input-bytes", type=int, default=None,
+                    help="expected input size; sizes the shuffle partitions (about one per 256 MB)")
     a = ap.parse_args(argv)
-    spark = build_session(app=f"brook-{a.job}")
+    from brook.session import scale_conf
+
+    spark = build_session(app=f"brook-{a.job}", extra=scale_conf(a.input_bytes) if a.input_bytes else None)
     try:
         if a.job == "elt":
             if not a.source_path and not a.source_base:

@@ -58,11 +58,7 @@ def fixed_length_tokens(spark, sf):
 
 def _sharded(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id")
-    parts = [T.shard(d, "doc_id", WORLD_SIZE, SEED, e) for e in EPOCH_LIST]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return T.shard_epochs(d, "doc_id", WORLD_SIZE, SEED, EPOCH_LIST)
 
 
 _SHARD_SQL = f"""

@@ -18,9 +18,25 @@ BASE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # AQE coalesces shuffle output towards this size and splits partitions
+    # above skewedPartitionThresholdInBytes; 256 MB keeps tasks spill-light.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.ui.enabled": "false",
 }
 
+# Fixed value: target bytes of shuffle input per task at scale.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def scale_conf(input_bytes: int, min_partitions: int = 200) -> dict:
+    """Settings for a run over ``input_bytes`` of input: an initial shuffle
+    partition count of about one per 256 MB (AQE coalesces the small ones),
+    so a 100 TB input starts with ~400k partitions instead of 200."""
+    n = max(min_partitions, -(-int(input_bytes) // TARGET_PARTITION_BYTES))
+    return {"spark.sql.shuffle.partitions": str(n),
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n)}
+
 
 def build_session(master: str | None = None, app: str = "brook",
                   shuffle_partitions: int | None = None,
