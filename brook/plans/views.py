@@ -9,7 +9,7 @@ must be mirrored there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brook.session import ensure_utc
@@ -211,13 +211,14 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pod per distinct (order, line): line 1 is the driver, others are
     executors / training workers.  Duplicate (order, line) pairs keep the row
-    with the greatest (shipdate, partkey, suppkey, extendedprice), chosen by a
-    map-side-combinable max over a struct rather than a window."""
+    with the greatest (shipdate, partkey, suppkey, extendedprice)."""
     li = table(spark, sf_dir, "lineitem")
-    best = (li.groupBy("l_orderkey", "l_linenumber")
-              .agg(F.max(F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice",
-                                  "l_quantity", "l_discount", "l_returnflag", "l_linestatus")).alias("b"))
-              .select("l_orderkey", "l_linenumber", "b.*"))
+    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
+             "l_returnflag", "l_linestatus"]
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c).desc() for c in order])
+    # rn = 1 gets a partial WindowGroupLimit before the shuffle: each map task
+    # forwards one row per pair, however many copies a pair has.
+    best = li.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     name = F.concat(F.lit("pod-"), _s(k), F.lit("-"), _s(n))
     driver_uid = F.concat(F.lit("uid-pod-"), _s(k), F.lit("-1"))
