@@ -208,16 +208,19 @@ def outcome_counts(events: DataFrame) -> DataFrame:
 
 def live_series(samples: DataFrame, runs: DataFrame, key="run") -> DataFrame:
     """Latest sample per run, for runs that still exist (left semi join)."""
-    # Reduce to one row per run first (map-side combined, so a run holding a
-    # third of the samples never meets the join as one partition), then keep
-    # the runs that still exist.
-    latest = samples.groupBy(key).agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
+    # Reduce to one row per run first (rn = 1 gets a partial WindowGroupLimit
+    # before the shuffle, so a run holding a third of the samples sends one
+    # row per map task), then keep the runs that still exist.
+    w = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    latest = samples.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
     return (latest.join(runs.select(key), key, "left_semi")
-                  .select(key, F.col("m.ts").alias("last_ts"), F.col("m.value").alias("value")))
+                  .select(key, F.col("ts").alias("last_ts"), "value"))
 
 
 def config_overlay(layers: DataFrame) -> DataFrame:
     """Effective config: per (run, key) the value of the highest layer
-    (defaults < derived < user); ties in a layer take the greatest value."""
-    return (layers.groupBy("run", "key").agg(F.max(F.struct("layer", "value")).alias("m"))
-                  .select("run", "key", F.col("m.value").alias("value")))
+    (defaults < derived < user); ties in a layer take the greatest value.
+    ``row_number() = 1`` gets a partial group limit before the shuffle."""
+    w = Window.partitionBy("run", "key").orderBy(F.col("layer").desc(), F.col("value").desc())
+    return (layers.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+                  .select("run", "key", "value"))

@@ -113,6 +113,12 @@ def write_label_map(lmap: DataFrame, path: str) -> None:
     lmap.coalesce(1).write.mode("overwrite").json(path)
 
 
+def save_classifier(model, lmap: DataFrame, path: str) -> None:
+    """Save the fitted pipeline and its label map next to each other."""
+    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    write_label_map(lmap, f"{path.rstrip('/')}/label_map")
+
+
 def fit_classifier(frame: DataFrame, passes: int = EPOCHS, reg: float = 0.0, num_features: int = 1 << 18):
     """Tokenizer -> HashingTF -> IDF -> multinomial LogisticRegression on
     ``_text`` / ``_label``; returns the fitted model and the loss per pass."""

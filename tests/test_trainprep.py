@@ -40,8 +40,16 @@ def test_shards_equal_and_padded(spark):
     assert first != other  # a new epoch reshuffles
 
 
-def test_classifier_loss_falls(spark):
+def test_classifier_loss_falls_and_saves(spark, tmp_dir):
+    from pyspark.ml import PipelineModel
+
     d = spark.read.parquet(f"{SF001}/documents.parquet")
-    enc = T.encode(T.train_frame(d, "text", "lang"))
-    _, hist = T.fit_classifier(enc, passes=3, num_features=1 << 12)
+    frame = T.train_frame(d, "text", "lang")
+    lmap = T.label_map(frame)
+    enc = T.encode(frame, lmap)
+    model, hist = T.fit_classifier(enc, passes=3, num_features=1 << 12)
     assert len(hist) >= 2 and hist[-1] < hist[0]
+    T.save_classifier(model, lmap, f"{tmp_dir}/clf")
+    back = PipelineModel.load(f"{tmp_dir}/clf/model")
+    assert back.transform(enc).count() == enc.count()
+    assert spark.read.json(f"{tmp_dir}/clf/label_map").count() == lmap.count()
