@@ -242,3 +242,62 @@ def live_series(spark, sf):
   WHERE rn = 1""", "config_layers"))
 def config_overlay(spark, sf):
     return FL.config_overlay(V.config_layers(spark, sf))
+
+
+# ----------------------------------------------------------- skewed forms
+# A third of the rows folded onto one key, as a hot run / template would be.
+_HOT_HISTORY = """status_hot AS (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 'run-hot' ELSE run END AS run)
+                   FROM status_history)"""
+_HOT_RUNS = """runs_hot AS (SELECT * REPLACE (CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 3 = 0
+                 THEN 'tmpl-hot' ELSE template END AS template) FROM job_runs)"""
+
+
+def _hot_history(spark, sf):
+    h = V.status_history(spark, sf)
+    return h.withColumn("run", F.when(F.col("user_id") % 3 == 0, F.lit("run-hot")).otherwise(F.col("run")))
+
+
+@register("status_changes_skewed", _w(["status_history"], _HOT_HISTORY, """
+  SELECT event_id, run, phase, running, desired, driver_pod, retries, cost FROM (
+    SELECT *, row_number() OVER w AS rn, lag(phase) OVER w AS p1, lag(running) OVER w AS p2,
+      lag(desired) OVER w AS p3, lag(driver_pod) OVER w AS p4, lag(retries) OVER w AS p5, lag(cost) OVER w AS p6
+    FROM status_hot WINDOW w AS (PARTITION BY run ORDER BY ts, event_id))
+  WHERE rn = 1 OR p1 IS DISTINCT FROM phase OR p2 IS DISTINCT FROM running OR p3 IS DISTINCT FROM desired
+    OR p4 IS DISTINCT FROM driver_pod OR p5 IS DISTINCT FROM retries OR p6 IS DISTINCT FROM cost"""))
+def status_changes_skewed(spark, sf):
+    """Status changes when one run holds a third of all statuses."""
+    return FL.status_changes(_hot_history(spark, sf)).select(
+        "event_id", "run", "phase", "running", "desired", "driver_pod", "retries", "cost")
+
+
+@register("phase_changes_skewed", _w(["status_history"], _HOT_HISTORY, """
+  SELECT event_id, run, phase FROM (
+    SELECT *, lag(phase) OVER (PARTITION BY run ORDER BY ts, event_id) AS p1 FROM status_hot)
+  WHERE p1 IS DISTINCT FROM phase"""))
+def phase_changes_skewed(spark, sf):
+    """Phase-only changes on the hot run (a selective change filter)."""
+    return FL.status_changes(_hot_history(spark, sf), ["phase"]).select("event_id", "run", "phase")
+
+
+@register("attempts_skewed", _w(["status_history"], _HOT_HISTORY, """
+  SELECT run, event_id, attempt, CASE WHEN attempt <= user_id % 4 THEN 'Resuming' ELSE 'Failed' END AS phase
+  FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS attempt
+        FROM status_hot WHERE phase = 'Failed')"""))
+def attempts_skewed(spark, sf):
+    f = _hot_history(spark, sf).filter(F.col("phase") == "Failed").withColumn("max_retries", F.col("user_id") % 4)
+    return FL.attempts(f).select("run", "event_id", "attempt", "phase")
+
+
+@register("history_retention_skewed", _w(["job_runs", "cron_templates"], _HOT_RUNS, """
+  SELECT r.name, r.template, r.phase,
+    r.rn <= CASE WHEN r.phase = 'Succeeded' THEN coalesce(t.keep_succeeded, 3) ELSE coalesce(t.keep_failed, 3) END AS keep
+  FROM (SELECT name, template, phase,
+          row_number() OVER (PARTITION BY template, phase ORDER BY created DESC, name) AS rn
+        FROM runs_hot WHERE phase IN ('Succeeded', 'Failed')) r
+  LEFT JOIN cron_templates t ON t.template = r.template"""))
+def history_retention_skewed(spark, sf):
+    """Retention when one template owns a third of all runs."""
+    j = V.job_runs(spark, sf)
+    k = F.regexp_extract(F.col("name"), r"(\d+)$", 1).cast("bigint")
+    j = j.withColumn("template", F.when(k % 3 == 0, F.lit("tmpl-hot")).otherwise(F.col("template")))
+    return FL.retention(j, V.cron_templates(spark, sf))

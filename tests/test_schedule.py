@@ -76,3 +76,19 @@ def test_concurrency_and_children(spark):
     kids = {r.child for r in S.child_runs(dec).collect()}
     assert kids == {f"a-{int(datetime(2024, 3, 7, 12).timestamp())}", f"r-{int(datetime(2024, 3, 7, 12).timestamp())}"}
     assert [r.name for r in S.replaced_runs(S.fire_concurrency(due, t, runs), runs).collect()] == ["r-1"]
+
+
+def test_dst_transitions_follow_java_time(spark):
+    # 2024-03-10: New York skips 02:00-03:00; 2024-11-03: it repeats 01:00-02:00.
+    _, f = fires(spark, [("gap", "30 2 * * *", "America/New_York", False, "", None, NOW),
+                         ("overlap", "30 1 * * *", "America/New_York", False, "", None, NOW)],
+                 "2024-03-09 00:00:00", "2024-03-12 00:00:00")
+    got = sorted((r.template, r.fire_ts) for r in f.collect())
+    # the skipped 02:30 fires at the shifted instant (03:30 EDT = 07:30 UTC)
+    assert ("gap", datetime(2024, 3, 10, 7, 30)) in got
+    assert [t for t, _ in got].count("gap") == 3
+    _, f2 = fires(spark, [("overlap", "30 1 * * *", "America/New_York", False, "", None, NOW)],
+                  "2024-11-02 00:00:00", "2024-11-05 00:00:00")
+    days = sorted(r.fire_ts for r in f2.collect())
+    # the repeated 01:30 fires once, at the earlier offset (EDT, 05:30 UTC)
+    assert datetime(2024, 11, 3, 5, 30) in days and datetime(2024, 11, 3, 6, 30) not in days
