@@ -71,3 +71,13 @@ def test_acquire_with_injected_fetcher(spark):
     assert rows["http://fail"].body is None and "boom" in rows["http://fail"].error
     assert rows["http://fail"].source == "http://fail"
 
+
+
+def test_open_csv_files_form(spark, tmp_path):
+    p = tmp_path / "co2.csv"
+    p.write_text('Country , YEAR,co2,Description\nNorway,2001,3,"a\nb"\n , 2002,, \n')
+    df = spark.read.option("header", "true").option("multiLine", "true").csv(str(p))
+    rows = sorted(FD.open_csv_files(df, "owid", "2026-06-05T00:00:00+00:00").collect(), key=lambda r: r.published_at)
+    got = [(r.title, r.published_at, r.summary, r.source, r._source) for r in rows]
+    assert got == [("Norway", "2001", "a\nb", "owid", "owid"), (None, "2002", None, "owid", "owid")]
+    assert rows[0].id == sid("", "Norway")
