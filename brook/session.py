@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Payload bodies vary from bytes to tens of MB: bound each Arrow batch
+    # handed to the Python helpers by bytes, not only by record count.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # AQE coalesces shuffle output towards this size and splits partitions
     # above skewedPartitionThresholdInBytes; 256 MB keeps tasks spill-light.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
