@@ -116,3 +116,13 @@ def test_overlay_and_gauge(spark):
     assert {(r.key, r.value) for r in FL.config_overlay(layers).collect()} == {("k", "c"), ("x", "d")}
     g = FL.phase_gauge(spark.createDataFrame([("r", "Running")], "name string, phase string")).collect()
     assert len(g) == 6 and sum(r.value for r in g) == 1
+
+
+def test_checkpoint_materialise_matches_persist(spark):
+    rows = [("hot", i) for i in range(500)] + [("cold", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "run string, ts long")
+    a = {(r.run, r.ts): r.rn for r in row_number_within(df, "run", ["ts"], num_partitions=6).collect()}
+    b = {(r.run, r.ts): r.rn for r in row_number_within(df, "run", ["ts"], num_partitions=6,
+                                                          materialise="checkpoint").collect()}
+    assert a == b and a[("hot", 499)] == 500
+    assert spark.sparkContext.getCheckpointDir() is not None
