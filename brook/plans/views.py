@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brook.session import ensure_utc
+from brook.session import ensure_utc, ship_package
 
 # Fixed values shared with oracle_views.py.
 BASE_DAY = "2024-01-01"
@@ -23,6 +23,7 @@ AS_OF = "1999-01-01 00:00:00"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_utc(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

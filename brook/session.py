@@ -62,9 +62,34 @@ def build_session(master: str | None = None, app: str = "brook",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_utc(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``brook`` importable on the executors (the Python helpers run
+    there): zip the package once per application and add it with
+    ``addPyFile``, as ``--py-files`` would."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="brook-pkg-"), "brook.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """brook's date semantics are defined in UTC; pin the session zone."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
