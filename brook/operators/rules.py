@@ -42,7 +42,7 @@ def _bad_rate(c: str) -> Column:
 
 
 def _report(df: DataFrame, rules: list[Column], extra: Column | None = None) -> DataFrame:
-    arr = F.filter(F.array(*rules), lambda r: r.isNotNull())
+    arr = F.array_compact(F.array(*rules))  # native null removal, no lambda
     if extra is not None:
         arr = F.concat(arr, extra)
     return df.select("name", F.explode(arr).alias("r")).select("name", "r.severity", "r.rule", "r.field")
