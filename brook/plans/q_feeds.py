@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brook.functions import stable_id
 from brook.operators import clean as C
 from brook.operators.dedup import dedup_latest, only_new
 from brook.plans import views as V
