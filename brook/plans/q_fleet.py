@@ -89,8 +89,10 @@ def run_cost(spark, sf):
 
 
 @register("fleet_cost", _w(["job_runs", "pods", "training_runs"], _RUNNING, f"""
-  SELECT namespace, round(sum(job_cost), 2) AS job_cost, round(sum(training_cost), 2) AS training_cost,
-    round(sum(job_cost) + sum(training_cost), 2) AS total_cost
+  SELECT namespace, CAST(round(sum(CAST(job_cost AS DECIMAL(18,4))), 2) AS DOUBLE) AS job_cost,
+    CAST(round(sum(CAST(training_cost AS DECIMAL(18,4))), 2) AS DOUBLE) AS training_cost,
+    CAST(round(sum(CAST(job_cost AS DECIMAL(18,4))) + sum(CAST(training_cost AS DECIMAL(18,4))), 2) AS DOUBLE)
+      AS total_cost
   FROM (SELECT rx.namespace, {_cost_sql('1 + running')} AS job_cost, {_cost_sql('t.world_size')} AS training_cost
         FROM rx JOIN training_runs t ON t.name = rx.name) GROUP BY 1"""))
 def fleet_cost(spark, sf):
@@ -99,9 +101,13 @@ def fleet_cost(spark, sf):
     rate = FL.rate_per_hour("cost_per_hour")
     job = FL.cost_usd(F.col("start_time"), F.col("completion_time"), 1 + F.col("running"), rate, as_of)
     tr = FL.cost_usd(F.col("start_time"), F.col("completion_time"), F.col("world_size"), rate, as_of)
-    return (r.groupBy("namespace").agg(F.sum(job).alias("j"), F.sum(tr).alias("t"))
-             .select("namespace", F.round("j", 2).alias("job_cost"), F.round("t", 2).alias("training_cost"),
-                     F.round(F.col("j") + F.col("t"), 2).alias("total_cost")))
+    # Sum in exact decimals (per-run costs carry 4 digits), so the rounded
+    # totals do not depend on the order the partial sums are added in.
+    dec = "decimal(18,4)"
+    return (r.groupBy("namespace").agg(F.sum(job.cast(dec)).alias("j"), F.sum(tr.cast(dec)).alias("t"))
+             .select("namespace", F.round("j", 2).cast("double").alias("job_cost"),
+                     F.round("t", 2).cast("double").alias("training_cost"),
+                     F.round(F.col("j") + F.col("t"), 2).cast("double").alias("total_cost")))
 
 
 _JOB_STATUS_SQL = f"""
