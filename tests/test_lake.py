@@ -43,6 +43,10 @@ def test_elt_job_gate_and_outputs(spark, tmp_dir):
     assert res["good_rows"] + res["quarantined_rows"] == res["raw_rows"] == a.count()
     cur = L.curated_scan(spark, f"{tmp_dir}/cur", required=["title", "published_date"])
     assert cur.count() == res["good_rows"]
+    # the trainer's way in: a partition glob with basePath keeps the partition column
+    glob = L.curated_scan(spark, f"{tmp_dir}/cur/published_date=*/*.parquet", required=["title", "published_date"],
+                          base_path=f"{tmp_dir}/cur")
+    assert glob.count() == res["good_rows"]
     q = spark.read.parquet(L.quarantine_path(f"{tmp_dir}/cur"))
     assert {r._reject_reason for r in q.select("_reject_reason").distinct().collect()} <= set(C.REJECT_REASONS)
 
