@@ -81,3 +81,9 @@ def test_open_csv_files_form(spark, tmp_path):
     got = [(r.title, r.published_at, r.summary, r.source, r._source) for r in rows]
     assert got == [("Norway", "2001", "a\nb", "owid", "owid"), (None, "2002", None, "owid", "owid")]
     assert rows[0].id == sid("", "Norway")
+
+
+def test_xml_tags_match_regardless_of_case(spark):
+    body = "<RSS><Channel><ITEM><Title>Up</Title><LINK>http://l</LINK><PUBDATE>2026</PUBDATE></ITEM></Channel></RSS>"
+    rows = FD.feed_xml_explode(payloads(spark, [("u", "xml", "s", body)])).collect()
+    assert [(r.title, r.link, r.published_at) for r in rows] == [("Up", "http://l", "2026")]
