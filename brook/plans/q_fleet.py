@@ -307,3 +307,27 @@ def history_retention_skewed(spark, sf):
     k = F.regexp_extract(F.col("name"), r"(\d+)$", 1).cast("bigint")
     j = j.withColumn("template", F.when(k % 3 == 0, F.lit("tmpl-hot")).otherwise(F.col("template")))
     return FL.retention(j, V.cron_templates(spark, sf))
+
+
+_HOT_PODS = """pods_hot AS (SELECT * REPLACE (
+    CASE WHEN role = 'executor' AND CAST(regexp_extract(run, '(\\d+)$', 1) AS BIGINT) % 3 = 0
+      THEN [(SELECT arg_min(uid, CAST(regexp_extract(run, '(\d+)$', 1) AS BIGINT)) FROM pods WHERE role = 'driver')]
+      ELSE owner_uids END AS owner_uids) FROM pods),
+  owned AS (SELECT owner_uid, count(*) FILTER (WHERE phase = 'Running') AS running
+            FROM (SELECT unnest(list_distinct(owner_uids)) AS owner_uid, phase FROM pods_hot WHERE role = 'executor')
+            GROUP BY 1),
+  drivers AS (SELECT run AS name, uid AS owner_uid, name AS driver_pod FROM pods_hot WHERE role = 'driver')"""
+
+
+@register("running_executors_skewed", _w(["job_runs", "pods"], _HOT_PODS, """
+  SELECT j.name, d.driver_pod, CAST(coalesce(o.running, 0) AS BIGINT) AS running
+  FROM job_runs j LEFT JOIN drivers d ON d.name = j.name LEFT JOIN owned o ON o.owner_uid = d.owner_uid"""))
+def running_executors_skewed(spark, sf):
+    """Executor counts when one driver owns a third of all executors."""
+    p = V.pods(spark, sf)
+    k = F.regexp_extract(F.col("run"), r"(\d+)$", 1).cast("bigint")
+    # the hot owner: the driver of the lowest order that has one (one scalar)
+    hot = p.filter(F.col("role") == "driver").agg(F.min_by("uid", k).alias("u")).first().u
+    p = p.withColumn("owner_uids", F.when((F.col("role") == "executor") & (k % 3 == 0),
+                                          F.array(F.lit(hot))).otherwise(F.col("owner_uids")))
+    return FL.running_executors(V.job_runs(spark, sf), p).select("name", "driver_pod", "running")
