@@ -78,6 +78,9 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    if "brook" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(sc.applicationId)  # already shipped by spark-submit --py-files
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     zpath = os.path.join(tempfile.mkdtemp(prefix="brook-pkg-"), "brook.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
