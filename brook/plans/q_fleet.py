@@ -311,7 +311,7 @@ def history_retention_skewed(spark, sf):
 
 _HOT_PODS = """pods_hot AS (SELECT * REPLACE (
     CASE WHEN role = 'executor' AND CAST(regexp_extract(run, '(\\d+)$', 1) AS BIGINT) % 3 = 0
-      THEN [(SELECT arg_min(uid, CAST(regexp_extract(run, '(\d+)$', 1) AS BIGINT)) FROM pods WHERE role = 'driver')]
+      THEN [(SELECT arg_min(uid, CAST(regexp_extract(run, '(\\d+)$', 1) AS BIGINT)) FROM pods WHERE role = 'driver')]
       ELSE owner_uids END AS owner_uids) FROM pods),
   owned AS (SELECT owner_uid, count(*) FILTER (WHERE phase = 'Running') AS running
             FROM (SELECT unnest(list_distinct(owner_uids)) AS owner_uid, phase FROM pods_hot WHERE role = 'executor')
