@@ -38,16 +38,25 @@ def read_raw_stream(spark: SparkSession, path: str, max_files: int | None = None
 
 def stream_elt(spark: SparkSession, raw_path: str, dest: str, checkpoint: str,
                partition_col: str = "published_date", max_files: int | None = None):
-    """Clean each micro-batch of newly landed raw files: good rows appended
-    to ``dest``, rejects to ``<dest>_quarantine``.  One micro-batch is cleaned
-    once (persisted) for both outputs."""
+    """Clean each micro-batch of newly landed raw files: good rows to
+    ``dest``, rejects to ``<dest>_quarantine``.  One micro-batch is cleaned
+    once (persisted) for both outputs.
+
+    ``foreachBatch`` runs a batch again after a failure, so each epoch
+    overwrites only its own folder ``<dest>/_batch=<epoch>/`` (partitioned by
+    ``partition_col`` inside): a replay replaces what the epoch wrote before
+    instead of appending twice, with no partition renames.  Readers of
+    ``dest`` see ``_batch`` as one more partition column."""
+    def write(frame: DataFrame, path: str, part: str, epoch: int) -> None:
+        (frame.hint("rebalance", part).write.mode("overwrite")
+              .partitionBy(part).parquet(f"{path.rstrip('/')}/_batch={epoch}"))
+
     def batch(df: DataFrame, epoch: int) -> None:
         cleaned = C.clean(df).persist()
         try:
             good, bad = C.split(cleaned)
-            L.write_curated(good, dest, partition_col, mode="append")
-            (bad.hint("rebalance", "_reject_reason").write.mode("append")
-                .partitionBy("_reject_reason").parquet(L.quarantine_path(dest)))
+            write(good, dest, partition_col, epoch)
+            write(bad, L.quarantine_path(dest), "_reject_reason", epoch)
         finally:
             cleaned.unpersist()
 
