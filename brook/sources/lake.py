@@ -36,7 +36,7 @@ def _clustered(df: DataFrame, *cols: str) -> DataFrame:
 def write_raw(df: DataFrame, path: str, scrape_date: str, mode: str = "overwrite") -> None:
     """Landing CSV partitioned by ``scrape_date`` and ``_source``."""
     out = df.withColumn("scrape_date", F.lit(scrape_date))
-    (_clustered(out, "scrape_date", "_source").write.mode(mode)
+    (_clustered(out, "scrape_date", "_source").write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .partitionBy("scrape_date", "_source").options(**CSV_OPTIONS).csv(path))
 
 
@@ -58,7 +58,9 @@ def write_curated(df: DataFrame, path: str, partition_col: str | None = "publish
     w = _clustered(observed, partition_col) if partition_col else observed
     writer = w.write.mode(mode)
     if partition_col:
-        writer = writer.partitionBy(partition_col)
+        # overwrite replaces only the partitions this run writes (a daily
+        # run must not delete earlier dates), whatever the session default
+        writer = writer.partitionBy(partition_col).option("partitionOverwriteMode", "dynamic")
     writer.format(fmt).save(path)
     return int(obs.get.get("n", 0))
 
@@ -75,7 +77,7 @@ def write_quarantine(bad: DataFrame, dest: str, mode: str = "overwrite") -> int:
     # An empty frame writes only a marker; skip it so no folder appears.
     if bad.isEmpty():
         return 0
-    (_clustered(observed, "_reject_reason").write.mode(mode)
+    (_clustered(observed, "_reject_reason").write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .partitionBy("_reject_reason").parquet(quarantine_path(dest)))
     return int(obs.get.get("n", 0))
 

@@ -97,3 +97,15 @@ def test_scrape_job(spark, tmp_dir):
     back = L.raw_scan(spark, dest)
     rows = sorted((r._source, r.title) for r in back.collect())
     assert rows == [("c", "T2"), ("r", "T1")]
+
+
+def test_curated_overwrite_keeps_other_dates(spark, tmp_dir):
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")  # even against a static session
+    try:
+        d1 = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02")], "id string, published_date string")
+        L.write_curated(d1, f"{tmp_dir}/c", "published_date")
+        L.write_curated(spark.createDataFrame([("c", "2024-01-02")], d1.schema), f"{tmp_dir}/c", "published_date")
+        got = sorted((r.id, str(r.published_date)) for r in spark.read.parquet(f"{tmp_dir}/c").collect())
+        assert got == [("a", "2024-01-01"), ("c", "2024-01-02")]
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
