@@ -3,11 +3,13 @@ with the neighbours that a sharded BM25 index returns for them."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +17,24 @@ from pyspark.sql import functions as F
 from brook.llm.arrays import Ragged, taken
 from brook.llm.common import ready, text_key
 
-# Bytes of text in an index shard, words that a worker
+# Characters of text in an index shard, words that a worker
 # remembers, words encoded at once, and the usual constants of BM25.
 SHARD = 4_000_000
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 ENCODED = 2_000
 K1, B = 1.2, 0.75
-# A word that ends in a letter and then ASCII punctuation.
-TAILED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+# A word that ends in a letter and then ASCII punctuation; a word of letters
+# that are composed and whose lower case is one letter (ASCII and Latin-1).
+TAILED = re.compile(r"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: printable Latin-1
+    characters stand for themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordIds:
@@ -32,51 +44,60 @@ class WordIds:
     text's ids are its words' ids.  Each word is encoded once as long as it is
     remembered.  Words are looked up in lower case if the tokenizer lower-cases
     them anyway, and punctuation after a letter, where the tokenizer splits as
-    well, is encoded apart.  Words that may hold a special token are left as
-    they are."""
+    well, is encoded apart.  A word of letters alone, which normaliser and
+    splitter leave whole, goes straight to the model.  Texts that may hold a
+    special token are left as they are."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
+        parts = json.loads(spec)
+        norm = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        split = [x["type"] for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if norm != ["NFC", "Replace", "Lowercase"] or split != ["Split", "ByteLevel"]:
+            raise ValueError("the tokenizer does not drop white space and case: its texts cannot be encoded by words")
         special = sorted(self.tok.get_added_tokens_decoder().items())
         self.sep_id, self.sep = special[0][0], special[0][1].content
-        self.marks = {t.content[:2].encode() for _, t in special}
+        self.marks = {t.content[:2] for _, t in special}
+        self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {"": 0}
         self.table = Ragged()
+        self.table.add([[]])
 
-    def _plain(self, data: bytes) -> bool:
+    def _plain(self, data: str) -> bool:
         return not any(m in data for m in self.marks)
 
-    def words(self, text: bytes | None) -> list[bytes]:
-        if not text:
-            return []
-        return (text.lower() if self._plain(text) and self._plain(text.lower()) else text).split()
+    def _of_letters(self, word: str) -> list[int]:
+        low = word.lower()
+        return [t.id for t in self.tok.model.tokenize(low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode())))]
 
-    def _encode(self, words: list[bytes]) -> None:
-        plain = [w for w in words if self._plain(w)]
+    def _encode(self, words: list[str]) -> None:
+        straight = [w for w in words if LETTERS.fullmatch(w)]
+        self._put(straight, list(map(self._of_letters, straight)))
+        plain = [w for w in words if w not in self.known and self._plain(w)]
         for i in range(0, len(plain), ENCODED):
             part = plain[i:i + ENCODED]
-            ids = np.array(self.tok.encode(self.sep.join(w.decode() for w in part), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.tok.encode(self.sep.join(part), add_special_tokens=False).ids, np.int32)
             cuts = np.flatnonzero(ids == self.sep_id)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep its special token apart")
             self._put(part, [x[1 if k else 0:] for k, x in enumerate(np.split(ids, cuts))])
         for w in words:
             if w not in self.known:
-                self._put([w], [self.tok.encode(w.decode(), add_special_tokens=False).ids])
+                self._put([w], [self.tok.encode(w, add_special_tokens=False).ids])
 
-    def _put(self, words: list[bytes], ids: list) -> None:
+    def _put(self, words: list[str], ids: list) -> None:
         self.known.update(zip(words, range(self.table.n, self.table.n + len(words)), strict=True))
         self.table.add(ids)
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        new = {w for t in texts for w in t if w not in self.known}
-        tailed = {w: m.groups() for w in new if self._plain(w) and (m := TAILED.fullmatch(w))}
-        first = {x for two in tailed.values() for x in two} | (new - tailed.keys())
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        tailed = {w: m.groups() for w in new if (m := TAILED.fullmatch(w)) and self._plain(w)}
+        first = dict.fromkeys([x for two in tailed.values() for x in two] + [w for w in new if w not in tailed])
         self._encode([w for w in first if w not in self.known])
         if tailed:
             at = np.array([[self.known[a], self.known[b]] for a, b in tailed.values()])
@@ -84,8 +105,20 @@ class WordIds:
             sizes = (self.table.ends[at + 1] - self.table.ends[at]).sum(axis=1)
             self._put(list(tailed), np.split(both, np.cumsum(sizes)[:-1]))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's words in ``table``."""
+        t = pa.array([x or "" for x in texts], pa.large_string())
+        low = pc.ascii_lower(t)
+        for m in self.marks:
+            low = pc.if_else(pc.match_substring(t, m), t, low)
+        split = pc.ascii_split_whitespace(low)
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        every = at[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        ends = split.offsets.to_numpy()
+        return [(x := every[i:j])[x != 0] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 class Index:
@@ -207,7 +240,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("text_hash"),
-                       F.col(text_col).cast("binary").alias("t"))
+                       F.col(text_col).alias("t"))
     fields = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -230,9 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
         for shard in _shards(batches):
             if len(words.known) > REMEMBERED:
                 words.forget()
-            texts = [words.words(t) for _, _, t in shard]
-            words.learn(texts)
-            terms = [words.numbers(t) for t in texts]
+            terms = words.numbers([t for _, _, t in shard])
             docs_ = [(d, h, np.append(words.table.take(x), np.int32(end_id))) for (d, h, _), x in zip(shard, terms, strict=True)]
             fill(packer, docs_, terms, [len(d[2]) for d in docs_])
             yield from out()
@@ -259,7 +290,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("doc", "text_hash", "t")), strict=True):
             part.append(row)
-            n += len(row[2] or b"")
+            n += len(row[2] or "")
             if n >= SHARD:
                 yield part
                 part, n = [], 0
