@@ -31,6 +31,17 @@ def ready(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, one for each of ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def id_key(id_col: str = "doc_id") -> Column:
     """The document id as a long that can be joined on and ordered: a missing
     id becomes ``NO_ID``."""

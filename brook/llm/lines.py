@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brook.llm.common import id_key, ready, scratch, text_key
+from brook.llm.common import id_key, ready, scratch, spare, text_key
 from brook.llm.quality import bind
 
 # Fixed value: hash that stands for a line without a word.
@@ -124,7 +124,7 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
     """``docs`` with aligned common blocks deleted from the later document, and
-    ``n_cut_lines`` (int), the lines that it lost.
+    ``n_cut_lines`` (int, replacing a column of that name), the lines that it lost.
 
     Documents that share a line which both hold once are partners: every
     document meets, for each such line, the first document that has it (by id,
@@ -140,14 +140,14 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     under different ids lose all lines from the second on.  Columns other than
     the text are carried through unread, whatever their names.  An empty table
     gives an empty result."""
+    doc, text, cut = spare(docs, "_doc", "_text", "_cut")
     cuts = line_cuts(docs, id_col, text_col, min_lines).where("cut IS NOT NULL").select(
-        F.col("doc").alias("_doc"), F.col("text_hash").alias("_text"), F.col("cut").alias("_cut"))
-    keyed = docs.withColumns({"_doc": id_key(id_col), "_text": text_key(text_col)}).join(cuts, ["_doc", "_text"], "left")
+        F.col("doc").alias(doc), F.col("text_hash").alias(text), F.col("cut").alias(cut))
+    keyed = docs.withColumns({doc: id_key(id_col), text: text_key(text_col)}).join(cuts, [doc, text], "left")
 
     def rest(lines):
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    body = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(bind(F.split(F.col(text_col), "\n"), rest))
-    return (keyed.withColumns({text_col: body, "n_cut_lines": F.coalesce(F.size("_cut"), F.lit(0))})
-            .drop("_doc", "_text", "_cut"))
+    body = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(bind(F.split(F.col(text_col), "\n"), rest))
+    return keyed.withColumns({text_col: body, "n_cut_lines": F.coalesce(F.size(cut), F.lit(0))}).drop(doc, text, cut)

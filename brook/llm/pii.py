@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brook.llm.common import ready, scratch, text_key
+from brook.llm.common import ready, scratch, spare, text_key
 from brook.llm.quality import bind
 
 KINDS = ("email", "ip", "card", "phone")
@@ -255,7 +255,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``docs`` with every span that ``find`` returns replaced by its kind in
-    angle brackets (``<EMAIL>``), and ``n_redacted`` (int).  Where spans
+    angle brackets (``<EMAIL>``), and ``n_redacted`` (int, replacing a column of that
+    name).  Where spans
     overlap, what is left of the later one is replaced as well.  Null texts
     stay null; other columns are carried through unread.
 
@@ -289,5 +290,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     spans = bind(bind(body, candidates), by_place)
     out = bind(F.struct(body.alias("t"), spans.alias("spans")), lambda x: F.struct(
         F.size(x["spans"]).alias("n"), F.when(F.size(x["spans"]) > 0, cut(x)).alias("t")))
-    got = docs.withColumn("_redacted", out)
-    return got.withColumns({text_col: F.coalesce("_redacted.t", F.col(text_col)), "n_redacted": F.col("_redacted.n")}).drop("_redacted")
+    (got,) = spare(docs, "_redacted")
+    return docs.withColumn(got, out).withColumns(
+        {text_col: F.coalesce(F.col(f"{got}.t"), F.col(text_col)), "n_redacted": F.col(f"{got}.n")}).drop(got)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brook.llm.common import SPACE_CLASS, id_key, scratch, text_key
+from brook.llm.common import SPACE_CLASS, id_key, scratch, spare, text_key
 
 # Characters that separate words, and those that count as symbols.
 SPACES = " \t\n\x0b\x0c\r"
@@ -131,11 +131,9 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   max_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, all columns."""
     verdicts = quality_verdicts(docs, id_col, text_col, host_col, max_rate)
+    doc, text, host = spare(docs, "_doc", "_text", "_host")
     # A text under one id may come from two hosts: the host is part of the key.
-    kept = verdicts.where("kept").select(id_key("doc").alias("_doc"),
-                                         F.col("text_hash").alias("_text"), F.col("host").alias("_host"))
-    keyed = docs.withColumns({"_doc": id_key(id_col), "_text": text_key(text_col),
-                              "_source": F.col(host_col).cast("string")})
-    on = (keyed["_doc"] == kept["_doc"]) & (keyed["_text"] == kept["_text"]) & keyed["_source"].eqNullSafe(kept["_host"])
-    return keyed.join(kept, on, "left_semi").drop("_doc", "_text", "_source")
-
+    kept = verdicts.where("kept").select(id_key("doc").alias(doc), F.col("text_hash").alias(text), F.col("host").alias(host))
+    keyed = docs.withColumns({doc: id_key(id_col), text: text_key(text_col), host: F.col(host_col).cast("string")})
+    on = (keyed[doc] == kept[doc]) & (keyed[text] == kept[text]) & keyed[host].eqNullSafe(kept[host])
+    return keyed.join(kept, on, "left_semi").drop(doc, text, host)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brook.llm.common import components, id_key, partitions_for, ready, scratch, text_key
+from brook.llm.common import NO_ID, components, id_key, partitions_for, ready, scratch, spare, text_key
 from brook.llm.links import roots
 
 # Fixed value: fingerprints per tile (256 KB); tile pairs stay near 500 KB.
@@ -147,8 +147,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the smallest id (a null id last; ties: the smallest text hash).  Repeated
     rows of the document that stays are one row."""
     groups = simhash_groups(docs, id_col, text_col, words_per_shingle, radius)
-    order = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("_doc"), F.col("text_hash").alias("_text"))
-    best = groups.groupBy("group_fp").agg(F.min(order).alias("k")).select("k.*")
-    keyed = docs.withColumns({"_doc": id_key(id_col), "_text": text_key(text_col)})
-    return (keyed.join(best, ["_doc", "_text"], "left_semi")
-                 .dropDuplicates(["_doc", "_text"]).drop("_doc", "_text"))
+    order = F.struct(F.coalesce("doc", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"))
+    doc, text = spare(docs, "_doc", "_text")
+    best = groups.groupBy("group_fp").agg(F.min(order).alias("k")).select(F.col("k.id").alias(doc), F.col("k.hash").alias(text))
+    keyed = docs.withColumns({doc: id_key(id_col), text: text_key(text_col)})
+    return keyed.join(best, [doc, text], "left_semi").dropDuplicates([doc, text]).drop(doc, text)
