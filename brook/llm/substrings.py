@@ -120,9 +120,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 8) -> DataFram
 
     edges = scratch(docs.mapInArrow(cut, "doc long, text_hash long, start int, n int, seed long, content long"),
                     "graph-pieces", spark)
-    shared = (edges.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"),
+    # Written, so that the join has two plain sides and a hot minimizer can be split.
+    shared = scratch(edges.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"),
                                         F.min("content").alias("c1"), F.max("content").alias("c2"))
-              .where("first < last").select("seed", "first", (F.col("c1") != F.col("c2")).alias("branches")))
+              .where("first < last").select("seed", "first", (F.col("c1") != F.col("c2")).alias("branches")),
+                     "graph-shared", spark)
     paths = scratch(edges.join(shared, "seed"), "graph-paths", spark)
     straight = paths.where("NOT branches AND first < doc").select(
         "doc", "text_hash", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
