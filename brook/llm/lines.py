@@ -101,7 +101,9 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     once = lines.select("doc", "text_hash", F.explode("lines").alias("line")).where(F.col("line") != BLANK) \
         .groupBy("doc", "text_hash", "line").agg(F.count("*").alias("n")).where("n = 1").drop("n")
     once = scratch(once, "line-once")
-    first = once.groupBy("line").agg(F.min(F.struct("doc", "text_hash")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join has two plain sides and a hot line can be split.
+    first = scratch(once.groupBy("line").agg(F.min(F.struct("doc", "text_hash")).alias("f"), F.count("*").alias("n"))
+                    .where("n > 1").drop("n"), "line-first")
     pairs = (once.join(first, "line").where(F.struct("doc", "text_hash") > F.col("f"))
              .select(F.col("f.doc").alias("doc1"), F.col("f.text_hash").alias("text1"), "doc", "text_hash").distinct())
     earlier = lines.select(F.col("doc").alias("doc1"), F.col("text_hash").alias("text1"), F.col("lines").alias("lines1"))
