@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import sys
 from datetime import datetime, timezone
 
@@ -15,26 +16,30 @@ from pyspark.sql import SparkSession
 
 from brook.operators import clean as C
 from brook.operators import quality as Q
-from brook.session import build_session, scratch_path
+from brook.session import build_session, default_parallelism, scratch_path
 from brook.sources import feeds as FD
 from brook.sources import lake as L
 
 
 def run_elt(spark: SparkSession, dest_path: str, source_path: str | None = None, source_base: str | None = None,
-            date: str | None = None, partition_by: str = "published_date", mode: str = "overwrite",
+            date: str | None = None, partition_by: str = "published_date", run: str | None = None,
             max_reject_pct: float = Q.MAX_REJECT_PCT, gate: bool = True) -> dict:
     """Raw landing CSV -> curated Parquet + quarantine, audit and gate.
 
     The cleaned frame is persisted (memory, spilling to disk) so the scan and
     parse run once for both outputs; counts come from observations on the
-    writes, not from extra count jobs.
+    writes, not from extra count jobs.  ``run`` names the run's folder in the
+    stores; by default the logical date, or a hash of an explicit source path.
     """
     path = L.dated_path(source_base, date, source_path)
+    if run is None:
+        today = datetime.now(timezone.utc).strftime("%Y-%m-%d")
+        run = date or ("path-" + hashlib.sha1(path.encode()).hexdigest()[:12] if source_path else today)
     cleaned = C.clean(L.raw_scan(spark, path)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         good, bad = C.split(cleaned)
-        n_good = L.write_curated(good, dest_path, partition_by, mode=mode)
-        n_bad = L.write_quarantine(bad, dest_path, mode=mode)
+        n_good = L.write_curated(good, dest_path, partition_by, run=run)
+        n_bad = L.write_quarantine(bad, dest_path, run=run)
     finally:
         cleaned.unpersist()
     n_raw = n_good + n_bad
@@ -54,12 +59,11 @@ def run_scrape(spark: SparkSession, manifest_path: str, dest_path: str | None =
     dest = L.dated_path(dest_base, date, dest_path)
     manifest = L.manifest_scan(spark, manifest_path)
     if parallelism is None:
-        parallelism = min(manifest.count(), max(1, int(spark.conf.get("spark.executor.instances", "4"))))
+        parallelism = min(manifest.count(), default_parallelism(spark))
     payload_path = payload_path or scratch_path(spark, "payloads")
     FD.acquire_payloads(manifest, fetcher, parallelism).write.mode("overwrite").parquet(payload_path)
     articles = FD.feed_union(spark.read.parquet(payload_path))
-    if articles.isEmpty():
-        raise Q.GateError("no rows scraped from any source")
+    Q.require_rows(0 if articles.isEmpty() else 1, "feed items in any payload")
     L.write_raw(articles, dest, date)
     return dest
 

@@ -125,7 +125,7 @@ def curated_roundtrip(spark, sf):
     """Full ELT: landing -> scan -> clean -> curated Parquet -> curated scan."""
     good, _ = C.split(C.clean(_landed(spark, sf)))
     path = scratch_path(spark, "curated")
-    L.write_curated(good, path, "published_date")
+    L.write_curated(good, path, "published_date", run="2024-06-01")
     back = L.curated_scan(spark, path, required=["title", "source", "published_date"])
     return (back.groupBy(F.col("published_date").cast("string").alias("published_date"))
                 .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources")))
@@ -177,6 +177,29 @@ def elt_job_quarantine(spark, sf):
     return q.groupBy("_reject_reason").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources"))
 
 
+@register("curated_two_runs", with_views("""
+  SELECT 'good' AS kind, CAST(true_date AS VARCHAR) AS published_date, count(*) AS n_rows FROM articles
+  WHERE title IS NOT NULL AND true_date IS NOT NULL GROUP BY 2
+  UNION ALL SELECT CASE WHEN title IS NULL THEN 'missing_title' ELSE 'bad_date' END, NULL, count(*) FROM articles
+  WHERE title IS NULL OR true_date IS NULL GROUP BY 1""", "articles"))
+def curated_two_runs(spark, sf):
+    """Two daily runs whose articles share dates and reject reasons, the first
+    one repeated: the stores hold every row once."""
+    from brook.plans.jobs import run_elt
+
+    a = V.articles(spark, sf).withColumn("_source", F.lower(F.trim("category")))
+    base, dest = scratch_path(spark, "runs-raw"), scratch_path(spark, "runs-curated")
+    days = {"2024-06-01": 0, "2024-06-02": 1}
+    for day, part in days.items():
+        # Halves by pairs of ids, so both days hold every date and reason.
+        L.write_raw(a.filter(F.floor(F.col("id").cast("bigint") / 2) % 2 == part), L.dated_path(base, day), day)
+    for day in [*days, "2024-06-01"]:
+        run_elt(spark, dest, source_base=base, date=day, gate=False)
+    good = L.curated_scan(spark, dest).select(F.lit("good").alias("kind"), F.col("published_date").cast("string").alias("published_date"))
+    bad = spark.read.parquet(L.quarantine_path(dest)).select(F.col("_reject_reason").alias("kind"), F.lit(None).cast("string").alias("published_date"))
+    return good.union(bad).groupBy("kind", "published_date").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @register("acquire_payloads", """
   SELECT CASE WHEN page_id % 6 IN (0, 1, 3) THEN 'xml' WHEN page_id % 6 = 4 THEN 'xml' ELSE 'csv' END AS format,
     count(*) AS n_payloads, count(*) AS n_ok

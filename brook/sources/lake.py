@@ -49,19 +49,27 @@ def raw_scan(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("_source_path", F.col("_metadata.file_path")))
 
 
-def write_curated(df: DataFrame, path: str, partition_col: str | None = "published_date",
-                  mode: str = "overwrite", fmt: str = "parquet") -> int:
-    """Write partitioned Parquet; return the rows written, counted by an
-    Observation on the write itself (no second job)."""
+def run_folder(path: str, run: str) -> str:
+    """The folder of one run below a store; ``run_date`` is read back as a
+    partition column."""
+    return f"{path.rstrip('/')}/run_date={run}"
+
+
+def write_curated(df: DataFrame, path: str, partition_col: str | None = "published_date", *, run: str,
+                  fmt: str = "parquet") -> int:
+    """Write partitioned Parquet below the folder of ``run`` and return the rows
+    written, counted by an Observation on the write itself (no second job).
+
+    A daily feed carries articles of earlier days, so a run owns no date.  It
+    owns its own folder: a repeated run replaces what it wrote before, whatever
+    the session's overwrite mode, and touches no other run's rows."""
     obs = Observation("rows_written")
     observed = df.observe(obs, F.count(F.lit(1)).alias("n"))
     w = _clustered(observed, partition_col) if partition_col else observed
-    writer = w.write.mode(mode)
+    writer = w.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_col:
-        # overwrite replaces only the partitions this run writes (a daily
-        # run must not delete earlier dates), whatever the session default
-        writer = writer.partitionBy(partition_col).option("partitionOverwriteMode", "dynamic")
-    writer.format(fmt).save(path)
+        writer = writer.partitionBy(partition_col)
+    writer.format(fmt).save(run_folder(path, run))
     return int(obs.get.get("n", 0))
 
 
@@ -69,16 +77,24 @@ def quarantine_path(dest: str) -> str:
     return dest.rstrip("/") + "_quarantine/"
 
 
-def write_quarantine(bad: DataFrame, dest: str, mode: str = "overwrite") -> int:
-    """Bad rows go to ``<dest>_quarantine/`` partitioned by reject reason; the
-    folder is only created when there are bad rows."""
-    obs = Observation("rows_quarantined")
-    observed = bad.observe(obs, F.count(F.lit(1)).alias("n"))
-    # An empty frame writes only a marker; skip it so no folder appears.
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_quarantine(bad: DataFrame, dest: str, *, run: str) -> int:
+    """Bad rows go to ``<dest>_quarantine/`` below the folder of ``run``,
+    partitioned by reject reason.  The folder is only created when there are
+    bad rows; a repeated run replaces its own rejects, also by none."""
+    path = run_folder(quarantine_path(dest), run)
     if bad.isEmpty():
+        if _exists(bad.sparkSession, path):
+            bad.write.mode("overwrite").partitionBy("_reject_reason").parquet(path)  # no rows: only the old ones go
         return 0
-    (_clustered(observed, "_reject_reason").write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        .partitionBy("_reject_reason").parquet(quarantine_path(dest)))
+    obs = Observation("rows_quarantined")
+    observed = bad.observe(obs, F.count(F.lit(1)).alias("n"))
+    (_clustered(observed, "_reject_reason").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy("_reject_reason").parquet(path))
     return int(obs.get.get("n", 0))
 
 

@@ -87,3 +87,10 @@ def test_xml_tags_match_regardless_of_case(spark):
     body = "<RSS><Channel><ITEM><Title>Up</Title><LINK>http://l</LINK><PUBDATE>2026</PUBDATE></ITEM></Channel></RSS>"
     rows = FD.feed_xml_explode(payloads(spark, [("u", "xml", "s", body)])).collect()
     assert [(r.title, r.link, r.published_at) for r in rows] == [("Up", "http://l", "2026")]
+
+
+def test_declared_encoding_counts():
+    text = '<?xml version="1.0" encoding="ISO-8859-1"?><rss><channel><item><title>Caf\u00e9</title></item></channel></rss>'
+    assert FD.decode_body(text.encode("latin-1")) == text
+    assert FD.decode_body("\ufeffplain \u00e9".encode()) == "plain \u00e9"
+    assert FD.decode_body(b'<?xml encoding="no-such"?>\xff') == '<?xml encoding="no-such"?>\ufffd'

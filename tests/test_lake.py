@@ -44,7 +44,7 @@ def test_elt_job_gate_and_outputs(spark, tmp_dir):
     cur = L.curated_scan(spark, f"{tmp_dir}/cur", required=["title", "published_date"])
     assert cur.count() == res["good_rows"]
     # the trainer's way in: a partition glob with basePath keeps the partition column
-    glob = L.curated_scan(spark, f"{tmp_dir}/cur/published_date=*/*.parquet", required=["title", "published_date"],
+    glob = L.curated_scan(spark, f"{tmp_dir}/cur/run_date=*/published_date=*/*.parquet", required=["title", "published_date"],
                           base_path=f"{tmp_dir}/cur")
     assert glob.count() == res["good_rows"]
     q = spark.read.parquet(L.quarantine_path(f"{tmp_dir}/cur"))
@@ -53,7 +53,7 @@ def test_elt_job_gate_and_outputs(spark, tmp_dir):
 
 def test_quarantine_only_when_bad_rows(spark, tmp_dir):
     empty = spark.createDataFrame([], "id string, _reject_reason string")
-    assert L.write_quarantine(empty, f"{tmp_dir}/d") == 0
+    assert L.write_quarantine(empty, f"{tmp_dir}/d", run="r") == 0
     assert not os.path.exists(L.quarantine_path(f"{tmp_dir}/d"))
 
 
@@ -99,13 +99,31 @@ def test_scrape_job(spark, tmp_dir):
     assert rows == [("c", "T2"), ("r", "T1")]
 
 
-def test_curated_overwrite_keeps_other_dates(spark, tmp_dir):
+def test_curated_runs_keep_each_others_rows(spark, tmp_dir):
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")  # even against a static session
     try:
         d1 = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02")], "id string, published_date string")
-        L.write_curated(d1, f"{tmp_dir}/c", "published_date")
-        L.write_curated(spark.createDataFrame([("c", "2024-01-02")], d1.schema), f"{tmp_dir}/c", "published_date")
+        L.write_curated(d1, f"{tmp_dir}/c", "published_date", run="1")
+        L.write_curated(d1, f"{tmp_dir}/c", "published_date", run="1")
+        L.write_curated(spark.createDataFrame([("c", "2024-01-02")], d1.schema), f"{tmp_dir}/c", "published_date", run="2")
         got = sorted((r.id, str(r.published_date)) for r in spark.read.parquet(f"{tmp_dir}/c").collect())
-        assert got == [("a", "2024-01-01"), ("c", "2024-01-02")]
+        assert got == [("a", "2024-01-01"), ("b", "2024-01-02"), ("c", "2024-01-02")]
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
+def test_quarantine_keeps_other_runs(spark, tmp_dir):
+    rows = lambda *ids: spark.createDataFrame([(i, "bad_date") for i in ids], "id string, _reject_reason string")
+    L.write_quarantine(rows("a", "b"), f"{tmp_dir}/d", run="1")
+    L.write_quarantine(rows("c"), f"{tmp_dir}/d", run="2")
+    L.write_quarantine(rows().limit(0), f"{tmp_dir}/d", run="2")  # the second run again, now without rejects
+    assert sorted(r.id for r in spark.read.parquet(L.quarantine_path(f"{tmp_dir}/d")).collect()) == ["a", "b"]
+
+
+def test_audit_and_gate_agree(spark):
+    from brook.operators.clean import REASON_COL
+
+    rows = spark.range(100_000).select(F.when(F.col("id") < 20_004, "bad_date").alias(REASON_COL))
+    assert Q.audit(rows).first().gate_passed is False
+    with pytest.raises(Q.GateError):
+        Q.reject_gate(100_000, 79_996)
