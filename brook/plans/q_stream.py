@@ -13,9 +13,9 @@ from brook.sources import lake as L
 from brook.streaming import jobs as SJ
 
 
-def _land(df, spark, name, files=4):
+def _land(df, spark, name):
     path = scratch_path(spark, name)
-    df.repartition(files).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 

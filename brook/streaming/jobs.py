@@ -4,6 +4,8 @@ it, and leave the result in a Parquet folder (never a driver-side sink)."""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +45,19 @@ def stream_elt(spark: SparkSession, raw_path: str, dest: str, checkpoint: str,
     once (persisted) for both outputs.
 
     ``foreachBatch`` runs a batch again after a failure, so each epoch
-    overwrites only its own folder ``<dest>/_batch=<epoch>/`` (partitioned by
-    ``partition_col`` inside): a replay replaces what the epoch wrote before
-    instead of appending twice, with no partition renames.  Readers of
-    ``dest`` see ``_batch`` as one more partition column."""
+    overwrites only its own folder ``<dest>/_query=<id>/_batch=<epoch>/``
+    (partitioned by ``partition_col`` inside): a replay replaces what the epoch
+    wrote before instead of appending twice, with no partition renames.  The id
+    is the one that the query keeps in its checkpoint, so epochs of another
+    checkpoint, which count from 0 again, never replace earlier ones.  Readers
+    of ``dest`` see ``_query`` and ``_batch`` as two more partition columns."""
     def write(frame: DataFrame, path: str, part: str, epoch: int) -> None:
-        (frame.hint("rebalance", part).write.mode("overwrite")
-              .partitionBy(part).parquet(f"{path.rstrip('/')}/_batch={epoch}"))
+        (frame.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "static")
+              .partitionBy(part).parquet(f"{path.rstrip('/')}/_query={query_id()}/_batch={epoch}"))
+
+    def query_id() -> str:
+        # Written by Spark before the first batch: one line of JSON.
+        return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
     def batch(df: DataFrame, epoch: int) -> None:
         cleaned = C.clean(df).persist()
