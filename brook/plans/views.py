@@ -62,7 +62,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s(doc_id).alias("id"),
         F.concat(F.lit("  "), F.upper("source")).alias("source"),
         F.when(doc_id % 17 == 0, F.lit(None).cast("string"))
-         .otherwise(F.substring("text", 1, 80)).alias("title"),
+         .otherwise(F.col("text")).alias("title"),
         F.concat(F.lit(" https://news.example.com/"), F.col("lang"), F.lit("/"), _s(doc_id),
                  F.lit(" ")).alias("link"),
         render_date_forms(day, doc_id, F.concat(F.lit("n/a "), _s(doc_id))).alias("published_at"),
