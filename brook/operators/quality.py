@@ -30,7 +30,9 @@ def audit(cleaned: DataFrame, max_pct: float = MAX_REJECT_PCT) -> DataFrame:
                     F.count_if(reason.isNotNull()).alias("quarantined_rows"))
     return (a.withColumn("rejected_rows", F.col("raw_rows") - F.col("good_rows"))
              .withColumn("reject_pct", reject_pct_col(F.col("raw_rows"), F.col("good_rows")))
-             .withColumn("gate_passed", F.col("reject_pct") <= F.lit(max_pct)))
+             # The raw rate decides, as in reject_gate; the rounded one is for reading.
+             .withColumn("gate_passed", (F.col("raw_rows") - F.col("good_rows")) * 100.0
+                         / F.greatest("raw_rows", F.lit(1)) <= F.lit(max_pct)))
 
 
 def reject_reasons(cleaned: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def reject_gate(raw_rows: int, good_rows: int, max_pct: float = MAX_REJECT_PCT)
     """Raise when the reject rate is above ``max_pct``; return the rate."""
     pct = (raw_rows - good_rows) / max(raw_rows, 1) * 100.0
     if pct > max_pct:
-        raise GateError(f"reject rate {pct:.2f}% exceeds {max_pct:.0f}% threshold")
+        raise GateError(f"{raw_rows - good_rows} of {raw_rows} rows rejected ({pct:.4f} percent; at most {max_pct:g} allowed)")
     return pct
 
 

@@ -62,7 +62,7 @@ def elt_reject_reasons(spark, sf):
 @register("elt_audit", with_views(f"""
   SELECT raw_rows, good_rows, quarantined_rows, raw_rows - good_rows AS rejected_rows,
     round((raw_rows - good_rows) / greatest(raw_rows, 1) * 100.0, 2) AS reject_pct,
-    round((raw_rows - good_rows) / greatest(raw_rows, 1) * 100.0, 2) <= 20.0 AS gate_passed
+    (raw_rows - good_rows) * 100.0 / greatest(raw_rows, 1) <= 20.0 AS gate_passed
   FROM (SELECT count(*) AS raw_rows, count(*) FILTER (WHERE reason IS NULL) AS good_rows,
           count(*) FILTER (WHERE reason IS NOT NULL) AS quarantined_rows FROM ({_CLEAN_SQL}))""",
   "articles"))
