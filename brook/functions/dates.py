@@ -15,6 +15,9 @@ RFC822_PATTERN = "d MMM yyyy HH:mm:ss Z"
 ISO_DATE_PREFIX = r"^\s*(\d{4}-\d{1,2}-\d{1,2})"
 RFC822_WEEKDAY = r"^\s*[A-Za-z]{3},\s*"
 RFC822_ZONE_NAMES = r"\s+(GMT|UTC|UT|Z)\s*$"
+# The North American zone names of RFC 822 and their offsets.
+RFC822_ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+                "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 YEAR_ONLY = r"^\d{4}$"
 
 
@@ -23,7 +26,7 @@ def parse_date(col) -> Column:
 
     * ISO forms: the calendar date written in the string (a timestamp with an
       offset keeps its *local* date, as a prefix parse does).
-    * RFC-822: the instant is converted to the session zone (UTC) first, so
+    * RFC-822, with an offset or a zone name: the instant is converted to the session zone (UTC) first, so
       ``Fri, 05 Jun 2026 23:30:00 -0500`` gives 2026-06-06.  The weekday is
       not checked.
     * year only: 1 January of that year.
@@ -32,6 +35,9 @@ def parse_date(col) -> Column:
     iso = F.regexp_extract(v, ISO_DATE_PREFIX, 1)
     iso_date = F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-M-d")).cast("date")
     rfc_text = F.regexp_replace(F.regexp_replace(v, RFC822_WEEKDAY, ""), RFC822_ZONE_NAMES, " +0000")
+    name = F.regexp_extract(rfc_text, r"\s([A-Z]{3})\s*$", 1)
+    offset = F.try_element_at(F.create_map(*[F.lit(x) for kv in RFC822_ZONES.items() for x in kv]), name)
+    rfc_text = F.when(offset.isNotNull(), F.concat(F.regexp_replace(rfc_text, r"[A-Z]{3}\s*$", ""), offset)).otherwise(rfc_text)
     rfc_date = F.try_to_timestamp(F.trim(rfc_text), F.lit(RFC822_PATTERN)).cast("date")
     year_date = F.when(F.trim(v).rlike(YEAR_ONLY),
                        F.try_to_timestamp(F.trim(v), F.lit("yyyy")).cast("date"))

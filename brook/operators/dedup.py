@@ -27,4 +27,4 @@ def dedup_latest(df: DataFrame, keys, order_col: str, count_col: str | None = No
 def only_new(batch: DataFrame, store: DataFrame, keys) -> DataFrame:
     """Rows of ``batch`` whose key is not in ``store`` (left anti join; AQE
     turns it into a broadcast join only when the store side is measured small)."""
-    return batch.join(store.select(*keys).distinct(), on=list(keys), how="left_anti")
+    return batch.join(store.select(*keys), on=list(keys), how="left_anti")

@@ -10,22 +10,25 @@ earlier offset.
 
 from __future__ import annotations
 
-import zoneinfo
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brook.functions.cron import day_matches, join_parsed_cron
 
 TERMINAL = ["Succeeded", "Failed"]
-# Valid zone names come from the runtime's tz database (a rule, not a list
-# kept here); the literal is a few hundred short strings.
-VALID_ZONES = sorted(zoneinfo.available_timezones())
+
+
+def valid_zones() -> list[str]:
+    """Zone names that the session's own conversions know: the JVM's list."""
+    spark = SparkSession.active()
+    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
 
 
 def valid_zone(zone: Column) -> Column:
     """Membership in the zone list; one constant-folded literal array."""
-    return F.array_contains(F.split(F.lit(",".join(VALID_ZONES)), ","), zone)
+    return F.array_contains(F.split(F.lit(",".join(valid_zones())), ","), zone)
+
+
 # Fixed value: how far ahead the next fire is searched (five years, as the
 # reference's cron library does before giving up).
 NEXT_FIRE_LOOKAHEAD_DAYS = 5 * 366
