@@ -103,12 +103,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and scratch tables.
 
     A cluster names it in ``spark.checkpoint.dir`` (a shared file system or
-    object store); we only read it.  Only when it is unset -- local tests --
-    do we pick a fresh local folder and register it.
+    object store); we only read it.  Unset, it is an error on a cluster; in
+    local mode, as in tests, a fresh local folder is registered.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="brook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
