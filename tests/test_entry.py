@@ -1,4 +1,5 @@
 import __spark_entry__ as E
+from brook.plans import catalog
 
 
 def test_entry_smoke(spark):
@@ -8,7 +9,15 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle_but_iterative_ones():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = catalog.queries(), catalog.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"text_classifier"}
     assert not any(k.startswith("op") or "pipeline" in k for k in q)
+
+
+def test_entry_registers_the_library_and_its_training_data_queries():
+    """The training-data queries are added where their package is present."""
+    q, o = E.queries(), E.oracle_sql()
+    assert set(catalog.queries()) <= set(q) and set(o) <= set(q)
+    added = set(q) - set(catalog.queries())
+    assert all(k.startswith("op") or k == "pipeline" for k in added)
