@@ -89,7 +89,9 @@ def write_quarantine(bad: DataFrame, dest: str, *, run: str) -> int:
     path = run_folder(quarantine_path(dest), run)
     if bad.isEmpty():
         if _exists(bad.sparkSession, path):
-            bad.write.mode("overwrite").partitionBy("_reject_reason").parquet(path)  # no rows: only the old ones go
+            # Nothing is written, the old rows go.
+            (bad.write.mode("overwrite").option("partitionOverwriteMode", "static")
+                .partitionBy("_reject_reason").parquet(path))
         return 0
     obs = Observation("rows_quarantined")
     observed = bad.observe(obs, F.count(F.lit(1)).alias("n"))
