@@ -72,22 +72,22 @@ def leaves(x: np.ndarray, forest: list[dict[int, float]], spill: float) -> list[
     return out
 
 
-def _met_before(at: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int, node: int) -> np.ndarray:
-    """Whether the pairs a, b share a leaf that comes before (tree, node).
-    ``at``: rows x trees x leaves, -1 where there are fewer."""
-    met = np.zeros(len(a), bool)
-    for t in range(tree + 1):
-        x, y = at[a, t], at[b, t]
-        for k in range(x.shape[1]):
-            same = (x[:, k, None] == y) & (x[:, k, None] >= 0)
-            met |= (same & (x[:, k, None] < node)).any(axis=1) if t == tree else same.any(axis=1)
-    return met
-
-
-def compare(x: np.ndarray, at: np.ndarray, first: np.ndarray, weight: np.ndarray, tree: int, node: int,
-            least: float) -> tuple[np.ndarray, np.ndarray]:
+def _earlier(trees: pa.ListArray, places: pa.ListArray, tree: int, node: int) -> np.ndarray:
+    """For each row the leaves before (tree, node) that it lies in, as bits."""
+    row = np.repeat(np.arange(len(trees)), trees.value_lengths().to_numpy())
+    t, n = trees.flatten().to_numpy(), places.flatten().to_numpy()
+    before = (t < tree) | ((t == tree) & (n < node))
+    # A node number takes at most 41 bits, a tree number far fewer than 22.
+    codes, at = np.unique(t[before].astype(np.int64) << 41 | n[before], return_inverse=True)
+    lies = np.zeros((len(trees), max(1, len(codes))), bool)
+    lies[row[before], at] = True
+    return np.packbits(lies, axis=1)
+
+
+def compare(x: np.ndarray, earlier: np.ndarray, first: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of a tile: for each row the weight of the rows it is linked with
     and has not met in an earlier leaf, and the least row it is connected to.
+    ``earlier`` holds the leaves before this one that each row lies in.
     ``first`` marks the rows of the first of two blocks (all, if there is one):
     pairs within the second block belong to another tile."""
     links = np.zeros(len(x), np.int64)
@@ -100,28 +100,13 @@ def compare(x: np.ndarray, at: np.ndarray, first: np.ndarray, weight: np.ndarray
         a, b = part[a], two[b]
         if first.all():
             a, b = a[a < b], b[a < b]
-        new = ~_met_before(at, a, b, tree, node)
+        new = ~(earlier[a] & earlier[b]).any(axis=1)
         a, b = a[new], b[new]
         links += np.bincount(a, weight[b], len(x)).astype(np.int64) + np.bincount(b, weight[a], len(x)).astype(np.int64)
         p = roots(len(x), a, b, p)
     return links, p
 
 
-def _places(trees: pa.ListArray, places: pa.ListArray) -> np.ndarray:
-    """Lists of trees and leaves as one array: rows x trees x leaves, -1 where
-    a row has fewer."""
-    row = np.repeat(np.arange(len(trees)), trees.value_lengths().to_numpy())
-    slot = row * TREES + trees.flatten().to_numpy()
-    leaf = places.flatten().to_numpy()
-    order = np.argsort(slot, kind="stable")
-    slot, leaf = slot[order], leaf[order]
-    n = np.bincount(slot, minlength=len(trees) * TREES)
-    rank = np.arange(len(slot)) - np.repeat(np.cumsum(n) - n, n)
-    at = np.full((len(trees) * TREES, max(1, int(n.max(initial=0)))), -1, np.int64)
-    at[slot, rank] = leaf
-    return at.reshape(len(trees), TREES, -1)
-
-
 def _matrix(column) -> np.ndarray:
     x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
@@ -195,9 +180,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def links(key: tuple, t: pa.Table) -> pa.Table:
         _, tree, node, one, _ = (k.as_py() for k in key)
-        at = _places(t.column("tree").combine_chunks(), t.column("leaf").combine_chunks())
-        n, p = compare(_matrix(t.column("v")), at, t.column("block").to_numpy() == one, t.column("weight").to_numpy(),
-                       tree, node, least)
+        earlier = _earlier(t.column("tree").combine_chunks(), t.column("leaf").combine_chunks(), tree, node)
+        n, p = compare(_matrix(t.column("v")), earlier, t.column("block").to_numpy() == one, t.column("weight").to_numpy(), least)
         some = np.flatnonzero(n)
         ids = t.column("node").to_numpy()
         return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(ids[p[some]], pa.int64()),
