@@ -157,6 +157,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 8) -> DataFram
     decided = (fork_edges.join(lowest.where("first < last").drop("last"), ["seed", "edge"], "left")
                .groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("i", F.coalesce("first", "doc").alias("first"))))
                                   .alias("edges")))
+    decided = scratch(decided, "graph-decided", spark)
     hit = forks.drop("first").join(decided, key).select(
         "doc", "text_hash", F.explode(F.expr(
             f"transform(filter(edges, e -> e.first < doc), e -> struct(start + e.i AS start, start + e.i + {window} AS end))"))
