@@ -144,31 +144,37 @@ def run_times(history: DataFrame) -> DataFrame:
         F.min(F.when(F.col("phase").isin(*TERMINAL), F.col("ts"))).alias("completion_time"))
 
 
-def retention(runs: DataFrame, templates: DataFrame, max_keep: int | None = None) -> DataFrame:
-    """Per template and outcome keep the newest N finished runs (template
-    limits, default 3, 0 keeps none); the others are victims.  Unfinished
-    runs are not listed.
-
-    The ranking runs under a constant cap (the largest limit), so Spark puts
-    a partial WindowGroupLimit before the shuffle: each map task forwards at
-    most ``cap`` rows per group, however large the group.  The verdict for
-    every run then comes from a join on the run name.
+def retention(runs: DataFrame, templates: DataFrame) -> DataFrame:
+    """Per template (named within its namespace) and outcome keep the newest N
+    finished runs (template limits, default 3, 0 keeps none); the others are
+    victims.  Unfinished runs are not listed.
+
+    The ranking runs under a constant cap (the largest limit of any template),
+    so Spark puts a partial WindowGroupLimit before the shuffle: each map task
+    forwards at most that many rows per group, however large the group.  It
+    yields one row per group, the oldest run that stays; every run is compared
+    with its group's row in a join whose other side has a unique key.
     """
-    lim = templates.select("template",
-                           F.coalesce("keep_succeeded", F.lit(DEFAULT_KEEP)).alias("keep_s"),
+    keys = ["namespace", "template"]
+    lim = templates.select(*keys, F.coalesce("keep_succeeded", F.lit(DEFAULT_KEEP)).alias("keep_s"),
                            F.coalesce("keep_failed", F.lit(DEFAULT_KEEP)).alias("keep_f"))
-    if max_keep is None:
-        row = lim.agg(F.max("keep_s"), F.max("keep_f")).first()
-        max_keep = max(DEFAULT_KEEP, *(v or 0 for v in row))
-    done = runs.filter(F.col("phase").isin(*TERMINAL)).select("name", "template", "phase", "created")
-    w = Window.partitionBy("template", "phase").orderBy(F.col("created").desc(), F.col("name"))
-    top = (done.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_keep)
-               .select("name", "_rn"))
-    j = done.join(top, "name", "left").join(lim, "template", "left")
-    limit = F.when(F.col("phase") == "Succeeded", F.coalesce("keep_s", F.lit(DEFAULT_KEEP))) \
-             .otherwise(F.coalesce("keep_f", F.lit(DEFAULT_KEEP)))
-    return j.select("name", "template", "phase",
-                    (F.col("_rn").isNotNull() & (F.col("_rn") <= limit)).alias("keep"))
+    row = lim.agg(F.max("keep_s"), F.max("keep_f")).first()
+    cap = max(DEFAULT_KEEP, *(v or 0 for v in row))
+    done = runs.filter(F.col("phase").isin(*TERMINAL)).select("name", *keys, "phase", "created")
+    w = Window.partitionBy(*keys, "phase").orderBy(F.col("created").desc(), F.col("name"))
+    limit = F.coalesce(F.when(F.col("phase") == "Succeeded", F.col("keep_s")).otherwise(F.col("keep_f")),
+                       F.lit(DEFAULT_KEEP))
+    top = (done.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
+               .join(lim, keys, "left").filter(F.col("_rn") <= limit))
+    cut = top.groupBy(*keys, "phase").agg(F.max_by(F.struct("created", "name"), "_rn").alias("_cut")).alias("c")
+    d = done.alias("d")
+    same = F.lit(True)
+    for k in [*keys, "phase"]:
+        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
+    newer = F.struct("d.created") > F.struct(F.col("_cut.created"))
+    keep = F.col("_cut").isNotNull() & (newer | (F.col("d.created").eqNullSafe(F.col("_cut.created"))
+                                                 & (F.col("d.name") <= F.col("_cut.name"))))
+    return d.join(cut, same, "left").select("d.name", *[f"d.{k}" for k in keys], "d.phase", keep.alias("keep"))
 
 
 STATUS_FIELDS = ["phase", "running", "desired", "driver_pod", "retries", "cost"]

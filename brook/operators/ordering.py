@@ -53,14 +53,3 @@ def global_index(df: DataFrame, order_cols, pos_col: str = "_pos", total_col: st
     if total_col:
         out = out.withColumnRenamed("_total", total_col)
     return out.drop(*[c for c in drop if c in out.columns])
-
-
-# Fixed value: the largest side (rows) broadcast after an explicit check.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when a count proves it small; otherwise
-    leave the join to a shuffle (and AQE).  Use on frames that are already
-    materialised or cheap to count."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

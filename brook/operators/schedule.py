@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from brook.functions.cron import day_matches, join_parsed_cron
 
 TERMINAL = ["Succeeded", "Failed"]
+# A template is named within its namespace; so are its child runs.
+KEY = ["namespace", "template"]
 
 
 def valid_zones() -> list[str]:
@@ -29,9 +31,10 @@ def valid_zone(zone: Column) -> Column:
     return F.array_contains(F.split(F.lit(",".join(valid_zones())), ","), zone)
 
 
-# Fixed value: how far ahead the next fire is searched (five years, as the
-# reference's cron library does before giving up).
-NEXT_FIRE_LOOKAHEAD_DAYS = 5 * 366
+# Fixed value: how far ahead the next fire is searched.  The longest gap that
+# five fields can make is eight years (29 February across 2100), so nine years
+# find every fire there is.
+NEXT_FIRE_LOOKAHEAD_DAYS = 9 * 366
 NEAR_DAYS = 62
 
 
@@ -55,7 +58,7 @@ def parse_templates(templates: DataFrame) -> DataFrame:
 
 def schedule_rejects(templates: DataFrame) -> DataFrame:
     p = parse_templates(templates)
-    return p.filter(F.col("reject_reason").isNotNull()).select("template", "schedule", "time_zone", "reject_reason")
+    return p.filter(F.col("reject_reason").isNotNull()).select(*KEY, "schedule", "time_zone", "reject_reason")
 
 
 def _wall_clock(day: Column, h: Column, m: Column) -> Column:
@@ -63,6 +66,12 @@ def _wall_clock(day: Column, h: Column, m: Column) -> Column:
     return F.timestamp_seconds(secs)
 
 
+def _instant(day: Column, minute_of_day: Column) -> Column:
+    """The UTC instant of a wall-clock minute in the row's ``zone``."""
+    wall = F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400 + minute_of_day.cast("bigint") * 60)
+    return F.when(F.col("zone") == "UTC", wall).otherwise(F.to_utc_timestamp(wall, F.col("zone")))
+
+
 def fire_calendar(templates: DataFrame, start: str, end: str, include_suspended: bool = False) -> DataFrame:
     """Every fire time in [start, end) of each valid template (suspended
     templates give none).  Days are exploded first and filtered, then hours,
@@ -71,28 +80,52 @@ def fire_calendar(templates: DataFrame, start: str, end: str, include_suspended:
     if not include_suspended:
         p = p.filter(~F.coalesce(F.col("suspend"), F.lit(False)))
     s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    days = p.select("template", "zone", "cron",
+    days = p.select(*KEY, "zone", "cron",
                     F.explode(F.sequence(F.date_sub(F.to_date(s), 1), F.date_add(F.to_date(e), 1))).alias("day"))
     days = (days.filter(day_matches(F.col("cron"), F.col("day")))
-                .select("template", "zone", "day", F.col("cron.day_minutes").alias("dm")))
-    mins = days.select("template", "zone", "day", F.explode("dm").alias("mod"))
-    wall = F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400 + F.col("mod").cast("bigint") * 60)
-    fire = F.when(F.col("zone") == "UTC", wall).otherwise(F.to_utc_timestamp(wall, F.col("zone")))
-    fires = mins.select("template", fire.alias("fire_ts"))
+                .select(*KEY, "zone", "day", F.col("cron.day_minutes").alias("dm")))
+    mins = days.select(*KEY, "zone", "day", F.explode("dm").alias("mod"))
+    fires = mins.select(*KEY, _instant(F.col("day"), F.col("mod")).alias("fire_ts"))
     return fires.filter((F.col("fire_ts") >= s) & (F.col("fire_ts") < e))
 
 
-def due_fire(fires: DataFrame, templates: DataFrame, now: str) -> DataFrame:
+def _stored_last(templates: DataFrame) -> Column:
+    """The last schedule time on record; NULL where the column is absent."""
+    if "last_schedule_time" in templates.columns:
+        return F.col("last_schedule_time")
+    return F.lit(None).cast("timestamp")
+
+
+def due_fire(templates: DataFrame, now: str) -> DataFrame:
     """Latest fire with last < fire <= now (last = last schedule time, else
-    creation); none when it is older than the starting deadline."""
+    creation); none when it is older than the starting deadline.  Suspended
+    and invalid templates have none.
+
+    Each template is searched backwards from ``now`` to its own last fire, in
+    its own row: today's and tomorrow's minutes, then the last matching day
+    before today (tomorrow only counts where a clock change ends a day early).
+    The search has no window, and nothing is expanded or shuffled."""
     n = F.lit(now).cast("timestamp")
-    last = (F.coalesce(F.col("last_schedule_time"), F.col("created"))
-            if "last_schedule_time" in templates.columns else F.col("created"))
-    t = templates.select("template", last.alias("last"), "starting_deadline_s")
-    f = fires.join(t, "template").filter((F.col("fire_ts") > F.col("last")) & (F.col("fire_ts") <= n))
-    g = f.groupBy("template", "starting_deadline_s").agg(F.max("fire_ts").alias("due_ts"))
-    late = (F.unix_seconds(n) - F.unix_seconds(F.col("due_ts"))) > F.col("starting_deadline_s")
-    return g.filter(~F.coalesce(late, F.lit(False))).select("template", "due_ts")
+    p = parse_templates(templates).filter(F.col("reject_reason").isNull() & ~F.coalesce(F.col("suspend"), F.lit(False)))
+    p = p.withColumn("_last", F.coalesce(_stored_last(p), F.col("created"))).filter(F.col("_last") < n)
+    p = p.withColumn("_today", F.to_date(F.from_utc_timestamp(n, F.col("zone"))))
+    yesterday = F.date_sub("_today", 1)
+    first = F.least(F.date_sub(F.to_date(F.from_utc_timestamp("_last", F.col("zone"))), 1), yesterday)
+    near = F.greatest(first, F.date_sub("_today", NEAR_DAYS))
+    matching = lambda a, b: F.array_max(F.filter(F.sequence(a, b), lambda d: day_matches(F.col("cron"), d)))
+    # Most schedules match within two months: only the others look at all days.
+    # One-row explodes: the filters below would else be pushed under these
+    # columns, and each pushed copy would search again.
+    p = p.withColumn("_day", F.explode(F.array(F.coalesce(matching(near, yesterday), matching(first, yesterday)))))
+
+    def latest(day: Column) -> Column:
+        fires = F.transform("cron.day_minutes", lambda m: _instant(day, m))
+        return F.when(day_matches(F.col("cron"), day), F.array_max(F.filter(fires, lambda x: x <= n)))
+
+    due = F.coalesce(F.greatest(latest(F.col("_today")), latest(F.date_add("_today", 1))), latest(F.col("_day")))
+    d = p.select(*KEY, "_last", "starting_deadline_s", F.explode(F.array(due)).alias("due_ts")).filter(F.col("due_ts") > F.col("_last"))
+    late = (F.unix_seconds(n) - F.unix_seconds("due_ts")) > F.col("starting_deadline_s")
+    return d.filter(~F.coalesce(late, F.lit(False))).select(*KEY, "due_ts")
 
 
 def next_fire(templates: DataFrame, now: str, lookahead_days: int = NEXT_FIRE_LOOKAHEAD_DAYS) -> DataFrame:
@@ -104,87 +137,88 @@ def next_fire(templates: DataFrame, now: str, lookahead_days: int = NEXT_FIRE_LO
     today's hours x minutes are expanded."""
     p = parse_templates(templates).filter(F.col("reject_reason").isNull())
     n = F.lit(now).cast("timestamp")
-    base = p.select("template", "zone", "cron", F.from_utc_timestamp(n, F.col("zone")).alias("local_now"))
+    base = p.select(*KEY, "zone", "cron", F.from_utc_timestamp(n, F.col("zone")).alias("local_now"))
     today = F.to_date("local_now")
 
     def scan(frame, first: int, last: int):
-        return (frame.select("template", "cron", today.alias("today"),
+        return (frame.select(*KEY, "cron", today.alias("today"),
                              F.explode(F.sequence(F.date_add(today, first), F.date_add(today, last))).alias("day"))
                      .filter(day_matches(F.col("cron"), F.col("day")))
-                     .groupBy("template")
+                     .groupBy(*KEY)
                      .agg(F.min(F.when(F.col("day") > F.col("today"), F.col("day"))).alias("next_day"),
                           F.max(F.col("day") == F.col("today")).alias("today_ok")))
 
     # Two passes: almost every schedule fires within two months, so only
     # the rare yearly / impossible ones pay for the long scan.
     near = scan(base, 0, NEAR_DAYS)
-    unresolved = base.join(near.filter(F.col("next_day").isNotNull()), "template", "left_anti")
-    far = scan(unresolved, NEAR_DAYS + 1, lookahead_days).select("template", F.col("next_day").alias("far_day"))
-    days = (base.select("template").join(near, "template", "left").join(far, "template", "left")
-                .select("template", F.coalesce("next_day", "far_day").alias("next_day"),
+    unresolved = base.join(near.filter(F.col("next_day").isNotNull()), KEY, "left_anti")
+    far = scan(unresolved, NEAR_DAYS + 1, lookahead_days).select(*KEY, F.col("next_day").alias("far_day"))
+    days = (base.select(*KEY).join(near, KEY, "left").join(far, KEY, "left")
+                .select(*KEY, F.coalesce("next_day", "far_day").alias("next_day"),
                         F.coalesce("today_ok", F.lit(False)).alias("today_ok")))
-    j = base.join(days, "template")
+    j = base.join(days, KEY)
     later = j.filter(F.col("next_day").isNotNull()).select(
-        "template", "zone", _wall_clock(F.col("next_day"), F.array_min("cron.hour"),
+        *KEY, "zone", _wall_clock(F.col("next_day"), F.array_min("cron.hour"),
                                         F.array_min("cron.minute")).alias("local_fire"))
-    td = j.filter(F.col("today_ok")).select("template", "zone", "local_now", "cron",
+    td = j.filter(F.col("today_ok")).select(*KEY, "zone", "local_now", "cron",
                                             F.explode("cron.hour").alias("h"))
-    td = td.select("template", "zone", "local_now", "h", F.explode("cron.minute").alias("m"))
-    today_fire = (td.select("template", "zone", "local_now",
+    td = td.select(*KEY, "zone", "local_now", "h", F.explode("cron.minute").alias("m"))
+    today_fire = (td.select(*KEY, "zone", "local_now",
                             _wall_clock(F.to_date("local_now"), F.col("h"), F.col("m")).alias("local_fire"))
                     .filter(F.col("local_fire") > F.col("local_now")).drop("local_now"))
     cand = later.unionByName(today_fire).select(
-        "template", F.to_utc_timestamp(F.col("local_fire"), F.col("zone")).alias("next_ts"))
-    best = cand.filter(F.col("next_ts") > n).groupBy("template").agg(F.min("next_ts").alias("next_ts"))
-    return p.select("template").join(best, "template", "left")
+        *KEY, F.to_utc_timestamp(F.col("local_fire"), F.col("zone")).alias("next_ts"))
+    best = cand.filter(F.col("next_ts") > n).groupBy(*KEY).agg(F.min("next_ts").alias("next_ts"))
+    return p.select(*KEY).join(best, KEY, "left")
 
 
 def active_runs(runs: DataFrame) -> DataFrame:
-    """Unfinished child runs (template, name)."""
-    return runs.filter(~F.col("phase").isin(*TERMINAL)).select("template", "name")
+    """Unfinished child runs (namespace, template, name)."""
+    return runs.filter(~F.col("phase").isin(*TERMINAL)).select(*KEY, "name")
 
 
 def fire_concurrency(due: DataFrame, templates: DataFrame, runs: DataFrame) -> DataFrame:
     """Allow -> run; Forbid (default) -> skip while a child is unfinished;
     Replace -> run and replace the unfinished children (their count here,
     the runs themselves in ``replaced_runs``)."""
-    n_active = active_runs(runs).groupBy("template").agg(F.count(F.lit(1)).alias("n_active"))
+    n_active = active_runs(runs).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_active"))
     pol = F.coalesce(F.nullif(F.col("concurrency_policy"), F.lit("")), F.lit("Forbid"))
-    d = (due.join(templates.select("template", pol.alias("policy")), "template")
-            .join(n_active, "template", "left").fillna(0, ["n_active"]))
+    d = (due.join(templates.select(*KEY, pol.alias("policy")), KEY)
+            .join(n_active, KEY, "left").fillna(0, ["n_active"]))
     action = F.when((F.col("n_active") == 0) | (F.col("policy") == "Allow"), "run") \
               .when(F.col("policy") == "Forbid", "skip").otherwise("run")
     replaced = F.when((F.col("policy") == "Replace") & (F.col("n_active") > 0), F.col("n_active")).otherwise(F.lit(0))
-    return d.select("template", "due_ts", "policy", "n_active", action.alias("action"),
+    return d.select(*KEY, "due_ts", "policy", "n_active", action.alias("action"),
                     replaced.cast("bigint").alias("n_replaced"))
 
 
 def replaced_runs(decisions: DataFrame, runs: DataFrame) -> DataFrame:
-    r = decisions.filter(F.col("n_replaced") > 0).select("template")
-    return active_runs(runs).join(r, "template", "left_semi")
+    r = decisions.filter(F.col("n_replaced") > 0).select(*KEY)
+    return active_runs(runs).join(r, KEY, "left_semi")
 
 
 def child_runs(decisions: DataFrame) -> DataFrame:
     """``<template>-<unix seconds>``; the same fire twice is one run."""
     ran = decisions.filter(F.col("action") == "run")
     child = F.concat(F.col("template"), F.lit("-"), F.unix_seconds("due_ts").cast("string"))
-    return ran.select("template", "due_ts", child.alias("child")).dropDuplicates(["template", "due_ts"])
+    return ran.select(*KEY, "due_ts", child.alias("child")).dropDuplicates([*KEY, "due_ts"])
 
 
 def template_status(templates: DataFrame, decisions: DataFrame, runs: DataFrame, next_fires: DataFrame) -> DataFrame:
     """Running if a child is unfinished after this pass, else Pending; last
-    schedule time; next fire.  Suspended templates only refresh the next fire."""
+    schedule time (the stored one where this pass ran nothing); next fire.
+    Suspended templates only refresh the next fire."""
     p = parse_templates(templates).filter(F.col("reject_reason").isNull())
-    n_active = active_runs(runs).groupBy("template").agg(F.count(F.lit(1)).alias("n_active"))
+    n_active = active_runs(runs).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_active"))
     susp = F.coalesce(F.col("suspend"), F.lit(False))
-    j = (p.select("template", susp.alias("suspended"))
-          .join(decisions.select("template", "due_ts", "policy", "action"), "template", "left")
-          .join(n_active, "template", "left").join(next_fires, "template", "left")
+    j = (p.select(*KEY, susp.alias("suspended"), _stored_last(p).alias("stored_ts"))
+          .join(decisions.select(*KEY, "due_ts", "policy", "action"), KEY, "left")
+          .join(n_active, KEY, "left").join(next_fires, KEY, "left")
           .fillna(0, ["n_active"]))
     ran = F.col("action") == "run"
     after = F.when(F.col("suspended"), F.lit(0)) \
              .when(ran, F.when(F.col("policy") == "Replace", F.lit(0)).otherwise(F.col("n_active")) + 1) \
              .otherwise(F.col("n_active"))
-    return j.select("template", F.when(after > 0, "Running").otherwise("Pending").alias("phase"),
+    return j.select(*KEY, F.when(after > 0, "Running").otherwise("Pending").alias("phase"),
                     after.cast("bigint").alias("n_active"),
-                    F.when(ran, F.col("due_ts")).alias("last_schedule_ts"), "next_ts")
+                    F.when(ran, F.col("due_ts")).otherwise(F.col("stored_ts")).alias("last_schedule_ts"), "next_ts")

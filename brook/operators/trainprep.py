@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brook.operators.ordering import broadcast_if_small, global_index
+from brook.operators.ordering import global_index
 from brook.operators.sequence import row_number_within
 
 # The trainer's parameter names and defaults.
@@ -44,14 +44,11 @@ def n_classes(lmap: DataFrame, override: int = NUM_LABELS) -> int:
 
 
 def encode(frame: DataFrame, lmap: DataFrame | None = None) -> DataFrame:
-    """Attach the integer label; the map is tiny after the distinct, and AQE
-    turns the join into a broadcast once it has measured that."""
+    """Attach the integer label.  The map is one row per label: AQE broadcasts
+    it once it has measured it small, and else splits a hot label's rows."""
     lmap = lmap if lmap is not None else label_map(frame)
     m = lmap.select(F.col("label").alias("_label_name"), F.col("id").cast("int").alias("_label"))
-    # A label can hold a third of the rows: a shuffle join would send it to
-    # one task.  The map is materialised (label_map persists its rows), so a
-    # count is cheap; broadcast it when that count proves it small.
-    return frame.join(broadcast_if_small(m), "_label_name")
+    return frame.join(m, "_label_name")
 
 
 def train_profile(encoded: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ VIEWS["dated_strings"] = f"""
 VIEWS["job_runs"] = """
   SELECT 'team-' || CAST(o_custkey % 3 AS VARCHAR) AS namespace,
     'job-' || CAST(o_orderkey AS VARCHAR) AS name,
-    'tmpl-' || CAST(o_custkey AS VARCHAR) AS template,
+    'tmpl-' || CAST(o_custkey // 3 AS VARCHAR) AS template,
     CAST(o_orderdate AS TIMESTAMP) AS created,
     CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Running' WHEN 'P' THEN 'Succeeded' END AS phase,
     CASE WHEN o_orderkey % 2 = 0 THEN 'Python' ELSE 'Scala' END AS type,
@@ -156,7 +156,7 @@ VIEWS["config_layers"] = """
 
 VIEWS["cron_templates"] = f"""
   SELECT 'team-' || CAST(c_custkey % 3 AS VARCHAR) AS namespace,
-    'tmpl-' || CAST(c_custkey AS VARCHAR) AS template,
+    'tmpl-' || CAST(c_custkey // 3 AS VARCHAR) AS template,
     ({_list(CRON_SAMPLES)})[CAST(c_custkey % {len(CRON_SAMPLES)} + 1 AS INTEGER)] AS schedule,
     nullif(({_list(ZONE_SAMPLES)})[CAST(c_custkey % {len(ZONE_SAMPLES)} + 1 AS INTEGER)], '') AS time_zone,
     (c_custkey % 11 = 0) AS suspend,
@@ -164,7 +164,9 @@ VIEWS["cron_templates"] = f"""
     CASE WHEN c_custkey % 4 = 0 THEN CAST(3600 AS BIGINT) END AS starting_deadline_s,
     CASE WHEN c_custkey % 6 = 0 THEN 1 END AS keep_succeeded,
     CASE WHEN c_custkey % 10 = 0 THEN 0 END AS keep_failed,
-    TIMESTAMP '2024-03-01 00:00:00' - to_hours(CAST(c_custkey % 48 AS BIGINT)) AS created
+    TIMESTAMP '2024-03-01 00:00:00' - to_hours(CAST(CASE WHEN c_custkey % 7 = 0 THEN 19200 ELSE 0 END + c_custkey % 48 AS BIGINT))
+      AS created,
+    CASE WHEN c_custkey % 13 = 0 THEN TIMESTAMP '2024-03-07 06:00:00' END AS last_schedule_time
   FROM customer"""
 
 

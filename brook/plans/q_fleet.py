@@ -190,12 +190,12 @@ def run_times(spark, sf):
 
 
 @register("history_retention", with_views("""
-  SELECT r.name, r.template, r.phase,
+  SELECT r.name, r.namespace, r.template, r.phase,
     r.rn <= CASE WHEN r.phase = 'Succeeded' THEN coalesce(t.keep_succeeded, 3) ELSE coalesce(t.keep_failed, 3) END AS keep
-  FROM (SELECT name, template, phase,
-          row_number() OVER (PARTITION BY template, phase ORDER BY created DESC, name) AS rn
+  FROM (SELECT name, namespace, template, phase,
+          row_number() OVER (PARTITION BY namespace, template, phase ORDER BY created DESC, name) AS rn
         FROM job_runs WHERE phase IN ('Succeeded', 'Failed')) r
-  LEFT JOIN cron_templates t ON t.template = r.template""", "job_runs", "cron_templates"))
+  LEFT JOIN cron_templates t ON t.namespace = r.namespace AND t.template = r.template""", "job_runs", "cron_templates"))
 def history_retention(spark, sf):
     return FL.retention(V.job_runs(spark, sf), V.cron_templates(spark, sf))
 
@@ -255,7 +255,9 @@ def config_overlay(spark, sf):
 _HOT_HISTORY = """status_hot AS (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 'run-hot' ELSE run END AS run)
                    FROM status_history)"""
 _HOT_RUNS = """runs_hot AS (SELECT * REPLACE (CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 3 = 0
-                 THEN 'tmpl-hot' ELSE template END AS template) FROM job_runs)"""
+                 THEN 'tmpl-hot' ELSE template END AS template,
+                 CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 3 = 0
+                 THEN 'team-0' ELSE namespace END AS namespace) FROM job_runs)"""
 
 
 def _hot_history(spark, sf):
@@ -295,17 +297,18 @@ def attempts_skewed(spark, sf):
 
 
 @register("history_retention_skewed", _w(["job_runs", "cron_templates"], _HOT_RUNS, """
-  SELECT r.name, r.template, r.phase,
+  SELECT r.name, r.namespace, r.template, r.phase,
     r.rn <= CASE WHEN r.phase = 'Succeeded' THEN coalesce(t.keep_succeeded, 3) ELSE coalesce(t.keep_failed, 3) END AS keep
-  FROM (SELECT name, template, phase,
-          row_number() OVER (PARTITION BY template, phase ORDER BY created DESC, name) AS rn
+  FROM (SELECT name, namespace, template, phase,
+          row_number() OVER (PARTITION BY namespace, template, phase ORDER BY created DESC, name) AS rn
         FROM runs_hot WHERE phase IN ('Succeeded', 'Failed')) r
-  LEFT JOIN cron_templates t ON t.template = r.template"""))
+  LEFT JOIN cron_templates t ON t.namespace = r.namespace AND t.template = r.template"""))
 def history_retention_skewed(spark, sf):
     """Retention when one template owns a third of all runs."""
     j = V.job_runs(spark, sf)
     k = F.regexp_extract(F.col("name"), r"(\d+)$", 1).cast("bigint")
-    j = j.withColumn("template", F.when(k % 3 == 0, F.lit("tmpl-hot")).otherwise(F.col("template")))
+    j = j.withColumns({c: F.when(k % 3 == 0, F.lit(hot)).otherwise(F.col(c))
+                       for c, hot in (("template", "tmpl-hot"), ("namespace", "team-0"))})
     return FL.retention(j, V.cron_templates(spark, sf))
 
 

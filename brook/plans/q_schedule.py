@@ -66,7 +66,7 @@ def _duck_parsed_templates() -> str:
   pt AS (SELECT *, cron_ok AND zone_ok AS valid, list_bool_or(list_transform(p_dom, lambda p: p.star)) AS dom_star,
            list_bool_or(list_transform(p_dow, lambda p: p.star)) AS dow_star,
            CASE WHEN NOT cron_ok THEN 'bad_cron' WHEN NOT zone_ok THEN 'bad_zone' END AS reject_reason FROM pt1),
-  ptv AS (SELECT template, zone, suspend, created, starting_deadline_s, concurrency_policy, {vals}, dom_star, dow_star
+  ptv AS (SELECT namespace, template, zone, suspend, created, last_schedule_time, starting_deadline_s, concurrency_policy, {vals}, dom_star, dow_star
           FROM pt WHERE valid)"""
 
 
@@ -83,54 +83,65 @@ def _duck_with(body: str, ctes: str = "") -> str:
 
 
 _CAL = f""",
-  cd AS (SELECT template, zone, v_hour, v_minute, CAST(d AS DATE) AS day FROM ptv,
+  cd AS (SELECT namespace, template, zone, v_hour, v_minute, CAST(d AS DATE) AS day FROM ptv,
            unnest(generate_series(CAST(TIMESTAMP '{CAL_START}' AS DATE) - 1, CAST(TIMESTAMP '{CAL_END}' AS DATE) + 1,
            INTERVAL 1 DAY)) AS g(d) WHERE NOT coalesce(suspend, false)),
-  cdf AS (SELECT cd.* FROM cd JOIN ptv USING (template) WHERE {_duck_day_ok('cd.day')}),
-  ch AS (SELECT template, zone, day, unnest(v_hour) AS h, v_minute FROM cdf),
-  cm AS (SELECT template, zone, day, h, unnest(v_minute) AS m FROM ch),
-  cal AS (SELECT template, timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP) + to_hours(CAST(h AS BIGINT))
+  cdf AS (SELECT cd.* FROM cd JOIN ptv USING (namespace, template) WHERE {_duck_day_ok('cd.day')}),
+  ch AS (SELECT namespace, template, zone, day, unnest(v_hour) AS h, v_minute FROM cdf),
+  cm AS (SELECT namespace, template, zone, day, h, unnest(v_minute) AS m FROM ch),
+  cal AS (SELECT namespace, template, timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP) + to_hours(CAST(h AS BIGINT))
             + to_minutes(CAST(m AS BIGINT)))) AS fire_ts FROM cm),
   fires AS (SELECT * FROM cal WHERE fire_ts >= TIMESTAMP '{CAL_START}' AND fire_ts < TIMESTAMP '{CAL_END}')"""
 
+# Every minute from each template's last fire on, expanded in full.
 _DUE = f""",
-  due AS (SELECT f.template, max(f.fire_ts) AS due_ts, any_value(t.starting_deadline_s) AS dl
-          FROM fires f JOIN ptv t USING (template)
-          WHERE f.fire_ts > t.created AND f.fire_ts <= TIMESTAMP '{NOW}' GROUP BY f.template),
-  due_ok AS (SELECT template, due_ts FROM due
+  dd AS (SELECT namespace, template, CAST(d AS DATE) AS day FROM ptv,
+           unnest(generate_series(CAST(coalesce(last_schedule_time, created) AS DATE) - 1,
+           CAST(TIMESTAMP '{NOW}' AS DATE) + 1, INTERVAL 1 DAY)) AS g(d) WHERE NOT coalesce(suspend, false)),
+  ddf AS (SELECT namespace, template, zone, day, v_hour, v_minute FROM dd JOIN ptv USING (namespace, template)
+          WHERE {_duck_day_ok('dd.day')}),
+  dh AS (SELECT namespace, template, zone, day, unnest(v_hour) AS h, v_minute FROM ddf),
+  dm AS (SELECT namespace, template, zone, day, h, unnest(v_minute) AS m FROM dh),
+  df AS (SELECT namespace, template, timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP)
+           + to_hours(CAST(h AS BIGINT)) + to_minutes(CAST(m AS BIGINT)))) AS fire_ts FROM dm),
+  due AS (SELECT namespace, template, max(f.fire_ts) AS due_ts, any_value(t.starting_deadline_s) AS dl
+          FROM df f JOIN ptv t USING (namespace, template)
+          WHERE f.fire_ts > coalesce(t.last_schedule_time, t.created) AND f.fire_ts <= TIMESTAMP '{NOW}'
+          GROUP BY namespace, template),
+  due_ok AS (SELECT namespace, template, due_ts FROM due
              WHERE NOT coalesce(epoch(TIMESTAMP '{NOW}') - epoch(due_ts) > dl, false))"""
 
 _DECIDE = """,
-  act AS (SELECT template, count(*) AS n_active FROM job_runs WHERE phase NOT IN ('Succeeded', 'Failed') GROUP BY 1),
-  dec AS (SELECT d.template, d.due_ts, coalesce(nullif(t.concurrency_policy, ''), 'Forbid') AS policy,
-            coalesce(a.n_active, 0) AS n_active FROM due_ok d JOIN cron_templates t USING (template)
-            LEFT JOIN act a USING (template)),
+  act AS (SELECT namespace, template, count(*) AS n_active FROM job_runs WHERE phase NOT IN ('Succeeded', 'Failed') GROUP BY 1, 2),
+  dec AS (SELECT d.namespace, d.template, d.due_ts, coalesce(nullif(t.concurrency_policy, ''), 'Forbid') AS policy,
+            coalesce(a.n_active, 0) AS n_active FROM due_ok d JOIN cron_templates t USING (namespace, template)
+            LEFT JOIN act a USING (namespace, template)),
   decision AS (SELECT *, CASE WHEN n_active = 0 OR policy = 'Allow' THEN 'run' WHEN policy = 'Forbid' THEN 'skip'
                  ELSE 'run' END AS action,
                CAST(CASE WHEN policy = 'Replace' AND n_active > 0 THEN n_active ELSE 0 END AS BIGINT) AS n_replaced
                FROM dec)"""
 
 _NEXT = f""",
-  nb AS (SELECT template, zone, v_hour, v_minute, timezone(zone, TIMESTAMPTZ '{NOW}+00') AS local_now FROM ptv),
+  nb AS (SELECT namespace, template, zone, v_hour, v_minute, timezone(zone, TIMESTAMPTZ '{NOW}+00') AS local_now FROM ptv),
   nd AS (SELECT nb.*, CAST(d AS DATE) AS day FROM nb,
-           unnest(generate_series(CAST(local_now AS DATE), CAST(local_now AS DATE) + {S.NEXT_FIRE_LOOKAHEAD_DAYS},
+           unnest(generate_series(CAST(local_now AS DATE), CAST(local_now AS DATE) + 3300,
            INTERVAL 1 DAY)) AS g(d)),
-  ndf AS (SELECT nd.* FROM nd JOIN ptv USING (template) WHERE {_duck_day_ok('nd.day')}),
-  later AS (SELECT template, any_value(zone) AS zone, min(day) AS day, any_value(v_hour) AS v_hour,
-              any_value(v_minute) AS v_minute FROM ndf WHERE day > CAST(local_now AS DATE) GROUP BY template),
-  cand AS (SELECT template, zone, CAST(day AS TIMESTAMP) + to_hours(CAST(list_min(v_hour) AS BIGINT))
+  ndf AS (SELECT nd.* FROM nd JOIN ptv USING (namespace, template) WHERE {_duck_day_ok('nd.day')}),
+  later AS (SELECT namespace, template, any_value(zone) AS zone, min(day) AS day, any_value(v_hour) AS v_hour,
+              any_value(v_minute) AS v_minute FROM ndf WHERE day > CAST(local_now AS DATE) GROUP BY namespace, template),
+  cand AS (SELECT namespace, template, zone, CAST(day AS TIMESTAMP) + to_hours(CAST(list_min(v_hour) AS BIGINT))
              + to_minutes(CAST(list_min(v_minute) AS BIGINT)) AS lf FROM later
            UNION ALL
-           SELECT template, zone, lf FROM (
-             SELECT template, zone, local_now, CAST(day AS TIMESTAMP) + to_hours(CAST(h AS BIGINT))
+           SELECT namespace, template, zone, lf FROM (
+             SELECT namespace, template, zone, local_now, CAST(day AS TIMESTAMP) + to_hours(CAST(h AS BIGINT))
                + to_minutes(CAST(m AS BIGINT)) AS lf
-             FROM (SELECT template, zone, local_now, day, h, unnest(v_minute) AS m
-                   FROM (SELECT template, zone, local_now, day, unnest(v_hour) AS h, v_minute FROM ndf
+             FROM (SELECT namespace, template, zone, local_now, day, h, unnest(v_minute) AS m
+                   FROM (SELECT namespace, template, zone, local_now, day, unnest(v_hour) AS h, v_minute FROM ndf
                          WHERE day = CAST(local_now AS DATE))))
            WHERE lf > local_now),
-  nxt AS (SELECT p.template, min(timezone('UTC', timezone(c.zone, c.lf))) AS next_ts FROM ptv p
-          LEFT JOIN cand c ON c.template = p.template
-           AND timezone('UTC', timezone(c.zone, c.lf)) > TIMESTAMP '{NOW}' GROUP BY p.template)"""
+  nxt AS (SELECT p.namespace, p.template, min(timezone('UTC', timezone(c.zone, c.lf))) AS next_ts FROM ptv p
+          LEFT JOIN cand c ON c.namespace = p.namespace AND c.template = p.template
+           AND timezone('UTC', timezone(c.zone, c.lf)) > TIMESTAMP '{NOW}' GROUP BY p.namespace, p.template)"""
 
 
 def _fmt(c):
@@ -142,34 +153,33 @@ def _templates(spark, sf):
 
 
 @register("schedule_rejects", _duck_with("""
-  SELECT template, schedule, time_zone, reject_reason FROM pt WHERE reject_reason IS NOT NULL"""))
+  SELECT namespace, template, schedule, time_zone, reject_reason FROM pt WHERE reject_reason IS NOT NULL"""))
 def schedule_rejects(spark, sf):
     return S.schedule_rejects(_templates(spark, sf))
 
 
 @register("fire_calendar", _duck_with(f"""
-  SELECT template, strftime(fire_ts, '{DUCK_TS}') AS fire_ts FROM fires""", _CAL))
+  SELECT namespace, template, strftime(fire_ts, '{DUCK_TS}') AS fire_ts FROM fires""", _CAL))
 def fire_calendar(spark, sf):
     f = S.fire_calendar(_templates(spark, sf), CAL_START, CAL_END)
-    return f.select("template", _fmt("fire_ts").alias("fire_ts"))
+    return f.select(*S.KEY, _fmt("fire_ts").alias("fire_ts"))
 
 
 def _due(spark, sf):
-    t = _templates(spark, sf)
-    return S.due_fire(S.fire_calendar(t, CAL_START, CAL_END), t, NOW)
+    return S.due_fire(_templates(spark, sf), NOW)
 
 
 @register("due_fire", _duck_with(f"""
-  SELECT template, strftime(due_ts, '{DUCK_TS}') AS due_ts FROM due_ok""", _CAL + _DUE))
+  SELECT namespace, template, strftime(due_ts, '{DUCK_TS}') AS due_ts FROM due_ok""", _DUE))
 def due_fire(spark, sf):
-    return _due(spark, sf).select("template", _fmt("due_ts").alias("due_ts"))
+    return _due(spark, sf).select(*S.KEY, _fmt("due_ts").alias("due_ts"))
 
 
 @register("next_fire", _duck_with(f"""
-  SELECT template, strftime(next_ts, '{DUCK_TS}') AS next_ts FROM nxt""", _NEXT))
+  SELECT namespace, template, strftime(next_ts, '{DUCK_TS}') AS next_ts FROM nxt""", _NEXT))
 def next_fire(spark, sf):
     n = S.next_fire(_templates(spark, sf), NOW)
-    return n.select("template", _fmt("next_ts").alias("next_ts"))
+    return n.select(*S.KEY, _fmt("next_ts").alias("next_ts"))
 
 
 def _decisions(spark, sf):
@@ -177,49 +187,49 @@ def _decisions(spark, sf):
 
 
 @register("fire_concurrency", _duck_with(f"""
-  SELECT template, strftime(due_ts, '{DUCK_TS}') AS due_ts, policy, n_active, action, n_replaced FROM decision""",
-  _CAL + _DUE + _DECIDE))
+  SELECT namespace, template, strftime(due_ts, '{DUCK_TS}') AS due_ts, policy, n_active, action, n_replaced FROM decision""",
+  _DUE + _DECIDE))
 def fire_concurrency(spark, sf):
     d = _decisions(spark, sf)
-    return d.select("template", _fmt("due_ts").alias("due_ts"), "policy", "n_active", "action", "n_replaced")
+    return d.select(*S.KEY, _fmt("due_ts").alias("due_ts"), "policy", "n_active", "action", "n_replaced")
 
 
 @register("replaced_runs", _duck_with("""
-  SELECT j.template, j.name FROM job_runs j
-  WHERE j.phase NOT IN ('Succeeded', 'Failed') AND j.template IN (SELECT template FROM decision WHERE n_replaced > 0)""",
-  _CAL + _DUE + _DECIDE))
+  SELECT j.namespace, j.template, j.name FROM job_runs j
+  WHERE j.phase NOT IN ('Succeeded', 'Failed') AND (j.namespace, j.template) IN (SELECT (namespace, template) FROM decision WHERE n_replaced > 0)""",
+  _DUE + _DECIDE))
 def replaced_runs(spark, sf):
     return S.replaced_runs(_decisions(spark, sf), V.job_runs(spark, sf))
 
 
 @register("child_runs", _duck_with(f"""
-  SELECT DISTINCT template, strftime(due_ts, '{DUCK_TS}') AS due_ts,
+  SELECT DISTINCT namespace, template, strftime(due_ts, '{DUCK_TS}') AS due_ts,
     template || '-' || CAST(CAST(epoch(due_ts) AS BIGINT) AS VARCHAR) AS child
-  FROM decision WHERE action = 'run'""", _CAL + _DUE + _DECIDE))
+  FROM decision WHERE action = 'run'""", _DUE + _DECIDE))
 def child_runs(spark, sf):
     c = S.child_runs(_decisions(spark, sf))
-    return c.select("template", _fmt("due_ts").alias("due_ts"), "child")
+    return c.select(*S.KEY, _fmt("due_ts").alias("due_ts"), "child")
 
 
 @register("active_runs", with_views("""
-  SELECT template, name FROM job_runs WHERE phase NOT IN ('Succeeded', 'Failed')""", "job_runs"))
+  SELECT namespace, template, name FROM job_runs WHERE phase NOT IN ('Succeeded', 'Failed')""", "job_runs"))
 def active_runs(spark, sf):
     return S.active_runs(V.job_runs(spark, sf))
 
 
 @register("template_status", _duck_with(f"""
-  SELECT p.template,
+  SELECT p.namespace, p.template,
     CASE WHEN after > 0 THEN 'Running' ELSE 'Pending' END AS phase, CAST(after AS BIGINT) AS n_active,
-    strftime(CASE WHEN action = 'run' THEN due_ts END, '{DUCK_TS}') AS last_schedule_ts,
+    strftime(CASE WHEN action = 'run' THEN due_ts ELSE last_schedule_time END, '{DUCK_TS}') AS last_schedule_ts,
     strftime(next_ts, '{DUCK_TS}') AS next_ts
-  FROM (SELECT p.template, d.action, d.due_ts, x.next_ts,
+  FROM (SELECT p.namespace, p.template, p.last_schedule_time, d.action, d.due_ts, x.next_ts,
           CASE WHEN coalesce(p.suspend, false) THEN 0
             WHEN d.action = 'run' THEN CASE WHEN d.policy = 'Replace' THEN 0 ELSE coalesce(a.n_active, 0) END + 1
             ELSE coalesce(a.n_active, 0) END AS after
-        FROM ptv p LEFT JOIN decision d USING (template) LEFT JOIN act a USING (template)
-        LEFT JOIN nxt x USING (template)) p""", _CAL + _DUE + _DECIDE + _NEXT))
+        FROM ptv p LEFT JOIN decision d USING (namespace, template) LEFT JOIN act a USING (namespace, template)
+        LEFT JOIN nxt x USING (namespace, template)) p""", _DUE + _DECIDE + _NEXT))
 def template_status(spark, sf):
     t = _templates(spark, sf)
     s = S.template_status(t, _decisions(spark, sf), V.job_runs(spark, sf), S.next_fire(t, NOW))
-    return s.select("template", "phase", "n_active", _fmt("last_schedule_ts").alias("last_schedule_ts"),
+    return s.select(*S.KEY, "phase", "n_active", _fmt("last_schedule_ts").alias("last_schedule_ts"),
                     _fmt("next_ts").alias("next_ts"))

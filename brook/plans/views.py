@@ -178,7 +178,7 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.concat(F.lit("team-"), _s(c % 3)).alias("namespace"),
         F.concat(F.lit("job-"), _s(k)).alias("name"),
-        F.concat(F.lit("tmpl-"), _s(c)).alias("template"),
+        F.concat(F.lit("tmpl-"), _s(F.floor(c / 3))).alias("template"),
         created.alias("created"),
         phase.alias("phase"),
         F.when(k % 2 == 0, "Python").otherwise("Scala").alias("type"),
@@ -334,14 +334,15 @@ def config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------- cron templates
 def cron_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scheduled template per customer."""
+    """One scheduled template per customer; names repeat across namespaces,
+    some templates are years old, some have a last fire on record."""
     cu = table(spark, sf_dir, "customer").select("c_custkey")
     c = F.col("c_custkey")
     sched = F.element_at(F.array(*[F.lit(s) for s in CRON_SAMPLES]), (c % len(CRON_SAMPLES) + 1).cast("int"))
     zone = F.element_at(F.array(*[F.lit(z) for z in ZONE_SAMPLES]), (c % len(ZONE_SAMPLES) + 1).cast("int"))
     return cu.select(
         F.concat(F.lit("team-"), _s(c % 3)).alias("namespace"),
-        F.concat(F.lit("tmpl-"), _s(c)).alias("template"),
+        F.concat(F.lit("tmpl-"), _s(F.floor(c / 3))).alias("template"),
         sched.alias("schedule"),
         F.nullif(zone, F.lit("")).alias("time_zone"),
         (c % 11 == 0).alias("suspend"),
@@ -351,7 +352,8 @@ def cron_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c % 6 == 0, F.lit(1)).alias("keep_succeeded"),
         F.when(c % 10 == 0, F.lit(0)).alias("keep_failed"),
         (F.lit("2024-03-01 00:00:00").cast("timestamp")
-         - F.make_interval(hours=(c % 48).cast("int"))).alias("created"),
+         - F.make_interval(hours=(F.when(c % 7 == 0, 24 * 800).otherwise(0) + c % 48).cast("int"))).alias("created"),
+        F.when(c % 13 == 0, F.lit("2024-03-07 06:00:00").cast("timestamp")).alias("last_schedule_time"),
     )
 
 

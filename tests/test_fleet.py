@@ -79,9 +79,14 @@ def test_retention_keeps_newest(spark):
     runs = spark.createDataFrame(
         [(f"j{i}", "t", "Succeeded" if i % 2 else "Failed", datetime(2024, 1, 1, i)) for i in range(12)]
         + [("live", "t", "Running", datetime(2024, 1, 2))],
-        "name string, template string, phase string, created timestamp")
-    tmpl = spark.createDataFrame([("t", 1, None)], "template string, keep_succeeded int, keep_failed int")
-    got = {r.name: r.keep for r in FL.retention(runs, tmpl).collect()}
+        "name string, template string, phase string, created timestamp").withColumn("namespace", F.lit("a"))
+    tmpl = spark.createDataFrame([("a", "t", 1, None), ("b", "t", 0, 2)],
+                                 "namespace string, template string, keep_succeeded int, keep_failed int")
+    # The same names in another namespace, under other limits.
+    rows = FL.retention(runs.union(runs.withColumn("namespace", F.lit("b"))), tmpl).collect()
+    assert {r.name for r in rows if r.namespace == "b" and r.keep} == {"j10", "j8"}
+    assert len(rows) == 24
+    got = {r.name: r.keep for r in rows if r.namespace == "a"}
     assert "live" not in got
     assert {n for n, k in got.items() if k} == {"j11", "j10", "j8", "j6"}
 

@@ -10,7 +10,7 @@ SCHEMA = ("template string, schedule string, time_zone string, suspend boolean,
 
 
 def templates(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).withColumn("namespace", F.lit("ns"))
 
 
 def fires(spark, rows, start="2024-03-01 00:00:00", end="2024-03-08 00:00:00"):
@@ -52,8 +52,8 @@ def test_due_fire_cases(spark):
             ("every10", "* * * * *", None, False, "", None, NOW - timedelta(minutes=10)),
             ("yearly", "0 0 1 1 *", None, False, "", None, NOW),
             ("late", "0 0 * * *", None, False, "", 60, NOW - timedelta(days=2))]
-    t, f = fires(spark, rows, "2024-03-01 00:00:00", "2024-03-08 00:00:00")
-    due = {r.template: r.due_ts for r in S.due_fire(f, t, NOW.isoformat(sep=" ")).collect()}
+    t = templates(spark, rows)
+    due = {r.template: r.due_ts for r in S.due_fire(t, NOW.isoformat(sep=" ")).collect()}
     assert due == {"every5": datetime(2024, 3, 7, 12, 0), "every10": datetime(2024, 3, 7, 12, 0)}
 
 
@@ -67,9 +67,9 @@ def test_next_fire(spark):
 def test_concurrency_and_children(spark):
     t = templates(spark, [("a", "* * * * *", None, False, "Allow", None, NOW), ("f", "* * * * *", None, False, "", None, NOW),
                           ("r", "* * * * *", None, False, "Replace", None, NOW)])
-    due = spark.createDataFrame([(x, datetime(2024, 3, 7, 12)) for x in "afr"], "template string, due_ts timestamp")
+    due = spark.createDataFrame([(x, datetime(2024, 3, 7, 12)) for x in "afr"], "template string, due_ts timestamp").withColumn("namespace", F.lit("ns"))
     runs = spark.createDataFrame([("a", "a-1", "Running"), ("f", "f-1", "Pending"), ("r", "r-1", "Running"),
-                                  ("r", "r-0", "Succeeded")], "template string, name string, phase string")
+                                  ("r", "r-0", "Succeeded")], "template string, name string, phase string").withColumn("namespace", F.lit("ns"))
     d = {r.template: (r.action, r.n_replaced) for r in S.fire_concurrency(due, t, runs).collect()}
     assert d == {"a": ("run", 0), "f": ("skip", 0), "r": ("run", 1)}
     dec = S.fire_concurrency(due.unionByName(due), t, runs)
@@ -92,3 +92,35 @@ def test_dst_transitions_follow_java_time(spark):
     days = sorted(r.fire_ts for r in f2.collect())
     # the repeated 01:30 fires once, at the earlier offset (EDT, 05:30 UTC)
     assert datetime(2024, 11, 3, 5, 30) in days and datetime(2024, 11, 3, 6, 30) not in days
+
+
+def test_due_fire_has_no_window(spark):
+    t = templates(spark, [("monthly", "0 0 1 * *", None, False, "", None, datetime(2024, 1, 15)),
+                          ("leap", "0 6 29 2 *", None, False, "", None, datetime(2016, 2, 28)),
+                          ("never", "0 0 31 2 *", None, False, "", None, datetime(2016, 2, 28)),
+                          ("gap", "30 2 * * *", "America/New_York", False, "", None, datetime(2024, 3, 9, 12))])
+    due = lambda now: {r.template: r.due_ts for r in S.due_fire(t, now).collect()}
+    assert due("2024-02-28 00:00:00") == {"monthly": datetime(2024, 2, 1), "leap": datetime(2020, 2, 29, 6)}
+    # The skipped 02:30 of 10 March fires at 07:30 UTC.
+    assert "gap" not in due("2024-03-10 07:29:00")
+    assert due("2024-03-10 07:30:00")["gap"] == datetime(2024, 3, 10, 7, 30)
+
+
+def test_next_fire_across_2100(spark):
+    t = templates(spark, [("leap", "0 6 29 2 *", None, False, "", None, NOW)])
+    assert [r.next_ts for r in S.next_fire(t, "2096-03-01 00:00:00").collect()] == [datetime(2104, 2, 29, 6)]
+
+
+def test_names_repeat_across_namespaces(spark):
+    rows = [("a", "x", "* * * * *", None, False, "Forbid", None, datetime(2024, 3, 1), None),
+            ("b", "x", "0 * * * *", None, False, "Replace", None, datetime(2024, 3, 1), datetime(2024, 3, 7, 12))]
+    t = spark.createDataFrame(rows, "namespace string, " + SCHEMA + ", last_schedule_time timestamp")
+    now = NOW.isoformat(sep=" ")
+    due = S.due_fire(t, now)
+    assert [(r.namespace, r.due_ts) for r in due.collect()] == [("a", datetime(2024, 3, 7, 12))]
+    runs = spark.createDataFrame([("b", "x", "x-1", "Running")], "namespace string, template string, name string, phase string")
+    dec = S.fire_concurrency(due, t, runs)
+    assert [(r.namespace, r.action, r.n_active) for r in dec.collect()] == [("a", "run", 0)]
+    got = {r.namespace: (r.phase, r.last_schedule_ts) for r in S.template_status(t, dec, runs, S.next_fire(t, now)).collect()}
+    # Nothing ran in b: its last fire on record stays.
+    assert got == {"a": ("Running", datetime(2024, 3, 7, 12)), "b": ("Running", datetime(2024, 3, 7, 12))}
