@@ -131,6 +131,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<entry><title>Entry "), sp, F.lit(" b</title><link href=\""), _x(url),
         F.lit("?b=1\"/><published>"), iso_off, F.lit("</published><content type=\"html\">&lt;p&gt;Body "),
         sp, F.lit("&lt;/p&gt;</content></entry></feed>"))
+    # Every other Atom payload writes its tags with a prefix.
+    atom = F.when(pid % 4 == 1, F.regexp_replace(atom, "<(/?)([a-z])", "<$1atom:$2")).otherwise(atom)
     rdf = F.concat(
         F.lit(RDF_HEAD), sp, F.lit("</title></channel>"),
         F.lit("<item><title>Rdf "), sp, F.lit("</title><link>"), _x(url),

@@ -34,6 +34,10 @@ _ITEM = ("STRUCT<title: ARRAY<STRING>, link: ARRAY<STRUCT<_href: STRING, _VALUE:
 # at the root next to its channel.
 FEED_SCHEMA = f"channel STRUCT<item: ARRAY<{_ITEM}>>, entry ARRAY<{_ITEM}>, item ARRAY<{_ITEM}>"
 
+# A tag's namespace prefix; CDATA sections and comments are matched whole, so
+# that nothing inside them is taken for a tag.
+_PREFIX = r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->)|(</?)[A-Za-z_][\w.-]*:"
+
 RAW_OUT = ARTICLE_FIELDS + ["_source", "_scraped_at"]
 
 
@@ -61,10 +65,11 @@ def feed_xml_explode(payloads: DataFrame) -> DataFrame:
     first of description / summary / content; date the first of pubDate /
     published / updated; category term else text, first; id guid / id, else
     the stable id of (link, title).  Items with neither title nor link are
-    dropped.  Source defaults to the url.
+    dropped.  Source defaults to the url.  Tags count by their local name:
+    ``atom:entry`` is an entry, ``media:title`` a title.
     """
     item_t = f"ARRAY<{_ITEM}>"
-    x = F.from_xml(F.col("body"), FEED_SCHEMA)
+    x = F.from_xml(F.regexp_replace("body", _PREFIX, "$1$2"), FEED_SCHEMA)
     items = F.concat(F.coalesce(x["channel"]["item"], F.array().cast(item_t)),
                      F.coalesce(x["entry"], F.array().cast(item_t)),
                      F.coalesce(x["item"], F.array().cast(item_t)))

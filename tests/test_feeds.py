@@ -94,3 +94,15 @@ def test_declared_encoding_counts():
     assert FD.decode_body(text.encode("latin-1")) == text
     assert FD.decode_body("\ufeffplain \u00e9".encode()) == "plain \u00e9"
     assert FD.decode_body(b'<?xml encoding="no-such"?>\xff') == '<?xml encoding="no-such"?>\ufffd'
+
+
+def test_prefixed_tags(spark):
+    atom = ATOM.replace("</", "</atom:").replace("<e", "<atom:e").replace("<f", "<atom:f").replace("<l", "<atom:l") \
+        .replace("<t", "<atom:t").replace("<i", "<atom:i").replace("<u", "<atom:u").replace("<c", "<atom:c")
+    rss = ("<rss><channel><item><title>A</title><media:title>M</media:title><link>http://x</link>"
+           "<itunes:summary><![CDATA[see <x:y> <b>]]></itunes:summary></item></channel></rss>")
+    rows = {r._source: r for r in FD.feed_xml_explode(payloads(spark, [("u", "xml", "a", atom), ("u", "xml", "r", rss)])).collect()}
+    e = rows["a"]
+    assert (e.title, e.link, e.id, e.published_at, e.category) == ("E", "http://alt", "urn:1", "2026-06-05T21:00:00Z", "tech")
+    r = rows["r"]
+    assert (r.title, r.link, r.summary) == ("M", "http://x", "see <x:y> <b>")  # the last title wins, whatever its prefix
