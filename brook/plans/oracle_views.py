@@ -113,8 +113,14 @@ VIEWS["training_runs"] = """
     'job-' || CAST(o_orderkey AS VARCHAR) AS name,
     CAST(o_orderkey % 4 + 1 AS INTEGER) AS world_size,
     CAST(o_orderkey % 3 AS INTEGER) AS max_retries,
-    CAST(o_orderkey % 2 AS INTEGER) AS resumes
-  FROM orders"""
+    CAST(o_orderkey % 2 AS INTEGER) AS resumes,
+    CASE WHEN o_orderkey % 5 = 0 THEN '1.25' WHEN o_orderkey % 5 = 1 THEN '' ELSE '0.40' END AS cost_per_hour,
+    CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 90 AS BIGINT)) END
+      AS start_time,
+    CASE WHEN o_orderkey % 6 <> 0 AND o_orderstatus IN ('F', 'P') THEN CAST(o_orderdate AS TIMESTAMP)
+      + to_minutes(CAST(o_orderkey % 90 AS BIGINT)) + to_minutes(CAST(trunc(o_totalprice) AS BIGINT) % 300) END
+      AS completion_time
+  FROM orders WHERE o_orderkey % 7 <> 5"""
 
 VIEWS["status_history"] = """
   SELECT event_id, user_id, 'run-' || CAST(user_id AS VARCHAR) AS run, CAST(ts AS TIMESTAMP) AS ts,

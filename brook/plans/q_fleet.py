@@ -93,21 +93,26 @@ def run_cost(spark, sf):
     CAST(round(sum(CAST(training_cost AS DECIMAL(18,4))), 2) AS DOUBLE) AS training_cost,
     CAST(round(sum(CAST(job_cost AS DECIMAL(18,4))) + sum(CAST(training_cost AS DECIMAL(18,4))), 2) AS DOUBLE)
       AS total_cost
-  FROM (SELECT rx.namespace, {_cost_sql('1 + running')} AS job_cost, {_cost_sql('t.world_size')} AS training_cost
-        FROM rx JOIN training_runs t ON t.name = rx.name) GROUP BY 1"""))
+  FROM (SELECT namespace, {_cost_sql('1 + running')} AS job_cost, 0.0 AS training_cost FROM rx
+        UNION ALL
+        SELECT namespace, 0.0, {_cost_sql('world_size')} FROM training_runs) GROUP BY 1"""))
 def fleet_cost(spark, sf):
-    r = _runs_with_executors(spark, sf).join(V.training_runs(spark, sf).select("name", "world_size"), "name")
+    """Cost of all job runs and all training runs, paired or not."""
     as_of = F.lit(V.AS_OF).cast("timestamp")
-    rate = FL.rate_per_hour("cost_per_hour")
-    job = FL.cost_usd(F.col("start_time"), F.col("completion_time"), 1 + F.col("running"), rate, as_of)
-    tr = FL.cost_usd(F.col("start_time"), F.col("completion_time"), F.col("world_size"), rate, as_of)
+
     # Sum in exact decimals (per-run costs carry 4 digits), so the rounded
     # totals do not depend on the order the partial sums are added in.
-    dec = "decimal(18,4)"
-    return (r.groupBy("namespace").agg(F.sum(job.cast(dec)).alias("j"), F.sum(tr.cast(dec)).alias("t"))
-             .select("namespace", F.round("j", 2).cast("double").alias("job_cost"),
-                     F.round("t", 2).cast("double").alias("training_cost"),
-                     F.round(F.col("j") + F.col("t"), 2).cast("double").alias("total_cost")))
+    def costs(runs, pods, job: bool):
+        cost = FL.cost_usd(F.col("start_time"), F.col("completion_time"), pods, FL.rate_per_hour("cost_per_hour"), as_of)
+        cost, none = cost.cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)")
+        return runs.select("namespace", (cost if job else none).alias("j"), (none if job else cost).alias("t"))
+
+    both = costs(_runs_with_executors(spark, sf), 1 + F.col("running"), True).union(
+        costs(V.training_runs(spark, sf), F.col("world_size"), False))
+    return (both.groupBy("namespace").agg(F.sum("j").alias("j"), F.sum("t").alias("t"))
+                .select("namespace", F.round("j", 2).cast("double").alias("job_cost"),
+                        F.round("t", 2).cast("double").alias("training_cost"),
+                        F.round(F.col("j") + F.col("t"), 2).cast("double").alias("total_cost")))
 
 
 _JOB_STATUS_SQL = f"""

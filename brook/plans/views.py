@@ -249,14 +249,21 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ training runs
 def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    """One training run per order, but for every seventh; own times and rate."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").filter(k % 7 != 5)
+    start = F.col("o_orderdate").cast("timestamp") + F.make_interval(mins=(k % 90).cast("int"))
+    end = F.when(F.col("o_orderstatus").isin("F", "P"),
+                 start + F.make_interval(mins=(F.col("o_totalprice").cast("bigint") % 300).cast("int")))
     return o.select(
         F.concat(F.lit("team-"), _s(c % 3)).alias("namespace"),
         F.concat(F.lit("job-"), _s(k)).alias("name"),
         ((k % 4) + 1).cast("int").alias("world_size"),
         (k % 3).cast("int").alias("max_retries"),
         (k % 2).cast("int").alias("resumes"),
+        F.when(k % 5 == 0, "1.25").when(k % 5 == 1, "").otherwise("0.40").alias("cost_per_hour"),
+        F.when(k % 6 != 0, start).alias("start_time"),
+        F.when(k % 6 != 0, end).alias("completion_time"),
     )
 
 
