@@ -51,7 +51,8 @@ def _report(df: DataFrame, rules: list[Column], extra: Column | None = None) ->
 def spec_report(specs: DataFrame) -> DataFrame:
     """Job spec rules (errors block a spec, warnings do not)."""
     d = join_parsed_cron(specs, "schedule", "_cron")
-    has_sched = F.trim(F.coalesce(F.col("schedule"), F.lit(""))) != ""
+    # A schedule of blanks is a bad expression, not a missing one.
+    has_sched = F.coalesce(F.col("schedule"), F.lit("")) != ""
     zone = F.coalesce(F.col("time_zone"), F.lit(""))
     ex, lo, hi = F.col("executors"), F.col("min_executors"), F.col("max_executors")
     rules = [

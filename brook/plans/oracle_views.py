@@ -179,7 +179,8 @@ VIEWS["cron_templates"] = f"""
 VIEWS["job_specs"] = f"""
   SELECT * REPLACE (CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 170 = 10 THEN 'Sometimes'
                          ELSE concurrency_policy END AS concurrency_policy),
-    CASE WHEN k % 10 = 0 THEN ({_list(CRON_SAMPLES)})[CAST((k // 10) % {len(CRON_SAMPLES)} + 1 AS INTEGER)] END AS schedule,
+    CASE WHEN k % 10 = 0 THEN ({_list(CRON_SAMPLES)})[CAST((k // 10) % {len(CRON_SAMPLES)} + 1 AS INTEGER)]
+         WHEN k % 43 = 2 THEN '  ' END AS schedule,
     CASE WHEN k % 10 = 0 THEN nullif(({_list(ZONE_SAMPLES)})[CAST((k // 10) % {len(ZONE_SAMPLES)} + 1 AS INTEGER)], '')
          WHEN k % 41 = 1 THEN 'UTC' END AS time_zone,
     CAST(CASE WHEN k % 19 = 0 THEN -5 WHEN k % 19 = 1 THEN 60 END AS BIGINT) AS starting_deadline_s,

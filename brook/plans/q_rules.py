@@ -37,7 +37,7 @@ def _bad_rate(c: str) -> str:
     return f"(coalesce({c}, '') <> '' AND (TRY_CAST({c} AS DOUBLE) IS NULL OR TRY_CAST({c} AS DOUBLE) < 0))"
 
 
-_HAS = "trim(coalesce(schedule, '')) <> ''"
+_HAS = "coalesce(schedule, '') <> ''"
 _CPU = ("CAST(ceil(CAST(regexp_extract(exec_cpu, '^\\s*([+-]?[0-9]+(?:\\.[0-9]*)?|[+-]?\\.[0-9]+)([a-zA-Z]*)\\s*$', 1) "
         "AS DECIMAL(38,9)) * CASE regexp_extract(exec_cpu, '^\\s*([+-]?[0-9]+(?:\\.[0-9]*)?|[+-]?\\.[0-9]+)([a-zA-Z]*)\\s*$', 2) "
         "WHEN '' THEN 1 WHEN 'm' THEN 0.001 WHEN 'k' THEN 1000 END * 1000) AS BIGINT)")

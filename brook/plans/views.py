@@ -381,7 +381,7 @@ def job_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sched = F.element_at(F.array(*[F.lit(x) for x in CRON_SAMPLES]), ((k / 10).cast("bigint") % len(CRON_SAMPLES) + 1).cast("int"))
     zone = F.element_at(F.array(*[F.lit(z) for z in ZONE_SAMPLES]), ((k / 10).cast("bigint") % len(ZONE_SAMPLES) + 1).cast("int"))
     return j.withColumns({
-        "schedule": F.when(k % 10 == 0, sched),
+        "schedule": F.when(k % 10 == 0, sched).when(k % 43 == 2, F.lit("  ")),
         "time_zone": F.when(k % 10 == 0, F.nullif(zone, F.lit(""))).when(k % 41 == 1, F.lit("UTC")),
         "concurrency_policy": F.when(k % 170 == 10, F.lit("Sometimes")).otherwise(F.col("concurrency_policy")),
         "starting_deadline_s": F.when(k % 19 == 0, F.lit(-5)).when(k % 19 == 1, F.lit(60)).cast("bigint"),
