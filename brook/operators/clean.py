@@ -68,7 +68,3 @@ def split(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = cleaned.filter(F.col(REASON_COL).isNull()).drop(REASON_COL)
     bad = cleaned.filter(F.col(REASON_COL).isNotNull())
     return good, bad
-
-
-def transform(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split(clean(raw))

@@ -11,8 +11,8 @@ import hashlib
 import sys
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from brook.operators import clean as C
 from brook.operators import quality as Q
@@ -26,23 +26,21 @@ def run_elt(spark: SparkSession, dest_path: str, source_path: str | None = None,
             max_reject_pct: float = Q.MAX_REJECT_PCT, gate: bool = True) -> dict:
     """Raw landing CSV -> curated Parquet + quarantine, audit and gate.
 
-    The cleaned frame is persisted (memory, spilling to disk) so the scan and
-    parse run once for both outputs; counts come from observations on the
-    writes, not from extra count jobs.  ``run`` names the run's folder in the
+    Nothing is persisted: the input is read once for the curated write, which
+    also counts all rows and the good ones (an observation below the filter),
+    and a second time only if there are rejects to write.  ``run`` names the run's folder in the
     stores; by default the logical date, or a hash of an explicit source path.
     """
     path = L.dated_path(source_base, date, source_path)
     if run is None:
         today = datetime.now(timezone.utc).strftime("%Y-%m-%d")
         run = date or ("path-" + hashlib.sha1(path.encode()).hexdigest()[:12] if source_path else today)
-    cleaned = C.clean(L.raw_scan(spark, path)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        good, bad = C.split(cleaned)
-        n_good = L.write_curated(good, dest_path, partition_by, run=run)
-        n_bad = L.write_quarantine(bad, dest_path, run=run)
-    finally:
-        cleaned.unpersist()
-    n_raw = n_good + n_bad
+    seen = Observation("rows_read")
+    cleaned = C.clean(L.raw_scan(spark, path))
+    counted = cleaned.observe(seen, F.count(F.lit(1)).alias("raw"), F.count_if(F.col(C.REASON_COL).isNull()).alias("good"))
+    L.write_curated(C.split(counted)[0], dest_path, partition_by, run=run)
+    n_raw, n_good = int(seen.get["raw"]), int(seen.get["good"])
+    n_bad = L.write_quarantine(C.split(cleaned)[1], dest_path, run=run, some=n_raw > n_good)
     result = {"raw_rows": n_raw, "good_rows": n_good, "quarantined_rows": n_bad,
               "reject_pct": round((n_raw - n_good) / max(n_raw, 1) * 100.0, 2)}
     if gate:
@@ -52,16 +50,19 @@ def run_elt(spark: SparkSession, dest_path: str, source_path: str | None = None,
 
 def run_scrape(spark: SparkSession, manifest_path: str, dest_path: str | None = None, dest_base: str | None = None,
                date: str | None = None, fetcher=FD.http_fetch, parallelism: int | None = None,
-               payload_path: str | None = None) -> str:
+               payload_path: str | None = None, store: str | None = None) -> str:
     """Manifest -> fetch on executors -> payloads landed once (Parquet) ->
-    feed rows -> landing CSV partitioned by scrape date and source."""
+    feed rows -> landing CSV partitioned by scrape date and source.  With
+    ``store`` the manifest names files below that folder, which Spark reads."""
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%d")
     dest = L.dated_path(dest_base, date, dest_path)
     manifest = L.manifest_scan(spark, manifest_path)
-    if parallelism is None:
-        parallelism = min(manifest.count(), default_parallelism(spark))
+    if store:
+        payloads = FD.read_payload_files(manifest, store)
+    else:
+        payloads = FD.acquire_payloads(manifest, fetcher, parallelism or default_parallelism(spark))
     payload_path = payload_path or scratch_path(spark, "payloads")
-    FD.acquire_payloads(manifest, fetcher, parallelism).write.mode("overwrite").parquet(payload_path)
+    payloads.write.mode("overwrite").parquet(payload_path)
     articles = FD.feed_union(spark.read.parquet(payload_path))
     Q.require_rows(0 if articles.isEmpty() else 1, "feed items in any payload")
     L.write_raw(articles, dest, date)

@@ -144,7 +144,8 @@ def _two_runs(spark, sf):
   FROM articles""", "articles"))
 def dedup_articles(spark, sf):
     """Two scrape runs; articles seen twice are kept once (the latest copy)."""
-    r = _two_runs(spark, sf).withColumn("source", F.lower(F.trim("source")))
+    # Only what is returned is read and aggregated; texts stay out of the shuffle.
+    r = _two_runs(spark, sf).select("id", F.lower(F.trim("source")).alias("source"), "published_at", "_scraped_at")
     return (dedup_latest(r, ["source", "id", "published_at"], "_scraped_at", count_col="n_copies")
             .select("id", "source", "published_at", "_scraped_at", "n_copies"))
 
@@ -200,27 +201,66 @@ def curated_two_runs(spark, sf):
     return good.union(bad).groupBy("kind", "published_date").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _payload_files(spark, sf):
+    """One payload file per page, and the manifest of those files as Spark
+    lists them; the feed is named after the format."""
+    files = scratch_path(spark, "payload-files")
+    # One record a file; folders by format only, however many pages there are.
+    (V.payloads(spark, sf).select("format", "body").write.option("maxRecordsPerFile", 1)
+      .partitionBy("format").text(files))
+    listed = spark.read.format("binaryFile").load(files)
+    return files, listed.select(F.col("path").alias("url"), "format", F.concat(F.lit("store-"), F.lower("format")).alias("source"))
+
+
 @register("acquire_payloads", """
-  SELECT CASE WHEN page_id % 6 IN (0, 1, 3) THEN 'xml' WHEN page_id % 6 = 4 THEN 'xml' ELSE 'csv' END AS format,
-    count(*) AS n_payloads, count(*) AS n_ok
+  SELECT CASE WHEN page_id % 6 IN (2, 5) THEN 'csv' ELSE 'xml' END AS format, count(*) AS n_payloads, count(*) AS n_ok
   FROM pages GROUP BY 1""")
 def acquire_payloads(spark, sf):
-    """Offline end to end fetch: one payload file per page (written by Spark),
-    a manifest built from Spark's own listing of those files, and the default
-    fetcher reading the file:// URLs on the executors."""
-    p = V.payloads(spark, sf)
-    files = scratch_path(spark, "payload-files")
-    p.select("page_id", "body").write.partitionBy("page_id").text(files)
-    listed = (spark.read.text(files, wholetext=True)
-                   .select(F.col("_metadata.file_path").alias("url"), "page_id")
-                   .join(p.select("page_id", "format", "source"), "page_id"))
-    manifest = listed.select(F.concat(F.lit("file://"), F.regexp_replace("url", "^file:", "")).alias("url"),
-                             "format", "source")
-    got = FD.acquire_payloads(manifest, pause_s=0.0)
+    """Payload files in a store that Spark reads, acquired by their manifest."""
+    files, manifest = _payload_files(spark, sf)
+    got = FD.read_payload_files(manifest, files)
     return got.groupBy("format").agg(F.count(F.lit(1)).alias("n_payloads"),
                                      F.count_if(F.col("error").isNull() & F.col("body").isNotNull()).alias("n_ok"))
 
 
+@register("scrape_job", f"""WITH {_PG}
+  SELECT 'store-xml' AS _source, '/2024/06/01/' AS day_path, '2024-06-01' AS scrape_date, count(*) AS n_items,
+    count(title) AS n_titled, count(DISTINCT id) AS n_ids FROM ({_XML_ROWS})
+  UNION ALL
+  SELECT 'store-csv', '/2024/06/01/', '2024-06-01', count(*), count(title), count(DISTINCT id) FROM ({_CSV_ROWS})""")
+def scrape_job(spark, sf):
+    """The scrape job from manifest files to the dated landing folder, behind
+    its non-empty gate, read back."""
+    from brook.plans.jobs import run_scrape
+
+    files, manifest = _payload_files(spark, sf)
+    listed = scratch_path(spark, "scrape-manifest")
+    L.write_manifest(manifest, listed)
+    dest = run_scrape(spark, listed, dest_base=scratch_path(spark, "scraped"), date="2024-06-01", store=files)
+    return (L.raw_scan(spark, dest).groupBy("_source", F.col("scrape_date").cast("string").alias("scrape_date"))
+            .agg(F.count(F.lit(1)).alias("n_items"), F.count("title").alias("n_titled"), F.countDistinct("id").alias("n_ids"))
+            .withColumn("day_path", F.lit(dest[-12:])))
+
+
+@register("required_articles", with_views("""
+  SELECT id, lower(trim(source)) AS source, md5(title) AS title_md5 FROM articles WHERE title IS NOT NULL""", "articles"))
+def required_articles(spark, sf):
+    """Landed rows that hold the required columns and parsed cleanly."""
+    r = C.required_filter(_landed(spark, sf))
+    return r.select("id", F.lower(F.trim("source")).alias("source"), F.md5("title").alias("title_md5"))
+
+
+@register("lineage_rows", with_views("""
+  SELECT id, '2024-06-01' AS path_day, lower(trim(category)) AS path_source, true AS is_csv, true AS has_ts FROM articles""",
+  "articles"))
+def lineage_rows(spark, sf):
+    """Lineage of landed rows: the file that each came from, and when it was cleaned."""
+    c = C.clean(_landed(spark, sf))
+    part = lambda name: F.regexp_extract("_source_path", f"/{name}=([^/]+)/", 1)
+    return c.select("id", part("scrape_date").alias("path_day"), part("_source").alias("path_source"),
+                    F.col("_source_path").endswith(".csv").alias("is_csv"), F.col("_pipeline_ts").isNotNull().alias("has_ts"))
+
+
 @register("label_map_json", with_views("""
   SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS id
   FROM (SELECT DISTINCT lower(trim(source)) AS label FROM articles WHERE title IS NOT NULL AND true_date IS NOT NULL)""",

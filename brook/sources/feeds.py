@@ -234,3 +234,23 @@ def acquire_payloads(manifest: DataFrame, fetcher=http_fetch, parallelism: int |
     (Parquet) before parsing so the fetch never runs twice."""
     n = parallelism or max(1, manifest.sparkSession.sparkContext.defaultParallelism)
     return manifest.repartition(n).mapInPandas(_fetch_batches(fetcher, pause_s), PAYLOAD)
+
+
+def _decode_batches(batches):
+    import pandas as pd
+
+    for pdf in batches:
+        lost = pdf["content"].isna()
+        yield pd.DataFrame({
+            "url": pdf["url"], "format": pdf["format"].fillna("").str.lower(), "source": pdf["source"].fillna(pdf["url"]),
+            "body": [None if gone else decode_body(raw) for raw, gone in zip(pdf["content"], lost)],
+            "scraped_at": datetime.now(timezone.utc).isoformat(),
+            "error": [f"no such file: {url}" if gone else None for url, gone in zip(pdf["url"], lost)]})
+
+
+def read_payload_files(manifest: DataFrame, path: str) -> DataFrame:
+    """The payloads of manifest entries whose ``url`` is a file below ``path``,
+    in any store that Spark reads (paths as Spark lists them).  An entry
+    without a file gives a row with ``error`` set, as a failed fetch does."""
+    files = manifest.sparkSession.read.format("binaryFile").load(path).select(F.col("path").alias("url"), "content")
+    return manifest.join(files, "url", "left").select("url", "format", "source", "content").mapInPandas(_decode_batches, PAYLOAD)

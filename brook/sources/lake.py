@@ -82,12 +82,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_quarantine(bad: DataFrame, dest: str, *, run: str) -> int:
+def write_quarantine(bad: DataFrame, dest: str, *, run: str, some: bool | None = None) -> int:
     """Bad rows go to ``<dest>_quarantine/`` below the folder of ``run``,
     partitioned by reject reason.  The folder is only created when there are
-    bad rows; a repeated run replaces its own rejects, also by none."""
+    bad rows; a repeated run replaces its own rejects, also by none.  ``some``:
+    whether there are any, if the caller has counted them."""
     path = run_folder(quarantine_path(dest), run)
-    if bad.isEmpty():
+    if bad.isEmpty() if some is None else not some:
         if _exists(bad.sparkSession, path):
             # Nothing is written, the old rows go.
             (bad.write.mode("overwrite").option("partitionOverwriteMode", "static")

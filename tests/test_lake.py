@@ -7,6 +7,7 @@ from brook.operators import clean as C
 from brook.operators import quality as Q
 from brook.plans import views as V
 from brook.plans.jobs import run_elt, run_scrape
+from brook.sources import feeds as FD
 from brook.sources import lake as L
 from conftest import SF001
 
@@ -99,6 +100,34 @@ def test_scrape_job(spark, tmp_dir):
     assert rows == [("c", "T2"), ("r", "T1")]
 
 
+def test_payload_files_of_a_store(spark, tmp_dir):
+    """Bytes are decoded as their declaration says; a missing file is an error row."""
+    text = '<?xml version="1.0" encoding="ISO-8859-1"?><rss><channel><item><title>caf\u00e9</title></item></channel></rss>'
+    with open(f"{tmp_dir}/a.xml", "wb") as fh:
+        fh.write(text.encode("latin-1"))
+    rows = [(f"file:{tmp_dir}/a.xml", "XML", "s"), (f"file:{tmp_dir}/b.xml", None, None)]
+    got = {r.url[-5:]: r for r in FD.read_payload_files(spark.createDataFrame(rows, "url string, format string, source string"),
+                                                       tmp_dir).collect()}
+    assert got["a.xml"].body == text and got["a.xml"].format == "xml" and got["a.xml"].error is None
+    assert got["b.xml"].body is None and "no such file" in got["b.xml"].error and got["b.xml"].source.endswith("b.xml")
+
+
+def test_elt_counts_every_row_and_keeps_rejects(spark, tmp_dir):
+    """Counts come from the curated write; an input without rejects makes no quarantine."""
+    schema = ("id string, source string, title string, link string, published_at string, summary string, category string,"
+              " _scraped_at string, _source string")
+    good = [(str(i), "s", "t", "l", "2024-01-02", None, "c", "x", "s") for i in range(3)]
+    L.write_raw(spark.createDataFrame(good, schema), f"{tmp_dir}/r1", "2024-06-01")
+    got = run_elt(spark, f"{tmp_dir}/c", source_path=f"{tmp_dir}/r1", run="1")
+    assert (got["raw_rows"], got["good_rows"], got["quarantined_rows"]) == (3, 3, 0)
+    assert not os.path.exists(L.quarantine_path(f"{tmp_dir}/c"))
+    bad = [("9", "s", None, "l", "2024-01-02", None, "c", "x", "s")]
+    L.write_raw(spark.createDataFrame(good + bad, schema), f"{tmp_dir}/r2", "2024-06-01")
+    got = run_elt(spark, f"{tmp_dir}/c", source_path=f"{tmp_dir}/r2", run="2", gate=False)
+    assert (got["raw_rows"], got["good_rows"], got["quarantined_rows"]) == (4, 3, 1)
+    assert [r.id for r in spark.read.parquet(L.quarantine_path(f"{tmp_dir}/c")).collect()] == ["9"]
+
+
 def test_curated_runs_keep_each_others_rows(spark, tmp_dir):
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")  # even against a static session
     try:
