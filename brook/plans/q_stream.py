@@ -57,14 +57,15 @@ def stream_dedup(spark, sf):
     round(count(*) FILTER (WHERE result = 'error') / 300.0, 6) AS errors_per_sec
   FROM status_history GROUP BY 1""", "status_history"))
 def stream_error_rate(spark, sf):
-    """Error events per second over 5-minute windows, streamed (complete
-    output written per trigger)."""
+    """Error events per second over 5-minute windows, streamed: each trigger
+    writes the windows that it changed, and a window's state goes with the
+    watermark."""
     h = V.status_history(spark, sf).select("event_id", "ts", "result")
     src = _land(h, spark, "events-src")
     s = spark.readStream.schema(h.schema).parquet(src)
     dest = scratch_path(spark, "error-rate-out")
-    SJ.run_to_parquet(SJ.error_rate(s), dest, scratch_path(spark, "error-rate-ckpt"), mode="complete")
-    r = spark.read.parquet(dest)
+    SJ.run_to_parquet(SJ.error_rate(s), dest, scratch_path(spark, "error-rate-ckpt"), mode="update")
+    r = SJ.latest_rows(spark, dest, ["window_start", "window_end"])
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                     "n_events", "n_errors", "errors_per_sec")
 

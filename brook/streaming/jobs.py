@@ -99,41 +99,60 @@ STATUS_COLS = ["phase", "running", "desired", "driver_pod", "retries", "cost"]
 
 def _change_only(cols):
     out_cols = ["run", "event_id", "ts"] + cols
+    order = ["ts", "event_id"]
 
     def fn(key, pdfs, state):
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        last = tuple(state.get) if state.exists else None
-        keep = []
-        for rec in rows[out_cols].itertuples(index=False, name=None):
-            cur = tuple(None if pd.isna(v) else v for v in rec[3:])
-            if cur != last:
-                keep.append(rec)
-                last = cur
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(keep, columns=out_cols)
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
+        if state.exists:
+            seen = pd.DataFrame([state.get], columns=order + cols)
+            at = (rows["ts"] > seen["ts"][0]) | ((rows["ts"] == seen["ts"][0]) & (rows["event_id"] > seen["event_id"][0]))
+            # Rows that a later one has overtaken are no news.
+            rows = pd.concat([seen.astype({c: rows[c].dtype for c in order}), rows[at]], ignore_index=True)
+        now, before = rows[cols].astype(object), rows[cols].astype(object).shift()
+        same = (now == before) | (now.isna() & before.isna())
+        changed = ~same.all(axis=1)
+        if len(rows):
+            changed.iloc[0] = not state.exists
+            last = rows.iloc[-1]
+            state.update((last["ts"].to_pydatetime(), int(last["event_id"]),
+                          *(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in last[cols])))
+        yield rows[changed.to_numpy(bool)].assign(run=key[0])[out_cols]
     return fn
 
 
 def latest_status(history: DataFrame, cols=STATUS_COLS) -> DataFrame:
-    """Per run, emit a status only when one of ``cols`` changed since the
-    last status emitted for that run (state = last emitted tuple).  Rows of a
-    run inside one micro-batch are taken in (ts, event_id) order; the source's
-    per-trigger limit bounds how many rows one call sees."""
+    """Per run, emit a status only when one of ``cols`` differs from the run's
+    previous status.  Rows of a run inside one micro-batch are taken in
+    (ts, event_id) order.  The state is the last status with its (ts,
+    event_id): a row of a later batch that is not after it is late, changes
+    nothing and is not emitted.  The source's per-trigger limit bounds how many
+    rows one call sees."""
     types = dict(history.dtypes)
-    out_schema = ", ".join([f"run string, event_id bigint, ts timestamp"] + [f"{c} {types[c]}" for c in cols])
-    state_schema = ", ".join(f"{c} {types[c]}" for c in cols)
+    of = ", ".join(f"{c} {types[c]}" for c in cols)
     return (history.groupBy("run")
-            .applyInPandasWithState(_change_only(list(cols)), out_schema, state_schema, "append",
-                                    GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(_change_only(list(cols)), f"run string, event_id bigint, ts timestamp, {of}",
+                                    f"ts timestamp, event_id bigint, {of}", "append", GroupStateTimeout.NoTimeout))
 
 
 def run_to_parquet(df: DataFrame, dest: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a streaming frame to completion (availableNow) into Parquet."""
-    if mode == "complete":
+    """Run a streaming frame to completion (availableNow) into Parquet.
+
+    ``update``: each trigger writes only the rows that it changed, to its own
+    folder ``_batch=<epoch>`` (a replay replaces it); ``latest_rows`` reads the
+    last version of each."""
+    if mode == "update":
         def batch(b: DataFrame, epoch: int) -> None:
-            b.write.mode("overwrite").parquet(dest)
-        q = _available_now(df.writeStream.outputMode("complete").foreachBatch(batch), checkpoint).start()
+            (b.write.mode("overwrite").option("partitionOverwriteMode", "static")
+              .parquet(f"{dest.rstrip('/')}/_batch={epoch}"))
+        q = _available_now(df.writeStream.outputMode("update").foreachBatch(batch), checkpoint).start()
     else:
         q = _available_now(df.writeStream.outputMode(mode).format("parquet").option("path", dest), checkpoint).start()
     await_all(q)
+
+
+def latest_rows(spark: SparkSession, dest: str, keys) -> DataFrame:
+    """The last version of each row that ``run_to_parquet`` wrote in update mode."""
+    rows = spark.read.parquet(dest)
+    cols = [c for c in rows.columns if c not in (*keys, "_batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_last"))
+    return last.select(*keys, "_last.*")

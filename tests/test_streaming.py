@@ -24,13 +24,40 @@ def test_latest_status_change_only(spark, tmp_dir):
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 3, 4, 6]
 
 
+def test_late_status_of_a_later_batch_changes_nothing(spark, tmp_dir):
+    """A row older than the stored status is not a change, and the status that
+    follows is compared with the newest one; nulls equal nulls."""
+    schema = "run string, event_id long, ts timestamp, phase string, cost double"
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    days = [[("r", 1, at(1), "Pending", None), ("r", 2, at(5), "Running", None)],
+            [("r", 3, at(3), "Pending", None), ("r", 4, at(6), "Running", None)],
+            [("r", 5, at(6), "Running", 1.5), ("r", 6, at(7), "Running", 1.5)]]
+    for rows in days:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_dir}/src")
+        s = spark.readStream.schema(schema).parquet(f"{tmp_dir}/src")
+        SJ.run_to_parquet(SJ.latest_status(s, ["phase", "cost"]), f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 2, 5]
+
+
+def test_error_rate_over_batches_keeps_the_last_version(spark, tmp_dir):
+    schema = "event_id long, ts timestamp, result string"
+    for k in range(2):  # the second batch adds to the windows of the first
+        rows = [(10 * k + i, datetime(2024, 1, 1, 0, i, k), "error" if i % 2 else "success") for i in range(8)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_dir}/ev")
+        s = spark.readStream.schema(schema).parquet(f"{tmp_dir}/ev")
+        SJ.run_to_parquet(SJ.error_rate(s), f"{tmp_dir}/er", f"{tmp_dir}/ck", mode="update")
+    got = sorted(tuple(r) for r in SJ.latest_rows(spark, f"{tmp_dir}/er", ["window_start", "window_end"]).collect())
+    assert got == sorted(tuple(r) for r in SJ.error_rate(spark.read.parquet(f"{tmp_dir}/ev")).collect())
+    assert len(got) == 2 and [g[2] for g in got] == [10, 6]
+
+
 def test_error_rate_stream_equals_batch(spark, tmp_dir):
     rows = [(i, datetime(2024, 1, 1, 0, i % 20, 0), "error" if i % 3 == 0 else "success") for i in range(60)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, result string")
     df.write.parquet(f"{tmp_dir}/ev")
     s = spark.readStream.schema(df.schema).parquet(f"{tmp_dir}/ev")
-    SJ.run_to_parquet(SJ.error_rate(s), f"{tmp_dir}/er", f"{tmp_dir}/ck2", mode="complete")
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_dir}/er").collect())
+    SJ.run_to_parquet(SJ.error_rate(s), f"{tmp_dir}/er", f"{tmp_dir}/ck2", mode="update")
+    got = sorted(tuple(r) for r in SJ.latest_rows(spark, f"{tmp_dir}/er", ["window_start", "window_end"]).collect())
     want = sorted(tuple(r) for r in SJ.error_rate(df).collect())
     assert got == want and len(got) == 4
 
