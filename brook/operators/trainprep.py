@@ -17,9 +17,10 @@ NUM_LABELS = 0
 EPOCHS = 3
 BATCH_SIZE = 8
 MAX_LENGTH = 128
-LR = 3e-5
 VOCAB_SIZE = 30522
 PAD_ID = 0
+# Fixed value: coefficients of a classifier (32 MB of doubles; the driver and each task hold some copies).
+MAX_COEFFICIENTS = 1 << 22
 
 
 def train_frame(df: DataFrame, text_col: str = TEXT_COLUMN, label_col: str = LABEL_COLUMN,
@@ -62,8 +63,9 @@ def tokens(df: DataFrame, text_col: str = "_text", max_length: int = MAX_LENGTH,
     counts every word of the text."""
     words = F.split(F.trim(F.col(text_col)), r"\s+")
     words = F.when(F.trim(F.col(text_col)) == "", F.array().cast("array<string>")).otherwise(words)
-    ids = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(vocab_size - 1)) + 1).cast("int"))
-    kept = F.slice(ids, 1, max_length)
+    # The first 32 bits of a word's md5 choose its id: any engine can repeat it.
+    kept = F.transform(F.slice(words, 1, max_length), lambda w: (
+        F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % (vocab_size - 1) + 1).cast("int"))
     pad = F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(0), F.lit(max_length) - F.size(kept)))
     mask = F.concat(F.array_repeat(F.lit(1), F.size(kept)), F.array_repeat(F.lit(0), F.size(pad)))
     return df.withColumns({"n_words": F.size(words), "input_ids": F.concat(kept, pad),
@@ -116,9 +118,18 @@ def save_classifier(model, lmap: DataFrame, path: str) -> None:
     write_label_map(lmap, f"{path.rstrip('/')}/label_map")
 
 
-def fit_classifier(frame: DataFrame, passes: int = EPOCHS, reg: float = 0.0, num_features: int = 1 << 18):
+def check_classes(n: int, num_features: int) -> int:
+    """The number of classes, if the model's coefficients (features x classes
+    doubles, held by the driver) stay within ``MAX_COEFFICIENTS``."""
+    if n * num_features > MAX_COEFFICIENTS:
+        raise ValueError(f"{n} classes x {num_features} features exceed {MAX_COEFFICIENTS} coefficients: use fewer features")
+    return n
+
+
+def fit_classifier(frame: DataFrame, passes: int = EPOCHS, reg: float = 0.0, num_features: int = 1 << 16):
     """Tokenizer -> HashingTF -> IDF -> multinomial LogisticRegression on
     ``_text`` / ``_label``; returns the fitted model and the loss per pass."""
+    check_classes((frame.agg(F.max("_label")).first()[0] or 0) + 1, num_features)
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer

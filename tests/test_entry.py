@@ -8,10 +8,9 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_an_oracle_but_iterative_ones():
+def test_every_query_has_an_oracle():
     q, o = catalog.queries(), catalog.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"text_classifier"}
+    assert set(o) == set(q)
     assert not any(k.startswith("op") or "pipeline" in k for k in q)
 
 

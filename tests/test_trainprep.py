@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from brook.operators import trainprep as T
@@ -29,6 +30,20 @@ def test_tokens_fixed_length(spark):
     assert rows[0].input_ids[3:] == [0] * 125 and all(0 < i < T.VOCAB_SIZE for i in rows[0].input_ids[:3])
 
 
+def test_token_ids_follow_the_md5_of_the_word(spark):
+    import hashlib
+
+    got = T.tokens(spark.createDataFrame([("a b a",)], "_text string"), max_length=4).first().input_ids
+    want = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (T.VOCAB_SIZE - 1) + 1 for w in "aba"]
+    assert got == [*want, T.PAD_ID]
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.createDataFrame([("a", 5000)], "_text string, _label int")
+    with pytest.raises(ValueError):
+        T.fit_classifier(df, num_features=1 << 18)
+
+
 def test_shards_equal_and_padded(spark):
     df = spark.range(0, 103).withColumnRenamed("id", "doc_id")
     s = T.batches(T.shard(df, "doc_id", world_size=4, seed=1, epoch=0), batch_size=8)
