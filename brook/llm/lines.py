@@ -1,5 +1,6 @@
 """Line deduplication by pairwise alignment: documents that share a rare line
-are aligned by patience diff, and common blocks leave the later one."""
+or a run of lines are aligned by patience diff, and common blocks leave the
+later one."""
 
 from __future__ import annotations
 
@@ -87,7 +88,55 @@ def common_lines(a: np.ndarray, b: np.ndarray, min_lines: int = 1) -> list[int]:
     return out
 
 
-def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of runs of lines from those of their halves."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + b.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _heads(x: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the first 1, 2, 3 ... lines."""
+    powers = np.cumprod(np.full(len(x), 0x9E3779B97F4A7C15, np.uint64))
+    return _joined(np.full(len(x), salt, np.int64), np.cumsum(x.view(np.uint64) * powers).view(np.int64))
+
+
+def short_keys(x: np.ndarray) -> np.ndarray:
+    """Keys of a text that name partners: its lines with a word that it holds
+    once, its runs of two lines, its first and last line."""
+    once = _once(x)[0]
+    twos = _joined(x[:-1], x[1:])[(x[:-1] != BLANK) | (x[1:] != BLANK)]
+    ends = [_heads(y, salt) for y, salt in ((x[:1], 1), (x[-1:], 2)) if y.any()]
+    return np.unique(np.concatenate([once[once != BLANK], twos, *ends]))
+
+
+def long_keys(x: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Keys of the runs of 4, 8, 16 ... lines of a text, and of its heads and
+    tails of 2, 3, 4 ... lines (the whole text is one), in which all runs of two
+    with a word are ``shared`` with another text: no other can be."""
+    run = _joined(x[:-1], x[1:])
+    two = good = np.isin(run, shared) | ((x[:-1] == BLANK) & (x[1:] == BLANK))
+    out, n = [np.zeros(0, np.int64)], 2
+    for y, t, salt in ((x, two, 1), (x[::-1], two[::-1], 2)):
+        k = 1 + (len(t) if t.all() else int(np.argmin(t)))
+        out.append(_heads(np.ascontiguousarray(y[:k]), salt)[(np.cumsum(y[:k] != BLANK) > 0) & (np.arange(k) > 0)])
+    while len(run) > n and good.any():
+        run, good = _joined(run[:-n], run[n:]), good[:-n] & good[n:]
+        if n == 2:
+            good = good & two[1:-1]
+        out.append(run[good])
+        n *= 2
+    return np.unique(np.concatenate(out))
+
+
+def left_keys(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The lines with a word that a text holds once and that are not cut."""
+    once, at = _once(x)
+    return once[(once != BLANK) & ~np.isin(at, cut)]
+
+
+def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1,
+              whole: bool = False) -> DataFrame:
     """``doc, text_hash, n_lines, cut`` of every document: ``cut`` holds the
     numbers of the lines to delete (sorted), null if there are none."""
     spark = ready(docs)
@@ -95,36 +144,80 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                          lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).otherwise(F.lit(BLANK).cast("long")))
     lines = scratch(docs.select(id_key(id_col).alias("doc"), text_key(text_col).alias("text_hash"), hashed.alias("lines"))
                     .dropDuplicates(["doc", "text_hash"]), "line-hashes")
-    # Patience aligns by lines that a text holds once; those name partners.
-    # Each names the first document with it, not all pairs of its holders, so
-    # the pairs grow with the lines and no frequency needs a cap.
-    once = lines.select("doc", "text_hash", F.explode("lines").alias("line")).where(F.col("line") != BLANK) \
-        .groupBy("doc", "text_hash", "line").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    once = scratch(once, "line-once")
-    # Written, so that the join has two plain sides and a hot line can be split.
-    first = scratch(once.groupBy("line").agg(F.min(F.struct("doc", "text_hash")).alias("f"), F.count("*").alias("n"))
-                    .where("n > 1").drop("n"), "line-first")
-    pairs = (once.join(first, "line").where(F.struct("doc", "text_hash") > F.col("f"))
-             .select(F.col("f.doc").alias("doc1"), F.col("f.text_hash").alias("text1"), "doc", "text_hash").distinct())
     earlier = lines.select(F.col("doc").alias("doc1"), F.col("text_hash").alias("text1"), F.col("lines").alias("lines1"))
-    both = pairs.join(earlier, ["doc1", "text1"]).select("doc", "text_hash", "lines1").join(lines, ["doc", "text_hash"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            cuts = [common_lines(x.column("lines1")[i].values.to_numpy(zero_copy_only=False),
-                                 x.column("lines")[i].values.to_numpy(zero_copy_only=False), min_lines)
-                    for i in range(x.num_rows)]
-            yield pa.RecordBatch.from_arrays([x.column("doc"), x.column("text_hash"), pa.array(cuts, pa.list_(pa.int32()))],
-                                             ["doc", "text_hash", "cut"])
-
-    cut = (both.mapInArrow(run, "doc long, text_hash long, cut array<int>")
-           .select("doc", "text_hash", F.explode("cut").alias("line"))
-           .groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("cut")))
-    cut = scratch(cut, "line-cuts", spark)
+
+    def listed(x: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+        return x.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+    def keys(rows: DataFrame, of, *names: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                found = [of(*(listed(x, c, i) for c in names)) for i in range(x.num_rows)]
+                at = pa.array(np.repeat(np.arange(x.num_rows), [len(k) for k in found]))
+                yield pa.RecordBatch.from_arrays([x.column("doc").take(at), x.column("text_hash").take(at),
+                                                  pa.array(np.concatenate([np.zeros(0, np.int64), *found]))],
+                                                 ["doc", "text_hash", "key"])
+        return rows.mapInArrow(run, "doc long, text_hash long, key long")
+
+    def met(rows: DataFrame, name: str) -> DataFrame:
+        # Each key names the first document with it, not all pairs of its
+        # holders, so the pairs grow with the lines and no frequency needs a
+        # cap.  Written, so that the join has two plain sides and a hot key
+        # can be split.
+        rows = scratch(rows, name, spark)
+        first = scratch(rows.groupBy("key").agg(F.min(F.struct("doc", "text_hash")).alias("f"), F.count("*").alias("n"))
+                        .where("n > 1"), name + "-first")
+        return rows.join(first, "key")
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        """``doc, text_hash, line``: what each document loses to its partners ``f``."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                cuts = [common_lines(listed(x, "lines1", i), listed(x, "lines", i), min_lines) for i in range(x.num_rows)]
+                yield pa.RecordBatch.from_arrays([x.column("doc"), x.column("text_hash"), pa.array(cuts, pa.list_(pa.int32()))],
+                                                 ["doc", "text_hash", "cut"])
+
+        later = (pairs.where(F.struct("doc", "text_hash") > F.col("f"))
+                 .select(F.col("f.doc").alias("doc1"), F.col("f.text_hash").alias("text1"), "doc", "text_hash").distinct())
+        both = later.join(earlier, ["doc1", "text1"]).select("doc", "text_hash", "lines1").join(lines, ["doc", "text_hash"])
+        return both.mapInArrow(run, "doc long, text_hash long, cut array<int>").select(
+            "doc", "text_hash", F.explode("cut").alias("line"))
+
+    def collected(cut: DataFrame, name: str) -> DataFrame:
+        return scratch(cut.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("cut")), name, spark)
+
+    # Patience aligns by lines that a text holds once; those name partners.
+    if not whole:
+        cut = collected(aligned(met(keys(lines, lambda x: left_keys(x, np.zeros(0, np.int32)), "lines"), "line-once")), "line-cuts")
+    else:
+        # So do runs, heads and tails, which lead to a text with the same
+        # lines in the same order, repeated ones included.
+        near = scratch(met(keys(lines, short_keys, "lines"), "line-keys"), "line-met")
+        shared = near.groupBy("doc", "text_hash").agg(F.collect_set("key").alias("shared"))
+        runs = met(keys(lines.join(shared, ["doc", "text_hash"]), long_keys, "lines", "shared"), "line-runs")
+        cut = collected(aligned(near.unionByName(runs)), "line-cuts")
+        # A line may cross others in its first holder.  What is left meets its
+        # other holders, in slices of a hash that grow 16 times a round, until
+        # it is cut or has met them all.
+        share = F.shiftrightunsigned(F.xxhash64("doc", "text_hash"), 11) / F.lit(float(1 << 53))
+        slices = F.floor(F.log(16.0, F.greatest(share * F.col("n"), F.lit(1.0)))).cast("int")
+        holders = near.select("key", F.struct("doc", "text_hash").alias("f"), slices.alias("slice"))
+        k = 0
+        while True:
+            rest = keys(lines.join(cut, ["doc", "text_hash"], "left").withColumn(
+                "cut", F.coalesce("cut", F.expr("CAST(array() AS array<int>)"))), left_keys, "lines", "cut")
+            rest = scratch(rest.join(near.where(F.struct("doc", "text_hash") > F.col("f")).where(F.col("n") >= 16 ** k),
+                                     ["doc", "text_hash", "key"]).select("doc", "text_hash", "key"), "line-left", spark)
+            if rest.isEmpty():
+                break
+            more = aligned(rest.join(holders.where(F.col("slice") == k), "key"))
+            cut = collected(more.union(cut.select("doc", "text_hash", F.explode("cut"))), "line-cuts")
+            k += 1
     return lines.select("doc", "text_hash", F.size("lines").alias("n_lines")).join(cut, ["doc", "text_hash"], "left")
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1,
+                      whole: bool = False) -> DataFrame:
     """``docs`` with aligned common blocks deleted from the later document, and
     ``n_cut_lines`` (int, replacing a column of that name), the lines that it lost.
 
@@ -137,13 +230,23 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that is not blank and that its text holds once; there is no limit on how
     many documents may share it.
 
+    That is not all pairs: a line may cross others in its first holder, or be
+    held twice, and stay.  With ``whole``, documents also meet the first one
+    with each of their runs of 2, 4, 8 ... adjacent lines, their heads and their
+    tails, repeated lines included; and a line that its text holds once and
+    that is still there meets every earlier document that holds it once, until
+    one of them takes it.  The last part reads more pairs than lines where many
+    documents hold the same lines in crossing order.  Not met: holders of a
+    line that is held twice, outside runs, heads and tails.
+
     Null texts stay null, empty ones empty; a text may become empty.  Repeated
-    rows (same id and text) are one document and are cut alike; equal texts
-    under different ids lose all lines from the second on.  Columns other than
+    rows (same id and text) are one document and are cut alike; with ``whole``,
+    equal texts under different ids lose all lines from the second on (unless
+    fewer than ``min_lines`` of them have a word).  Columns other than
     the text are carried through unread, whatever their names.  An empty table
     gives an empty result."""
     doc, text, cut = spare(docs, "_doc", "_text", "_cut")
-    cuts = line_cuts(docs, id_col, text_col, min_lines).where("cut IS NOT NULL").select(
+    cuts = line_cuts(docs, id_col, text_col, min_lines, whole).where("cut IS NOT NULL").select(
         F.col("doc").alias(doc), F.col("text_hash").alias(text), F.col("cut").alias(cut))
     keyed = docs.withColumns({doc: id_key(id_col), text: text_key(text_col)}).join(cuts, [doc, text], "left")
 

@@ -86,7 +86,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_line_alignment")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = lines.drop_common_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    got = lines.drop_common_lines(_documents(spark, sf_dir).select("doc_id", "text"), whole=True)
     return got.select("doc_id", F.col("n_cut_lines").cast("long").alias("n_cut_lines"), _hex("text").alias("kept_sha256"))
 
 
