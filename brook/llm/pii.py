@@ -36,7 +36,9 @@ MORE = {
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
 }
 # What a text must hold before a pattern is worth trying.
-HINTS = {"email": r"@|\(at\)|\[at\]|\bdot\b", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][\x20-]?[0-9]",
+# A hint is a part of each way in which either pattern of its kind can match.
+HINTS = {"email": r"@|\(at\)|\[at\]| at  ?[A-Za-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]",
+         "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][\x20-]?[0-9]",
          "phone": r"\+[0-9]|[0-9][\x20.)-]"}
 # Fixed value: words that announce personal data.
 CUES = r"(?i)mail|write|contact|phone|tel|call|fax|mobile|card|visa|credit|ccn|\bip\b|host|addr|server"
@@ -180,24 +182,31 @@ class Selector:
             limit = F.lit(2.0)
             for k, t in self.thresholds.items():
                 limit = F.when(c["kind"] == k, F.lit(t)).otherwise(limit)
-            return ~c["base"] & (score(self.model, c["f"]) >= limit)
+            return score(self.model, c["f"]) >= limit
 
-        touch = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
         longer = lambda a, b: ((a["e"] - a["s"]) > (b["e"] - b["s"])) | (
             ((a["e"] - a["s"]) == (b["e"] - b["s"])) & (F.struct(a["kind"], a["s"]) < F.struct(b["kind"], b["s"])))
 
-        def free(found: Column) -> Column:
-            return F.filter(found["new"], lambda c: ~F.exists(found["base"], lambda b: touch(b, c))
-                            & ~F.exists(found["new"], lambda o: touch(o, c) & longer(o, c)))
+        def longest(new: Column) -> Column:
+            return F.filter(new, lambda c: ~F.exists(new, lambda o: touch(o, c) & longer(o, c)))
 
-        both = F.struct(F.filter(cands, good).alias("new"), base_spans(cands).alias("base"))
-        return F.when(F.size(cands) > 0, bind(both, free)).otherwise(none)
+        return F.when(F.size(cands) > 0, bind(F.filter(free_spans(cands), good), longest)).otherwise(none)
 
 
 def base_spans(cands: Column) -> Column:
     return F.filter(cands, lambda c: c["base"] & c["holds"])
 
 
+def touch(a: Column, b: Column) -> Column:
+    return (a["s"] < b["e"]) & (b["s"] < a["e"])
+
+
+def free_spans(cands: Column) -> Column:
+    """Generated spans that touch no base span that holds."""
+    return bind(base_spans(cands), lambda base: F.filter(
+        cands, lambda c: ~c["base"] & ~F.exists(base, lambda b: touch(b, c))))
+
+
 def fit(found: DataFrame, sample: int = SAMPLE) -> Selector:
     """Fit trees and thresholds to proposed spans (``cands`` of ``found``).
 

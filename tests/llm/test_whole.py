@@ -3,8 +3,9 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from brook.llm import lines
+from brook.llm import lines, pii
 
 
 def all_pairs(rows):
@@ -26,3 +27,22 @@ def test_lines_whole(spark, documents):
         assert {r["doc"]: set(r["cut"] or ()) for r in got} == all_pairs(rows)
     assert all_pairs(hand)[3] == {0, 1} and all_pairs(hand)[6] == {0, 1, 2} and all_pairs(hand)[14] == {0, 2}
     assert lines.line_cuts(spark.createDataFrame([], "doc_id long, text string"), whole=True).count() == 0
+
+
+def test_email_hints(spark):
+    """Each way to spell an address out is proposed without a hint elsewhere."""
+    texts = ["ann@example.org", "john at example.com", "john at example dot com", "john at example (dot) com", "john at example [dot] com",
+             "john (at) example.com", "john(at)example.com", "john [at] example dot com"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = rows.select("i", F.filter(pii.candidates(F.col("text")), lambda c: c["kind"] == 0).alias("c"))
+    assert {r["i"]: [(c["s"], c["e"]) for c in r["c"]] for r in found.collect()} == {i: [(0, len(t))] for i, t in enumerate(texts)}
+
+
+def test_added_past_base(spark):
+    """A span that is dropped for a base span drops no other."""
+    span = "struct<kind:int,s:int,e:int,base:boolean,holds:boolean,f:array<double>>"
+    f = [0.0] * 19
+    cands = [(0, 0, 5, True, True, f), (1, 3, 20, False, True, f), (2, 15, 22, False, True, f)]
+    model = type("M", (), {"trees": [], "treeWeights": []})()
+    row = spark.createDataFrame([(cands,)], f"c array<{span}>").select(pii.Selector(model, {1: 0.0, 2: 0.0}).added(F.col("c")).alias("a")).first()
+    assert [(x["kind"], x["s"], x["e"]) for x in row["a"]] == [(2, 15, 22)]
