@@ -44,9 +44,9 @@ HINTS = {"email": r"@|\(at\)|\[at\]| at  ?[A-Za-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot
 CUES = r"(?i)mail|write|contact|phone|tel|call|fax|mobile|card|visa|credit|ccn|\bip\b|host|addr|server"
 SPAN = "array<struct<s:int,e:int,m:string>>"
 
-# Labelled spans that the trees are fitted to and that the
-# thresholds are set on (at most, for each label), trees and depth, precision
-# that a threshold must reach, and how many true spans it must be seen on.
+# Labelled spans that the trees are fitted to (about, at most,
+# for each label), trees and depth, precision that a threshold must reach, and
+# how many true spans it must be seen on.
 SAMPLE = 4_000
 TREES, DEPTH = 10, 3
 PRECISION = 0.95
@@ -210,26 +210,35 @@ def free_spans(cands: Column) -> Column:
 def fit(found: DataFrame, sample: int = SAMPLE) -> Selector:
     """Fit trees and thresholds to proposed spans (``cands`` of ``found``).
 
-    Labels: the base check for base matches, ``more_holds`` for the others.  At
-    most ``sample`` spans of each label, chosen by hash, are read; a fifth of
-    them, by hash, sets the thresholds: for each kind the lowest of 20 scores
-    from which generated spans are true with the precision asked for, on enough true
-    spans.  A kind without one, or a corpus without both labels, adds nothing."""
-    spans = found.select("text_hash", F.explode("cands").alias("c")).select("text_hash", "c.*").withColumn(
-        "order", F.xxhash64("text_hash", "kind", "s", "e", "base"))
-    rows = None
-    for label in (True, False):
-        # Distinct spans, or thousands of copies of a text would fill the sample.
-        part = (spans.where(F.col("holds") == label).dropDuplicates(["order"]).orderBy("order").limit(sample))
-        rows = part if rows is None else rows.union(part)
-    rows = scratch(rows.select("kind", "base", "f", "order", F.col("holds").cast("double").alias("label")), "pii-sample")
-    held = F.pmod("order", F.lit(5)) == 0
-    train = rows.where(~held).withColumn("features", array_to_vector("f"))
+    Labels: the base check for base matches, ``more_holds`` for the others.  The
+    trees are fitted to about ``sample`` spans of each label at most, chosen by
+    hash in equal shares for each kind and origin, so a rare kind is not
+    crowded out.  The thresholds are set on all distinct generated spans that
+    touch no base span (only those can be added): for each kind the lowest of
+    20 scores from which they are true with the precision asked for, on enough
+    true spans.  A kind without one, or a corpus without both labels, adds
+    nothing."""
+    def flat(cands: Column) -> DataFrame:
+        return found.select("text_hash", F.explode(cands).alias("c")).select("text_hash", "c.*").withColumn(
+            "order", F.xxhash64("text_hash", "kind", "s", "e", "base"))
+
+    # Distinct spans, or thousands of copies of a text would fill the sample.
+    spans, layer = flat(F.col("cands")), ["kind", "base", "holds"]
+    sizes = spans.groupBy(*layer).agg(F.approx_count_distinct("order").alias("n")).collect()  # at most 16 rows
+    share = F.lit(0.0)
+    for r in sizes:
+        here = (F.col("kind") == r["kind"]) & (F.col("base") == r["base"]) & (F.col("holds") == r["holds"])
+        share = F.when(here, F.lit(sample / (2 * len(KINDS) * r["n"]))).otherwise(share)
+    rows = scratch(spans.where(F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)) < share).dropDuplicates(["order"])
+                   .select("f", F.col("holds").cast("double").alias("label")), "pii-sample")
+    train = rows.withColumn("features", array_to_vector("f"))
     if train.select("label").distinct().count() < 2:
         return Selector(None, {})
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(train.select("features", "label").coalesce(1))
-    bins = (rows.where(held & ~F.col("base")).withColumn("bin", F.floor(score(model, F.col("f")) * 20).cast("int"))
-            .groupBy("kind", "bin").agg(F.sum("label").alias("true"), F.count("*").alias("all")).collect())  # 4 x 21 rows
+    scored = flat(free_spans(F.col("cands"))).select(
+        "kind", "order", F.floor(score(model, F.col("f")) * 20).cast("int").alias("bin"), F.col("holds").cast("double").alias("label"))
+    bins = (scored.dropDuplicates(["kind", "order"]).groupBy("kind", "bin")
+            .agg(F.sum("label").alias("true"), F.count("*").alias("all")).collect())  # 4 x 21 rows
     thresholds: dict[int, float] = {}
     for k in range(len(KINDS)):
         right = n = 0.0

@@ -38,6 +38,15 @@ def test_email_hints(spark):
     assert {r["i"]: [(c["s"], c["e"]) for c in r["c"]] for r in found.collect()} == {i: [(0, len(t))] for i, t in enumerate(texts)}
 
 
+def test_personal_data_rare_kind(spark):
+    """A kind with a small share of the spans gets a threshold of its own."""
+    rows = [(i, f"pay {'%04d' % (i % 9973)} call +1 415 55{i:05d} or mail u{i}@example.org") for i in range(6000)]
+    rows += [(10_000 + i, f"host 2001:db8:{i:x}:1:2:3:4:{i % 7} is up") for i in range(40)]
+    rows += [(20_000 + i, f"order number {i:013d} of the day") for i in range(300)]
+    got = {r["doc"]: [tuple(x) for x in r["added"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(any(x[0] == 1 for x in got[10_000 + i]) for i in range(40)) == 40
+
+
 def test_added_past_base(spark):
     """A span that is dropped for a base span drops no other."""
     span = "struct<kind:int,s:int,e:int,base:boolean,holds:boolean,f:array<double>>"
