@@ -44,8 +44,9 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
 
     Rows with equal texts form a group and share a shard, unless the group
     alone exceeds an eighth of a shard in bytes, words or rows: then it is cut
-    into parts of at most that much by a hash of the id, because a group of a
-    third of all rows fits no shard.  Small groups are hashed into
+    into parts of at most that much by a hash of the id and a number that each
+    row gets and keeps in a written table (rows may share an id), because a
+    group of a third of all rows fits no shard.  Small groups are hashed into
     ``n_shards * 512`` buckets, whose vectors are packed together with the
     parts of large groups.  What the packing sees is bounded by
     ``n_shards * (512 + 3 * 8 + ...)`` rows whatever the input, so it runs on
@@ -63,7 +64,8 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     n_words = F.regexp_count(spaced, F.lit(" [^ ]")).cast("long")
     rows = scratch(docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("text_hash"),
                                (F.octet_length(body) + FRAME).cast("long").alias("size"),
-                               F.crc32(body.cast("binary")).alias("text_crc32"), n_words.alias("n_words")), "shard-rows")
+                               F.crc32(body.cast("binary")).alias("text_crc32"), n_words.alias("n_words"),
+                               F.monotonically_increasing_id().alias("row")), "shard-rows")
     dims = ["size", "n_words", "n_rows"]
     groups = scratch(rows.groupBy("text_hash").agg(F.sum("size").alias("size"), F.sum("n_words").alias("n_words"),
                                                    F.count("*").alias("n_rows")), "shard-groups")
@@ -76,13 +78,13 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     buckets = n_shards * BUCKETS
     parts = spark.createDataFrame(sorted(large.items()), "text_hash long, n_parts long")
     # An item is a bucket of small groups (-1) or a part of a large group.
-    part = F.when(F.col("n_parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc"), F.col("n_parts")))
+    part = F.when(F.col("n_parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc", "row"), F.col("n_parts")))
     item = F.when(F.col("n_parts").isNull(), F.pmod("text_hash", F.lit(buckets))).otherwise(F.col("text_hash"))
     tagged = scratch(rows.join(F.broadcast(parts), "text_hash", "left").select(
-        "doc", "text_hash", "size", "text_crc32", "n_words", item.alias("item"), part.cast("long").alias("part")),
+        "doc", "text_hash", "size", "text_crc32", "n_words", "row", item.alias("item"), part.cast("long").alias("part")),
         "shard-tagged")
     # A large item's rows are numbered by several tasks.
-    lane = F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(max(1, -(-int(total["n_rows"]) // (n_shards * NUMBERED)))))
+    lane = F.pmod(F.xxhash64("doc", "row", F.lit(1)), F.lit(max(1, -(-int(total["n_rows"]) // (n_shards * NUMBERED)))))
     tagged = tagged.withColumn("lane", lane)
     # Bounded: buckets and parts, times the lanes of an item.
     sums = tagged.groupBy("item", "part", "lane").agg(F.sum("size").alias("size"), F.sum("n_words").alias("n_words"),
@@ -95,6 +97,6 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     before = Window.partitionBy("shard").orderBy("item", "part", "lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.join(F.broadcast(placed), ["item", "part"]).select(
         "item", "part", "lane", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("offset"))
-    numbered = F.row_number().over(Window.partitionBy("item", "part", "lane").orderBy(id_key("doc"), "text_hash"))
+    numbered = F.row_number().over(Window.partitionBy("item", "part", "lane").orderBy(id_key("doc"), "text_hash", "row"))
     return (tagged.withColumn("rn", numbered).join(offsets, ["item", "part", "lane"])
             .select("doc", "size", "text_crc32", "shard", (F.col("offset") + F.col("rn") - 1).cast("long").alias("slot")))

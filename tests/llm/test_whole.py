@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from brook.llm import lines, pii
+from brook.llm import lines, pii, shards
 
 
 def all_pairs(rows):
@@ -55,3 +55,12 @@ def test_added_past_base(spark):
     model = type("M", (), {"trees": [], "treeWeights": []})()
     row = spark.createDataFrame([(cands,)], f"c array<{span}>").select(pii.Selector(model, {1: 0.0, 2: 0.0}).added(F.col("c")).alias("a")).first()
     assert [(x["kind"], x["s"], x["e"]) for x in row["a"]] == [(2, 15, 22)]
+
+
+def test_shards_hot_group_one_id(spark):
+    """Rows of a hot text that share an id, or have none, are spread as well."""
+    rows = [((None if i % 6 else 7) if i % 3 == 0 else i, "same text" if i % 3 == 0 else f"text number {i}") for i in range(1200)]
+    got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas()
+    by = got.groupby("shard").agg(n=("slot", "count"), top=("slot", "max"), u=("slot", "nunique"), size=("size", "sum"))
+    assert len(got) == 1200 and (by.n == by.top + 1).all() and (by.n == by.u).all()
+    assert by["size"].max() <= 1.1 * by["size"].min()
