@@ -9,7 +9,7 @@ from brook.plans import views as V
 from brook.plans.jobs import run_elt, run_scrape
 from brook.sources import feeds as FD
 from brook.sources import lake as L
-from conftest import SF001
+from paths import SF001
 
 
 def test_dated_path():

@@ -74,7 +74,7 @@ def test_dedup_within_watermark(spark, tmp_dir):
 def test_stream_elt_is_incremental(spark, tmp_dir):
     from brook.plans import views as V
     from brook.sources import lake as L
-    from conftest import SF001
+    from paths import SF001
 
     a = V.articles(spark, SF001).withColumn("_source", F.lower(F.trim("category")))
     day1 = a.filter(F.col("id").cast("long") % 2 == 0)
@@ -97,7 +97,7 @@ def test_stream_elt_batch_replay_is_idempotent(spark, tmp_dir):
     epoch of another checkpoint replaces nothing."""
     from brook.plans import views as V
     from brook.sources import lake as L
-    from conftest import SF001
+    from paths import SF001
 
     a = V.articles(spark, SF001).withColumn("_source", F.lower(F.trim("category")))
     raw, dest = f"{tmp_dir}/raw", f"{tmp_dir}/cur"

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from brook.operators import trainprep as T
 from brook.operators.ordering import global_index
-from conftest import SF001
+from paths import SF001
 
 
 def test_global_index_dense(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from brook.operators import clean as C
 from brook.operators import quality as Q
 from brook.plans import views as V
-from conftest import SF01
+from paths import SF01
 
 
 def test_pods_unique_per_order_line(spark):
