@@ -11,7 +11,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brook.llm import embeddings, licenses, lines, packing, pii, quality, sentencepieces, shards, simhash, substrings
+from brook.llm import (
+    chats,
+    collocations,
+    embeddings,
+    licenses,
+    lines,
+    negatives,
+    packing,
+    pii,
+    quality,
+    sentencepieces,
+    shards,
+    simhash,
+    substrings,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -167,3 +181,88 @@ FROM kept
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substrings.drop_repeated_windows(_documents(spark, sf_dir))
     return got.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", _hex("kept_text").alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INT AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) <= 10
+"""
+
+
+@register("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    got = negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+    return got.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank",
+                      F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(ws[i:i+m-1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, m, n AS a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, l.n AS l, r.n AS r, t.n::BIGINT AS n,
+         (1000::HUGEINT * c.a * t.n::HUGEINT // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k+1:], ' ') JOIN total t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, n, array_to_string(ws[i:i+h-1], ' ') AS phrase
+  FROM (SELECT lang, n, m, h, ws, unnest(range(1, m - h + 2)) AS i
+        FROM (SELECT lang, n, m, string_split(phrase, ' ') AS ws, unnest(range(2, m)) AS h FROM f WHERE m > 2))),
+covered AS (SELECT DISTINCT s.lang, s.phrase FROM scored s JOIN parts p ON p.lang = s.lang AND p.phrase = s.phrase AND 100 * p.n >= 100 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored ANTI JOIN covered USING (lang, phrase)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@register("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = collocations.collocations(_documents(spark, sf_dir))
+    return got.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+# Formatted length: per turn the template's 14 characters, role, text, and a
+# backslash for each control string.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(role) + length(text) + len(regexp_extract_all(text, '(?m)^\\*### |\\*</turn>')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@register("op13_chats", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chats.read_back(chats.format_chats(turns.unionByName(more))).withColumnRenamed("conv", "conv_id")
