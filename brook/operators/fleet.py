@@ -18,6 +18,10 @@ DEFAULT_RATE = 0.10
 MB_PER_EXECUTOR = 256
 DEFAULT_KEEP = 3
 
+# What names a run; names alone repeat across namespaces.
+RUN = ["namespace", "name"]
+RUN_OF = ["namespace", "run"]
+
 
 # ------------------------------------------------------------- sizing
 def desired_executors(executors="executors", min_e="min_executors", max_e="max_executors",
@@ -30,10 +34,17 @@ def desired_executors(executors="executors", min_e="min_executors", max_e="max_e
 
 
 def capacity_plan(specs: DataFrame) -> DataFrame:
+    """Executors wanted, and the cores and memory of executors and driver; a
+    request that is not made sizes nothing."""
+    def asked(size: Column, request: str) -> Column:
+        return F.when(F.col(request).isNotNull(), size)
+
     return specs.select(
-        "name", desired_executors().alias("desired_executors"),
-        whole_cores("exec_cpu").alias("executor_cores"),
-        spark_memory("exec_memory").alias("executor_memory"))
+        *RUN, desired_executors().alias("desired_executors"),
+        asked(whole_cores("exec_cpu"), "exec_cpu").alias("executor_cores"),
+        asked(spark_memory("exec_memory"), "exec_memory").alias("executor_memory"),
+        asked(whole_cores("driver_cpu"), "driver_cpu").alias("driver_cores"),
+        asked(spark_memory("driver_memory"), "driver_memory").alias("driver_memory"))
 
 
 # --------------------------------------------------------------- cost
@@ -54,75 +65,87 @@ def cost_usd(start: Column, end: Column, pods: Column, rate: Column, as_of: Colu
 def running_executors(runs: DataFrame, pods: DataFrame) -> DataFrame:
     """Per run: executors owned by the run's driver pod that are Running.
 
-    One pass over the pods: a driver emits its own uid, an executor each
-    distinct uid among its owners (an owner listed twice counts once), and a
-    single aggregate by owner uid yields the running count and the driver.
-    The aggregate combines map-side, so a driver owning a third of all pods
-    never concentrates rows; runs join last (left, so runs without pods keep 0).
+    Running executors are counted by (namespace, owner uid), an owner listed
+    twice once; the count is a hash aggregate that combines map-side, so a
+    driver owning a third of all pods sends one row per task.  Drivers are a
+    filter of the pods; both filters reach the scan.  Runs join last by
+    (namespace, name), so names may repeat across namespaces and runs without
+    pods keep 0.
     """
-    is_driver = F.col("role") == "driver"
-    owners = F.when(is_driver, F.array(F.col("uid"))).otherwise(F.array_distinct("owner_uids"))
-    keyed = pods.select(F.explode(owners).alias("owner_uid"), "role", "phase", "run", "name")
-    per_uid = keyed.groupBy("owner_uid").agg(
-        F.count_if((F.col("role") == "executor") & (F.col("phase") == "Running")).alias("running"),
-        F.max(F.when(F.col("role") == "driver", F.struct("run", "name", "phase"))).alias("d"))
-    per_driver = per_uid.filter(F.col("d").isNotNull()).select(
-        F.col("d.run").alias("name"), F.col("d.name").alias("driver_pod"),
-        F.col("d.phase").alias("driver_phase"), "running")
-    return (runs.join(per_driver, "name", "left")
+    drivers = pods.filter(F.col("role") == "driver").select(
+        "namespace", F.col("run").alias("name"), F.col("uid").alias("_uid"), F.col("name").alias("driver_pod"),
+        F.col("phase").alias("driver_phase"))
+    owned = (pods.filter((F.col("role") == "executor") & (F.col("phase") == "Running"))
+                 .select("namespace", F.explode(F.array_distinct("owner_uids")).alias("_uid"))
+                 .groupBy("namespace", "_uid").agg(F.count(F.lit(1)).alias("running")))
+    return (runs.join(drivers.join(owned, ["namespace", "_uid"], "left").drop("_uid"), RUN, "left")
                 .withColumn("running", F.coalesce(F.col("running"), F.lit(0)).cast("bigint")))
 
 
-def job_status(runs: DataFrame, pods: DataFrame) -> DataFrame:
+def _observed(start: Column, completion: Column, as_of: Column) -> dict[str, Column]:
+    """Times as first observed: one that is known stays."""
+    return {"start_time": F.coalesce("start_time", F.when(start, as_of)),
+            "completion_time": F.coalesce("completion_time", F.when(completion, as_of))}
+
+
+def job_status(runs: DataFrame, pods: DataFrame, as_of: Column) -> DataFrame:
     """Driver pod phase -> job phase: Failed becomes Resuming while retries
     are left (and consumes one); terminal runs are frozen; an unknown driver
-    phase keeps the previous phase."""
+    phase keeps the previous phase.  A driver first seen Running starts the run
+    at ``as_of``, one that succeeded or finally failed completes it; the cost
+    counts the driver and its running executors from then to then."""
     r = running_executors(runs, pods)
-    frozen = F.col("phase").isin(*TERMINAL)
+    live = ~F.coalesce(F.col("phase").isin(*TERMINAL), F.lit(False))
     dp = F.col("driver_phase")
     retry = (dp == "Failed") & (F.col("retries") < F.col("max_retries"))
-    phase = (F.when(frozen, F.col("phase"))
+    phase = (F.when(~live, F.col("phase"))
              .when(dp.isin("Pending", "Running", "Succeeded"), dp)
              .when(retry, F.lit("Resuming"))
              .when(dp == "Failed", F.lit("Failed"))
              .otherwise(F.col("phase")))
-    retries = F.when(~frozen & retry, F.col("retries") + 1).otherwise(F.col("retries"))
-    return r.select("name", phase.alias("phase"), retries.alias("retries"), "running",
-                    desired_executors().alias("desired"), "driver_pod")
+    retries = F.when(live & retry, F.col("retries") + 1).otherwise(F.col("retries"))
+    times = _observed(live & (dp == "Running"), live & ((dp == "Succeeded") | ((dp == "Failed") & ~retry)), as_of)
+    out = r.select(*RUN, phase.alias("phase"), retries.alias("retries"), "running", desired_executors().alias("desired"),
+                   "driver_pod", *[c.alias(n) for n, c in times.items()], "cost_per_hour")
+    cost = cost_usd(F.col("start_time"), F.col("completion_time"), 1 + F.col("running"), rate_per_hour("cost_per_hour"), as_of)
+    return out.withColumn("cost_usd", cost).drop("cost_per_hour")
 
 
-def training_status(runs: DataFrame, pods: DataFrame) -> DataFrame:
+def training_status(runs: DataFrame, pods: DataFrame, as_of: Column) -> DataFrame:
     """Worker phases -> run phase, first match wins: all succeeded;
     any failed (Resuming while resumes are left, else Failed); all ready;
-    else Pending.  Ready = Running with condition Ready=True."""
+    else Pending.  Ready = Running with condition Ready=True.  All ready starts
+    the run at ``as_of``, success or the last failure completes it; the cost
+    counts every worker.  The last checkpoint is carried on."""
     ready = (F.col("phase") == "Running") & F.exists("conditions", lambda c: (c["type"] == "Ready") & (c["status"] == "True"))
-    per_run = (pods.groupBy(F.col("run").alias("name"))
+    per_run = (pods.groupBy("namespace", F.col("run").alias("name"))
                    .agg(F.count_if(ready).alias("ready_workers"),
                         F.count_if(F.col("phase") == "Failed").alias("failed"),
                         F.count_if(F.col("phase") == "Succeeded").alias("succeeded")))
-    j = runs.join(per_run, "name", "left").fillna(0, ["ready_workers", "failed", "succeeded"])
+    j = runs.join(per_run, RUN, "left").fillna(0, ["ready_workers", "failed", "succeeded"])
     ws = F.col("world_size")
-    resume = F.col("resumes") < F.col("max_retries")
-    phase = (F.when((F.col("succeeded") == ws) & (ws > 0), "Succeeded")
-             .when((F.col("failed") > 0) & resume, "Resuming")
-             .when(F.col("failed") > 0, "Failed")
-             .when((F.col("ready_workers") == ws) & (ws > 0), "Running")
-             .otherwise("Pending"))
-    resumes = F.when((F.col("succeeded") != ws) & (F.col("failed") > 0) & resume,
-                     F.col("resumes") + 1).otherwise(F.col("resumes"))
-    return j.select("name", phase.alias("phase"), F.col("ready_workers").cast("bigint").alias("ready_workers"),
-                    resumes.alias("resumes"))
+    done = (F.col("succeeded") == ws) & (ws > 0)
+    failed = ~done & (F.col("failed") > 0)
+    resume = failed & (F.col("resumes") < F.col("max_retries"))
+    running = ~done & ~failed & (F.col("ready_workers") == ws) & (ws > 0)
+    phase = (F.when(done, "Succeeded").when(resume, "Resuming").when(failed, "Failed").when(running, "Running").otherwise("Pending"))
+    resumes = F.when(resume, F.col("resumes") + 1).otherwise(F.col("resumes"))
+    out = j.select(*RUN, phase.alias("phase"), F.col("ready_workers").cast("bigint").alias("ready_workers"), resumes.alias("resumes"),
+                   *[c.alias(n) for n, c in _observed(running, done | (failed & ~resume), as_of).items()], "last_checkpoint",
+                   "world_size", "cost_per_hour")
+    cost = cost_usd(F.col("start_time"), F.col("completion_time"), ws, rate_per_hour("cost_per_hour"), as_of)
+    return out.withColumn("cost_usd", cost).drop("world_size", "cost_per_hour")
 
 
 def rank_diff(runs: DataFrame, pods: DataFrame) -> DataFrame:
     """Ranks 0..world_size-1 without a worker (create) and workers whose rank
     is at or above the world size (delete)."""
-    want = runs.select("name", F.explode(F.sequence(F.lit(0), F.col("world_size") - 1)).alias("rank"))
-    have = pods.select(F.col("run").alias("name"), "rank")
-    missing = want.join(have, ["name", "rank"], "left_anti").withColumn("action", F.lit("create"))
-    excess = (have.join(runs.select("name", "world_size"), "name")
+    want = runs.filter("world_size > 0").select(*RUN, F.explode(F.sequence(F.lit(0), F.col("world_size") - 1)).alias("rank"))
+    have = pods.select("namespace", F.col("run").alias("name"), "rank")
+    missing = want.join(have, [*RUN, "rank"], "left_anti").withColumn("action", F.lit("create"))
+    excess = (have.join(runs.select(*RUN, "world_size"), RUN)
                   .filter(F.col("rank") >= F.col("world_size"))
-                  .select("name", "rank", F.lit("delete").alias("action")))
+                  .select(*RUN, "rank", F.lit("delete").alias("action")))
     return missing.unionByName(excess)
 
 
@@ -131,15 +154,15 @@ def missing_dependencies(refs: DataFrame, objects: DataFrame) -> DataFrame:
     need = refs.filter(~F.col("optional"))
     miss = need.join(objects.withColumnRenamed("obj_name", "ref_name"),
                      ["namespace", "kind", "ref_name"], "left_anti")
-    first = miss.groupBy("run").agg(F.min(F.struct("pos", "kind", "ref_name")).alias("m"))
-    return first.select("run", F.col("m.kind").alias("kind"), F.col("m.ref_name").alias("ref_name"),
+    first = miss.groupBy(*RUN_OF).agg(F.min(F.struct("pos", "kind", "ref_name")).alias("m"))
+    return first.select(*RUN_OF, F.col("m.kind").alias("kind"), F.col("m.ref_name").alias("ref_name"),
                         F.format_string('waiting for %s "%s"', F.col("m.kind"), F.col("m.ref_name")).alias("message"))
 
 
 # ------------------------------------------------------------- history
 def run_times(history: DataFrame) -> DataFrame:
     """First time seen Running = start; first time seen terminal = completion."""
-    return history.groupBy("run").agg(
+    return history.groupBy(*RUN_OF).agg(
         F.min(F.when(F.col("phase") == "Running", F.col("ts"))).alias("start_time"),
         F.min(F.when(F.col("phase").isin(*TERMINAL), F.col("ts"))).alias("completion_time"))
 
@@ -149,38 +172,27 @@ def retention(runs: DataFrame, templates: DataFrame) -> DataFrame:
     finished runs (template limits, default 3, 0 keeps none); the others are
     victims.  Unfinished runs are not listed.
 
-    The ranking runs under a constant cap (the largest limit of any template),
-    so Spark puts a partial WindowGroupLimit before the shuffle: each map task
-    forwards at most that many rows per group, however large the group.  It
-    yields one row per group, the oldest run that stays; every run is compared
-    with its group's row in a join whose other side has a unique key.
+    Runs are numbered from the newest on with the segmented row number, which
+    cuts a template with a third of all runs into many tasks and costs the same
+    whatever the limits are: a template that keeps 100,000 runs costs the
+    others nothing.
     """
     keys = ["namespace", "template"]
-    lim = templates.select(*keys, F.coalesce("keep_succeeded", F.lit(DEFAULT_KEEP)).alias("keep_s"),
-                           F.coalesce("keep_failed", F.lit(DEFAULT_KEEP)).alias("keep_f"))
-    row = lim.agg(F.max("keep_s"), F.max("keep_f")).first()
-    cap = max(DEFAULT_KEEP, *(v or 0 for v in row))
+    limits = templates.select(*keys, *[F.coalesce(c, F.lit(DEFAULT_KEEP)).alias(c) for c in ("keep_succeeded", "keep_failed")])
     done = runs.filter(F.col("phase").isin(*TERMINAL)).select("name", *keys, "phase", "created")
-    w = Window.partitionBy(*keys, "phase").orderBy(F.col("created").desc(), F.col("name"))
-    limit = F.coalesce(F.when(F.col("phase") == "Succeeded", F.col("keep_s")).otherwise(F.col("keep_f")),
-                       F.lit(DEFAULT_KEEP))
-    top = (done.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
-               .join(lim, keys, "left").filter(F.col("_rn") <= limit))
-    cut = top.groupBy(*keys, "phase").agg(F.max_by(F.struct("created", "name"), "_rn").alias("_cut")).alias("c")
-    d = done.alias("d")
-    same = F.lit(True)
-    for k in [*keys, "phase"]:
-        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
-    newer = F.struct("d.created") > F.struct(F.col("_cut.created"))
-    keep = F.col("_cut").isNotNull() & (newer | (F.col("d.created").eqNullSafe(F.col("_cut.created"))
-                                                 & (F.col("d.name") <= F.col("_cut.name"))))
-    return d.join(cut, same, "left").select("d.name", *[f"d.{k}" for k in keys], "d.phase", keep.alias("keep"))
+    # Newest first, runs without a time last.
+    age = F.coalesce(-F.unix_micros("created"), F.lit((1 << 63) - 1))
+    numbered = row_number_within(done.withColumn("_age", age), [*keys, "phase"], ["_age", "name"], "_place")
+    limit = F.coalesce(F.when(F.col("phase") == "Succeeded", F.col("keep_succeeded")).otherwise(F.col("keep_failed")), F.lit(DEFAULT_KEEP))
+    return numbered.join(limits, keys, "left").select("name", *keys, "phase", (F.col("_place") <= limit).alias("keep"))
 
 
+# The fields whose change makes a status of a job, of a training run.
 STATUS_FIELDS = ["phase", "running", "desired", "driver_pod", "retries", "cost"]
+TRAINING_FIELDS = ["phase", "ready_workers", "resumes", "cost", "last_checkpoint"]
 
 
-def status_changes(history: DataFrame, cols=STATUS_FIELDS, key="run", order=("ts", "event_id")) -> DataFrame:
+def status_changes(history: DataFrame, cols=STATUS_FIELDS, key=RUN_OF, order=("ts", "event_id")) -> DataFrame:
     """Statuses that differ (null-safe) from the previous one of the same run
     in one of ``cols``; the first status of a run is always a change."""
     p = previous_values(history, key, list(order), cols)
@@ -190,18 +202,18 @@ def status_changes(history: DataFrame, cols=STATUS_FIELDS, key="run", order=("ts
     return p.filter(~F.col("has_prev") | changed).drop(*[f"prev_{c}" for c in cols], "has_prev")
 
 
-def attempts(failures: DataFrame, max_col: str = "max_retries", key="run", order=("ts", "event_id")) -> DataFrame:
+def attempts(failures: DataFrame, max_col: str = "max_retries", key=RUN_OF, order=("ts", "event_id")) -> DataFrame:
     """k-th failure of a run: Resuming while k <= max retries, else Failed."""
     n = row_number_within(failures, key, list(order), "attempt")
     return n.withColumn("phase", F.when(F.col("attempt") <= F.col(max_col), "Resuming").otherwise("Failed"))
 
 
 # ------------------------------------------------------------- gauges
-def phase_gauge(status: DataFrame, name="name", phase="phase") -> DataFrame:
+def phase_gauge(status: DataFrame, phase="phase") -> DataFrame:
     """Per run one row per phase: 1 for its phase, 0 for the others."""
     phases = F.array(*[F.lit(p) for p in PHASES])
-    return status.select(name, F.explode(phases).alias("gauge_phase"), F.col(phase).alias("_p")) \
-                 .select(name, "gauge_phase", (F.col("gauge_phase") == F.col("_p")).cast("int").alias("value"))
+    return status.select(*RUN, F.explode(phases).alias("gauge_phase"), F.col(phase).alias("_p")) \
+                 .select(*RUN, "gauge_phase", F.coalesce(F.col("gauge_phase") == F.col("_p"), F.lit(False)).cast("int").alias("value"))
 
 
 def phase_counts(status: DataFrame) -> DataFrame:
@@ -212,21 +224,21 @@ def outcome_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("result").agg(F.count(F.lit(1)).alias("n_passes"))
 
 
-def live_series(samples: DataFrame, runs: DataFrame, key="run") -> DataFrame:
+def live_series(samples: DataFrame, runs: DataFrame, key=RUN_OF) -> DataFrame:
     """Latest sample per run, for runs that still exist (left semi join)."""
     # Reduce to one row per run first (rn = 1 gets a partial WindowGroupLimit
     # before the shuffle, so a run holding a third of the samples sends one
     # row per map task), then keep the runs that still exist.
-    w = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    w = Window.partitionBy(*key).orderBy(F.col("ts").desc(), F.col("event_id").desc())
     latest = samples.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return (latest.join(runs.select(key), key, "left_semi")
-                  .select(key, F.col("ts").alias("last_ts"), "value"))
+    return (latest.join(runs.select(*key), key, "left_semi")
+                  .select(*key, F.col("ts").alias("last_ts"), "value"))
 
 
 def config_overlay(layers: DataFrame) -> DataFrame:
-    """Effective config: per (run, key) the value of the highest layer
+    """Effective config: per run and key the value of the highest layer
     (defaults < derived < user); ties in a layer take the greatest value.
     ``row_number() = 1`` gets a partial group limit before the shuffle."""
-    w = Window.partitionBy("run", "key").orderBy(F.col("layer").desc(), F.col("value").desc())
+    w = Window.partitionBy(*RUN_OF, "key").orderBy(F.col("layer").desc(), F.col("value").desc())
     return (layers.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-                  .select("run", "key", "value"))
+                  .select(*RUN_OF, "key", "value"))

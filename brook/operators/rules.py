@@ -1,14 +1,17 @@
 """Rule reports over tables of run specs: one row per violated rule with its
-severity (error / warning) and field.  Every rule is a row-local expression;
-the report is an ``explode`` of the rules that fired -- no shuffle."""
+severity (error / warning), field and the value found there.  Every rule is a
+row-local expression; the report is an ``explode`` of the rules that fired.
+Values that specs share and that are dear to check (schedules, zones, CPU
+requests) are checked once each and joined back."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brook.functions.cron import join_parsed_cron
+from brook.functions.cron import with_parsed_cron
 from brook.functions.quantity import millicores
+from brook.operators.fleet import RUN
 from brook.operators.schedule import valid_zone
 
 # Accepted concurrency policies, checkpoint / dataset URI
@@ -16,11 +19,24 @@ from brook.operators.schedule import valid_zone
 POLICIES = ["", "Allow", "Forbid", "Replace"]
 S3_SCHEMES = ["s3://", "s3a://"]
 BUILTIN_TRAINERS = ["BERTClassifier"]
+# The column that each field of a report is found in.
+FIELD_COLUMNS = {
+    "spec.mainApplicationFile": "main_file", "spec.mainClass": "main_class", "spec.executors": "executors",
+    "spec.minExecutors": "min_executors", "spec.maxExecutors": "max_executors", "spec.spot.maxRetries": "max_retries",
+    "spec.checkpoint.s3URI": "checkpoint_uri", "spec.resourceHint.costPerHourUSD": "cost_per_hour",
+    "spec.executorResources.requests.cpu": "exec_cpu", "spec.schedule": "schedule", "spec.concurrencyPolicy": "concurrency_policy",
+    "spec.startingDeadlineSeconds": "starting_deadline_s", "spec.successfulJobsHistoryLimit": "keep_succeeded",
+    "spec.failedJobsHistoryLimit": "keep_failed", "spec.timeZone": "time_zone", "spec.image": "image", "spec.worldSize": "world_size",
+    "spec.datasetS3URI": "dataset_s3_uri", "spec.command": "command", "spec.builtinTrainer": "builtin_trainer", "spec.packages": "packages",
+    "spec.gpu.perWorker": "gpu_per_worker", "spec.gpu.backend": "gpu_backend"}
+LIST_FIELDS = ["spec.command", "spec.packages"]
 
 
 def _rule(cond: Column, severity: str, rule: str, field: str) -> Column:
+    value = F.col(FIELD_COLUMNS[field])
+    value = F.array_join(value, " ") if field in LIST_FIELDS else value.cast("string")
     return F.when(F.coalesce(cond, F.lit(False)),
-                  F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(field).alias("field")))
+                  F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(field).alias("field"), value.alias("value")))
 
 
 def _blank(c: str) -> Column:
@@ -45,12 +61,21 @@ def _report(df: DataFrame, rules: list[Column], extra: Column | None = None) ->
     arr = F.array_compact(F.array(*rules))  # native null removal, no lambda
     if extra is not None:
         arr = F.concat(arr, extra)
-    return df.select("name", F.explode(arr).alias("r")).select("name", "r.severity", "r.rule", "r.field")
+    return df.select(*RUN, F.explode(arr).alias("r")).select(*RUN, "r.severity", "r.rule", "r.field", "r.value")
+
+
+def _checked(specs: DataFrame, column: str, verdict, out: str) -> DataFrame:
+    """``specs`` with ``out``: what ``verdict`` says of the distinct values of
+    ``column`` (true, false or null), each judged once."""
+    values = specs.select(F.col(column).alias("_value")).filter(F.col(column).isNotNull()).distinct()
+    return specs.join(verdict(values).select("_value", out), F.col(column) == F.col("_value"), "left").drop("_value")
 
 
 def spec_report(specs: DataFrame) -> DataFrame:
     """Job spec rules (errors block a spec, warnings do not)."""
-    d = join_parsed_cron(specs, "schedule", "_cron")
+    d = _checked(specs, "schedule", lambda v: with_parsed_cron(v, "_value", "_c").withColumn("_cron_ok", F.col("_c.valid")), "_cron_ok")
+    d = _checked(d, "time_zone", lambda v: v.withColumn("_zone_ok", valid_zone(F.col("_value"))), "_zone_ok")
+    d = _checked(d, "exec_cpu", lambda v: v.withColumn("_no_cpu", F.coalesce(millicores("_value") <= 0, F.lit(True))), "_no_cpu")
     # A schedule of blanks is a bad expression, not a missing one.
     has_sched = F.coalesce(F.col("schedule"), F.lit("")) != ""
     zone = F.coalesce(F.col("time_zone"), F.lit(""))
@@ -68,9 +93,8 @@ def spec_report(specs: DataFrame) -> DataFrame:
         _rule(F.col("checkpoint_enabled") & _blank("checkpoint_uri"), "error", "required", "spec.checkpoint.s3URI"),
         _rule(_bad_scheme("checkpoint_uri"), "error", "bad_scheme", "spec.checkpoint.s3URI"),
         _rule(_bad_rate("cost_per_hour"), "error", "bad_rate", "spec.resourceHint.costPerHourUSD"),
-        _rule(F.col("exec_cpu").isNotNull() & F.coalesce(millicores("exec_cpu") <= 0, F.lit(True)),
-              "error", "cpu_not_positive", "spec.executorResources.requests.cpu"),
-        _rule(has_sched & ~F.coalesce(F.col("_cron.valid"), F.lit(False)), "error", "bad_cron", "spec.schedule"),
+        _rule(F.col("_no_cpu"), "error", "cpu_not_positive", "spec.executorResources.requests.cpu"),
+        _rule(has_sched & ~F.coalesce(F.col("_cron_ok"), F.lit(False)), "error", "bad_cron", "spec.schedule"),
         _rule(has_sched & ~F.coalesce(F.col("concurrency_policy"), F.lit("")).isin(*POLICIES),
               "error", "bad_policy", "spec.concurrencyPolicy"),
         _rule(has_sched & (F.col("starting_deadline_s") < 0), "error", "negative", "spec.startingDeadlineSeconds"),
@@ -80,13 +104,13 @@ def spec_report(specs: DataFrame) -> DataFrame:
                             | F.col("time_zone").isNotNull() | F.col("starting_deadline_s").isNotNull()
                             | F.col("keep_succeeded").isNotNull() | F.col("keep_failed").isNotNull()),
               "warning", "schedule_fields_without_schedule", "spec.schedule"),
-        _rule((zone != "") & ~valid_zone(zone),
+        _rule((zone != "") & ~F.coalesce(F.col("_zone_ok"), F.lit(False)),
               "error", "bad_zone", "spec.timeZone"),
     ]
-    conf = F.transform(F.filter(F.map_keys(F.coalesce(F.col("spark_conf"), F.create_map().cast("map<string,string>"))),
-                                lambda k: ~k.startswith("spark.")),
-                       lambda k: F.struct(F.lit("warning").alias("severity"), F.lit("conf_key_prefix").alias("rule"),
-                                          F.concat(F.lit("spec.sparkConf["), k, F.lit("]")).alias("field")))
+    conf = F.transform(F.filter(F.map_entries(F.coalesce(F.col("spark_conf"), F.create_map().cast("map<string,string>"))),
+                                lambda x: ~x["key"].startswith("spark.")),
+                       lambda x: F.struct(F.lit("warning").alias("severity"), F.lit("conf_key_prefix").alias("rule"),
+                                          F.concat(F.lit("spec.sparkConf["), x["key"], F.lit("]")).alias("field"), x["value"].alias("value")))
     return _report(d, rules, conf)
 
 

@@ -56,8 +56,8 @@ VIEWS["dated_strings"] = f"""
   FROM orders"""
 
 VIEWS["job_runs"] = """
-  SELECT 'team-' || CAST(o_custkey % 3 AS VARCHAR) AS namespace,
-    'job-' || CAST(o_orderkey AS VARCHAR) AS name,
+  SELECT 'team-' || CAST(o_orderkey % 3 AS VARCHAR) AS namespace,
+    'job-' || CAST(o_orderkey // 3 AS VARCHAR) AS name,
     'tmpl-' || CAST(o_custkey // 3 AS VARCHAR) AS template,
     CAST(o_orderdate AS TIMESTAMP) AS created,
     CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Running' WHEN 'P' THEN 'Succeeded' END AS phase,
@@ -74,6 +74,8 @@ VIEWS["job_runs"] = """
     CAST(o_orderkey % 4 AS INTEGER) AS retries,
     (['500m', '2', '1500m', '0'])[CAST(o_orderkey % 4 + 1 AS INTEGER)] AS exec_cpu,
     (['512Mi', '2Gi', '1536Mi', '1G'])[CAST(o_custkey % 4 + 1 AS INTEGER)] AS exec_memory,
+    CASE WHEN o_orderkey % 11 <> 0 THEN (['250m', '1e0', '2500m', '1.5', '25e-1'])[CAST(o_orderkey % 5 + 1 AS INTEGER)] END AS driver_cpu,
+    (['1Gi', '1.5Gi', '2e9', '1Ei', '4096Mi', '3E9', '1048576Ki'])[CAST(o_orderkey % 7 + 1 AS INTEGER)] AS driver_memory,
     (o_orderkey % 13 = 0) AS checkpoint_enabled,
     CASE WHEN o_orderkey % 26 = 0 THEN 's3a://ckpt/job-' || CAST(o_orderkey AS VARCHAR)
       WHEN o_orderkey % 39 = 0 THEN 'gs://ckpt/job-' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS checkpoint_uri,
@@ -81,7 +83,7 @@ VIEWS["job_runs"] = """
       WHEN o_orderkey % 3 = 1 THEN MAP {'spark.executor.memoryOverhead': '1g', 'executor.cores': '2'}
       ELSE MAP {} END AS spark_conf,
     CASE WHEN o_orderkey % 17 = 0 THEN 'Forbid' END AS concurrency_policy,
-    CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 120 AS BIGINT)) AS start_time,
+    CASE WHEN o_orderkey % 8 <> 3 THEN CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 120 AS BIGINT)) END AS start_time,
     CASE WHEN o_orderstatus IN ('F', 'P') THEN CAST(o_orderdate AS TIMESTAMP)
       + to_minutes(CAST(o_orderkey % 120 AS BIGINT))
       + to_minutes(CAST(CAST(trunc(o_totalprice) AS BIGINT) % 600 AS BIGINT)) END AS completion_time
@@ -89,9 +91,9 @@ VIEWS["job_runs"] = """
 
 VIEWS["pods"] = """
   SELECT 'team-' || CAST(l_orderkey % 3 AS VARCHAR) AS namespace,
-    'pod-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS name,
+    'pod-' || CAST(l_orderkey // 3 AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS name,
     'uid-pod-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS uid,
-    'job-' || CAST(l_orderkey AS VARCHAR) AS run,
+    'job-' || CAST(l_orderkey // 3 AS VARCHAR) AS run,
     CAST(l_linenumber - 1 AS INTEGER) AS rank,
     CASE WHEN l_linenumber = 1 THEN 'driver' ELSE 'executor' END AS role,
     CASE WHEN l_linenumber = 1 THEN []
@@ -109,8 +111,8 @@ VIEWS["pods"] = """
     FROM lineitem) WHERE rn_ = 1"""
 
 VIEWS["training_runs"] = """
-  SELECT 'team-' || CAST(o_custkey % 3 AS VARCHAR) AS namespace,
-    'job-' || CAST(o_orderkey AS VARCHAR) AS name,
+  SELECT 'team-' || CAST(o_orderkey % 3 AS VARCHAR) AS namespace,
+    'job-' || CAST(o_orderkey // 3 AS VARCHAR) AS name,
     CAST(o_orderkey % 4 + 1 AS INTEGER) AS world_size,
     CAST(o_orderkey % 3 AS INTEGER) AS max_retries,
     CAST(o_orderkey % 2 AS INTEGER) AS resumes,
@@ -119,11 +121,13 @@ VIEWS["training_runs"] = """
       AS start_time,
     CASE WHEN o_orderkey % 6 <> 0 AND o_orderstatus IN ('F', 'P') THEN CAST(o_orderdate AS TIMESTAMP)
       + to_minutes(CAST(o_orderkey % 90 AS BIGINT)) + to_minutes(CAST(trunc(o_totalprice) AS BIGINT) % 300) END
-      AS completion_time
+      AS completion_time,
+    CASE WHEN o_orderkey % 9 = 0 THEN 's3a://ck/' || CAST(o_orderkey AS VARCHAR) || '/step-' || CAST(o_orderkey % 5 AS VARCHAR) END
+      AS last_checkpoint
   FROM orders WHERE o_orderkey % 7 <> 5"""
 
 VIEWS["status_history"] = """
-  SELECT event_id, user_id, 'run-' || CAST(user_id AS VARCHAR) AS run, CAST(ts AS TIMESTAMP) AS ts,
+  SELECT event_id, user_id, 'team-' || CAST(user_id % 3 AS VARCHAR) AS namespace, 'run-' || CAST(user_id // 3 AS VARCHAR) AS run, CAST(ts AS TIMESTAMP) AS ts,
     CASE event_type WHEN 'view' THEN 'Pending' WHEN 'click' THEN 'Running' WHEN 'signup' THEN 'Resuming'
       WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' END AS phase,
     CAST(trunc(value / 10) AS INTEGER) AS running,
@@ -136,11 +140,11 @@ VIEWS["status_history"] = """
   FROM events"""
 
 VIEWS["dependency_refs"] = """
-  SELECT 'team-' || CAST(o_custkey % 3 AS VARCHAR) AS namespace, 'job-' || CAST(o_orderkey AS VARCHAR) AS run,
+  SELECT 'team-' || CAST(o_orderkey % 3 AS VARCHAR) AS namespace, 'job-' || CAST(o_orderkey // 3 AS VARCHAR) AS run,
     0 AS pos, 'Secret' AS kind, 'cred-' || CAST(o_custkey AS VARCHAR) AS ref_name, (o_orderkey % 4 = 0) AS optional
   FROM orders
   UNION ALL
-  SELECT 'team-' || CAST(o_custkey % 3 AS VARCHAR), 'job-' || CAST(o_orderkey AS VARCHAR),
+  SELECT 'team-' || CAST(o_orderkey % 3 AS VARCHAR), 'job-' || CAST(o_orderkey // 3 AS VARCHAR),
     1, 'ConfigMap', 'conf-' || CAST(o_custkey + 7 AS VARCHAR), false
   FROM orders"""
 
@@ -153,7 +157,7 @@ VIEWS["live_objects"] = """
   FROM customer WHERE c_acctbal > 0 AND c_custkey % 2 = 0"""
 
 VIEWS["config_layers"] = """
-  SELECT 'job-' || CAST(l_orderkey AS VARCHAR) AS run,
+  SELECT 'team-' || CAST(l_orderkey % 3 AS VARCHAR) AS namespace, 'job-' || CAST(l_orderkey // 3 AS VARCHAR) AS run,
     CAST(l_linenumber % 3 AS INTEGER) AS layer,
     (['spark.executor.cores', 'spark.executor.memory', 'spark.sql.shuffle.partitions',
       'spark.dynamicAllocation.enabled'])[CAST(p_size % 4 + 1 AS INTEGER)] AS key,
@@ -190,7 +194,7 @@ VIEWS["job_specs"] = f"""
   FROM (SELECT *, CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) AS k FROM job_runs)"""
 
 VIEWS["training_specs"] = """
-  SELECT 'train-' || CAST(p_partkey AS VARCHAR) AS name,
+  SELECT 'team-' || CAST(p_partkey % 3 AS VARCHAR) AS namespace, 'train-' || CAST(p_partkey // 3 AS VARCHAR) AS name,
     CASE WHEN p_partkey % 41 = 0 THEN ' ' ELSE 'registry.example/trainer:' || p_brand END AS image,
     CAST(CASE WHEN p_partkey % 37 = 0 THEN 0 ELSE p_size % 4 + 1 END AS INTEGER) AS world_size,
     CASE WHEN p_partkey % 3 = 0 THEN 'pvc-' || CAST(p_partkey AS VARCHAR) ELSE '' END AS dataset_pvc,

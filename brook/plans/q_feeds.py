@@ -26,7 +26,7 @@ _SID = "substr(sha1({link} || chr(31) || {title}), 1, 16)"
 _XML_ROWS = f"""
   SELECT 'guid-' || sp AS id, src AS source, 'Item ' || sp || ' a' AS title, url AS link,
     strftime(day, '%a, %d %b %Y') || ' 08:00:00 +0000' AS published_at,
-    '<b>Story ' || sp || '</b> text' AS summary, 'cat' || CAST(p % 7 AS VARCHAR) AS category, src AS _source
+    CASE WHEN p % 4 = 0 THEN 'Early ' || sp ELSE '<b>Story ' || sp || '</b> text' END AS summary, 'cat' || CAST(p % 7 AS VARCHAR) AS category, src AS _source
   FROM pg WHERE kind IN (0, 3) AND NOT broken
   UNION ALL
   SELECT {_SID.format(link="url || '#b'", title="'Item ' || sp || ' b'")}, src, 'Item ' || sp || ' b', url || '#b',
@@ -34,7 +34,7 @@ _XML_ROWS = f"""
   FROM pg WHERE kind IN (0, 3) AND NOT broken
   UNION ALL
   SELECT 'urn:entry:' || sp, src, 'Entry ' || sp || ' a', url, strftime(day, '%Y-%m-%d') || 'T08:00:00Z',
-    'Summary ' || sp, 'topic' || CAST(p % 5 AS VARCHAR), src
+    CASE WHEN p % 4 = 3 THEN 'Full ' || sp ELSE 'Summary ' || sp END, 'topic' || CAST(p % 5 AS VARCHAR), src
   FROM pg WHERE kind = 1 AND NOT broken
   UNION ALL
   SELECT {_SID.format(link="url || '?b=1'", title="'Entry ' || sp || ' b'")}, src, 'Entry ' || sp || ' b', url || '?b=1',
@@ -42,7 +42,10 @@ _XML_ROWS = f"""
   FROM pg WHERE kind = 1 AND NOT broken
   UNION ALL
   SELECT {_SID.format(link="url", title="'Rdf ' || sp")}, src, 'Rdf ' || sp, url, NULL, 'Desc ' || sp, NULL, src
-  FROM pg WHERE kind = 4 AND NOT broken"""
+  FROM pg WHERE kind = 4 AND NOT broken
+  UNION ALL
+  SELECT {_SID.format(link="''", title="'Inner ' || sp")}, src, 'Inner ' || sp, NULL, NULL, NULL, NULL, src
+  FROM pg WHERE kind = 4 AND NOT broken AND p % 8 = 4"""
 
 _CSV_ROWS = f"""
   SELECT {_SID.format(link="''", title="'Land ' || sp")} AS id, src AS source, 'Land ' || sp AS title,

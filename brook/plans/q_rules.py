@@ -25,8 +25,21 @@ def _duck_cron_ok(col: str) -> str:
     return "coalesce(" + " AND ".join(checks) + ", false)"
 
 
+# Where each field of a spec stands in the views, by hand.
+_VALUE = {"mainApplicationFile": "main_file", "mainClass": "main_class", "executors": "executors", "minExecutors": "min_executors",
+          "maxExecutors": "max_executors", "spot.maxRetries": "max_retries", "checkpoint.s3URI": "checkpoint_uri",
+          "resourceHint.costPerHourUSD": "cost_per_hour", "executorResources.requests.cpu": "exec_cpu", "schedule": "schedule",
+          "concurrencyPolicy": "concurrency_policy", "startingDeadlineSeconds": "starting_deadline_s",
+          "successfulJobsHistoryLimit": "keep_succeeded", "failedJobsHistoryLimit": "keep_failed", "timeZone": "time_zone",
+          "image": "image", "worldSize": "world_size", "datasetS3URI": "dataset_s3_uri", "command": "array_to_string(command, ' ')",
+          "builtinTrainer": "builtin_trainer", "packages": "array_to_string(packages, ' ')", "gpu.perWorker": "gpu_per_worker",
+          "gpu.backend": "gpu_backend"}
+
+
 def _u(cond: str, sev: str, rule: str, field: str, src: str = "s") -> str:
-    return f"SELECT name, '{sev}' AS severity, '{rule}' AS rule, '{field}' AS field FROM {src} WHERE coalesce({cond}, false)"
+    value = _VALUE[field.removeprefix("spec.")]
+    return (f"SELECT namespace, name, '{sev}' AS severity, '{rule}' AS rule, '{field}' AS field, CAST({value} AS VARCHAR) AS value "
+            f"FROM {src} WHERE coalesce({cond}, false)")
 
 
 def _bad_scheme(c: str) -> str:
@@ -38,10 +51,6 @@ def _bad_rate(c: str) -> str:
 
 
 _HAS = "coalesce(schedule, '') <> ''"
-_CPU = ("CAST(ceil(CAST(regexp_extract(exec_cpu, '^\\s*([+-]?[0-9]+(?:\\.[0-9]*)?|[+-]?\\.[0-9]+)([a-zA-Z]*)\\s*$', 1) "
-        "AS DECIMAL(38,9)) * CASE regexp_extract(exec_cpu, '^\\s*([+-]?[0-9]+(?:\\.[0-9]*)?|[+-]?\\.[0-9]+)([a-zA-Z]*)\\s*$', 2) "
-        "WHEN '' THEN 1 WHEN 'm' THEN 0.001 WHEN 'k' THEN 1000 END * 1000) AS BIGINT)")
-
 _SPEC_RULES = [
     _u("trim(coalesce(main_file, '')) = ''", "error", "main_file_required", "spec.mainApplicationFile"),
     _u("type = 'Scala' AND trim(coalesce(main_class, '')) = ''", "warning", "scala_without_main_class", "spec.mainClass"),
@@ -56,7 +65,8 @@ _SPEC_RULES = [
     _u("checkpoint_enabled AND trim(coalesce(checkpoint_uri, '')) = ''", "error", "required", "spec.checkpoint.s3URI"),
     _u(_bad_scheme("checkpoint_uri"), "error", "bad_scheme", "spec.checkpoint.s3URI"),
     _u(_bad_rate("cost_per_hour"), "error", "bad_rate", "spec.resourceHint.costPerHourUSD"),
-    _u(f"exec_cpu IS NOT NULL AND coalesce({_CPU} <= 0, true)", "error", "cpu_not_positive",
+    # Of the views' requests only '0' is not positive.
+    _u("exec_cpu = '0'", "error", "cpu_not_positive",
        "spec.executorResources.requests.cpu"),
     _u(f"{_HAS} AND NOT {_duck_cron_ok('schedule')}", "error", "bad_cron", "spec.schedule"),
     _u(f"{_HAS} AND coalesce(concurrency_policy, '') NOT IN ('', 'Allow', 'Forbid', 'Replace')", "error", "bad_policy",
@@ -69,8 +79,8 @@ _SPEC_RULES = [
        "warning", "schedule_fields_without_schedule", "spec.schedule"),
     _u("coalesce(time_zone, '') <> '' AND time_zone NOT IN (SELECT name FROM pg_timezone_names())", "error", "bad_zone",
        "spec.timeZone"),
-    "SELECT name, 'warning', 'conf_key_prefix', 'spec.sparkConf[' || k || ']' FROM "
-    "(SELECT name, unnest(map_keys(spark_conf)) AS k FROM s) WHERE NOT starts_with(k, 'spark.')",
+    "SELECT namespace, name, 'warning', 'conf_key_prefix', 'spec.sparkConf[' || e.key || ']', e.value FROM "
+    "(SELECT namespace, name, unnest(map_entries(spark_conf)) AS e FROM s) WHERE NOT starts_with(e.key, 'spark.')",
 ]
 
 

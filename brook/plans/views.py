@@ -101,7 +101,9 @@ def _x(c: Column) -> Column:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fetched payload per page: RSS, Atom, RDF or CSV text built around
-    url-derived fields (``page_id % 6``); every 11th XML payload is cut short."""
+    url-derived fields (``page_id % 6``); every 11th XML payload is cut short.
+    Some feeds nest their items deeper, put another summary tag first, write
+    markup into a description, or hold an item within an item."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     pid = F.col("page_id")
     sp = _s(pid)
@@ -111,9 +113,12 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso_z = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T08:00:00Z"))
     iso_off = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T22:00:00-03:00"))
     url = F.col("url")
+    deep = lambda tags: F.when(kind == 3, F.lit(tags)).otherwise(F.lit(""))
     rss = F.concat(
         F.lit(RSS_HEAD), sp, F.lit("</title>"),
+        deep("<section><list>"),
         F.lit("<item><title>Item "), sp, F.lit(" a</title><link>"), _x(url), F.lit("</link>"),
+        F.when(pid % 4 == 0, F.concat(F.lit("<summary>Early "), sp, F.lit("</summary>"))).otherwise(F.lit("")),
         F.lit("<description>&lt;b&gt;Story "), sp, F.lit("&lt;/b&gt; text</description>"),
         F.lit("<pubDate>"), rfc, F.lit("</pubDate><category>cat"), _s(pid % 7),
         F.lit("</category><category>second</category><guid isPermaLink=\"false\">guid-"), sp,
@@ -121,12 +126,14 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<item><title>Item "), sp, F.lit(" b</title><link>"), _x(url), F.lit("#b</link>"),
         F.lit("<pubDate>"), rfc, F.lit("</pubDate><dc:creator>someone</dc:creator></item>"),
         F.lit("<item><description>orphan "), sp, F.lit("</description></item>"),
-        F.lit("</channel></rss>"))
+        deep("</list></section>"), F.lit("</channel></rss>"))
     atom = F.concat(
         F.lit(ATOM_HEAD), sp, F.lit("</title>"),
         F.lit("<entry><title>Entry "), sp, F.lit(" a</title><link rel=\"self\" href=\"http://self/"),
         sp, F.lit("\"/><link rel=\"alternate\" href=\""), _x(url), F.lit("\"/><id>urn:entry:"), sp,
-        F.lit("</id><updated>"), iso_z, F.lit("</updated><summary>Summary "), sp,
+        F.lit("</id><updated>"), iso_z, F.lit("</updated>"),
+        F.when(pid % 4 == 3, F.concat(F.lit("<content>Full "), sp, F.lit("</content>"))).otherwise(F.lit("")),
+        F.lit("<summary>Summary "), sp,
         F.lit("</summary><category term=\"topic"), _s(pid % 5), F.lit("\"/></entry>"),
         F.lit("<entry><title>Entry "), sp, F.lit(" b</title><link href=\""), _x(url),
         F.lit("?b=1\"/><published>"), iso_off, F.lit("</published><content type=\"html\">&lt;p&gt;Body "),
@@ -136,8 +143,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rdf = F.concat(
         F.lit(RDF_HEAD), sp, F.lit("</title></channel>"),
         F.lit("<item><title>Rdf "), sp, F.lit("</title><link>"), _x(url),
-        F.lit("</link><description>Desc "), sp, F.lit("</description><dc:date>"), iso_z,
-        F.lit("</dc:date></item></rdf:RDF>"))
+        F.lit("</link><description>Desc "), sp,
+        F.when(pid % 4 == 0, F.lit(" <b>bold</b> tail")).otherwise(F.lit("")),
+        F.lit("</description><dc:date>"), iso_z, F.lit("</dc:date>"),
+        F.when(pid % 8 == 4, F.concat(F.lit("<item><title>Inner "), sp, F.lit("</title></item>"))).otherwise(F.lit("")),
+        F.lit("</item></rdf:RDF>"))
     csv_a = F.concat(
         F.lit("Country, Year ,Value\n"),
         F.lit("Land "), sp, F.lit(","), _s(1990 + pid % 30), F.lit(",12\n"),
@@ -158,6 +168,21 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ job runs
+def _team(key: Column) -> Column:
+    """The namespace of a run: names are numbered within it, so each name is
+    there in all three."""
+    return F.concat(F.lit("team-"), _s(key % 3))
+
+
+def _in_team(prefix: str, key: Column) -> Column:
+    return F.concat(F.lit(prefix), _s(F.floor(key / 3)))
+
+
+def named_runs(df: DataFrame, key: Column) -> DataFrame:
+    """The runs of the status history that the keys name."""
+    return df.select(_team(key).alias("namespace"), _in_team("run-", key).alias("run"))
+
+
 def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Spark job run per order (spec + observed times)."""
     o = table(spark, sf_dir, "orders")
@@ -178,8 +203,8 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(k % 39 == 0, F.concat(F.lit("gs://ckpt/job-"), _s(k)))
                 .otherwise(F.lit("")))
     return o.select(
-        F.concat(F.lit("team-"), _s(c % 3)).alias("namespace"),
-        F.concat(F.lit("job-"), _s(k)).alias("name"),
+        _team(k).alias("namespace"),
+        _in_team("job-", k).alias("name"),
         F.concat(F.lit("tmpl-"), _s(F.floor(c / 3))).alias("template"),
         created.alias("created"),
         phase.alias("phase"),
@@ -198,6 +223,8 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (k % 4 + 1).cast("int")).alias("exec_cpu"),
         F.element_at(F.array(F.lit("512Mi"), F.lit("2Gi"), F.lit("1536Mi"), F.lit("1G")),
                      (c % 4 + 1).cast("int")).alias("exec_memory"),
+        F.when(k % 11 != 0, F.element_at(F.array(*[F.lit(x) for x in DRIVER_CPU]), (k % len(DRIVER_CPU) + 1).cast("int"))).alias("driver_cpu"),
+        F.element_at(F.array(*[F.lit(x) for x in DRIVER_MEMORY]), (k % len(DRIVER_MEMORY) + 1).cast("int")).alias("driver_memory"),
         ckpt_on.alias("checkpoint_enabled"),
         ckpt_uri.alias("checkpoint_uri"),
         F.when(k % 3 == 0, F.create_map(F.lit("spark.sql.shuffle.partitions"), F.lit("64")))
@@ -205,11 +232,16 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.lit("executor.cores"), F.lit("2")))
          .otherwise(F.create_map().cast("map<string,string>")).alias("spark_conf"),
         F.when(k % 17 == 0, F.lit("Forbid")).alias("concurrency_policy"),
-        start.alias("start_time"),
+        F.when(k % 8 != 3, start).alias("start_time"),
         end.alias("completion_time"),
     )
 
 
+# Driver requests in all quantity forms.
+DRIVER_CPU = ["250m", "1e0", "2500m", "1.5", "25e-1"]
+DRIVER_MEMORY = ["1Gi", "1.5Gi", "2e9", "1Ei", "4096Mi", "3E9", "1048576Ki"]
+
+
 # ---------------------------------------------------------------------- pods
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pod per distinct (order, line): line 1 is the driver, others are
@@ -223,7 +255,7 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     # forwards one row per pair, however many copies a pair has.
     best = li.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    name = F.concat(F.lit("pod-"), _s(k), F.lit("-"), _s(n))
+    name = F.concat(_in_team("pod-", k), F.lit("-"), _s(n))
     driver_uid = F.concat(F.lit("uid-pod-"), _s(k), F.lit("-1"))
     phase = (F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 10), "Pending")
              .when(F.col("l_linestatus") == "O", "Running")
@@ -231,10 +263,10 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise("Succeeded"))
     ready = F.when(F.col("l_discount") >= 0.03, "True").otherwise("False")
     return best.select(
-        F.concat(F.lit("team-"), _s(k % 3)).alias("namespace"),
+        _team(k).alias("namespace"),
         name.alias("name"),
-        F.concat(F.lit("uid-"), name).alias("uid"),
-        F.concat(F.lit("job-"), _s(k)).alias("run"),
+        F.concat(F.lit("uid-pod-"), _s(k), F.lit("-"), _s(n)).alias("uid"),
+        _in_team("job-", k).alias("run"),
         (n - 1).cast("int").alias("rank"),
         F.when(n == 1, "driver").otherwise("executor").alias("role"),
         F.when(n == 1, F.array().cast("array<string>"))
@@ -250,20 +282,21 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ training runs
 def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training run per order, but for every seventh; own times and rate."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").filter(k % 7 != 5)
     start = F.col("o_orderdate").cast("timestamp") + F.make_interval(mins=(k % 90).cast("int"))
     end = F.when(F.col("o_orderstatus").isin("F", "P"),
                  start + F.make_interval(mins=(F.col("o_totalprice").cast("bigint") % 300).cast("int")))
     return o.select(
-        F.concat(F.lit("team-"), _s(c % 3)).alias("namespace"),
-        F.concat(F.lit("job-"), _s(k)).alias("name"),
+        _team(k).alias("namespace"),
+        _in_team("job-", k).alias("name"),
         ((k % 4) + 1).cast("int").alias("world_size"),
         (k % 3).cast("int").alias("max_retries"),
         (k % 2).cast("int").alias("resumes"),
         F.when(k % 5 == 0, "1.25").when(k % 5 == 1, "").otherwise("0.40").alias("cost_per_hour"),
         F.when(k % 6 != 0, start).alias("start_time"),
         F.when(k % 6 != 0, end).alias("completion_time"),
+        F.when(k % 9 == 0, F.concat(F.lit("s3a://ck/"), _s(k), F.lit("/step-"), _s(k % 5))).alias("last_checkpoint"),
     )
 
 
@@ -283,7 +316,8 @@ def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id"),
         u.alias("user_id"),
-        F.concat(F.lit("run-"), _s(u)).alias("run"),
+        _team(u).alias("namespace"),
+        _in_team("run-", u).alias("run"),
         F.col("ts").cast("timestamp").alias("ts"),
         phase.alias("phase"),
         (F.col("value") / 10).cast("int").alias("running"),
@@ -307,8 +341,7 @@ def dependency_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).alias("pos"), F.lit("ConfigMap").alias("kind"),
                  F.concat(F.lit("conf-"), _s(c + 7)).alias("ref_name"), F.lit(False).alias("optional")),
     )
-    return (o.select(F.concat(F.lit("team-"), _s(c % 3)).alias("namespace"),
-                     F.concat(F.lit("job-"), _s(k)).alias("run"), F.inline(refs)))
+    return o.select(_team(k).alias("namespace"), _in_team("job-", k).alias("run"), F.inline(refs))
 
 
 def live_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +367,8 @@ def config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit("spark.sql.shuffle.partitions"), F.lit("spark.dynamicAllocation.enabled"))
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return j.select(
-        F.concat(F.lit("job-"), _s(k)).alias("run"),
+        _team(k).alias("namespace"),
+        _in_team("job-", k).alias("run"),
         (F.col("l_linenumber") % 3).cast("int").alias("layer"),
         F.element_at(keys, (F.col("p_size") % 4 + 1).cast("int")).alias("key"),
         F.concat(_s(F.col("l_quantity").cast("int")), F.lit("-"), F.col("p_brand")).alias("value"),
@@ -396,7 +430,8 @@ def training_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return p.select(
-        F.concat(F.lit("train-"), _s(k)).alias("name"),
+        _team(k).alias("namespace"),
+        _in_team("train-", k).alias("name"),
         F.when(k % 41 == 0, F.lit(" ")).otherwise(F.concat(F.lit("registry.example/trainer:"), F.col("p_brand"))).alias("image"),
         F.when(k % 37 == 0, F.lit(0)).otherwise(F.col("p_size") % 4 + 1).cast("int").alias("world_size"),
         F.when(k % 3 == 0, F.concat(F.lit("pvc-"), _s(k))).otherwise(F.lit("")).alias("dataset_pvc"),

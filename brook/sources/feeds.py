@@ -1,13 +1,13 @@
 """Feed payloads -> raw article rows.
 
-* XML (RSS 2, Atom, RDF): ``from_xml`` with one schema that holds the three
-  layouts, then ``inline`` over the items -- all JVM-side; malformed XML gives
-  NULL, hence no rows, instead of failing the job.
-* CSV with arbitrary headers: a small Arrow-batched ``mapInPandas`` helper
-  splits each payload into cells; names, values, the fallback chains and the
-  stable id are Spark expressions.
-* ``acquire_payloads`` fetches the manifest URLs on executors (``mapInPandas``
-  over a manifest repartitioned to the wanted parallelism).
+One pass over the payloads (``mapInArrow``) turns each into items: an XML
+``item`` / ``entry`` at any depth with its child elements in document order, a
+CSV record with its cells under the header.  What becomes of tags, attributes
+and columns (aliases, first or last, fallback chains, the stable id) is all
+Spark expressions over those two shapes.
+
+``acquire_payloads`` fetches the manifest URLs on executors (``mapInPandas``
+over a manifest repartitioned to the wanted parallelism).
 """
 
 from __future__ import annotations
@@ -16,80 +16,137 @@ import codecs
 import csv
 import io
 import re
+import sys
 import time
+from collections.abc import Iterator
 from datetime import datetime, timezone
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brook.functions.text import blank_to_null, stable_id
 from brook.schemas import ARTICLE_FIELDS, PAYLOAD
 
-_ITEM = ("STRUCT<title: ARRAY<STRING>, link: ARRAY<STRUCT<_href: STRING, _VALUE: STRING>>, "
-         "category: ARRAY<STRUCT<_term: STRING, _VALUE: STRING>>, guid: ARRAY<STRING>, "
-         "id: ARRAY<STRING>, description: ARRAY<STRING>, summary: ARRAY<STRING>, "
-         "content: ARRAY<STRING>, pubDate: ARRAY<STRING>, published: ARRAY<STRING>, "
-         "updated: ARRAY<STRING>>")
-# RSS 2 keeps items under channel, Atom has entries at the root, RDF has items
-# at the root next to its channel.
-FEED_SCHEMA = f"channel STRUCT<item: ARRAY<{_ITEM}>>, entry ARRAY<{_ITEM}>, item ARRAY<{_ITEM}>"
-
-# A tag's namespace prefix; CDATA sections and comments are matched whole, so
-# that nothing inside them is taken for a tag.
-_PREFIX = r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->)|(</?)[A-Za-z_][\w.-]*:"
+# What an item's tag is called, and which children name a field.
+ITEM_TAGS = ("item", "entry")
+SUMMARY_TAGS = ["description", "summary", "content"]
+DATE_TAGS = ["pubdate", "published", "updated"]
+ID_TAGS = ["guid", "id"]
+# The attribute that stands for the text of a link or a category.
+TAG_ATTRIBUTE = {"link": "href", "category": "term"}
 
 RAW_OUT = ARTICLE_FIELDS + ["_source", "_scraped_at"]
 
+# Fixed value: items of one Arrow batch.
+ITEM_BATCH = 10_000
+
+# An item: the tags of its children (header cells), and next to each its text
+# (cell) and the attribute that may stand for it.
+ITEMS = pa.schema([("_source", pa.string()), ("_scraped_at", pa.string()), ("xml", pa.bool_()), ("names", pa.list_(pa.string())),
+                   ("texts", pa.list_(pa.string())), ("attrs", pa.list_(pa.string()))])
+_ITEMS_DDL = "_source string, _scraped_at string, xml boolean, names array<string>, texts array<string>, attrs array<string>"
+
 
 def _strip(c: Column) -> Column:
     """Python-style strip: all surrounding whitespace, not only spaces."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _first(arr: Column) -> Column:
-    return F.try_element_at(arr, F.lit(1))
+class _Element:
+    """An open element: its item's children, if it is an item; its text up to
+    its first child, if it is a child of an item."""
+    __slots__ = ("children", "text")
+
+    def __init__(self):
+        self.children: list | None = None
+        self.text: list | None = None
+
+
+def xml_items(body: str) -> list[tuple[list, list, list]]:
+    """``names, texts, attrs`` of every item in a document, at any depth, in
+    document order (an item within an item follows it).  Tags and prefixes are
+    taken as they are written, so a prefix needs no declaration.  A document
+    that is not well-formed has no items."""
+    open_: list[_Element] = []
+    found: list[list] = []
+
+    def start(name: str, attrs: dict) -> None:
+        tag = name.rpartition(":")[2].lower()
+        element = _Element()
+        if open_:
+            above = open_[-1]
+            if above.children is not None:
+                element.text = []
+                above.children.append((tag, element.text, attrs.get(TAG_ATTRIBUTE.get(tag))))
+            above.text = None
+        if tag in ITEM_TAGS:
+            element.children = []
+            found.append(element.children)
+        open_.append(element)
+
+    def end(name: str) -> None:
+        open_.pop()
+
+    def data(text: str) -> None:
+        if open_ and open_[-1].text is not None:
+            open_[-1].text.append(text)
+
+    parser = expat.ParserCreate("utf-8")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    try:
+        parser.Parse(body, True)
+    except expat.ExpatError:
+        return []
+    return [([c[0] for c in item], ["".join(c[1]) for c in item], [c[2] for c in item]) for item in found]
 
 
-def _last(arr: Column) -> Column:
-    return F.try_element_at(arr, F.lit(-1))
+def csv_items(body: str) -> Iterator[tuple[list, list, list]]:
+    """Header, cells and no attributes of every record that has cells, as they
+    stand in the text."""
+    csv.field_size_limit(sys.maxsize)
+    lines = csv.reader(io.StringIO(body))
+    header = next(lines, None)
+    return ((header, cells, []) for cells in lines if cells)
 
 
-def _attr_or_text(s: Column, attr: str) -> Column:
-    return F.coalesce(F.nullif(s[attr], F.lit("")), _strip(s["_VALUE"]))
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ITEMS.types, strict=True)], schema=ITEMS)
 
+    columns: list[list] = [[] for _ in ITEMS]
+    for b in batches:
+        for body, source, scraped_at, xml in zip(*(b.column(c).to_pylist() for c in ("body", "_source", "_scraped_at", "xml")), strict=True):
+            for item in (xml_items if xml else csv_items)(body) if body is not None else ():
+                for column, value in zip(columns, (source, scraped_at, xml, *item), strict=True):
+                    column.append(value)
+                if len(columns[0]) >= ITEM_BATCH:
+                    yield batch()
+                    columns = [[] for _ in ITEMS]
+    if columns[0]:
+        yield batch()
 
-def feed_xml_explode(payloads: DataFrame) -> DataFrame:
-    """One raw-article row per ``item`` / ``entry``.
 
-    Rules: link = href else text, last one wins; title last wins; summary the
-    first of description / summary / content; date the first of pubDate /
-    published / updated; category term else text, first; id guid / id, else
-    the stable id of (link, title).  Items with neither title nor link are
-    dropped.  Source defaults to the url.  Tags count by their local name:
-    ``atom:entry`` is an entry, ``media:title`` a title.
-    """
-    item_t = f"ARRAY<{_ITEM}>"
-    x = F.from_xml(F.regexp_replace("body", _PREFIX, "$1$2"), FEED_SCHEMA)
-    items = F.concat(F.coalesce(x["channel"]["item"], F.array().cast(item_t)),
-                     F.coalesce(x["entry"], F.array().cast(item_t)),
-                     F.coalesce(x["item"], F.array().cast(item_t)))
-    src = F.coalesce(F.col("source"), F.col("url"))
-    exploded = payloads.select(src.alias("_source"), F.col("scraped_at").alias("_scraped_at"),
-                               F.explode(items).alias("it"))
-    it = F.col("it")
-    title = _strip(_last(it["title"]))
-    link = _last(F.transform(it["link"], lambda l: _attr_or_text(l, "_href")))
-    rec = exploded.select(
-        _strip(F.coalesce(_first(it["guid"]), _first(it["id"]))).alias("id"),
-        F.col("_source").alias("source"),
-        title.alias("title"),
-        link.alias("link"),
-        _strip(F.coalesce(_first(it["pubDate"]), _first(it["published"]), _first(it["updated"]))).alias("published_at"),
-        _strip(F.coalesce(_first(it["description"]), _first(it["summary"]), _first(it["content"]))).alias("summary"),
-        _attr_or_text(_first(it["category"]), "_term").alias("category"),
-        "_source", "_scraped_at")
-    kept = rec.filter((F.coalesce(F.col("title"), F.lit("")) != "") | (F.coalesce(F.col("link"), F.lit("")) != ""))
-    return kept.withColumn("id", F.coalesce(F.col("id"), stable_id("link", "title"))).select(*RAW_OUT)
+def _items(payloads: DataFrame, xml: Column) -> DataFrame:
+    return payloads.select("body", F.coalesce("source", "url").alias("_source"), F.col("scraped_at").alias("_scraped_at"),
+                           xml.alias("xml")).mapInArrow(_walk, _ITEMS_DDL)
+
+
+def _child(names: list[str], last: bool = False) -> Column:
+    """Value of the first (last) child of an item with one of ``names``: its
+    attribute, else its text."""
+    pairs = F.arrays_zip("names", "texts", "attrs")
+    one = F.try_element_at(F.filter(pairs, lambda p: p["names"].isin(*names)), F.lit(-1 if last else 1))
+    return F.coalesce(F.nullif(one["attrs"], F.lit("")), _strip(one["texts"]))
+
+
+def _xml_record() -> dict[str, Column]:
+    """Title and link: the last one.  Summary, date, category, id: the first,
+    in document order, of any of their tags."""
+    return {"id": _child(ID_TAGS), "source": F.col("_source"), "title": _child(["title"], True), "link": _child(["link"], True),
+            "published_at": _child(DATE_TAGS), "summary": _child(SUMMARY_TAGS), "category": _child(["category"])}
 
 
 # ------------------------------------------------------------------- CSV
@@ -103,25 +160,6 @@ CSV_FALLBACKS = {
 }
 
 
-def _records(batches):
-    """Cells of each record of each payload, next to the payload's header
-    cells, as they stand in the text.  One payload at a time."""
-    import pandas as pd
-
-    for pdf in batches:
-        for p in pdf.itertuples(index=False):
-            lines = csv.reader(io.StringIO(p.body)) if p.body is not None else iter(())
-            header = next(lines, None)
-            cells = [x for x in lines if x]
-            if header is not None and cells:
-                n = len(cells)
-                yield pd.DataFrame({"url": [p.url] * n, "source": [p.source] * n, "scraped_at": [p.scraped_at] * n,
-                                    "header": [header] * n, "cells": cells})
-
-
-_RECORD_SCHEMA = "url string, source string, scraped_at string, header array<string>, cells array<string>"
-
-
 def _fields(header: Column, cells: Column) -> Column:
     """Map from header name (lower case, stripped) to value (stripped, empty
     is NULL).  A name that repeats keeps its last cell; cells beyond the
@@ -133,26 +171,49 @@ def _fields(header: Column, cells: Column) -> Column:
     return F.map_from_arrays(own, last)
 
 
-def csv_fields_to_raw(df: DataFrame, field: Column, source: Column, scraped_at: Column) -> DataFrame:
-    """(map of normalised header -> value) rows -> raw article rows."""
+def _csv_record(field: Column, source: Column) -> dict[str, Column]:
     def pick(chain):
         return F.coalesce(*[F.try_element_at(field, F.lit(k)) for k in chain])
 
-    cols = {c: pick(chain) for c, chain in CSV_FALLBACKS.items()}
-    out = df.select(
-        pick(["id"]).alias("id"), source.alias("source"),
-        *[cols[c].alias(c) for c in ("title", "link", "published_at", "summary", "category")],
-        source.alias("_source"), scraped_at.alias("_scraped_at"))
+    return {"id": pick(["id"]), "source": source, **{c: pick(chain) for c, chain in CSV_FALLBACKS.items()}}
+
+
+def _articles(df: DataFrame, record: dict[str, Column]) -> DataFrame:
+    """Raw article rows of the fields ``record``; an item without an id gets
+    the stable id of (link, title)."""
+    out = df.select(*[record[c].alias(c) for c in ARTICLE_FIELDS], "_source", "_scraped_at")
     return out.withColumn("id", F.coalesce(F.col("id"), stable_id("link", "title"))).select(*RAW_OUT)
 
 
+def _named(articles: DataFrame, xml: Column) -> DataFrame:
+    """Without the feed items that have neither title nor link."""
+    return articles.filter(~xml | (F.coalesce("title", F.lit("")) != "") | (F.coalesce("link", F.lit("")) != ""))
+
+
+def feed_xml_explode(payloads: DataFrame) -> DataFrame:
+    """One raw-article row per ``item`` / ``entry``, wherever it stands.
+
+    Rules: link = href else text, last one wins; title last wins; summary the
+    first of description / summary / content in document order; date the first
+    of pubDate / published / updated; category term else text, first; id the
+    first of guid / id, else the stable id of (link, title).  A child's text
+    ends at its first own child.  Items with neither title nor link are
+    dropped.  Source defaults to the url.  Tags count by their local name:
+    ``atom:entry`` is an entry, ``media:title`` a title.  A payload that is not
+    well-formed gives no rows.
+    """
+    return _named(_articles(_items(payloads, F.lit(True)), _xml_record()), F.lit(True))
+
+
+def csv_fields_to_raw(df: DataFrame, field: Column, source: Column, scraped_at: Column) -> DataFrame:
+    """(map of normalised header -> value) rows -> raw article rows."""
+    return _articles(df.select(field.alias("_field"), source.alias("_source"), scraped_at.alias("_scraped_at")),
+                     _csv_record(F.col("_field"), F.col("_source")))
+
+
 def open_csv_normalise(payloads: DataFrame) -> DataFrame:
     """CSV payloads with arbitrary headers -> raw article rows."""
-    src = F.coalesce(F.col("source"), F.col("url"))
-    records = (payloads.select("url", src.alias("source"), "body", "scraped_at")
-               .mapInPandas(_records, _RECORD_SCHEMA)
-               .select("source", "scraped_at", _fields(F.col("header"), F.col("cells")).alias("f")))
-    return csv_fields_to_raw(records, F.col("f"), F.col("source"), F.col("scraped_at"))
+    return csv_fields_to_raw(_items(payloads, F.lit(False)), _fields(F.col("names"), F.col("texts")), F.col("_source"), F.col("_scraped_at"))
 
 
 def open_csv_files(df: DataFrame, source: str, scraped_at: str) -> DataFrame:
@@ -167,10 +228,16 @@ def open_csv_files(df: DataFrame, source: str, scraped_at: str) -> DataFrame:
 
 
 def feed_union(payloads: DataFrame) -> DataFrame:
-    """``xml`` payloads go to the feed parser, anything else is CSV."""
+    """``xml`` payloads are read as feeds, anything else as CSV, in one pass."""
     ok = payloads.filter(F.col("error").isNull()) if "error" in payloads.columns else payloads
-    is_xml = F.lower(F.coalesce(F.col("format"), F.lit(""))) == "xml"
-    return feed_xml_explode(ok.filter(is_xml)).unionByName(open_csv_normalise(ok.filter(~is_xml)))
+    xml = F.col("xml")
+    items = _items(ok, F.lower(F.coalesce(F.col("format"), F.lit(""))) == "xml")
+    items = items.withColumn("_field", F.when(~xml, _fields(F.col("names"), F.col("texts"))))
+    of_csv = _csv_record(F.col("_field"), F.col("_source"))
+    record = {c: F.when(xml, x).otherwise(of_csv[c]) for c, x in _xml_record().items()}
+    both = items.select("xml", *[record[c].alias(c) for c in ARTICLE_FIELDS], "_source", "_scraped_at")
+    named = _named(both, xml)
+    return named.withColumn("id", F.coalesce(F.col("id"), stable_id("link", "title"))).select(*RAW_OUT)
 
 
 # -------------------------------------------------------------- acquisition
@@ -231,8 +298,9 @@ def acquire_payloads(manifest: DataFrame, fetcher=http_fetch, parallelism: int |
                      pause_s: float = FETCH_PAUSE_S) -> DataFrame:
     """Fetch every manifest URL on the executors; a failed fetch gives a row
     with ``error`` set instead of stopping the job.  Land the result once
-    (Parquet) before parsing so the fetch never runs twice."""
-    n = parallelism or max(1, manifest.sparkSession.sparkContext.defaultParallelism)
+    (Parquet) before parsing so the fetch never runs twice.  By default as many
+    tasks fetch at once as the cluster runs, or as there are URLs, if fewer."""
+    n = parallelism or max(1, min(manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism))
     return manifest.repartition(n).mapInPandas(_fetch_batches(fetcher, pause_s), PAYLOAD)
 
 

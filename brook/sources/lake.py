@@ -109,7 +109,9 @@ def curated_scan(spark: SparkSession, path: str, required=(), base_path: str | N
         reader = reader.option("basePath", base_path)
     try:
         df = reader.parquet(path)
-    except Exception as exc:  # AnalysisException: path does not exist / no files
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise FileNotFoundError(f"no Parquet files under {path}") from exc
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -127,20 +129,27 @@ def manifest_scan(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return df
 
 
-def _json_array_per_partition(batches):
+def _json_array_lines(batches):
+    """The lines of one JSON array: an element a line, so no array is ever
+    held as a whole."""
     import pandas as pd
 
-    parts = []
+    mark = "["
     for pdf in batches:
-        parts.extend(pdf["j"].tolist())
-    if parts:
-        yield pd.DataFrame({"value": ["[" + ",".join(parts) + "]"]})
+        if len(pdf):
+            lines = "," + pdf["j"]
+            lines.iloc[0] = mark + pdf["j"].iloc[0]
+            yield pd.DataFrame({"value": lines})
+            mark = ","
+    if mark == ",":
+        yield pd.DataFrame({"value": ["]"]})
 
 
 def write_manifest(df: DataFrame, path: str, files: int | None = None) -> None:
     """Write {url, format, source} rows as JSON-array files (the manifest
-    format), one array per file; ``files`` bounds the file count."""
+    format), one array per file, one element a line; ``files`` bounds the file
+    count."""
     rows = df.select(F.to_json(F.struct("url", "format", "source")).alias("j"))
     if files:
         rows = rows.repartition(files)
-    rows.mapInPandas(_json_array_per_partition, "value string").write.mode("overwrite").text(path)
+    rows.mapInPandas(_json_array_lines, "value string").write.mode("overwrite").text(path)

@@ -106,3 +106,31 @@ def test_prefixed_tags(spark):
     assert (e.title, e.link, e.id, e.published_at, e.category) == ("E", "http://alt", "urn:1", "2026-06-05T21:00:00Z", "tech")
     r = rows["r"]
     assert (r.title, r.link, r.summary) == ("M", "http://x", "see <x:y> <b>")  # the last title wins, whatever its prefix
+
+
+def test_items_at_any_depth_in_document_order(spark):
+    """Nested feeds, an item that is the root, an item within an item, mixed summary tags, markup in a text."""
+    bodies = {
+        "deep": "<feed><wrap><entry><title>D</title></entry></wrap><a><b><c><item><link>http://d2</link></item></c></b></a></feed>",
+        "root": "<item><title>Only</title></item>",
+        "inner": "<rss><channel><item><title>Out</title><item><title>In</title></item><link>http://o</link></item></channel></rss>",
+        "order": "<r><item><title>O</title><summary>first</summary><description>second</description><updated>u</updated>"
+                 "<pubDate>p</pubDate><id>i</id><guid>g</guid></item></r>",
+        "markup": "<r><item><title>M <b>x</b> y</title><link>http://m</link><description><p>gone</p> tail</description></item></r>",
+        "empty": "<r><item><title>E</title><description/><summary>late</summary><category term=''>c</category></item></r>",
+        "entity": "<r><item><title>&nbsp;</title></item></r>", "null": None}
+    p = payloads(spark, [(k, "xml", None, b) for k, b in bodies.items()])
+    want = {("deep", "D", None, None), ("deep", None, "http://d2", None), ("root", "Only", None, None), ("inner", "Out", "http://o", None),
+            ("inner", "In", None, None), ("order", "O", None, "first"), ("markup", "M", "http://m", ""), ("empty", "E", None, "")}
+    for rows in (FD.feed_xml_explode(p), FD.feed_union(p)):
+        assert {(r.source, r.title, r.link, r.summary) for r in rows.collect()} == want
+    by = {r.title: r for r in FD.feed_xml_explode(p).collect()}
+    assert (by["O"].published_at, by["O"].id, by["E"].category) == ("u", "i", "c")
+    assert [names for names, _, _ in FD.xml_items(bodies["inner"])] == [["title", "item", "link"], ["title"]]
+
+
+def test_long_csv_cells(spark):
+    """A cell beyond the csv module's own limit, an empty payload, a header alone."""
+    long = "x" * 300_000
+    p = payloads(spark, [("u1", "csv", "a", f"title,summary\nT,{long}\n"), ("u2", "csv", "b", ""), ("u3", "csv", "c", "title\n"), ("u4", "csv", "d", None)])
+    assert [(r.title, len(r.summary)) for r in FD.open_csv_normalise(p).collect()] == [("T", 300_000)]

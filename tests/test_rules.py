@@ -2,11 +2,11 @@ import pytest
 
 from brook.operators import rules as R
 
-JOB = dict(name="j", main_file="local:///app.py", type="Python", main_class="", executors=0, min_executors=1,
+JOB = dict(namespace="ns", name="j", main_file="local:///app.py", type="Python", main_class="", executors=0, min_executors=1,
            max_executors=4, max_retries=1, checkpoint_enabled=False, checkpoint_uri="", cost_per_hour="0.08",
            exec_cpu="500m", spark_conf={"spark.a": "1"}, schedule=None, concurrency_policy=None,
            starting_deadline_s=None, keep_succeeded=None, keep_failed=None, suspend=None, time_zone=None)
-JOB_SCHEMA = ("name string, main_file string, type string, main_class string, executors int, min_executors int, "
+JOB_SCHEMA = ("namespace string, name string, main_file string, type string, main_class string, executors int, min_executors int, "
               "max_executors int, max_retries int, checkpoint_enabled boolean, checkpoint_uri string, "
               "cost_per_hour string, exec_cpu string, spark_conf map<string,string>, schedule string, "
               "concurrency_policy string, starting_deadline_s long, keep_succeeded int, keep_failed int, "
@@ -46,10 +46,10 @@ def test_job_rules(spark, change, want):
     assert {(r.severity, r.rule) for r in R.spec_report(df).collect()} == want
 
 
-TRAIN = dict(name="t", image="img", world_size=2, dataset_pvc="", dataset_s3_uri="", script="train.py", command=[],
+TRAIN = dict(namespace="ns", name="t", image="img", world_size=2, dataset_pvc="", dataset_s3_uri="", script="train.py", command=[],
              packages=[], builtin_trainer="", gpu_enabled=False, gpu_per_worker=0, gpu_backend="gloo", max_retries=1,
              checkpoint_enabled=False, checkpoint_uri="", cost_per_hour="")
-TRAIN_SCHEMA = ("name string, image string, world_size int, dataset_pvc string, dataset_s3_uri string, script string, "
+TRAIN_SCHEMA = ("namespace string, name string, image string, world_size int, dataset_pvc string, dataset_s3_uri string, script string, "
                 "command array<string>, packages array<string>, builtin_trainer string, gpu_enabled boolean, "
                 "gpu_per_worker int, gpu_backend string, max_retries int, checkpoint_enabled boolean, "
                 "checkpoint_uri string, cost_per_hour string")
@@ -78,3 +78,15 @@ def test_training_rules(spark, change, want):
     row = {**TRAIN, **change}
     df = spark.createDataFrame([tuple(row[c.split()[0]] for c in TRAIN_SCHEMA.split(", "))], TRAIN_SCHEMA)
     assert {(r.severity, r.rule) for r in R.training_spec_report(df).collect()} == want
+
+
+def test_reports_name_the_value(spark):
+    rows = [{**JOB, "name": "a", "executors": -2}, {**JOB, "name": "b", "schedule": "* * *"}, {**JOB, "name": "c", "spark_conf": {"x": "7"}},
+            {**JOB, "name": "d", "main_file": None}, {**JOB, "namespace": "other", "name": "a"}]
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in JOB_SCHEMA.split(", ")) for r in rows], JOB_SCHEMA)
+    assert {(r.namespace, r.name, r.field, r.value) for r in R.spec_report(df).collect() if r.rule != "executors_with_bounds"} == {
+        ("ns", "a", "spec.executors", "-2"), ("ns", "b", "spec.schedule", "* * *"), ("ns", "c", "spec.sparkConf[x]", "7"),
+        ("ns", "d", "spec.mainApplicationFile", None)}
+    t = {**TRAIN, "command": ["python", "x.py"]}
+    df = spark.createDataFrame([tuple(t[c.split()[0]] for c in TRAIN_SCHEMA.split(", "))], TRAIN_SCHEMA)
+    assert [(r.field, r.value) for r in R.training_spec_report(df).collect()] == [("spec.command", "python x.py")]

@@ -10,10 +10,13 @@ from paths import SF01
 
 def test_pods_unique_per_order_line(spark):
     p = V.pods(spark, SF01)
-    assert p.count() == 45832 == p.select("run", "rank").distinct().count()
+    assert p.count() == 45832 == p.select("namespace", "run", "rank").distinct().count()
     runs = V.job_runs(spark, SF01)
-    assert p.join(runs, p.run == runs.name, "left_anti").count() == 0  # every owner exists
-    assert runs.join(p, runs.name == p.run, "left_anti").count() == 257  # orders without a line
+    same = (p.namespace == runs.namespace) & (p.run == runs.name)
+    assert p.join(runs, same, "left_anti").count() == 0  # every owner exists
+    assert runs.join(p, same, "left_anti").count() == 257  # orders without a line
+    assert runs.select("name").distinct().count() * 2 < runs.count()  # names repeat across namespaces
+    assert runs.count() == runs.select("namespace", "name").distinct().count()
 
 
 def test_articles_reject_rate_above_gate(spark):
@@ -23,6 +26,6 @@ def test_articles_reject_rate_above_gate(spark):
 
 def test_event_runs_and_timestamps(spark):
     h = V.status_history(spark, SF01)
-    assert h.select("run").distinct().count() == 150
+    assert h.select("namespace", "run").distinct().count() == 150
     assert dict(h.dtypes)["ts"] == "timestamp"  # watermark-ready (not timestamp_ntz)
     assert h.filter(F.col("phase").isNull()).count() == 0
