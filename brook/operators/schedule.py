@@ -3,17 +3,18 @@ fire calendar, due fire, next fire, concurrency decisions, child runs and
 template status.  Fire times are computed in each template's zone (default
 UTC) and returned as UTC instants.
 
-Zone transitions follow java.time: a wall-clock time skipped by a spring
-forward fires at the shifted instant; a repeated hour fires once, at the
-earlier offset.
+A template fires at every instant whose local time matches its expression: a
+wall-clock time that a clock change skips does not fire that day, one that it
+repeats fires twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brook.functions.cron import day_matches, join_parsed_cron
+from brook.functions.zones import day_instants, zone_parts
 
 TERMINAL = ["Succeeded", "Failed"]
 # A template is named within its namespace; so are its child runs.
@@ -36,6 +37,9 @@ def valid_zone(zone: Column) -> Column:
 # find every fire there is.
 NEXT_FIRE_LOOKAHEAD_DAYS = 9 * 366
 NEAR_DAYS = 62
+# Fixed value: matching days looked at beyond the first, in case a clock change
+# skips all fires of one.
+MORE_DAYS = 2
 
 
 def _zone(col="time_zone") -> Column:
@@ -44,16 +48,16 @@ def _zone(col="time_zone") -> Column:
 
 def parse_templates(templates: DataFrame) -> DataFrame:
     """Adds ``cron`` (parsed fields), ``zone`` and ``reject_reason``."""
-    zone_ok = valid_zone(_zone())
+    # Distinct zones are checked once each, distinct expressions parsed once:
+    # templates share a handful of both, and the joins keep Catalyst from
+    # re-inlining the work into every operator above.
+    zones = templates.select(_zone().alias("_zone")).distinct().withColumn("_zone_ok", valid_zone(F.col("_zone")))
     # An invalid zone must never reach a conversion, even when Catalyst
     # evaluates the conversion above the filter that drops the row.
-    safe_zone = F.when(zone_ok, _zone()).otherwise(F.lit("UTC"))
-    # Parse each distinct expression once: templates share a handful of
-    # schedules, and the join keeps Catalyst from re-inlining the (regex
-    # heavy) parse into every operator above it.
-    t = join_parsed_cron(templates, "schedule", "cron").withColumn("zone", safe_zone)
-    reason = F.when(~F.coalesce(F.col("cron.valid"), F.lit(False)), "bad_cron").when(~zone_ok, "bad_zone")
-    return t.withColumn("reject_reason", reason)
+    t = (join_parsed_cron(templates, "schedule", "cron").withColumn("_of", _zone()).join(zones, F.col("_of") == F.col("_zone"))
+         .withColumn("zone", F.when(F.col("_zone_ok"), F.col("_zone")).otherwise(F.lit("UTC"))))
+    reason = F.when(~F.coalesce(F.col("cron.valid"), F.lit(False)), "bad_cron").when(~F.col("_zone_ok"), "bad_zone")
+    return t.withColumn("reject_reason", reason).drop("_of", "_zone", "_zone_ok")
 
 
 def schedule_rejects(templates: DataFrame) -> DataFrame:
@@ -61,32 +65,32 @@ def schedule_rejects(templates: DataFrame) -> DataFrame:
     return p.filter(F.col("reject_reason").isNotNull()).select(*KEY, "schedule", "time_zone", "reject_reason")
 
 
-def _wall_clock(day: Column, h: Column, m: Column) -> Column:
-    secs = F.unix_date(day).cast("bigint") * 86400 + h.cast("bigint") * 3600 + m.cast("bigint") * 60
-    return F.timestamp_seconds(secs)
+def _clocks(valid: DataFrame) -> DataFrame:
+    """The distinct (schedule, zone) pairs of valid templates, with ``cron``:
+    what a template fires depends on them alone."""
+    return join_parsed_cron(valid.select("schedule", "zone").distinct(), "schedule", "cron")
 
 
-def _instant(day: Column, minute_of_day: Column) -> Column:
-    """The UTC instant of a wall-clock minute in the row's ``zone``."""
-    wall = F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400 + minute_of_day.cast("bigint") * 60)
-    return F.when(F.col("zone") == "UTC", wall).otherwise(F.to_utc_timestamp(wall, F.col("zone")))
+def _fires_of(day: Column) -> Column:
+    """Instants (seconds) at which a row's expression fires on a local day."""
+    return day_instants(F.col("cron.day_minutes"), day, zone_parts(F.col("zone"), day))
 
 
 def fire_calendar(templates: DataFrame, start: str, end: str, include_suspended: bool = False) -> DataFrame:
     """Every fire time in [start, end) of each valid template (suspended
-    templates give none).  Days are exploded first and filtered, then hours,
-    then minutes, so work follows the number of fires, not of minutes."""
+    templates give none).  The calendar is made once for each distinct
+    (schedule, zone): days are exploded and filtered, then their fires; the
+    templates are joined to it last."""
     p = parse_templates(templates).filter(F.col("reject_reason").isNull())
     if not include_suspended:
         p = p.filter(~F.coalesce(F.col("suspend"), F.lit(False)))
     s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    days = p.select(*KEY, "zone", "cron",
-                    F.explode(F.sequence(F.date_sub(F.to_date(s), 1), F.date_add(F.to_date(e), 1))).alias("day"))
-    days = (days.filter(day_matches(F.col("cron"), F.col("day")))
-                .select(*KEY, "zone", "day", F.col("cron.day_minutes").alias("dm")))
-    mins = days.select(*KEY, "zone", "day", F.explode("dm").alias("mod"))
-    fires = mins.select(*KEY, _instant(F.col("day"), F.col("mod")).alias("fire_ts"))
-    return fires.filter((F.col("fire_ts") >= s) & (F.col("fire_ts") < e))
+    days = _clocks(p).select("schedule", "zone", "cron", F.explode(F.sequence(F.date_sub(F.to_date(s), 1), F.date_add(F.to_date(e), 1))).alias("day"))
+    fires = (days.filter(day_matches(F.col("cron"), F.col("day")))
+                 .select("schedule", "zone", F.explode(_fires_of(F.col("day"))).alias("t"))
+                 .select("schedule", "zone", F.timestamp_seconds("t").alias("fire_ts"))
+                 .filter((F.col("fire_ts") >= s) & (F.col("fire_ts") < e)))
+    return p.select(*KEY, "schedule", "zone").join(fires, ["schedule", "zone"]).select(*KEY, "fire_ts")
 
 
 def _stored_last(templates: DataFrame) -> Column:
@@ -102,28 +106,29 @@ def due_fire(templates: DataFrame, now: str) -> DataFrame:
     and invalid templates have none.
 
     Each template is searched backwards from ``now`` to its own last fire, in
-    its own row: today's and tomorrow's minutes, then the last matching day
-    before today (tomorrow only counts where a clock change ends a day early).
-    The search has no window, and nothing is expanded or shuffled."""
+    its own row: the last matching days up to tomorrow (which only counts where
+    a clock change ends a day early).  The search has no window, and nothing is
+    expanded or shuffled."""
     n = F.lit(now).cast("timestamp")
     p = parse_templates(templates).filter(F.col("reject_reason").isNull() & ~F.coalesce(F.col("suspend"), F.lit(False)))
     p = p.withColumn("_last", F.coalesce(_stored_last(p), F.col("created"))).filter(F.col("_last") < n)
-    p = p.withColumn("_today", F.to_date(F.from_utc_timestamp(n, F.col("zone"))))
-    yesterday = F.date_sub("_today", 1)
-    first = F.least(F.date_sub(F.to_date(F.from_utc_timestamp("_last", F.col("zone"))), 1), yesterday)
-    near = F.greatest(first, F.date_sub("_today", NEAR_DAYS))
-    matching = lambda a, b: F.array_max(F.filter(F.sequence(a, b), lambda d: day_matches(F.col("cron"), d)))
-    # Most schedules match within two months: only the others look at all days.
-    # One-row explodes: the filters below would else be pushed under these
-    # columns, and each pushed copy would search again.
-    p = p.withColumn("_day", F.explode(F.array(F.coalesce(matching(near, yesterday), matching(first, yesterday)))))
-
-    def latest(day: Column) -> Column:
-        fires = F.transform("cron.day_minutes", lambda m: _instant(day, m))
-        return F.when(day_matches(F.col("cron"), day), F.array_max(F.filter(fires, lambda x: x <= n)))
+    # One-row explodes: filters above would else be pushed under these columns,
+    # and each pushed copy would search again.
+    today = F.to_date(F.from_utc_timestamp(n, F.col("zone")))
+    first = F.date_sub(F.to_date(F.from_utc_timestamp("_last", F.col("zone"))), 1)
+    p = p.withColumn("_at", F.explode(F.array(F.struct(F.date_add(today, 1).alias("tomorrow"), F.greatest(first, F.date_sub(today, NEAR_DAYS)).alias("near"),
+                                                       first.alias("first")))))
+
+    def latest(a: Column, b: Column, days: int) -> Column:
+        matching = F.filter(F.sequence(a, b), lambda d: day_matches(F.col("cron"), d))
+        fires = F.transform(F.slice(F.reverse(matching), 1, days), lambda d: F.array_max(F.filter(_fires_of(d), lambda t: t <= F.unix_seconds(n))))
+        return F.when(a <= b, F.array_max(fires))
 
-    due = F.coalesce(F.greatest(latest(F.col("_today")), latest(F.date_add("_today", 1))), latest(F.col("_day")))
-    d = p.select(*KEY, "_last", "starting_deadline_s", F.explode(F.array(due)).alias("due_ts")).filter(F.col("due_ts") > F.col("_last"))
+    # Most schedules match within two months: only the others look at all days.
+    due = F.coalesce(latest(F.col("_at.near"), F.col("_at.tomorrow"), 3 + MORE_DAYS),
+                     latest(F.col("_at.first"), F.date_sub("_at.near", 1), 1 + MORE_DAYS))
+    d = p.select(*KEY, "_last", "starting_deadline_s", F.explode(F.array(F.timestamp_seconds(due))).alias("due_ts")).filter(
+        F.col("due_ts") > F.col("_last"))
     late = (F.unix_seconds(n) - F.unix_seconds("due_ts")) > F.col("starting_deadline_s")
     return d.filter(~F.coalesce(late, F.lit(False))).select(*KEY, "due_ts")
 
@@ -132,44 +137,21 @@ def next_fire(templates: DataFrame, now: str, lookahead_days: int = NEXT_FIRE_LO
     """Earliest fire strictly after ``now`` per valid template; NULL when the
     expression can never fire (e.g. 31 February).
 
-    One pass over candidate days per template, reduced by a plain hash
-    aggregate (next matching day after today, whether today matches); only
-    today's hours x minutes are expanded."""
+    The search is made once for each distinct (schedule, zone), in its row, and
+    the templates are joined to it."""
     p = parse_templates(templates).filter(F.col("reject_reason").isNull())
     n = F.lit(now).cast("timestamp")
-    base = p.select(*KEY, "zone", "cron", F.from_utc_timestamp(n, F.col("zone")).alias("local_now"))
-    today = F.to_date("local_now")
-
-    def scan(frame, first: int, last: int):
-        return (frame.select(*KEY, "cron", today.alias("today"),
-                             F.explode(F.sequence(F.date_add(today, first), F.date_add(today, last))).alias("day"))
-                     .filter(day_matches(F.col("cron"), F.col("day")))
-                     .groupBy(*KEY)
-                     .agg(F.min(F.when(F.col("day") > F.col("today"), F.col("day"))).alias("next_day"),
-                          F.max(F.col("day") == F.col("today")).alias("today_ok")))
-
-    # Two passes: almost every schedule fires within two months, so only
-    # the rare yearly / impossible ones pay for the long scan.
-    near = scan(base, 0, NEAR_DAYS)
-    unresolved = base.join(near.filter(F.col("next_day").isNotNull()), KEY, "left_anti")
-    far = scan(unresolved, NEAR_DAYS + 1, lookahead_days).select(*KEY, F.col("next_day").alias("far_day"))
-    days = (base.select(*KEY).join(near, KEY, "left").join(far, KEY, "left")
-                .select(*KEY, F.coalesce("next_day", "far_day").alias("next_day"),
-                        F.coalesce("today_ok", F.lit(False)).alias("today_ok")))
-    j = base.join(days, KEY)
-    later = j.filter(F.col("next_day").isNotNull()).select(
-        *KEY, "zone", _wall_clock(F.col("next_day"), F.array_min("cron.hour"),
-                                        F.array_min("cron.minute")).alias("local_fire"))
-    td = j.filter(F.col("today_ok")).select(*KEY, "zone", "local_now", "cron",
-                                            F.explode("cron.hour").alias("h"))
-    td = td.select(*KEY, "zone", "local_now", "h", F.explode("cron.minute").alias("m"))
-    today_fire = (td.select(*KEY, "zone", "local_now",
-                            _wall_clock(F.to_date("local_now"), F.col("h"), F.col("m")).alias("local_fire"))
-                    .filter(F.col("local_fire") > F.col("local_now")).drop("local_now"))
-    cand = later.unionByName(today_fire).select(
-        *KEY, F.to_utc_timestamp(F.col("local_fire"), F.col("zone")).alias("next_ts"))
-    best = cand.filter(F.col("next_ts") > n).groupBy(*KEY).agg(F.min("next_ts").alias("next_ts"))
-    return p.select(*KEY).join(best, KEY, "left")
+    today = F.to_date(F.from_utc_timestamp(n, F.col("zone")))
+
+    def earliest(a: int, b: int, days: int) -> Column:
+        matching = F.filter(F.sequence(F.date_add(today, a), F.date_add(today, b)), lambda d: day_matches(F.col("cron"), d))
+        return F.array_min(F.transform(F.slice(matching, 1, days), lambda d: F.array_min(F.filter(_fires_of(d), lambda t: t > F.unix_seconds(n)))))
+
+    # Almost every schedule fires within two months, so only the rare yearly /
+    # impossible ones pay for the long scan.
+    found = F.coalesce(earliest(0, NEAR_DAYS, 2 + MORE_DAYS), earliest(NEAR_DAYS + 1, lookahead_days, 1 + MORE_DAYS))
+    best = _clocks(p).select("schedule", "zone", F.timestamp_seconds(found).alias("next_ts"))
+    return p.select(*KEY, "schedule", "zone").join(best, ["schedule", "zone"], "left").select(*KEY, "next_ts")
 
 
 def active_runs(runs: DataFrame) -> DataFrame:
@@ -192,6 +174,50 @@ def fire_concurrency(due: DataFrame, templates: DataFrame, runs: DataFrame) -> D
                     replaced.cast("bigint").alias("n_replaced"))
 
 
+# Fixed value: width of the time bins in which fires meet runs, in microseconds.
+BIN = 3_600_000_000
+
+
+def _decision(policy: Column, n_active: Column) -> tuple[Column, Column]:
+    """What a policy makes of a fire, and how many runs the fire replaces."""
+    action = F.when((n_active > 0) & (policy == "Forbid"), "skip").otherwise("run")
+    return action, F.when(policy == "Replace", n_active).otherwise(F.lit(0)).cast("bigint")
+
+
+def fire_history(fires: DataFrame, templates: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every fire (namespace, template, ``fire_ts``) with the runs of its
+    template that were unfinished then (created by then, not yet completed; a
+    finished run without a completion ended as it was created), and what the
+    template's policy makes of it: Allow, Forbid (default) or Replace.
+
+    An interval overlap without pairs of intervals: creations and completions
+    become +1 and -1, summed by instant before any shuffle.  Per template and
+    ``BIN`` of time they are summed again, and a running sum over the bins says
+    how many runs were open as a bin began; a fire then meets only the instants
+    of its own bin.  A template with a third of all runs costs its instants,
+    not its runs times its fires."""
+    policy = F.coalesce(F.nullif(F.col("concurrency_policy"), F.lit("")), F.lit("Forbid"))
+    done = F.col("phase").isin(*TERMINAL)
+    ends = F.when(done, F.coalesce("completion_time", "created")).otherwise(F.col("completion_time"))
+    ends = F.when(ends < F.col("created"), F.col("created")).otherwise(ends)
+    at = lambda c: F.floor(F.unix_micros(c) / F.lit(BIN))
+    changes = F.array(F.struct(F.col("created").alias("ts"), F.lit(1).alias("change")), F.struct(ends.alias("ts"), F.lit(-1).alias("change")))
+    steps = (runs.filter("created IS NOT NULL").select(*KEY, F.explode(changes).alias("c")).filter("c.ts IS NOT NULL")
+             .groupBy(*KEY, F.col("c.ts").alias("ts")).agg(F.sum("c.change").alias("change")).withColumn("bin", at("ts")))
+    asked = fires.select(*KEY, "fire_ts").distinct().withColumn("bin", at("fire_ts"))
+    bins = (steps.select(*KEY, "bin", "change").unionByName(asked.select(*KEY, "bin", F.lit(0).cast("bigint").alias("change")))
+            .groupBy(*KEY, "bin").agg(F.sum("change").alias("change")))
+    before = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    opened = bins.select(*KEY, "bin", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("open"))
+    near = (asked.join(steps, [*KEY, "bin"]).filter(F.col("ts") <= F.col("fire_ts"))
+            .groupBy(*KEY, "fire_ts").agg(F.sum("change").alias("change")))
+    d = (asked.join(opened, [*KEY, "bin"]).join(near, [*KEY, "fire_ts"], "left")
+         .join(templates.select(*KEY, policy.alias("policy")), KEY)
+         .withColumn("n_active", F.col("open") + F.coalesce("change", F.lit(0))))
+    action, replaced = _decision(F.col("policy"), F.col("n_active"))
+    return d.select(*KEY, "fire_ts", "policy", "n_active", action.alias("action"), replaced.alias("n_replaced"))
+
+
 def replaced_runs(decisions: DataFrame, runs: DataFrame) -> DataFrame:
     r = decisions.filter(F.col("n_replaced") > 0).select(*KEY)
     return active_runs(runs).join(r, KEY, "left_semi")

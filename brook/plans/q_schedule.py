@@ -14,6 +14,11 @@ from brook.plans.oracle_views import with_views
 CAL_START = "2024-02-27 00:00:00"
 CAL_END = "2024-03-08 00:00:00"
 NOW = "2024-03-07 12:00:00"
+# Windows in which clocks change: New York 10 March and Berlin 31 March 2024; Berlin 27 October and New York
+# 3 November 2024; and, where the runs are, Berlin 26 March and New York 2 April 1995.
+SPRING = ("2024-03-09 00:00:00", "2024-04-01 12:00:00")
+AUTUMN = ("2024-10-26 00:00:00", "2024-11-04 12:00:00")
+PAST = ("1995-03-25 00:00:00", "1995-04-03 00:00:00")
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 DUCK_TS = "%Y-%m-%d %H:%M:%S"
 
@@ -165,6 +170,51 @@ def fire_calendar(spark, sf):
     return f.select(*S.KEY, _fmt("fire_ts").alias("fire_ts"))
 
 
+def _instants(start: str, end: str) -> str:
+    """Fires by their definition: every minute's instant, read off each zone's clock, against every field.
+    Distinct (schedule, zone) pairs first; the templates' own are joined to them."""
+    return f""",
+  clocks AS (SELECT v_month, v_dom, v_dow, v_hour, v_minute, dom_star, dow_star, zone, list(struct_pack(namespace, template)) AS of
+             FROM ptv WHERE NOT coalesce(suspend, false) GROUP BY ALL),
+  ticks AS (SELECT zone, t, timezone(zone, t) AS wall FROM (SELECT DISTINCT zone FROM clocks),
+              (SELECT unnest(generate_series(TIMESTAMPTZ '{start}+00', TIMESTAMPTZ '{end}+00' - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS t)),
+  hits AS (SELECT of, t FROM clocks JOIN ticks USING (zone)
+           WHERE list_contains(v_minute, minute(wall)) AND list_contains(v_hour, hour(wall)) AND {_duck_day_ok('wall')}),
+  fires AS (SELECT x.namespace, x.template, timezone('UTC', t) AS fire_ts FROM (SELECT unnest(of) AS x, t FROM hits))"""
+
+
+_FIRES_SQL = f"SELECT namespace, template, strftime(fire_ts, '{DUCK_TS}') AS fire_ts FROM fires"
+
+
+@register("fire_calendar_spring", _duck_with(_FIRES_SQL, _instants(*SPRING)))
+def fire_calendar_spring(spark, sf):
+    """Fires over the weeks in which clocks go forward: skipped minutes do not fire."""
+    return S.fire_calendar(_templates(spark, sf), *SPRING).select(*S.KEY, _fmt("fire_ts").alias("fire_ts"))
+
+
+@register("fire_calendar_autumn", _duck_with(_FIRES_SQL, _instants(*AUTUMN)))
+def fire_calendar_autumn(spark, sf):
+    """Fires over the weeks in which clocks go back: repeated minutes fire twice."""
+    return S.fire_calendar(_templates(spark, sf), *AUTUMN).select(*S.KEY, _fmt("fire_ts").alias("fire_ts"))
+
+
+@register("fire_history", _duck_with(f"""
+  SELECT f.namespace, f.template, strftime(f.fire_ts, '{DUCK_TS}') AS fire_ts, policy, n_active,
+    CASE WHEN n_active > 0 AND policy = 'Forbid' THEN 'skip' ELSE 'run' END AS action,
+    CASE WHEN policy = 'Replace' THEN n_active ELSE 0 END AS n_replaced
+  FROM (SELECT f.namespace, f.template, f.fire_ts, any_value(coalesce(nullif(t.concurrency_policy, ''), 'Forbid')) AS policy,
+          count(j.name) AS n_active
+        FROM fires f JOIN cron_templates t USING (namespace, template)
+        LEFT JOIN job_runs j ON j.namespace = f.namespace AND j.template = f.template AND j.created <= f.fire_ts
+          AND (j.phase NOT IN ('Succeeded', 'Failed') OR j.completion_time > f.fire_ts)
+        GROUP BY ALL) f""", _instants(*PAST)))
+def fire_history(spark, sf):
+    """Every fire of ten days, with the template's runs that were open then, as its policy takes it."""
+    fires = S.fire_calendar(_templates(spark, sf), *PAST)
+    d = S.fire_history(fires, _templates(spark, sf), V.job_runs(spark, sf))
+    return d.select(*S.KEY, _fmt("fire_ts").alias("fire_ts"), "policy", "n_active", "action", "n_replaced")
+
+
 def _due(spark, sf):
     return S.due_fire(_templates(spark, sf), NOW)
 

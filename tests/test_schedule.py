@@ -78,20 +78,67 @@ def test_concurrency_and_children(spark):
     assert [r.name for r in S.replaced_runs(S.fire_concurrency(due, t, runs), runs).collect()] == ["r-1"]
 
 
-def test_dst_transitions_follow_java_time(spark):
-    # 2024-03-10: New York skips 02:00-03:00; 2024-11-03: it repeats 01:00-02:00.
-    _, f = fires(spark, [("gap", "30 2 * * *", "America/New_York", False, "", None, NOW),
-                         ("overlap", "30 1 * * *", "America/New_York", False, "", None, NOW)],
-                 "2024-03-09 00:00:00", "2024-03-12 00:00:00")
-    got = sorted((r.template, r.fire_ts) for r in f.collect())
-    # the skipped 02:30 fires at the shifted instant (03:30 EDT = 07:30 UTC)
-    assert ("gap", datetime(2024, 3, 10, 7, 30)) in got
-    assert [t for t, _ in got].count("gap") == 3
-    _, f2 = fires(spark, [("overlap", "30 1 * * *", "America/New_York", False, "", None, NOW)],
-                  "2024-11-02 00:00:00", "2024-11-05 00:00:00")
-    days = sorted(r.fire_ts for r in f2.collect())
-    # the repeated 01:30 fires once, at the earlier offset (EDT, 05:30 UTC)
-    assert datetime(2024, 11, 3, 5, 30) in days and datetime(2024, 11, 3, 6, 30) not in days
+def test_clock_changes(spark):
+    """A template fires at every instant whose local time matches: skipped minutes never, repeated ones twice."""
+    # New York: 10 March 2024 skips 02:00-03:00 (07:00 UTC), 3 November repeats 01:00-02:00 (06:00 UTC).
+    # Berlin: 31 March skips 02:00-03:00 (01:00 UTC), 27 October repeats 02:00-03:00 (01:00 UTC).
+    # Lord Howe: half an hour, 7 April 2024 repeats 01:30-02:00 (15:00 UTC the day before).
+    ny, berlin = "America/New_York", "Europe/Berlin"
+    rows = [("gap", "30 2 * * *", ny, False, "", None, NOW), ("hourly", "0 * * * *", ny, False, "", None, NOW),
+            ("twice", "30 1 * * *", ny, False, "", None, NOW), ("bgap", "15 2 * * *", berlin, False, "", None, NOW),
+            ("half", "45 1 * * *", "Australia/Lord_Howe", False, "", None, NOW), ("utc", "30 2 * * *", None, False, "", None, NOW)]
+    at = lambda f, name: sorted(r.fire_ts for r in f.collect() if r.template == name)
+    _, f = fires(spark, rows, "2024-03-09 05:00:00", "2024-03-12 00:00:00")
+    assert at(f, "gap") == [datetime(2024, 3, 9, 7, 30), datetime(2024, 3, 11, 6, 30)]
+    hours = at(f, "hourly")
+    assert len(hours) == 67 and all(b - a == timedelta(hours=1) for a, b in zip(hours, hours[1:]))
+    assert at(f, "utc") == [datetime(2024, 3, d, 2, 30) for d in (10, 11)]
+    _, f = fires(spark, rows, "2024-03-30 00:00:00", "2024-04-02 00:00:00")
+    assert at(f, "bgap") == [datetime(2024, 3, 30, 1, 15), datetime(2024, 4, 1, 0, 15)]
+    _, f = fires(spark, rows, "2024-10-26 12:00:00", "2024-11-04 12:00:00")
+    assert at(f, "bgap")[:3] == [datetime(2024, 10, 27, 0, 15), datetime(2024, 10, 27, 1, 15), datetime(2024, 10, 28, 1, 15)]
+    assert [x for x in at(f, "twice") if x >= datetime(2024, 11, 2)] == [
+        datetime(2024, 11, 2, 5, 30), datetime(2024, 11, 3, 5, 30), datetime(2024, 11, 3, 6, 30), datetime(2024, 11, 4, 6, 30)]
+    _, f = fires(spark, rows, "2024-04-06 00:00:00", "2024-04-07 00:00:00")
+    assert at(f, "half") == [datetime(2024, 4, 6, 14, 45), datetime(2024, 4, 6, 15, 15)]
+
+
+def test_next_and_due_across_clock_changes(spark):
+    ny = "America/New_York"
+    t = templates(spark, [("gap", "30 2 * * *", ny, False, "", None, datetime(2024, 1, 1)), ("twice", "30 1 * * *", ny, False, "", None, datetime(2024, 1, 1)),
+                          ("once", "30 2 10 3 *", ny, False, "", None, datetime(2022, 1, 1)), ("month", "0 2 10 * *", ny, False, "", None, datetime(2023, 1, 1))])
+    nxt = lambda now: {r.template: r.next_ts for r in S.next_fire(t, now).collect()}
+    got = nxt("2024-03-09 07:30:00")
+    assert got["gap"] == datetime(2024, 3, 11, 6, 30) and got["once"] == datetime(2025, 3, 10, 6, 30) and got["month"] == datetime(2024, 4, 10, 6)
+    assert nxt("2024-11-03 05:30:00")["twice"] == datetime(2024, 11, 3, 6, 30)
+    due = lambda now: {r.template: r.due_ts for r in S.due_fire(t, now).collect()}
+    got = due("2024-03-10 12:00:00")
+    assert got["gap"] == datetime(2024, 3, 9, 7, 30) and got["once"] == datetime(2023, 3, 10, 7, 30) and got["month"] == datetime(2024, 2, 10, 7)
+    assert due("2024-11-03 06:45:00")["twice"] == datetime(2024, 11, 3, 6, 30)
+
+
+def test_fire_history_against_all_pairs(spark):
+    """Fires on and next to creations and completions, runs that end as they start or never, bins without runs, a hot template."""
+    t0 = datetime(2024, 3, 1)
+    runs, fires_ = [], []
+    for i in range(300):
+        key = ("n", "hot") if i % 3 else (f"n{i % 2}", "cold")
+        start = t0 + timedelta(minutes=7 * i, seconds=i % 60, microseconds=i % 2)
+        end = None if i % 11 == 0 else start + timedelta(minutes=(i * 37) % 400 - 5)
+        runs.append((*key, f"r{i}", start, end, "Running" if end is None else "Failed" if i % 2 else "Succeeded"))
+        fires_ += [(*key, start), (*key, start + timedelta(microseconds=1)), (*key, start - timedelta(hours=1)), (*key, t0 + timedelta(hours=5 * i))]
+    runs.append(("n", "hot", "odd", t0, None, "Failed"))
+    kind = "namespace string, template string, name string, created timestamp, completion_time timestamp, phase string"
+    tmpl = spark.createDataFrame([("n", "hot", "Replace"), ("n0", "cold", ""), ("n1", "cold", "Allow")], "namespace string, template string, concurrency_policy string")
+    policy = {("n", "hot"): "Replace", ("n0", "cold"): "Forbid", ("n1", "cold"): "Allow"}
+    want = set()
+    for ns, name, at in set(fires_):
+        n = sum(1 for r in runs if r[:2] == (ns, name) and r[3] <= at
+                and (r[5] == "Running" or max(r[4] or r[3], r[3]) > at))
+        p = policy[ns, name]
+        want.add((ns, name, at, p, n, "skip" if n and p == "Forbid" else "run", n if p == "Replace" else 0))
+    got = S.fire_history(spark.createDataFrame(fires_, "namespace string, template string, fire_ts timestamp"), tmpl, spark.createDataFrame(runs, kind))
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_due_fire_has_no_window(spark):
@@ -101,9 +148,9 @@ def test_due_fire_has_no_window(spark):
                           ("gap", "30 2 * * *", "America/New_York", False, "", None, datetime(2024, 3, 9, 12))])
     due = lambda now: {r.template: r.due_ts for r in S.due_fire(t, now).collect()}
     assert due("2024-02-28 00:00:00") == {"monthly": datetime(2024, 2, 1), "leap": datetime(2020, 2, 29, 6)}
-    # The skipped 02:30 of 10 March fires at 07:30 UTC.
-    assert "gap" not in due("2024-03-10 07:29:00")
-    assert due("2024-03-10 07:30:00")["gap"] == datetime(2024, 3, 10, 7, 30)
+    # The 02:30 of 10 March is skipped: nothing is due until the next day's.
+    assert "gap" not in due("2024-03-10 07:30:00") and "gap" not in due("2024-03-11 06:29:00")
+    assert due("2024-03-11 06:30:00")["gap"] == datetime(2024, 3, 11, 6, 30)
 
 
 def test_next_fire_across_2100(spark):
