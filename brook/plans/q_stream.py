@@ -83,32 +83,32 @@ def error_rate_batch(spark, sf):
 
 
 @register("stream_latest_status", with_views("""
-  SELECT event_id, run, phase, running, desired, driver_pod, retries, cost FROM (
+  SELECT event_id, namespace, run, phase, running, desired, driver_pod, retries, cost FROM (
     SELECT *, row_number() OVER w AS rn, lag(phase) OVER w AS p1, lag(running) OVER w AS p2,
       lag(desired) OVER w AS p3, lag(driver_pod) OVER w AS p4, lag(retries) OVER w AS p5, lag(cost) OVER w AS p6
-    FROM status_history WINDOW w AS (PARTITION BY run ORDER BY ts, event_id))
+    FROM status_history WINDOW w AS (PARTITION BY namespace, run ORDER BY ts, event_id))
   WHERE rn = 1 OR p1 IS DISTINCT FROM phase OR p2 IS DISTINCT FROM running OR p3 IS DISTINCT FROM desired
     OR p4 IS DISTINCT FROM driver_pod OR p5 IS DISTINCT FROM retries OR p6 IS DISTINCT FROM cost""",
   "status_history"))
 def stream_latest_status(spark, sf):
     """Change-only status stream (state per run) read back from its sink."""
-    h = V.status_history(spark, sf).select("event_id", "run", "ts", *SJ.STATUS_COLS)
+    h = V.status_history(spark, sf).select("event_id", "namespace", "run", "ts", *SJ.STATUS_COLS)
     src = _land(h, spark, "status-src")
     s = spark.readStream.schema(h.schema).parquet(src)
     dest = scratch_path(spark, "status-out")
     SJ.run_to_parquet(SJ.latest_status(s), dest, scratch_path(spark, "status-ckpt"))
-    return spark.read.parquet(dest).select("event_id", "run", *SJ.STATUS_COLS)
+    return spark.read.parquet(dest).select("event_id", "namespace", "run", *SJ.STATUS_COLS)
 
 
 @register("stream_phase_changes", with_views("""
-  SELECT event_id, run, phase FROM (
-    SELECT *, lag(phase) OVER (PARTITION BY run ORDER BY ts, event_id) AS p1 FROM status_history)
+  SELECT event_id, namespace, run, phase FROM (
+    SELECT *, lag(phase) OVER (PARTITION BY namespace, run ORDER BY ts, event_id) AS p1 FROM status_history)
   WHERE p1 IS DISTINCT FROM phase""", "status_history"))
 def stream_phase_changes(spark, sf):
     """Change-only stream on the phase alone (a selective change filter)."""
-    h = V.status_history(spark, sf).select("event_id", "run", "ts", "phase")
+    h = V.status_history(spark, sf).select("event_id", "namespace", "run", "ts", "phase")
     src = _land(h, spark, "phase-src")
     s = spark.readStream.schema(h.schema).parquet(src)
     dest = scratch_path(spark, "phase-out")
     SJ.run_to_parquet(SJ.latest_status(s, ["phase"]), dest, scratch_path(spark, "phase-ckpt"))
-    return spark.read.parquet(dest).select("event_id", "run", "phase")
+    return spark.read.parquet(dest).select("event_id", "namespace", "run", "phase")

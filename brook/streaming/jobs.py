@@ -4,14 +4,19 @@ it, and leave the result in a Parquet folder (never a driver-side sink)."""
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from brook.operators import clean as C
+from brook.operators.fleet import RUN_OF
 from brook.schemas import raw_read_schema
 from brook.sources import lake as L
 
@@ -96,42 +101,142 @@ def error_rate(events: DataFrame, window: str = "5 minutes", slide: str | None =
 # ------------------------------------------------------- latest status
 STATUS_COLS = ["phase", "running", "desired", "driver_pod", "retries", "cost"]
 
-
-def _change_only(cols):
-    out_cols = ["run", "event_id", "ts"] + cols
-    order = ["ts", "event_id"]
-
-    def fn(key, pdfs, state):
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        if state.exists:
-            seen = pd.DataFrame([state.get], columns=order + cols)
-            at = (rows["ts"] > seen["ts"][0]) | ((rows["ts"] == seen["ts"][0]) & (rows["event_id"] > seen["event_id"][0]))
+# How long a run without news keeps its state (event time), the
+# rows of a block that a hot run is sorted in, and the state store that holds
+# the processor's states.
+STATUS_KEEP = "30 days"
+BLOCK_ROWS = 2_000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
+
+
+class ChangeOnly(StatefulProcessor):
+    """Emits a run's status only where it differs from the one before.
+
+    State of a run: its last status with (ts, event_id), and, while a
+    micro-batch is read, the sorted blocks of a run that comes in more than one
+    frame.  Such a run is sorted by merging its blocks, a few rows of each at a
+    time, so no frame ever holds the whole run.  A timer at the last status
+    plus ``keep`` (event time) drops the state of a run that has gone quiet."""
+
+    def __init__(self, keys: list[str], cols: list[str], last: StructType, keep_ms: int):
+        self.keys, self.cols, self.kind, self.keep = keys, cols, last, keep_ms
+        self.order = ["ts", "event_id"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.kind)
+        self.blocks = handle.getMapState("blocks", StructType([StructField("frame", IntegerType()), StructField("block", IntegerType())]),
+                                         StructType([StructField("rows", BinaryType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.last.get()) if self.last.exists() else None
+        now = before
+        for frame in self._sorted(rows):
+            now, news = self._news(frame, now)
+            if len(news):
+                yield news
+        if now != before:
+            self.last.update(now)
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before))
+            self.handle.registerTimer(self._expiry(now))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    def _expiry(self, last: tuple) -> int:
+        return last[0] // 1000 + self.keep
+
+    def _sorted(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The run's rows by (ts, event_id), in frames."""
+        names = [*self.keys, *self.order, *self.cols]
+        first = next(rows)[names].sort_values(self.order, kind="stable")
+        other = next(rows, None)
+        if other is None:
+            yield first
+            return
+        n = 0
+        while first is not None:
+            for k in range(0, len(first), BLOCK_ROWS):
+                b = pa.RecordBatch.from_pandas(first.iloc[k:k + BLOCK_ROWS], preserve_index=False)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as w:
+                    w.write_batch(b)
+                self.blocks.updateValue((n, k // BLOCK_ROWS), (sink.getvalue().to_pybytes(),))
+            n += 1
+            first = None if other is None else other[names].sort_values(self.order, kind="stable")
+            other = next(rows, None)
+
+        def block(frame: int, k: int) -> pd.DataFrame | None:
+            if not self.blocks.containsKey((frame, k)):
+                return None
+            return pa.ipc.open_stream(self.blocks.getValue((frame, k))[0]).read_all().to_pandas()
+
+        def stream(frame: int) -> Iterator[tuple]:
+            k = 0
+            while (b := block(frame, k)) is not None:
+                yield from b.itertuples(index=False, name=None)
+                k += 1
+
+        at, ident = names.index("ts"), names.index("event_id")
+        sample, held = block(0, 0).iloc[:0], []
+        for row in heapq.merge(*(stream(i) for i in range(n)), key=lambda r: (r[at], r[ident])):
+            held.append(row)
+            if len(held) >= BLOCK_ROWS:
+                yield pd.DataFrame(held, columns=names).astype(sample.dtypes.to_dict())
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=names).astype(sample.dtypes.to_dict())
+        self.blocks.clear()
+
+    def _news(self, rows: pd.DataFrame, last: tuple | None) -> tuple[tuple | None, pd.DataFrame]:
+        """The last status after ``rows`` (sorted), and the rows that are news."""
+        ts = _micros(rows["ts"])
+        if last is not None:
             # Rows that a later one has overtaken are no news.
-            rows = pd.concat([seen.astype({c: rows[c].dtype for c in order}), rows[at]], ignore_index=True)
-        now, before = rows[cols].astype(object), rows[cols].astype(object).shift()
-        same = (now == before) | (now.isna() & before.isna())
-        changed = ~same.all(axis=1)
-        if len(rows):
-            changed.iloc[0] = not state.exists
-            last = rows.iloc[-1]
-            state.update((last["ts"].to_pydatetime(), int(last["event_id"]),
-                          *(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in last[cols])))
-        yield rows[changed.to_numpy(bool)].assign(run=key[0])[out_cols]
-    return fn
-
-
-def latest_status(history: DataFrame, cols=STATUS_COLS) -> DataFrame:
+            rows = rows[(ts > last[0]) | ((ts == last[0]) & (rows["event_id"] > last[1]))]
+            if not len(rows):
+                return last, rows
+        now = rows[self.cols].astype(object).reset_index(drop=True)
+        now = now.where(now.notna(), None)
+        seen = pd.DataFrame([[None] * len(self.cols) if last is None else list(last[2:])], columns=self.cols, dtype=object)
+        past = pd.concat([seen, now.iloc[:-1]], ignore_index=True)
+        changed = ~((now == past) | (now.isna() & past.isna())).all(axis=1)
+        changed.iloc[0] |= last is None
+        end = rows.iloc[-1]
+        plain = [None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in end[self.cols]]
+        return (int(_micros(rows["ts"].iloc[-1:]).iloc[0]), int(end["event_id"]), *plain), rows[changed.to_numpy(bool)]
+
+
+def latest_status(history: DataFrame, cols=STATUS_COLS, keys=RUN_OF, delay: str = DEFAULT_DELAY, keep: str = STATUS_KEEP) -> DataFrame:
     """Per run, emit a status only when one of ``cols`` differs from the run's
     previous status.  Rows of a run inside one micro-batch are taken in
-    (ts, event_id) order.  The state is the last status with its (ts,
-    event_id): a row of a later batch that is not after it is late, changes
-    nothing and is not emitted.  The source's per-trigger limit bounds how many
-    rows one call sees."""
-    types = dict(history.dtypes)
-    of = ", ".join(f"{c} {types[c]}" for c in cols)
-    return (history.groupBy("run")
-            .applyInPandasWithState(_change_only(list(cols)), f"run string, event_id bigint, ts timestamp, {of}",
-                                    f"ts timestamp, event_id bigint, {of}", "append", GroupStateTimeout.NoTimeout))
+    (ts, event_id) order, also when there are too many for one frame.  The
+    state is the last status with its (ts, event_id): a row of a later batch
+    that is not after it is late, changes nothing and is not emitted; neither
+    is a row behind the watermark (``delay``).  A run without news for ``keep``
+    of event time is forgotten: its next status is a first one.
+
+    A ``transformWithState`` operator (RocksDB state, which the session is set
+    to use); the stateful exchange is by run, so one task reads one run of a
+    micro-batch, in bounded memory."""
+    spark = history.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    keys, cols = list(keys), list(cols)
+    fields = {f.name: f for f in history.schema.fields}
+    last = StructType([StructField("ts", LongType()), StructField("event_id", LongType()), *[StructField(c, fields[c].dataType) for c in cols]])
+    out = StructType([StructField(c, fields[c].dataType) for c in [*keys, "ts", "event_id", *cols]])
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = history.select(*keys, "ts", "event_id", *cols).withWatermark("ts", delay)
+    return rows.groupBy(*keys).transformWithStateInPandas(ChangeOnly(keys, cols, last, keep_ms), out, "append", "eventTime")
 
 
 def run_to_parquet(df: DataFrame, dest: str, checkpoint: str, mode: str = "append") -> None:

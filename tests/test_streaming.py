@@ -1,6 +1,6 @@
 import os
-
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,30 +10,76 @@ from brook.streaming import jobs as SJ
 def test_latest_status_change_only(spark, tmp_dir):
     rows = [("r1", 1, datetime(2024, 1, 1, 0, 0, 1), "Running"), ("r1", 2, datetime(2024, 1, 1, 0, 0, 2), "Running"),
             ("r1", 3, datetime(2024, 1, 1, 0, 0, 3), "Failed"), ("r2", 4, datetime(2024, 1, 1, 0, 0, 1), "Pending")]
-    df = spark.createDataFrame(rows, "run string, event_id long, ts timestamp, phase string")
+    rows += [(r, i + 10, t, p, "other") for r, i, t, p in rows[1:3]]  # the same names in another namespace
+    df = spark.createDataFrame([(*r, "ns")[:5] for r in rows], "run string, event_id long, ts timestamp, phase string, namespace string")
     df.write.parquet(f"{tmp_dir}/src1")
     s = spark.readStream.schema(df.schema).parquet(f"{tmp_dir}/src1")
     SJ.run_to_parquet(SJ.latest_status(s, ["phase"]), f"{tmp_dir}/out", f"{tmp_dir}/ck")
-    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 3, 4]
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 3, 4, 12, 13]
     # a second batch continues from the stored state: no repeat of "Failed"
-    later = spark.createDataFrame([("r1", 5, datetime(2024, 1, 1, 0, 0, 5), "Failed"),
-                                   ("r1", 6, datetime(2024, 1, 1, 0, 0, 6), "Running")], df.schema)
+    later = spark.createDataFrame([("r1", 5, datetime(2024, 1, 1, 0, 0, 5), "Failed", "ns"),
+                                   ("r1", 6, datetime(2024, 1, 1, 0, 0, 6), "Running", "ns")], df.schema)
     later.write.mode("append").parquet(f"{tmp_dir}/src1")
     s = spark.readStream.schema(df.schema).parquet(f"{tmp_dir}/src1")
     SJ.run_to_parquet(SJ.latest_status(s, ["phase"]), f"{tmp_dir}/out", f"{tmp_dir}/ck")
-    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 3, 4, 6]
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 3, 4, 6, 12, 13]
+
+
+def _triggers(spark, tmp_dir, batches, schema, cols, **more):
+    """Each of ``batches`` lands and is streamed in a run of its own; what came out so far, after each."""
+    out = []
+    for rows in batches:
+        spark.createDataFrame([("ns", *r) for r in rows], "namespace string, " + schema).write.mode("append").parquet(f"{tmp_dir}/src")
+        s = spark.readStream.schema("namespace string, " + schema).parquet(f"{tmp_dir}/src")
+        SJ.run_to_parquet(SJ.latest_status(s, cols, **more), f"{tmp_dir}/out", f"{tmp_dir}/ck")
+        out.append(sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()))
+    return out
+
+
+def test_quiet_runs_are_forgotten(spark, tmp_dir):
+    """State goes when a run has had no news for its time; rows behind the watermark are dropped."""
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    batches = [[("quiet", 1, at(0), "Running"), ("busy", 2, at(0), "Running")],
+               [("busy", 3, at(50), "Running")],      # the watermark (0:49) has passed quiet's last status plus 30 minutes
+               [("busy", 4, at(60), "Running"), ("quiet", 5, at(61), "Running")],
+               [("busy", 6, at(40), "Failed"), ("quiet", 7, at(62), "Running")]]
+    got = _triggers(spark, tmp_dir, batches, "run string, event_id long, ts timestamp, phase string", ["phase"], delay="1 minute", keep="30 minutes")
+    # quiet's status of 1:01 is a first one again, busy's row of 0:40 is late.
+    assert [x for x in got[-1] if x in (1, 2, 5, 6, 7)] == [1, 2, 5]
+
+
+def test_hot_run_in_many_frames_over_triggers(spark, tmp_dir, monkeypatch):
+    """A run with nearly all rows, out of order, in frames far smaller than it, over three triggers."""
+    rng = random.Random(7)
+    monkeypatch.setattr(SJ, "BLOCK_ROWS", 40)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        rows = [("hot", i, datetime(2024, 1, 1) + timedelta(seconds=i // 2), rng.choice(["Running", "Failed", None]), rng.choice([1.5, None])) for i in range(3000)]
+        rows += [(f"cold{i % 5}", 5000 + i, datetime(2024, 1, 1) + timedelta(seconds=i * 10), "Running", None) for i in range(200)]
+        third = lambda k: [r for r in rows if r[2].minute * 60 + r[2].second in range(500 * k, 500 * k + 500)]
+        batches = [rng.sample(x, len(x)) for x in map(third, range(3))]
+        got = _triggers(spark, tmp_dir, batches, "run string, event_id long, ts timestamp, phase string, cost double", ["phase", "cost"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = [], {}
+    for r in sorted((r for b in batches for r in b), key=lambda r: (r[2], r[1])):
+        if last.get(r[0], "none") != r[3:]:
+            want.append(r[1])
+        last[r[0]] = r[3:]
+    assert got[-1] == sorted(want)
 
 
 def test_late_status_of_a_later_batch_changes_nothing(spark, tmp_dir):
     """A row older than the stored status is not a change, and the status that
     follows is compared with the newest one; nulls equal nulls."""
-    schema = "run string, event_id long, ts timestamp, phase string, cost double"
+    schema = "namespace string, run string, event_id long, ts timestamp, phase string, cost double"
     at = lambda s: datetime(2024, 1, 1, 0, 0, s)
     days = [[("r", 1, at(1), "Pending", None), ("r", 2, at(5), "Running", None)],
             [("r", 3, at(3), "Pending", None), ("r", 4, at(6), "Running", None)],
             [("r", 5, at(6), "Running", 1.5), ("r", 6, at(7), "Running", 1.5)]]
     for rows in days:
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_dir}/src")
+        spark.createDataFrame([("ns", *r) for r in rows], schema).write.mode("append").parquet(f"{tmp_dir}/src")
         s = spark.readStream.schema(schema).parquet(f"{tmp_dir}/src")
         SJ.run_to_parquet(SJ.latest_status(s, ["phase", "cost"]), f"{tmp_dir}/out", f"{tmp_dir}/ck")
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 2, 5]
