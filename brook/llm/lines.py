@@ -42,6 +42,16 @@ def _rising(x: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many items two sequences have in common from the start on."""
+    n = min(len(a), len(b))
+    if not n or a[0] != b[0]:
+        return 0
+    differ = a[:n] != b[:n]
+    k = int(differ.argmax())
+    return k if differ[k] else n
+
+
 def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Aligned equal items ``(i, j)`` of two sequences, both rising: common
     head and tail, then the items that both sides hold once, in their longest
@@ -50,12 +60,12 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     todo = [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            found.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            found.append((a1, b1))
+        n = _agree(a[a0:a1], b[b0:b1])
+        found += zip(range(a0, a0 + n), range(b0, b0 + n), strict=True)
+        a0, b0 = a0 + n, b0 + n
+        n = _agree(a[a0:a1][::-1], b[b0:b1][::-1])
+        found += zip(range(a1 - n, a1), range(b1 - n, b1), strict=True)
+        a1, b1 = a1 - n, b1 - n
         if a0 == a1 or b0 == b1:
             continue
         (va, ia), (vb, ib) = _once(a[a0:a1]), _once(b[b0:b1])
@@ -95,48 +105,115 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def _heads(x: np.ndarray, salt: int) -> np.ndarray:
-    """Hashes of the first 1, 2, 3 ... lines."""
-    powers = np.cumprod(np.full(len(x), 0x9E3779B97F4A7C15, np.uint64))
-    return _joined(np.full(len(x), salt, np.int64), np.cumsum(x.view(np.uint64) * powers).view(np.int64))
-
-
-def short_keys(x: np.ndarray) -> np.ndarray:
-    """Keys of a text that name partners: its lines with a word that it holds
-    once, its runs of two lines, its first and last line."""
-    once = _once(x)[0]
-    twos = _joined(x[:-1], x[1:])[(x[:-1] != BLANK) | (x[1:] != BLANK)]
-    ends = [_heads(y, salt) for y, salt in ((x[:1], 1), (x[-1:], 2)) if y.any()]
-    return np.unique(np.concatenate([once[once != BLANK], twos, *ends]))
-
-
-def long_keys(x: np.ndarray, shared: np.ndarray) -> np.ndarray:
+class Texts:
+    """The line hashes of many texts, one after another, and what is asked of
+    all of them at once."""
+
+    def __init__(self, lines: pa.ListArray):
+        lines = lines.combine_chunks() if isinstance(lines, pa.ChunkedArray) else lines
+        self.size = lines.value_lengths().to_numpy()
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.x = lines.flatten().to_numpy(zero_copy_only=False)
+        self.text = np.repeat(np.arange(len(self.size)), self.size)
+        self.at = np.arange(len(self.x)) - self.start[self.text]
+
+    def within(self, n: int) -> np.ndarray:
+        """The places from which a text has ``n`` more lines."""
+        return np.flatnonzero(self.at + n <= self.size[self.text])
+
+    def once(self) -> np.ndarray:
+        """The places of lines with a word that their text holds once."""
+        order = np.lexsort((self.x, self.text))
+        x, t = self.x[order], self.text[order]
+        same = (x[1:] == x[:-1]) & (t[1:] == t[:-1])
+        alone = ~(np.append(same, False) | np.append(False, same)) if len(x) else np.zeros(0, bool)
+        return order[alone & (x != BLANK)]
+
+    def heads(self, salt: int) -> np.ndarray:
+        """For each line the hash of its text from the start up to it."""
+        powers = np.cumprod(np.full(int(self.size.max(initial=0)), 0x9E3779B97F4A7C15, np.uint64))
+        total = np.cumsum(np.concatenate((np.zeros(1, np.uint64), self.x.view(np.uint64) * powers[self.at])))
+        here = total[1:] - total[self.start[:-1][self.text]]
+        return _joined(np.full(len(self.x), salt, np.int64), here.view(np.int64))
+
+    def backwards(self) -> Texts:
+        """The texts last line first, the last text first."""
+        return Texts(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.size[::-1]))).astype(np.int32)),
+                                              pa.array(self.x[::-1])))
+
+
+def _distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[:len(key)]
+    return text[new], key[new]
+
+
+def short_keys(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that name partners, as texts and keys: the lines with a word that a
+    text holds once, its runs of two lines, its first and last line."""
+    once, two = t.once(), t.within(2)
+    two = two[(t.x[two] != BLANK) | (t.x[two + 1] != BLANK)]
+    out = [(t.text[once], t.x[once]), (t.text[two], _joined(t.x[two], t.x[two + 1]))]
+    back = t.backwards()
+    for y, salt, flip in ((t, 1, False), (back, 2, True)):
+        first = y.start[:-1][y.size > 0]
+        first = first[y.x[first] != BLANK]
+        text = y.text[first]
+        out.append((len(y.size) - 1 - text if flip else text, y.heads(salt)[first]))
+    return _distinct(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def long_keys(t: Texts, shared: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the runs of 4, 8, 16 ... lines of a text, and of its heads and
     tails of 2, 3, 4 ... lines (the whole text is one), in which all runs of two
     with a word are ``shared`` with another text: no other can be."""
-    run = _joined(x[:-1], x[1:])
-    two = good = np.isin(run, shared) | ((x[:-1] == BLANK) & (x[1:] == BLANK))
-    out, n = [np.zeros(0, np.int64)], 2
-    for y, t, salt in ((x, two, 1), (x[::-1], two[::-1], 2)):
-        k = 1 + (len(t) if t.all() else int(np.argmin(t)))
-        out.append(_heads(np.ascontiguousarray(y[:k]), salt)[(np.cumsum(y[:k] != BLANK) > 0) & (np.arange(k) > 0)])
-    while len(run) > n and good.any():
-        run, good = _joined(run[:-n], run[n:]), good[:-n] & good[n:]
-        if n == 2:
-            good = good & two[1:-1]
-        out.append(run[good])
+    shared = shared.combine_chunks() if isinstance(shared, pa.ChunkedArray) else shared
+    owner = np.repeat(np.arange(len(shared)), shared.value_lengths().to_numpy())
+    known = np.unique(_joined(owner.astype(np.int64), shared.flatten().to_numpy(zero_copy_only=False)))
+    run = np.zeros(len(t.x), np.int64)
+    good = np.zeros(len(t.x), bool)
+    two = t.within(2)
+    run[two] = _joined(t.x[two], t.x[two + 1])
+    mine = _joined(t.text[two].astype(np.int64), run[two])
+    place = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
+    # A run of two texts' hashes that agree by chance only makes one more key.
+    good[two] = (known[place] == mine if len(known) else False) | ((t.x[two] == BLANK) & (t.x[two + 1] == BLANK))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for y, link, flip, salt in ((t, good, False, 1), (t.backwards(), np.append(False, good[:-1])[::-1] if len(good) else good, True, 2)):
+        # ``link``: a line and the one after it are shared.  A head lasts while all of its links are.
+        broken = np.cumsum(~link)
+        before = np.where(y.at > 0, broken - ~link, 0)
+        base = (broken - ~link)[y.start[:-1][y.text]] if len(y.x) else broken
+        whole = (y.at > 0) & (before == base)
+        words = np.cumsum(y.x != BLANK)
+        some = words - (words - (y.x != BLANK))[y.start[:-1][y.text]] > 0 if len(y.x) else whole
+        place = np.flatnonzero(whole & some)
+        out.append((len(y.size) - 1 - y.text[place] if flip else y.text[place], y.heads(salt)[place]))
+    n, link = 2, good
+    while good.any():
+        fits = t.within(2 * n)
+        fits = fits[good[fits] & good[fits + n] & (link[fits + 1] if n == 2 else True)]
+        longer = _joined(run[fits], run[fits + n])
+        out.append((t.text[fits], longer))
+        run, good = np.zeros(len(t.x), np.int64), np.zeros(len(t.x), bool)
+        run[fits], good[fits] = longer, True
         n *= 2
-    return np.unique(np.concatenate(out))
+    return _distinct(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
-def left_keys(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def left_keys(t: Texts, cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The lines with a word that a text holds once and that are not cut."""
-    once, at = _once(x)
-    return once[(once != BLANK) & ~np.isin(at, cut)]
+    cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
+    gone = np.zeros(len(t.x), bool)
+    gone[np.repeat(t.start[:-1], cut.value_lengths().to_numpy()) + cut.flatten().to_numpy(zero_copy_only=False)] = True
+    once = t.once()
+    once = once[~gone[once]]
+    return _distinct(t.text[once], t.x[once])
 
 
 def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1,
-              whole: bool = False) -> DataFrame:
+              whole: bool = True) -> DataFrame:
     """``doc, text_hash, n_lines, cut`` of every document: ``cut`` holds the
     numbers of the lines to delete (sorted), null if there are none."""
     spark = ready(docs)
@@ -152,10 +229,9 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def keys(rows: DataFrame, of, *names: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                found = [of(*(listed(x, c, i) for c in names)) for i in range(x.num_rows)]
-                at = pa.array(np.repeat(np.arange(x.num_rows), [len(k) for k in found]))
-                yield pa.RecordBatch.from_arrays([x.column("doc").take(at), x.column("text_hash").take(at),
-                                                  pa.array(np.concatenate([np.zeros(0, np.int64), *found]))],
+                text, key = of(Texts(x.column("lines")), *(x.column(c) for c in names))
+                at = pa.array(text)
+                yield pa.RecordBatch.from_arrays([x.column("doc").take(at), x.column("text_hash").take(at), pa.array(key)],
                                                  ["doc", "text_hash", "key"])
         return rows.mapInArrow(run, "doc long, text_hash long, key long")
 
@@ -186,15 +262,16 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def collected(cut: DataFrame, name: str) -> DataFrame:
         return scratch(cut.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("cut")), name, spark)
 
+    none = F.expr("CAST(array() AS array<int>)")
     # Patience aligns by lines that a text holds once; those name partners.
     if not whole:
-        cut = collected(aligned(met(keys(lines, lambda x: left_keys(x, np.zeros(0, np.int32)), "lines"), "line-once")), "line-cuts")
+        cut = collected(aligned(met(keys(lines.withColumn("cut", none), left_keys, "cut"), "line-once")), "line-cuts")
     else:
         # So do runs, heads and tails, which lead to a text with the same
         # lines in the same order, repeated ones included.
-        near = scratch(met(keys(lines, short_keys, "lines"), "line-keys"), "line-met")
+        near = scratch(met(keys(lines, short_keys), "line-keys"), "line-met")
         shared = near.groupBy("doc", "text_hash").agg(F.collect_set("key").alias("shared"))
-        runs = met(keys(lines.join(shared, ["doc", "text_hash"]), long_keys, "lines", "shared"), "line-runs")
+        runs = met(keys(lines.join(shared, ["doc", "text_hash"]), long_keys, "shared"), "line-runs")
         cut = collected(aligned(near.unionByName(runs)), "line-cuts")
         # A line may cross others in its first holder.  What is left meets its
         # other holders, in slices of a hash that grow 16 times a round, until
@@ -204,8 +281,7 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         holders = near.select("key", F.struct("doc", "text_hash").alias("f"), slices.alias("slice"))
         k = 0
         while True:
-            rest = keys(lines.join(cut, ["doc", "text_hash"], "left").withColumn(
-                "cut", F.coalesce("cut", F.expr("CAST(array() AS array<int>)"))), left_keys, "lines", "cut")
+            rest = keys(lines.join(cut, ["doc", "text_hash"], "left").withColumn("cut", F.coalesce("cut", none)), left_keys, "cut")
             rest = scratch(rest.join(near.where(F.struct("doc", "text_hash") > F.col("f")).where(F.col("n") >= 16 ** k),
                                      ["doc", "text_hash", "key"]).select("doc", "text_hash", "key"), "line-left", spark)
             if rest.isEmpty():
@@ -217,7 +293,7 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1,
-                      whole: bool = False) -> DataFrame:
+                      whole: bool = True) -> DataFrame:
     """``docs`` with aligned common blocks deleted from the later document, and
     ``n_cut_lines`` (int, replacing a column of that name), the lines that it lost.
 
@@ -231,8 +307,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     many documents may share it.
 
     That is not all pairs: a line may cross others in its first holder, or be
-    held twice, and stay.  With ``whole``, documents also meet the first one
-    with each of their runs of 2, 4, 8 ... adjacent lines, their heads and their
+    held twice, and stay.  So documents also meet (unless ``whole`` is false)
+    the first one with each of their runs of 2, 4, 8 ... adjacent lines, their heads and their
     tails, repeated lines included; and a line that its text holds once and
     that is still there meets every earlier document that holds it once, until
     one of them takes it.  The last part reads more pairs than lines where many
@@ -240,7 +316,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     line that is held twice, outside runs, heads and tails.
 
     Null texts stay null, empty ones empty; a text may become empty.  Repeated
-    rows (same id and text) are one document and are cut alike; with ``whole``,
+    rows (same id and text) are one document and are cut alike;
     equal texts under different ids lose all lines from the second on (unless
     fewer than ``min_lines`` of them have a word).  Columns other than
     the text are carried through unread, whatever their names.  An empty table

@@ -87,7 +87,7 @@ def test_lines_by_hand(documents):
         for v in once:
             first.setdefault(v, i)
         want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut)
-    got = {r["doc_id"]: r["text"] for r in lines.drop_common_lines(documents).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.drop_common_lines(documents, whole=False).collect()}
     assert got == want and any(want[i] != t for i, t in rows)
 
 
@@ -101,13 +101,17 @@ def test_patience_aligns(a, b):
         assert len(got) == len(a)
 
 
-def test_lines_odd_rows(table):
-    got = lines.drop_common_lines(table)
+@pytest.mark.parametrize("whole", [True, False])
+def test_lines_odd_rows(table, whole):
+    """Nulls in text and id, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    got = lines.drop_common_lines(table, whole=whole)
     assert got.columns == [*table.columns, "n_cut_lines"]
     rows = [(r["doc_id"], r["text"], r["n_cut_lines"]) for r in got.collect()]
     assert (6, "Other start\nend of it", 1) in rows
     assert rows.count((7, "", 3)) == 2 and (9, None, 0) in rows and (8, "", 0) in rows and (12, " \t\n ", 0) in rows
-    assert lines.drop_common_lines(table.limit(0)).count() == 0
+    assert (None, "text without an id, mail ann@example.org or +1 (415) 555-2671", 0) in rows
+    assert len(rows) == table.count() and {n for i, _, n in rows if i in (5, 10, 11, 13)} == {0}
+    assert lines.drop_common_lines(table.limit(0), whole=whole).count() == 0
 
 
 def cut_by_hand(rows, window):
