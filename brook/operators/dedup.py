@@ -24,7 +24,22 @@ def dedup_latest(df: DataFrame, keys, order_col: str, count_col: str | None = No
     return g.select(*cols)
 
 
-def only_new(batch: DataFrame, store: DataFrame, keys) -> DataFrame:
-    """Rows of ``batch`` whose key is not in ``store`` (left anti join; AQE
-    turns it into a broadcast join only when the store side is measured small)."""
-    return batch.join(store.select(*keys), on=list(keys), how="left_anti")
+# Fixed value: distinct keys of a batch that are broadcast at most (64-bit hashes: 32 MB).
+BROADCAST_KEYS = 1 << 22
+
+
+def only_new(batch: DataFrame, store: DataFrame, keys, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``store``; a null key is never there.
+
+    A batch is small next to the store, so the store is not moved to it: the
+    hashes of the batch's distinct keys, counted first and broadcast up to
+    ``most`` of them, cut the store down in its scan to the few rows that can
+    match, and only those meet the batch, by the keys themselves.  A larger
+    batch is joined with the whole store."""
+    keys = list(keys)
+    known = store.select(*keys)
+    hashed = F.xxhash64(*keys)
+    asked = batch.select(hashed.alias("_key")).distinct()
+    if asked.count() <= most:
+        known = known.withColumn("_key", hashed).join(F.broadcast(asked), "_key", "left_semi").drop("_key")
+    return batch.join(known, on=keys, how="left_anti")

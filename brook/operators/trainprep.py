@@ -4,6 +4,11 @@ batches, and a Spark ML classifier."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,7 @@ LABEL_COLUMN = "source"
 NUM_LABELS = 0
 EPOCHS = 3
 BATCH_SIZE = 8
+LR = 0.5
 MAX_LENGTH = 128
 VOCAB_SIZE = 30522
 PAD_ID = 0
@@ -144,3 +150,111 @@ def fit_classifier(frame: DataFrame, passes: int = EPOCHS, reg: float = 0.0, num
     model = pipe.fit(frame)
     history = list(model.stages[-1].summary.objectiveHistory)
     return model, history
+
+
+# ------------------------------------------------- training in mini-batches
+class StepModel(NamedTuple):
+    """A softmax classifier over token ids: the weights of a text are the mean
+    of its tokens' rows."""
+    weights: np.ndarray  # token ids x classes
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        used = (ids != PAD_ID)[:, :, None]
+        return (self.weights[ids] * used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+
+
+def _logits(weights: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities and the share that each token has in its text."""
+    used = ids != PAD_ID
+    share = used / np.maximum(used.sum(axis=1, keepdims=True), 1)
+    z = np.einsum("nl,nlc->nc", share, weights[ids])
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), share
+
+
+def step_gradient(weights: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """What some rows add to a step: token ids, a gradient row for each, and
+    the summed loss."""
+    logs, share = _logits(weights, ids)
+    off = np.exp(logs)
+    off[np.arange(len(labels)), labels] -= 1
+    row, place = np.nonzero(share)
+    tokens_, at = np.unique(ids[row, place], return_inverse=True)
+    gradient = np.zeros((len(tokens_), weights.shape[1]))
+    np.add.at(gradient, at, off[row] * share[row, place][:, None])
+    return tokens_, gradient, float(-logs[np.arange(len(labels)), labels].sum())
+
+
+def _matrix(column, length: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+
+
+def fit_steps(encoded: DataFrame, id_col: str = "id", world_size: int = 4, batch_size: int = BATCH_SIZE, lr: float = LR,
+              epochs: int = EPOCHS, num_labels: int = NUM_LABELS, max_length: int = MAX_LENGTH, vocab_size: int = VOCAB_SIZE,
+              seed: int = 42) -> tuple[StepModel, list[float]]:
+    """Synchronous mini-batch descent over rank shards: ``_text`` / ``_label``
+    -> the model and the mean loss of each pass.
+
+    Each pass deals the rows anew (``shard_epochs``, padded); step ``k`` takes
+    batch ``k`` of every rank, and all ranks take one step of ``lr`` together
+    along the mean gradient of its rows.  A step is one Spark job: tasks add up
+    the gradients of their rows by token, Spark sums them over tasks, and the
+    driver, which holds the weights (``MAX_COEFFICIENTS`` bounds them), gets one
+    row per token of the step.  Steps follow each other, so their number is
+    what a pass costs: the batch size has to grow with the rows.  The rows of a
+    pass are written once, clustered by step, and a step reads its own."""
+    from brook.session import scratch_path
+
+    spark = encoded.sparkSession
+    classes = num_labels or (encoded.agg(F.max("_label")).first()[0] or 0) + 1
+    weights = np.zeros((vocab_size, check_classes(classes, vocab_size)))
+    rows = tokens(encoded, max_length=max_length, vocab_size=vocab_size).select(id_col, F.col("_label").cast("int").alias("label"), "input_ids")
+    path = scratch_path(spark, "training-steps")
+    dealt = batches(shard_epochs(rows, id_col, world_size, seed, range(epochs)), batch_size)
+    (dealt.select("epoch", F.col("batch").cast("int").alias("step"), "label", "input_ids").repartitionByRange("epoch", "step")
+          .sortWithinPartitions("epoch", "step").write.parquet(path))
+    dealt = spark.read.schema("epoch int, step int, label int, input_ids array<int>").parquet(path)
+    steps = {r["epoch"]: r["n"] for r in dealt.groupBy("epoch").agg((F.max("step") + 1).alias("n")).collect()}
+    history = []
+
+    def gradients(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = weights
+        for b in batches_:
+            if b.num_rows:
+                ids, gradient, loss = step_gradient(now, _matrix(b.column("input_ids"), max_length), b.column("label").to_numpy())
+                # Token -1 carries the loss and the rows.
+                extra = np.zeros((1, now.shape[1] + 2))
+                extra[0, -2:] = loss, b.num_rows
+                whole = np.vstack([np.hstack([gradient, np.zeros((len(ids), 2))]), extra])
+                at = pa.array(np.arange(len(whole) + 1, dtype=np.int32) * whole.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1), pa.int32()), pa.ListArray.from_arrays(at, pa.array(whole.ravel()))],
+                                                 ["token", "g"])
+
+    for epoch in range(epochs):
+        lost = count = 0.0
+        for k in range(steps.get(epoch, 0)):
+            part = dealt.filter((F.col("epoch") == epoch) & (F.col("step") == k)).mapInArrow(gradients, "token int, g array<double>")
+            columns = [F.sum(F.get("g", i)).alias(f"g{i}") for i in range(classes + 2)]
+            got = part.groupBy("token").agg(*columns).toArrow()
+            token = got.column("token").to_numpy()
+            sums = np.stack([got.column(f"g{i}").to_numpy() for i in range(classes + 2)], axis=1)
+            loss, n = sums[token == -1][0, -2:]
+            weights = weights.copy()
+            weights[token[token >= 0]] -= lr / n * sums[token >= 0][:, :classes]
+            lost, count = lost + loss, count + n
+        history.append(lost / max(count, 1.0))
+    return StepModel(weights), history
+
+
+def predict_steps(model: StepModel, encoded: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """``encoded`` with ``prediction``, the class of the highest score."""
+    rows = tokens(encoded, max_length=max_length, vocab_size=model.weights.shape[0]).drop("n_words", "attention_mask")
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
+            ids = _matrix(b.column("input_ids"), max_length) if b.num_rows else np.zeros((0, max_length), np.int32)
+            best = model.scores(ids).argmax(axis=1) if len(ids) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.astype(np.int32))], [*b.schema.names, "prediction"])
+
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("prediction", IntegerType())])).drop("input_ids")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brook.operators import clean as C
 from brook.operators import quality as Q
-from brook.session import build_session, default_parallelism, scratch_path
+from brook.session import build_session, scratch_path
 from brook.sources import feeds as FD
 from brook.sources import lake as L
 
@@ -60,7 +60,7 @@ def run_scrape(spark: SparkSession, manifest_path: str, dest_path: str | None =
     if store:
         payloads = FD.read_payload_files(manifest, store)
     else:
-        payloads = FD.acquire_payloads(manifest, fetcher, parallelism or default_parallelism(spark))
+        payloads = FD.acquire_payloads(manifest, fetcher, parallelism)
     payload_path = payload_path or scratch_path(spark, "payloads")
     payloads.write.mode("overwrite").parquet(payload_path)
     articles = FD.feed_union(spark.read.parquet(payload_path))

@@ -18,7 +18,8 @@ def _forms(day: str, key: str, junk: str) -> str:
       WHEN 0 THEN strftime({day}, '%Y-%m-%d')
       WHEN 1 THEN strftime({day}, '%Y-%m-%d') || 'T' || {hh} || ':15:00Z'
       WHEN 2 THEN strftime({day}, '%Y-%m-%d') || 'T' || {hh} || ':30:00+02:00'
-      WHEN 3 THEN strftime({day}, '%a, %d %b %Y') || ' ' || {hh} || ':45:00 +0000'
+      WHEN 3 THEN strftime({day}, '%a, %d %b %Y') || ' ' || {hh} || ':45:00' ||
+        CASE {key} % 36 WHEN 9 THEN ' EST' WHEN 15 THEN ' PDT' ELSE ' +0000' END
       WHEN 4 THEN strftime({day}, '%Y')
       ELSE {junk} END"""
 
@@ -26,6 +27,7 @@ def _forms(day: str, key: str, junk: str) -> str:
 def _true_date(day: str, key: str) -> str:
     return f"""CASE WHEN {key} % 6 = 5 THEN NULL
       WHEN {key} % 6 = 4 THEN CAST(date_trunc('year', {day}) AS DATE)
+      WHEN {key} % 36 = 9 AND {key} % 24 >= 19 OR {key} % 36 = 15 AND {key} % 24 >= 17 THEN CAST({day} + INTERVAL 1 DAY AS DATE)
       ELSE CAST({day} AS DATE) END"""
 
 

@@ -216,14 +216,17 @@ def _payload_files(spark, sf):
 
 
 @register("acquire_payloads", """
-  SELECT CASE WHEN page_id % 6 IN (2, 5) THEN 'csv' ELSE 'xml' END AS format, count(*) AS n_payloads, count(*) AS n_ok
-  FROM pages GROUP BY 1""")
+  SELECT CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'htm' END AS format, md5(html || chr(10)) AS body_md5, false AS failed FROM pages
+  UNION ALL SELECT 'html', NULL, true""")
 def acquire_payloads(spark, sf):
-    """Payload files in a store that Spark reads, acquired by their manifest."""
-    files, manifest = _payload_files(spark, sf)
-    got = FD.read_payload_files(manifest, files)
-    return got.groupBy("format").agg(F.count(F.lit(1)).alias("n_payloads"),
-                                     F.count_if(F.col("error").isNull() & F.col("body").isNotNull()).alias("n_ok"))
+    """Page files in a store that Spark reads, acquired by their manifest, which also names a file that is not there."""
+    files = scratch_path(spark, "page-files")
+    p = V.table(spark, sf, "pages").select("html", F.when(F.col("page_id") % 2 == 0, "html").otherwise("htm").alias("format"))
+    p.write.option("maxRecordsPerFile", 1).partitionBy("format").text(files)
+    listed = spark.read.format("binaryFile").load(files).select(F.col("path").alias("url"), "format", F.lit("store").alias("source"))
+    lost = listed.limit(1).select(F.concat("url", F.lit(".gone")).alias("url"), F.lit("html").alias("format"), "source")
+    got = FD.read_payload_files(listed.unionByName(lost), files)
+    return got.select("format", F.md5("body").alias("body_md5"), F.col("error").isNotNull().alias("failed"))
 
 
 @register("scrape_job", f"""WITH {_PG}
@@ -245,6 +248,26 @@ def scrape_job(spark, sf):
             .withColumn("day_path", F.lit(dest[-12:])))
 
 
+@register("curated_compacted", with_views("""
+  SELECT CAST(true_date AS VARCHAR) AS published_date, count(*) AS n_rows, count(DISTINCT id) AS n_ids, true AS fewer_files FROM articles
+  WHERE title IS NOT NULL AND true_date IS NOT NULL GROUP BY 1""", "articles"))
+def curated_compacted(spark, sf):
+    """Three runs, compaction, one of them repeated and a fourth added after it: every row once, in fewer files."""
+    good, _ = C.split(C.clean(V.articles(spark, sf), lineage=False))
+    part = lambda k: good.filter(F.col("id").cast("bigint") % 4 == k)
+    path = scratch_path(spark, "compacted")
+    for k in range(3):
+        L.write_curated(part(k), path, run=f"2024-06-0{k + 1}")
+    loose = len(L.curated_scan(spark, path).inputFiles())
+    L.compact_curated(spark, path)
+    fewer = len(L.curated_scan(spark, path).inputFiles()) < loose
+    L.write_curated(part(1), path, run="2024-06-02")
+    L.write_curated(part(3), path, run="2024-06-04")
+    back = L.curated_scan(spark, path)
+    return (back.groupBy(F.col("published_date").cast("string").alias("published_date"))
+                .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids")).withColumn("fewer_files", F.lit(fewer)))
+
+
 @register("required_articles", with_views("""
   SELECT id, lower(trim(source)) AS source, md5(title) AS title_md5 FROM articles WHERE title IS NOT NULL""", "articles"))
 def required_articles(spark, sf):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from brook.functions.cron import FIELDS
 from brook.operators import rules as R
 from brook.plans import views as V
 from brook.plans.catalog import register
 from brook.plans.oracle_views import with_views
-from brook.plans.q_schedule import _duck_field, _duck_names
-from brook.functions.cron import DOW_NAMES, MONTH_NAMES
+from brook.plans.q_schedule import DOW_NAMES, FIELDS, MONTH_NAMES, _duck_field, _duck_names
 
 
 def _duck_cron_ok(col: str) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brook.functions.cron import DOW_NAMES, FIELDS, ITEM, MONTH_NAMES
 from brook.operators import schedule as S
 from brook.plans import views as V
 from brook.plans.catalog import register
@@ -24,6 +23,13 @@ DUCK_TS = "%Y-%m-%d %H:%M:%S"
 
 
 # ----------------------------------------------------- DuckDB cron parser
+# The grammar once more, by hand: bounds of the five fields, an item, the names.
+FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("dom", 1, 31), ("month", 1, 12), ("dow", 0, 6))
+ITEM = "([*]|[?]|[0-9]+|[0-9]+-[0-9]+)(/[0-9]+)?"
+MONTH_NAMES = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+DOW_NAMES = "SUN MON TUE WED THU FRI SAT".split()
+
+
 def _duck_field(f: str, lo: int, hi: int) -> str:
     item = (f"struct_pack(ok := regexp_full_match(it, '{ITEM}'), "
             f"a := CASE WHEN regexp_extract(it, '^([^/]*)', 1) IN ('*', '?') THEN {lo} "

@@ -82,6 +82,48 @@ def error_rate_batch(spark, sf):
                     "n_events", "n_errors", "errors_per_sec")
 
 
+# Scrapes of one counter per namespace: it counts up with the event id and restarts at every 61st.
+_COUNTER_SQL = """,
+  scrapes AS (SELECT namespace, ts, CAST(event_id % 61 AS DOUBLE) AS v FROM status_history),
+  one AS (SELECT namespace, ts, max(v) AS v FROM scrapes GROUP BY ALL),
+  placed AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS w FROM one, (SELECT unnest(range(0, 4)) AS k)),
+  steps AS (SELECT *, lag(v) OVER x AS p, first_value(v) OVER x AS v0 FROM placed WINDOW x AS (PARTITION BY namespace, w ORDER BY ts)),
+  sums AS (SELECT namespace, w, count(*) AS n, sum(CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END) AS inc, any_value(v0) AS v0,
+             epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1 FROM steps GROUP BY ALL HAVING count(*) > 1),
+  gaps AS (SELECT *, (t1 - t0) / 1e6 AS span, (t1 - t0) / 1e6 / (n - 1) AS gap, (t0 - epoch_us(w)) / 1e6 AS a,
+             (epoch_us(w) + 3600000000 - t1) / 1e6 AS b FROM sums),
+  near AS (SELECT *, CASE WHEN a < gap * 1.1::DOUBLE THEN a ELSE gap / 2 END AS a1, CASE WHEN b < gap * 1.1::DOUBLE THEN b ELSE gap / 2 END AS b1,
+             CASE WHEN inc > 0 THEN span * (v0 / inc) END AS zero FROM gaps)
+  SELECT namespace, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, n AS n_samples, CAST(inc AS DOUBLE) AS increase,
+    round(inc * ((span + CASE WHEN zero < a1 THEN zero ELSE a1 END + b1) / span) / 3600, 9) AS rate FROM near"""
+
+
+def _scrapes(spark, sf):
+    h = V.status_history(spark, sf)
+    return h.select("namespace", "ts", (F.col("event_id") % 61).cast("double").alias("value"))
+
+
+def _rates(df):
+    return df.select("namespace", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_samples", "increase", "rate")
+
+
+@register("counter_rate", with_views("", "status_history").rstrip() + _COUNTER_SQL)
+def counter_rate(spark, sf):
+    """Rate of a counter that restarts, over an hour every quarter of an hour."""
+    return _rates(SJ.counter_rate(_scrapes(spark, sf), "1 hour", "15 minutes", ["namespace"]))
+
+
+@register("stream_counter_rate", with_views("", "status_history").rstrip() + _COUNTER_SQL)
+def stream_counter_rate(spark, sf):
+    """The same rate, streamed: each trigger writes the windows that it changed."""
+    h = _scrapes(spark, sf)
+    src = _land(h, spark, "scrapes-src")
+    s = spark.readStream.schema(h.schema).parquet(src)
+    dest = scratch_path(spark, "rate-out")
+    SJ.run_to_parquet(SJ.counter_rate(s, "1 hour", "15 minutes", ["namespace"]), dest, scratch_path(spark, "rate-ckpt"), mode="update")
+    return _rates(SJ.latest_rows(spark, dest, ["namespace", "window_start", "window_end"]))
+
+
 @register("stream_latest_status", with_views("""
   SELECT event_id, namespace, run, phase, running, desired, driver_pod, retries, cost FROM (
     SELECT *, row_number() OVER w AS rn, lag(phase) OVER w AS p1, lag(running) OVER w AS p2,

@@ -32,7 +32,9 @@ def _s(c) -> Column:
 
 
 def render_date_forms(day: Column, key: Column, junk: Column) -> Column:
-    """Render a date in the five feed forms (+ junk) chosen by ``key % 6``."""
+    """Render a date in the five feed forms (+ junk) chosen by ``key % 6``;
+    RFC-822 forms name their zone now and then."""
+    zone = F.when(key % 36 == 9, " EST").when(key % 36 == 15, " PDT").otherwise(" +0000")
     ds = F.date_format(day, "yyyy-MM-dd")
     hh = F.lpad(_s(key % 24), 2, "0")
     form = key % 6
@@ -40,7 +42,7 @@ def render_date_forms(day: Column, key: Column, junk: Column) -> Column:
             .when(form == 1, F.concat(ds, F.lit("T"), hh, F.lit(":15:00Z")))
             .when(form == 2, F.concat(ds, F.lit("T"), hh, F.lit(":30:00+02:00")))
             .when(form == 3, F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" "), hh,
-                                      F.lit(":45:00 +0000")))
+                                      F.lit(":45:00"), zone))
             .when(form == 4, F.date_format(day, "yyyy"))
             .otherwise(junk))
 
@@ -49,6 +51,8 @@ def true_date_of_forms(day: Column, key: Column) -> Column:
     form = key % 6
     return (F.when(form == 5, F.lit(None).cast("date"))
             .when(form == 4, F.trunc(day, "year"))
+            # Five or seven hours behind: an evening there is the next day here.
+            .when((key % 36 == 9) & (key % 24 >= 19) | (key % 36 == 15) & (key % 24 >= 17), F.date_add(day, 1))
             .otherwise(day))
 
 

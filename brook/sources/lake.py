@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,16 @@ def _clustered(df: DataFrame, *cols: str) -> DataFrame:
     return df.hint("rebalance", *cols) if cols else df
 
 
-def write_raw(df: DataFrame, path: str, scrape_date: str, mode: str = "overwrite") -> None:
+# Fixed value: rows of one landing file.  A CSV file whose values hold line ends
+# is read by one task, so its size is bounded where it is written.
+RAW_ROWS_PER_FILE = 250_000
+
+
+def write_raw(df: DataFrame, path: str, scrape_date: str, mode: str = "overwrite", rows_per_file: int = RAW_ROWS_PER_FILE) -> None:
     """Landing CSV partitioned by ``scrape_date`` and ``_source``."""
     out = df.withColumn("scrape_date", F.lit(scrape_date))
     (_clustered(out, "scrape_date", "_source").write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scrape_date", "_source").options(**CSV_OPTIONS).csv(path))
+        .option("maxRecordsPerFile", rows_per_file).partitionBy("scrape_date", "_source").options(**CSV_OPTIONS).csv(path))
 
 
 def raw_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -101,18 +108,99 @@ def write_quarantine(bad: DataFrame, dest: str, *, run: str, some: bool | None =
     return int(obs.get.get("n", 0))
 
 
-def curated_scan(spark: SparkSession, path: str, required=(), base_path: str | None = None) -> DataFrame:
-    """Read every Parquet file under a path or glob; fail when nothing matches
-    or a required column is missing."""
-    reader = spark.read
-    if base_path:
-        reader = reader.option("basePath", base_path)
+# ------------------------------------------------------------- compaction
+# Where a curated store keeps its compacted versions and the
+# pointers to them.  Spark's readers skip names with an underscore.
+COMPACTED = "_compacted"
+POINTERS = "_current"
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _files(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _run_stamps(spark: SparkSession, path: str) -> dict[str, int]:
+    """The run folders of a store and when each was last written.  A repeated
+    run replaces its folder, and with it the mark of its write."""
+    fs, p = _files(spark, path)
+    out = {}
+    for x in fs.listStatus(p) if fs.exists(p) else []:
+        name = x.getPath().getName()
+        if x.isDirectory() and name.startswith("run_date="):
+            mark = spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")
+            out[name.split("=", 1)[1]] = (fs.getFileStatus(mark) if fs.exists(mark) else x).getModificationTime()
+    return out
+
+
+def _pointer(spark: SparkSession, path: str) -> dict | None:
+    """The newest pointer: the version that it names, and the runs in it."""
+    names = [x for x in _children(spark, f"{path.rstrip('/')}/{POINTERS}") if x.isdigit()]
+    if not names:
+        return None
+    text = spark.read.text(f"{path.rstrip('/')}/{POINTERS}/{names[-1]}").first()[0]
+    return {"number": int(names[-1]), **json.loads(text)}
+
+
+def compact_curated(spark: SparkSession, path: str, partition_col: str = "published_date") -> dict:
+    """Rewrite all runs of a curated store into one version with few files a
+    date, so that files do not grow with runs x dates.
+
+    The version is written next to the runs, then a pointer with a number of
+    its own is created: readers see the old version or the new one, never
+    half of one, and a failed compaction leaves nothing that is read.  The run
+    of each row stays a column, so a run that is repeated later, or is new, is
+    read from its own folder instead.  Run folders are left where they are;
+    ``covered`` in the pointer names those that are no longer read."""
+    path = path.rstrip("/")
+    before = _pointer(spark, path)
+    number = before["number"] + 1 if before else 1
+    stamps = _run_stamps(spark, path)
+    version = f"{path}/{COMPACTED}/{number:09d}"
+    rows = curated_scan(spark, path)
+    (_clustered(rows, partition_col).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy(partition_col).parquet(version))
+    fs, p = _files(spark, f"{path}/{POINTERS}/{number:09d}")
+    text = json.dumps({"version": f"{number:09d}", "covered": stamps})
+    out = fs.create(p, False)  # fails if another compaction has taken the number
+    out.write(bytearray(text.encode()))
+    out.close()
+    return _pointer(spark, path)
+
+
+def _read(reader, *paths: str) -> DataFrame:
     try:
-        df = reader.parquet(path)
+        return reader.parquet(*paths)
     except AnalysisException as exc:
         if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        raise FileNotFoundError(f"no Parquet files under {path}") from exc
+        raise FileNotFoundError(f"no Parquet files under {', '.join(paths)}") from exc
+
+
+def curated_scan(spark: SparkSession, path: str, required=(), base_path: str | None = None) -> DataFrame:
+    """Read every Parquet file under a path or glob; fail when nothing matches
+    or a required column is missing.  Of a compacted store: the compacted rows
+    of the runs that have not been written again since, and the other runs."""
+    reader = spark.read.option("basePath", base_path) if base_path else spark.read
+    current = None if base_path or any(c in path for c in "*?[{") else _pointer(spark, path)
+    if current is None:
+        df = _read(reader, path)
+    else:
+        root = path.rstrip("/")
+        stamps = _run_stamps(spark, root)
+        fresh = sorted(r for r, t in stamps.items() if current["covered"].get(r) != t)
+        again = [r for r in fresh if r in current["covered"]]
+        df = _read(spark.read, f"{root}/{COMPACTED}/{current['version']}")
+        if again:
+            df = df.filter(~F.coalesce(F.col("run_date").cast("string").isin(again), F.lit(False)))
+        if fresh:
+            runs = _read(spark.read.option("basePath", root), *[f"{root}/run_date={r}" for r in fresh])
+            df = df.unionByName(runs.withColumn("run_date", F.col("run_date").cast(df.schema["run_date"].dataType)), allowMissingColumns=True)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} missing; found {df.columns}")

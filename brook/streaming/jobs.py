@@ -98,6 +98,51 @@ def error_rate(events: DataFrame, window: str = "5 minutes", slide: str | None =
                     "n_events", "n_errors", F.round(F.col("n_errors") / span, 6).alias("errors_per_sec"))
 
 
+# ------------------------------------------------------- counter rate
+# Fixed value: a gap to the window's edge counts as usual up to so many
+# average gaps between samples.
+USUAL_GAP = 1.1
+
+
+def counter_rate(samples: DataFrame, window: str = "5 minutes", slide: str = "1 minute", series=RUN_OF, ts_col: str = "ts",
+                 value_col: str = "value", delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Per-second rate of a monotone counter in sliding windows: per series and
+    window ``n_samples``, ``increase`` and ``rate``; one sample gives none.
+
+    The increase sums the differences of consecutive samples; a sample below
+    the one before it is a restart from zero and adds its own value.  It is
+    then carried on to the window's edges: by the gap to the edge if that is a
+    usual one (1.1 average gaps), else by half an average gap, and never back
+    beyond where the counter would have been zero.
+
+    Works on a stream (watermarked; windows are updated as samples arrive) and
+    on a static frame.  A window's samples of one series are gathered, as many
+    as it was scraped times within the window; repeated samples of one instant
+    count once (the highest)."""
+    src = samples.withWatermark(ts_col, delay) if samples.isStreaming else samples
+    sample = F.struct(F.unix_micros(ts_col).alias("t"), F.col(value_col).cast("double").alias("v"))
+    g = src.filter(F.col(value_col).isNotNull()).groupBy(*series, F.window(ts_col, window, slide).alias("w")).agg(F.array_sort(F.collect_set(sample)).alias("s"))
+    s = F.col("s")
+    last_of = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["t"] != x["t"]))
+    g = g.withColumn("s", last_of).filter(F.size("s") > 1)
+    n = F.size("s")
+    pairs = F.sequence(F.lit(1), n - 1)
+    step = lambda i: F.when(F.get(s, i)["v"] >= F.get(s, i - 1)["v"], F.get(s, i)["v"] - F.get(s, i - 1)["v"]).otherwise(F.get(s, i)["v"])
+    increase = F.aggregate(pairs, F.lit(0.0), lambda a, i: a + step(i))
+    g = g.select(*series, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), n.cast("long").alias("n_samples"),
+                 increase.alias("increase"), F.get(s, 0)["t"].alias("_t0"), F.get(s, n - 1)["t"].alias("_t1"), F.get(s, 0)["v"].alias("_v0"))
+    span = (F.col("_t1") - F.col("_t0")) / 1e6
+    gap = span / (F.col("n_samples") - 1)
+    near = lambda x: F.when(x < gap * USUAL_GAP, x).otherwise(gap / 2)
+    ahead = near((F.col("_t0") - F.unix_micros("window_start")) / 1e6)
+    zero = F.when((F.col("increase") > 0) & (F.col("_v0") >= 0), span * (F.col("_v0") / F.col("increase")))
+    ahead = F.when(zero < ahead, zero).otherwise(ahead)
+    behind = near((F.unix_micros("window_end") - F.col("_t1")) / 1e6)
+    width = (F.unix_micros("window_end") - F.unix_micros("window_start")) / 1e6
+    rate = F.col("increase") * ((span + ahead + behind) / span) / width
+    return g.select(*series, "window_start", "window_end", "n_samples", "increase", F.round(rate, 9).alias("rate"))
+
+
 # ------------------------------------------------------- latest status
 STATUS_COLS = ["phase", "running", "desired", "driver_pod", "retries", "cost"]
 

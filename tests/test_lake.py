@@ -156,3 +156,48 @@ def test_audit_and_gate_agree(spark):
     assert Q.audit(rows).first().gate_passed is False
     with pytest.raises(Q.GateError):
         Q.reject_gate(100_000, 79_996)
+
+
+def test_compaction_keeps_rows_and_follows_later_runs(spark, tmp_path):
+    """Same rows in fewer files; a repeated run replaces its compacted rows, a new one is added, a second compaction takes both."""
+    path = str(tmp_path / "store")
+    rows = lambda run, n, v: spark.createDataFrame([(f"{run}-{i}", v, f"2024-01-0{i % 3 + 1}") for i in range(n)], "id string, v int, published_date string")
+    for run in ("2024-06-01", "2024-06-02", "path-abc"):
+        L.write_curated(rows(run, 9, 1), path, run=run)
+    seen = lambda: sorted((r.id, r.v, str(r.published_date), str(r.run_date)) for r in L.curated_scan(spark, path).collect())
+    before, files = seen(), len(L.curated_scan(spark, path).inputFiles())
+    pointer = L.compact_curated(spark, path)
+    assert seen() == before and len(L.curated_scan(spark, path).inputFiles()) < files
+    assert set(pointer["covered"]) == {"2024-06-01", "2024-06-02", "path-abc"} and pointer["number"] == 1
+    L.write_curated(rows("2024-06-02", 4, 2), path, run="2024-06-02")
+    L.write_curated(rows("2024-06-03", 2, 3), path, run="2024-06-03")
+    want = sorted([r for r in before if r[3] != "2024-06-02"] + [(f"2024-06-02-{i}", 2, f"2024-01-0{i % 3 + 1}", "2024-06-02") for i in range(4)]
+                  + [(f"2024-06-03-{i}", 3, f"2024-01-0{i % 3 + 1}", "2024-06-03") for i in range(2)])
+    assert seen() == want
+    assert L.compact_curated(spark, path)["number"] == 2 and seen() == want
+    with pytest.raises(FileNotFoundError):
+        L.curated_scan(spark, str(tmp_path / "nothing"))
+
+
+def test_manifest_is_one_array_a_file(spark, tmp_path):
+    import json as J
+
+    rows = [(f"http://u{i}", "xml", None if i % 2 else f"s{i}") for i in range(7)]
+    path = str(tmp_path / "manifest")
+    L.write_manifest(spark.createDataFrame(rows, "url string, format string, source string"), path, files=2)
+    files = [p for p in (tmp_path / "manifest").iterdir() if p.name.startswith("part-")]
+    assert sorted(x["url"] for p in files for x in J.loads(p.read_text() or "[]")) == [r[0] for r in rows]
+    assert sorted(map(tuple, L.manifest_scan(spark, path).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_only_new_leaves_the_store_where_it_is(spark):
+    """The store is cut down in its scan; keys of several columns, nulls, a batch beyond the broadcast bound."""
+    from brook.operators.dedup import only_new
+
+    store = spark.createDataFrame([(i, f"s{i % 3}", "x" * 50) for i in range(1000)] + [(None, "s1", "")], "id int, source string, body string")
+    batch = spark.createDataFrame([(5, "s2", "old"), (5, "s1", "new"), (2000, "s1", "new"), (None, "s1", "null"), (7, None, "null")], "id int, source string, kind string")
+    for most in (100, 0):
+        assert sorted(r.kind for r in only_new(batch, store, ["id", "source"], most).collect()) == ["new", "new", "null", "null"]
+    plan = only_new(batch, store, ["id", "source"])._jdf.queryExecution().sparkPlan().toString()
+    cut = plan[plan.index("LeftAnti"):]
+    assert "BroadcastHashJoin" in cut and "LeftSemi" in cut

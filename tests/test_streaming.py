@@ -157,3 +157,34 @@ def test_stream_elt_batch_replay_is_idempotent(spark, tmp_dir):
     assert spark.read.parquet(dest).count() == n
     SJ.await_all(SJ.stream_elt(spark, raw, dest, f"{tmp_dir}/ck2"))
     assert spark.read.parquet(dest).count() == 2 * n
+
+
+def test_counter_rate_by_hand(spark):
+    """Restarts, usual and unusual gaps to the edges, the zero bound, one sample, repeated instants."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    series = {"steady": [(s, 100 + s / 10) for s in range(0, 300, 30)],              # 0.1 a second throughout
+              "restart": [(10, 50), (40, 56), (70, 2), (100, 8)],                    # 6 + 2 + 6, long gap behind
+              "young": [(100, 1), (130, 31), (160, 61)],                             # would have been zero a second earlier
+              "once": [(5, 1)], "flat": [(0, 3), (0, 7), (290, 7)]}
+    rows = [("ns", k, at(s), float(v)) for k, xs in series.items() for s, v in xs]
+    df = spark.createDataFrame(rows, "namespace string, run string, ts timestamp, value double")
+    got = {r.run: (r.n_samples, r.increase, r.rate) for r in SJ.counter_rate(df, "5 minutes", "5 minutes").collect()}
+    assert set(got) == {"steady", "restart", "young", "flat"}
+    assert got["steady"] == (10, 27.0, 0.1)
+    assert got["restart"] == (4, 14.0, round(14 * (90 + 10 + 15) / 90 / 300, 9))
+    assert got["young"] == (3, 60.0, round(60 * (60 + 1 + 15) / 60 / 300, 9))
+    assert got["flat"] == (2, 0.0, 0.0)
+
+
+def test_counter_rate_streamed_in_parts(spark, tmp_dir):
+    """Samples of a window that come in several triggers give the rate of all of them."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [("ns", f"r{i % 2}", at(15 * i), float((i * 7) % 40)) for i in range(80)]
+    schema = "namespace string, run string, ts timestamp, value double"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 27:(k + 1) * 27], schema).write.mode("append").parquet(f"{tmp_dir}/src")
+        s = spark.readStream.schema(schema).parquet(f"{tmp_dir}/src")
+        SJ.run_to_parquet(SJ.counter_rate(s, "5 minutes", "1 minute"), f"{tmp_dir}/out", f"{tmp_dir}/ck", mode="update")
+    keys = ["namespace", "run", "window_start", "window_end"]
+    got = sorted(tuple(r) for r in SJ.latest_rows(spark, f"{tmp_dir}/out", keys).collect())
+    assert got == sorted(tuple(r) for r in SJ.counter_rate(spark.createDataFrame(rows, schema), "5 minutes", "1 minute").collect()) and len(got) > 20

@@ -68,3 +68,38 @@ def test_classifier_loss_falls_and_saves(spark, tmp_dir):
     back = PipelineModel.load(f"{tmp_dir}/clf/model")
     assert back.transform(enc).count() == enc.count()
     assert spark.read.json(f"{tmp_dir}/clf/label_map").count() == lmap.count()
+
+
+def test_steps_equal_a_plain_run(spark):
+    """Loss per pass and weights are those of one machine that takes the same batches."""
+    import numpy as np
+
+    words = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    rows = [(i, " ".join(words[(i * 7 + k * (i % 3 + 1)) % 6] for k in range(i % 5)), i % 3) for i in range(50)]
+    enc = spark.createDataFrame(rows, "id long, _text string, _label int")
+    kw = dict(world_size=3, batch_size=4, lr=0.7, epochs=2, max_length=6, vocab_size=40)
+    model, loss = T.fit_steps(enc, "id", **kw, num_labels=4)
+    ids = {r["id"]: r["input_ids"] for r in T.tokens(enc, max_length=6, vocab_size=40).collect()}
+    dealt = T.batches(T.shard_epochs(enc.select("id"), "id", 3, 42, range(2)), 4).collect()
+    w, want = np.zeros((40, 4)), []
+    for epoch in range(2):
+        total = n = 0
+        for step in range(max(r["batch"] for r in dealt if r["epoch"] == epoch) + 1):
+            batch = [r["id"] for r in dealt if r["epoch"] == epoch and r["batch"] == step]
+            grad = np.zeros_like(w)
+            for i in batch:
+                used = [t for t in ids[i] if t]
+                x = np.zeros(40)
+                for t in used:
+                    x[t] += 1 / len(used)
+                z = x @ w
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                total -= np.log(p[i % 3])
+                p[i % 3] -= 1
+                grad += np.outer(x, p)
+            n += len(batch)
+            w -= 0.7 / len(batch) * grad
+        want.append(total / n)
+    assert np.allclose(loss, want) and np.allclose(model.weights, w) and loss[1] < loss[0]
+    predicted = {r["id"]: r["prediction"] for r in T.predict_steps(model, enc, 6).collect()}
+    assert len(predicted) == 50 and predicted[1] == int(np.argmax(model.scores(np.array([ids[1]]))[0]))
