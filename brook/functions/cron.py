@@ -92,18 +92,6 @@ def with_parsed_cron(df: DataFrame, expr_col: str = "schedule", out: str = "cron
     return d.withColumn(out, cron).drop(*drop)
 
 
-def join_parsed_cron(df: DataFrame, expr_col: str = "schedule", out: str = "cron") -> DataFrame:
-    """``with_parsed_cron`` over the distinct expressions, joined back: runs
-    share a handful of schedules, so the parse runs once per expression, and
-    the join keeps Catalyst from re-inlining it into later operators."""
-    from pyspark import StorageLevel
-
-    # One row per distinct expression: persisted so the (interpreted, regex
-    # heavy) parse is computed once and every consumer reads the result.
-    parsed = with_parsed_cron(df.select(expr_col).distinct(), expr_col, out).persist(StorageLevel.MEMORY_AND_DISK)
-    return df.join(parsed, df[expr_col].eqNullSafe(parsed[expr_col]), "left").drop(parsed[expr_col])
-
-
 def day_matches(cron: Column, day: Column) -> Column:
     """Whether a local calendar day can fire."""
     dom_ok = F.array_contains(cron["dom"], F.dayofmonth(day))

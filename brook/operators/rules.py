@@ -64,18 +64,24 @@ def _report(df: DataFrame, rules: list[Column], extra: Column | None = None) ->
     return df.select(*RUN, F.explode(arr).alias("r")).select(*RUN, "r.severity", "r.rule", "r.field", "r.value")
 
 
-def _checked(specs: DataFrame, column: str, verdict, out: str) -> DataFrame:
-    """``specs`` with ``out``: what ``verdict`` says of the distinct values of
-    ``column`` (true, false or null), each judged once."""
-    values = specs.select(F.col(column).alias("_value")).filter(F.col(column).isNotNull()).distinct()
-    return specs.join(verdict(values).select("_value", out), F.col(column) == F.col("_value"), "left").drop("_value")
+def _checked(specs: DataFrame) -> DataFrame:
+    """``specs`` with what is dear to find out: whether the schedule parses,
+    the zone exists and the CPU request is not positive.  Each combination that
+    specs share is judged once."""
+    shared = {"_s": "schedule", "_z": "time_zone", "_c": "exec_cpu"}
+    each = specs.select(*[F.col(c).alias(n) for n, c in shared.items()]).distinct()
+    no_cpu = F.col("_c").isNotNull() & F.coalesce(millicores("_c") <= 0, F.lit(True))
+    judged = with_parsed_cron(each, "_s", "_cron").select(
+        *shared, F.col("_cron.valid").alias("_cron_ok"), valid_zone(F.col("_z")).alias("_zone_ok"), no_cpu.alias("_no_cpu"))
+    same = F.lit(True)
+    for n, c in shared.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return specs.join(judged, same).drop(*shared)
 
 
 def spec_report(specs: DataFrame) -> DataFrame:
     """Job spec rules (errors block a spec, warnings do not)."""
-    d = _checked(specs, "schedule", lambda v: with_parsed_cron(v, "_value", "_c").withColumn("_cron_ok", F.col("_c.valid")), "_cron_ok")
-    d = _checked(d, "time_zone", lambda v: v.withColumn("_zone_ok", valid_zone(F.col("_value"))), "_zone_ok")
-    d = _checked(d, "exec_cpu", lambda v: v.withColumn("_no_cpu", F.coalesce(millicores("_value") <= 0, F.lit(True))), "_no_cpu")
+    d = _checked(specs)
     # A schedule of blanks is a bad expression, not a missing one.
     has_sched = F.coalesce(F.col("schedule"), F.lit("")) != ""
     zone = F.coalesce(F.col("time_zone"), F.lit(""))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brook.functions.cron import day_matches, join_parsed_cron
+from brook.functions.cron import day_matches, with_parsed_cron
 from brook.functions.zones import day_instants, zone_parts
 
 TERMINAL = ["Succeeded", "Failed"]
@@ -46,18 +46,30 @@ def _zone(col="time_zone") -> Column:
     return F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit("UTC"))
 
 
-def parse_templates(templates: DataFrame) -> DataFrame:
-    """Adds ``cron`` (parsed fields), ``zone`` and ``reject_reason``."""
-    # Distinct zones are checked once each, distinct expressions parsed once:
-    # templates share a handful of both, and the joins keep Catalyst from
-    # re-inlining the work into every operator above.
-    zones = templates.select(_zone().alias("_zone")).distinct().withColumn("_zone_ok", valid_zone(F.col("_zone")))
+def clocks(templates: DataFrame) -> DataFrame:
+    """The distinct (schedule, zone name) pairs of the templates, with ``cron``
+    (parsed fields), ``zone`` and ``reject_reason``: what a template fires
+    depends on its pair alone, and templates share a handful of them."""
+    pairs = with_parsed_cron(templates.select("schedule", _zone().alias("zone_name")).distinct(), "schedule", "cron")
+    pairs = pairs.withColumn("_zone_ok", valid_zone(F.col("zone_name")))
+    reason = F.when(~F.coalesce(F.col("cron.valid"), F.lit(False)), "bad_cron").when(~F.col("_zone_ok"), "bad_zone")
     # An invalid zone must never reach a conversion, even when Catalyst
     # evaluates the conversion above the filter that drops the row.
-    t = (join_parsed_cron(templates, "schedule", "cron").withColumn("_of", _zone()).join(zones, F.col("_of") == F.col("_zone"))
-         .withColumn("zone", F.when(F.col("_zone_ok"), F.col("_zone")).otherwise(F.lit("UTC"))))
-    reason = F.when(~F.coalesce(F.col("cron.valid"), F.lit(False)), "bad_cron").when(~F.col("_zone_ok"), "bad_zone")
-    return t.withColumn("reject_reason", reason).drop("_of", "_zone", "_zone_ok")
+    return pairs.select("schedule", "zone_name", "cron", F.when(F.col("_zone_ok"), F.col("zone_name")).otherwise(F.lit("UTC")).alias("zone"),
+                        reason.alias("reject_reason"))
+
+
+def _with_clock(templates: DataFrame, found: DataFrame) -> DataFrame:
+    """``templates`` next to the row of ``found`` for their schedule and zone
+    name; those without one are left out."""
+    f = found.withColumnsRenamed({"schedule": "_schedule", "zone_name": "_zone_name"})
+    same = F.col("schedule").eqNullSafe(F.col("_schedule")) & (_zone() == F.col("_zone_name"))
+    return templates.join(f, same).drop("_schedule", "_zone_name")
+
+
+def parse_templates(templates: DataFrame) -> DataFrame:
+    """Adds ``cron`` (parsed fields), ``zone`` and ``reject_reason``."""
+    return _with_clock(templates, clocks(templates))
 
 
 def schedule_rejects(templates: DataFrame) -> DataFrame:
@@ -65,12 +77,6 @@ def schedule_rejects(templates: DataFrame) -> DataFrame:
     return p.filter(F.col("reject_reason").isNotNull()).select(*KEY, "schedule", "time_zone", "reject_reason")
 
 
-def _clocks(valid: DataFrame) -> DataFrame:
-    """The distinct (schedule, zone) pairs of valid templates, with ``cron``:
-    what a template fires depends on them alone."""
-    return join_parsed_cron(valid.select("schedule", "zone").distinct(), "schedule", "cron")
-
-
 def _fires_of(day: Column) -> Column:
     """Instants (seconds) at which a row's expression fires on a local day."""
     return day_instants(F.col("cron.day_minutes"), day, zone_parts(F.col("zone"), day))
@@ -81,16 +87,15 @@ def fire_calendar(templates: DataFrame, start: str, end: str, include_suspended:
     templates give none).  The calendar is made once for each distinct
     (schedule, zone): days are exploded and filtered, then their fires; the
     templates are joined to it last."""
-    p = parse_templates(templates).filter(F.col("reject_reason").isNull())
-    if not include_suspended:
-        p = p.filter(~F.coalesce(F.col("suspend"), F.lit(False)))
+    t = templates if include_suspended else templates.filter(~F.coalesce(F.col("suspend"), F.lit(False)))
     s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    days = _clocks(p).select("schedule", "zone", "cron", F.explode(F.sequence(F.date_sub(F.to_date(s), 1), F.date_add(F.to_date(e), 1))).alias("day"))
+    days = clocks(t).filter(F.col("reject_reason").isNull()).withColumn(
+        "day", F.explode(F.sequence(F.date_sub(F.to_date(s), 1), F.date_add(F.to_date(e), 1))))
     fires = (days.filter(day_matches(F.col("cron"), F.col("day")))
-                 .select("schedule", "zone", F.explode(_fires_of(F.col("day"))).alias("t"))
-                 .select("schedule", "zone", F.timestamp_seconds("t").alias("fire_ts"))
+                 .select("schedule", "zone_name", F.explode(_fires_of(F.col("day"))).alias("t"))
+                 .select("schedule", "zone_name", F.timestamp_seconds("t").alias("fire_ts"))
                  .filter((F.col("fire_ts") >= s) & (F.col("fire_ts") < e)))
-    return p.select(*KEY, "schedule", "zone").join(fires, ["schedule", "zone"]).select(*KEY, "fire_ts")
+    return _with_clock(t.select(*KEY, "schedule", "time_zone"), fires).select(*KEY, "fire_ts")
 
 
 def _stored_last(templates: DataFrame) -> Column:
@@ -139,7 +144,6 @@ def next_fire(templates: DataFrame, now: str, lookahead_days: int = NEXT_FIRE_LO
 
     The search is made once for each distinct (schedule, zone), in its row, and
     the templates are joined to it."""
-    p = parse_templates(templates).filter(F.col("reject_reason").isNull())
     n = F.lit(now).cast("timestamp")
     today = F.to_date(F.from_utc_timestamp(n, F.col("zone")))
 
@@ -150,8 +154,8 @@ def next_fire(templates: DataFrame, now: str, lookahead_days: int = NEXT_FIRE_LO
     # Almost every schedule fires within two months, so only the rare yearly /
     # impossible ones pay for the long scan.
     found = F.coalesce(earliest(0, NEAR_DAYS, 2 + MORE_DAYS), earliest(NEAR_DAYS + 1, lookahead_days, 1 + MORE_DAYS))
-    best = _clocks(p).select("schedule", "zone", F.timestamp_seconds(found).alias("next_ts"))
-    return p.select(*KEY, "schedule", "zone").join(best, ["schedule", "zone"], "left").select(*KEY, "next_ts")
+    best = clocks(templates).filter(F.col("reject_reason").isNull()).select("schedule", "zone_name", F.timestamp_seconds(found).alias("next_ts"))
+    return _with_clock(templates.select(*KEY, "schedule", "time_zone"), best).select(*KEY, "next_ts")
 
 
 def active_runs(runs: DataFrame) -> DataFrame:
