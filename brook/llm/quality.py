@@ -17,6 +17,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+# A host is not trusted if its odds of failure are so many times
+# those of the corpus, so many posterior deviations down.
+ODDS = 2.0
+DEVIATIONS = 3.0
 
 
 def bind(value: Column, body) -> Column:
@@ -87,31 +91,39 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.withColumns({"base_failed": base, "rule_failed": base | soft}).drop("n_lines")
 
 
-def host_verdicts(rules: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """``host, n_docs, n_failed, rate, host_ok`` of every host that is not null.
+def host_verdicts(rules: DataFrame, odds: float = ODDS, deviations: float = DEVIATIONS) -> DataFrame:
+    """``host, n_docs, n_failed, rate, least, host_ok`` of every host that is
+    not null.
 
     The beta prior is fitted to all hosts by moments: mean rate m, variance of
     the rates less their mean binomial noise, strength k = m(1-m)/variance - 1
     held between 1 and 1,000,000.  ``rate`` is the posterior mean
     (m k + failed) / (k + docs): a host with few documents stays close to the
-    mean, a large one keeps its own rate.  Two numbers reach the driver."""
+    mean, a large one keeps its own rate.  ``least`` lies ``deviations``
+    posterior standard deviations below it.  A host is not trusted if even at
+    ``least`` its odds of failure are more than ``odds`` times those of the
+    corpus (all failures over all documents of hosts): the limit moves with the
+    corpus, and where hosts do not differ all are trusted.  Three numbers reach
+    the driver."""
     hosts = scratch(rules.where("host IS NOT NULL").groupBy("host")
                     .agg(F.count("*").alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed")),
                     "quality-hosts")
     r = F.col("n_failed") / F.col("n_docs")
-    s = hosts.agg(F.avg(r).alias("m"), F.var_pop(r).alias("v"), F.avg(1 / F.col("n_docs")).alias("noise")).first()
+    s = hosts.agg(F.avg(r).alias("m"), F.var_pop(r).alias("v"), F.avg(1 / F.col("n_docs")).alias("noise"),
+                  (F.sum("n_failed") / F.sum("n_docs")).alias("c")).first()
     m, v = s["m"] or 0.0, (s["v"] or 0.0) - (s["m"] or 0.0) * (1 - (s["m"] or 0.0)) * (s["noise"] or 0.0)
-    k = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
-    rate = (F.lit(m * k) + F.col("n_failed")) / (F.lit(k) + F.col("n_docs"))
-    return hosts.withColumn("rate", rate).withColumn("host_ok", F.col("rate") <= max_rate)
+    k, c = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6, s["c"] or 0.0
+    out = hosts.withColumn("rate", (F.lit(m * k) + F.col("n_failed")) / (F.lit(k) + F.col("n_docs")))
+    out = out.withColumn("least", F.col("rate") - deviations * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.lit(k) + F.col("n_docs") + 1)))
+    return out.withColumn("host_ok", ~(F.col("least") * (1 - c) > odds * c * (1 - F.col("least"))))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                     max_rate: float = 0.5) -> DataFrame:
+                     odds: float = ODDS, deviations: float = DEVIATIONS) -> DataFrame:
     """The rows of ``document_rules`` with ``rate``, ``host_ok`` and ``kept``.
 
     ``kept`` is false if a base rule failed, or if any rule failed and the
-    host's shrunk failure rate is above ``max_rate``: on a trusted host a soft
+    host is not trusted (``host_verdicts``): on a trusted host a soft
     failure is forgiven, on a bad host it is not, and a document that breaks
     no rule stays wherever it comes from.
 
@@ -121,16 +133,16 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named columns are read, so other columns cannot clash.  An empty table
     gives an empty result."""
     rules = scratch(document_rules(docs, id_col, text_col, host_col), "quality-rules")
-    hosts = host_verdicts(rules, max_rate).select("host", "rate", "host_ok")
+    hosts = host_verdicts(rules, odds, deviations).select("host", "rate", "host_ok")
     ok = F.coalesce("host_ok", F.lit(True))
     return (rules.join(hosts, "host", "left").withColumn("host_ok", ok)
             .withColumn("kept", ~F.col("base_failed") & (F.col("host_ok") | ~F.col("rule_failed"))))
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  max_rate: float = 0.5) -> DataFrame:
+                  odds: float = ODDS, deviations: float = DEVIATIONS) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, all columns."""
-    verdicts = quality_verdicts(docs, id_col, text_col, host_col, max_rate)
+    verdicts = quality_verdicts(docs, id_col, text_col, host_col, odds, deviations)
     doc, text, host = spare(docs, "_doc", "_text", "_host")
     # A text under one id may come from two hosts: the host is part of the key.
     kept = verdicts.where("kept").select(id_key("doc").alias(doc), F.col("text_hash").alias(text), F.col("host").alias(host))

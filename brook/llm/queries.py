@@ -56,7 +56,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The rules by hand: words, lines and 8-word windows of each text, failures by
-# source, the beta prior by moments, and the verdict.
+# source, the beta prior by moments, and the verdict: not trusted if three
+# deviations below its rate a source's odds are still over twice the corpus's.
 OP2_SQL = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -82,9 +83,11 @@ r AS (
            OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS soft FROM m),
 hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS f FROM r WHERE source IS NOT NULL GROUP BY source),
-s AS (SELECT avg(f / n) AS m, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS v FROM hosts),
-p AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1000000) ELSE 1000000 END AS k FROM s),
-verdicts AS (SELECT source, (m * k + f) / (k + n) <= 0.5 AS ok FROM hosts, p)
+s AS (SELECT avg(f / n) AS m, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS v, sum(f) / sum(n) AS c FROM hosts),
+p AS (SELECT m, c, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1000000) ELSE 1000000 END AS k FROM s),
+rates AS (SELECT source, c, (m * k + f) / (k + n) AS rate, k + n + 1 AS w FROM hosts, p),
+low AS (SELECT source, c, rate - 3 * sqrt(rate * (1 - rate) / w) AS low FROM rates),
+verdicts AS (SELECT source, NOT low * (1 - c) > 2 * c * (1 - low) AS ok FROM low)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (coalesce(ok, true) OR NOT soft) AS kept
 FROM r LEFT JOIN verdicts USING (source)

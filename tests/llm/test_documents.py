@@ -43,6 +43,25 @@ def test_host_verdicts(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, ok in got.items() if ok}
 
 
+def test_host_limit_follows_the_corpus(spark):
+    """Hosts whose odds of failure are above twice the corpus's are not trusted, whatever the corpus's rate; equal hosts,
+    few documents and a host near the mean are. Every document without a failed rule stays."""
+    clean = " ".join(f"word{i}" for i in range(30))
+    heavy = " ".join(f"w#rd{i}" for i in range(30))
+
+    def verdicts(rates, n=400):
+        rows = [(1000 * h + i, heavy if i < rate * n else clean, f"h{h}") for h, rate in enumerate(rates) for i in range(n)]
+        rows += [(-1, heavy, "tiny"), (-2, heavy, "tiny")]
+        got = {r["doc"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert all(got[i] for i, t, _ in rows if t == clean) and got[-1] and got[-2]
+        return [got[1000 * h] for h in range(len(rates))]
+
+    assert verdicts([0.03, 0.05, 0.04, 0.25, 0.03, 0.05]) == [True, True, True, False, True, True]  # far below one half
+    assert verdicts([0.16, 0.17, 0.16, 0.18, 0.15]) == [True] * 5
+    assert verdicts([0.5, 0.55, 0.9, 0.5, 0.6]) == [True, True, False, True, True]
+    assert verdicts([0.1, 0.1, 0.14]) == [True] * 3
+
+
 def test_personal_data(spark, table):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -152,6 +171,20 @@ def test_vectors(vectors):
     assert embeddings.link_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_doubles(vectors, spark):
+    """Doubles are compared as doubles; ids that repeat are rows of their own; columns named like the operator's are not read."""
+    x, frame = vectors
+    some = frame.where("vec_id < 300")
+    wide = some.selectExpr("vec_id", "CAST(embedding AS array<double>) AS embedding", "1 AS node", "2 AS key", "3 AS dim", "'x' AS v")
+    assert sorted(tuple(r) for r in embeddings.link_vectors(wide).collect()) == sorted(tuple(r) for r in embeddings.link_vectors(some).collect())
+    # The second component differs beyond the precision of floats: cosines of 0.95 with the first vector, one just below.
+    y = (1 / 0.95 ** 2 - 1) ** 0.5
+    rows = [(1, [1.0, 0.0]), (2, [1.0, y - 1e-10]), (3, [1.0, y + 1e-10]), (3, [-1.0, 0.0]), (4, [-1.0, -0.0])]
+    got = sorted(tuple(r) for r in embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (2, 2, 1), (3, 1, 1), (3, 1, 3), (4, 1, 3)]
+    assert sorted(r["vec"] for r in embeddings.link_vectors(spark.createDataFrame([(7, [3, 4]), (8, [6, 8])], "vec_id long, embedding array<int>")).where("n_links = 1").collect()) == [7, 8]
+
+
 def test_vector_tiles(vectors, monkeypatch):
     """A leaf beyond a tile is compared in blocks, with the same links."""
     _, frame = vectors
