@@ -140,8 +140,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
                        & F.exists(v, lambda x: x != 0), F.lit(False))
+    # Components keep their precision; adding zero makes one zero of both.
+    kind = "float" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec"),
-                          F.when(sound, F.transform(F.col(vector_col), lambda x: x + F.lit(0).cast("float"))).alias("v"))
+                          F.when(sound, F.transform(F.col(vector_col), lambda x: x.cast(kind) + F.lit(0).cast(kind))).alias("v"))
     rows = rows.withColumn("key", F.xxhash64("v"))
     nodes = (rows.where("v IS NOT NULL").groupBy("key", "v").agg(F.min("vec").alias("first"), F.count("*").alias("weight"))
              .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
@@ -168,7 +170,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     ["node", "weight", "v", "dim", "tree", "leaf"])
 
     placed = scratch(nodes.select("node", "weight", "v", "dim").mapInArrow(
-        put, "node long, weight long, v array<float>, dim int, tree array<int>, leaf array<long>"), "vector-leaves", spark)
+        put, f"node long, weight long, v array<{kind}>, dim int, tree array<int>, leaf array<long>"), "vector-leaves", spark)
     every = placed.select("*", F.explode(F.arrays_zip("tree", "leaf")).alias("at")).select(
         "node", "weight", "v", "dim", "tree", "leaf", F.col("at.tree").alias("in_tree"), F.col("at.leaf").alias("in_leaf"))
     place = ["dim", "in_tree", "in_leaf"]
