@@ -119,6 +119,49 @@ def test_licences_by_hand(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def _wrapped(text, mark, width=68, blank_after=()):
+    """A text in comment lines, a blank comment line after some words."""
+    out, line = [], mark
+    for k, w in enumerate(text.split()):
+        if len(line) + len(w) > width or k in blank_after:
+            out += [line] + ([mark.rstrip()] if k in blank_after else [])
+            line = mark
+        line += (" " if line else "") + w
+    return "\n".join([*out, line])
+
+
+def test_licence_files_and_headers(spark):
+    """Whole licence files, headers wrapped in comments of several kinds, identifier lines; and texts that only mention one."""
+    of = licenses.TEMPLATES
+    long = lambda name: max(of[name], key=len)
+    own = "Copyright (c) 2021 Ann Example <ann@example.org>. All rights reserved."
+    code = "\n\nimport os\n\n\ndef main():\n    return os.getcwd()\n"
+    files = {
+        "MIT": "MIT License\n\n" + own + "\n\n" + _wrapped(long("MIT"), ""), "ISC": own + "\n\n" + _wrapped(long("ISC"), "", 80),
+        "BSD-2-Clause": own + "\n\n" + _wrapped(long("BSD-2-Clause"), ""), "BSD-3-Clause": own + "\n" + _wrapped(long("BSD-3-Clause"), "")}
+    headers = {
+        "GPL-3.0": "# frob - a tool\n#\n" + _wrapped(long("GPL-3.0"), "#", 60, (40, 70)) + code,
+        "GPL-2.0": "/*\n" + _wrapped(long("GPL-2.0"), " *", 70) + "\n */" + code,
+        "LGPL-2.1": "/*\n" + _wrapped(long("LGPL-2.1"), "   ", 64) + "\n*/" + code,
+        "AGPL-3.0": "<!--\n" + _wrapped(long("AGPL-3.0"), "", 66) + "\n-->" + code,
+        "MPL-2.0": _wrapped(long("MPL-2.0"), "//", 50) + code, "Apache-2.0": "# " + own + "\n#\n" + _wrapped(long("Apache-2.0"), "#", 72) + code,
+        "EPL-2.0": _wrapped(long("EPL-2.0"), " *", 60) + code, "MIT": "--\n" + _wrapped(long("MIT"), "--", 60, (30, 60)) + code,
+        "BSD-3-Clause": "; " + own + "\n;\n" + _wrapped(long("BSD-3-Clause"), ";", 60) + code,
+        "Unlicense": _wrapped(long("Unlicense"), "%", 60) + code}
+    lines = {"MIT": "// SPDX-License-Identifier: MIT" + code, "GPL-2.0": "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code,
+             "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0" + code, "ISC": "<!-- SPDX-License-Identifier: ISC -->" + code}
+    titles = {"GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy.",
+              "Apache-2.0": "   Apache License\n   Version 2.0, January 2004\n   \n   TERMS AND CONDITIONS"}
+    none = ["# SPDX-License-Identifier: Nobody-9" + code, "The licence office of the town opens at nine, and a driving licence costs ten.",
+            own, "# " + "word " * 30 + "\n" * 3 + "license", "", "\x00 # license \x00"]
+    rows = [(f"{name}/LICENSE", text, name) for name, text in files.items()]
+    rows += [(f"{kind}{name}/x.src", text, name) for kind, group in (("h", headers), ("l", lines), ("t", titles)) for name, text in group.items()]
+    rows += [(f"n{i}/x.src", text, None) for i, text in enumerate(none)]
+    frame = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: r["own_licence"] for r in licenses.scan(frame).collect()}
+    assert got == {p: name for p, _, name in rows}
+
+
 def test_licence_cosine(spark):
     passages = [(1, "Licensed under the MIT licence of old", 3), (2, "All copyright reserved by nobody", 1)]
     got = licenses.match_passages(spark.createDataFrame(passages, "unit long, passage string, n long")).collect()
