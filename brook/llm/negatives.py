@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from brook.llm.common import NO_ID, partitions_for, ready, scratch
 
 # Segments of a vector at each level of refinement (each level
-# cuts those before into four), rows and anchors of a tile, anchors at once.
+# cuts those before into four), rows and anchors of a tile, components of each
+# that a tile holds at most, anchors at once.
 LEVELS = (1, 4, 16)
 ROWS = 8_192
 ANCHORS = 1_024
+COMPONENTS = 4_000_000
 STRIP = 64
 
 # Fixed value: relative width that the bounds are given for rounding.
@@ -149,7 +151,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
     ``high`` ``whole``-ths of the positive's.
 
     Anchors are a query set against all rows, in tiles of at most about
-    ``ANCHORS`` by ``ROWS`` rows, dealt by a hash of a written row number: a
+    ``ANCHORS`` by ``ROWS`` rows (fewer of long vectors), dealt by a hash of a written row number: a
     label or an id with a third of all rows makes no larger tile.  A tile sends
     at most ``positives`` or ``negatives`` rows for an anchor (and positive),
     and a partial limit in the window cuts them before the shuffle.  Within a
@@ -188,8 +190,10 @@ def hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
     rows = scratch(given.mapInArrow(summarised, "row long, vec long, label long, anchor boolean, dim int, q array<int>, "
                                                 "means array<double>, devs array<double>"), "negative-rows", spark)
     asked = rows.where("anchor")
-    n_rows = max(1, -(-rows.count() // ROWS))
-    n_anchors = max(1, -(-asked.count() // ANCHORS))
+    size = rows.agg(F.count("*").alias("n"), F.count_if("anchor").alias("a"), F.max("dim").alias("dim")).first()
+    most = max(1, COMPONENTS // max(1, size["dim"] or 1))
+    n_rows = max(1, -(-size["n"] // min(ROWS, most)))
+    n_anchors = max(1, -(-size["a"] // min(ANCHORS, most)))
     tile = ["dim", "of", "block"]
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
