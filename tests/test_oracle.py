@@ -13,7 +13,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 KEYS = ["elt_clean_daily", "elt_audit", "multi_format_date", "feed_xml_items", "feed_csv_items", "label_encode",
         "shard_assign", "running_executors", "job_status", "history_retention", "status_changes", "attempts",
-        "missing_deps", "config_overlay", "fire_calendar", "next_fire", "spec_report", "error_rate_batch"]
+        "missing_deps", "config_overlay", "fire_calendar", "next_fire", "spec_report", "error_rate_batch",
+        "training_status", "training_changes", "fire_history", "counter_rate", "capacity_plan"]
 
 
 def _norm(v):

@@ -39,11 +39,24 @@ JOB_CASES = [
 ]
 
 
-@pytest.mark.parametrize("change,want", JOB_CASES)
-def test_job_rules(spark, change, want):
-    row = {**JOB, **change}
-    df = spark.createDataFrame([tuple(row[c.split()[0]] for c in JOB_SCHEMA.split(", "))], JOB_SCHEMA)
-    assert {(r.severity, r.rule) for r in R.spec_report(df).collect()} == want
+def reported(spark, base, schema, cases, report):
+    """What the report says of each case, all of them in one table."""
+    rows = [{**base, **change, "name": str(i)} for i, (change, _) in enumerate(cases)]
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    found = {str(i): set() for i in range(len(cases))}
+    for r in report(df).collect():
+        found[r.name].add((r.severity, r.rule))
+    return found
+
+
+@pytest.fixture(scope="module")
+def job_reports(spark):
+    return reported(spark, JOB, JOB_SCHEMA, JOB_CASES, R.spec_report)
+
+
+@pytest.mark.parametrize("case", range(len(JOB_CASES)))
+def test_job_rules(job_reports, case):
+    assert job_reports[str(case)] == JOB_CASES[case][1]
 
 
 TRAIN = dict(namespace="ns", name="t", image="img", world_size=2, dataset_pvc="", dataset_s3_uri="", script="train.py", command=[],
@@ -73,11 +86,14 @@ TRAIN_CASES = [
 ]
 
 
-@pytest.mark.parametrize("change,want", TRAIN_CASES)
-def test_training_rules(spark, change, want):
-    row = {**TRAIN, **change}
-    df = spark.createDataFrame([tuple(row[c.split()[0]] for c in TRAIN_SCHEMA.split(", "))], TRAIN_SCHEMA)
-    assert {(r.severity, r.rule) for r in R.training_spec_report(df).collect()} == want
+@pytest.fixture(scope="module")
+def training_reports(spark):
+    return reported(spark, TRAIN, TRAIN_SCHEMA, TRAIN_CASES, R.training_spec_report)
+
+
+@pytest.mark.parametrize("case", range(len(TRAIN_CASES)))
+def test_training_rules(training_reports, case):
+    assert training_reports[str(case)] == TRAIN_CASES[case][1]
 
 
 def test_reports_name_the_value(spark):
