@@ -1,34 +1,104 @@
 """Packing by lexical retrieval: documents are put into fixed windows together
-with the neighbours that a sharded BM25 index returns for them."""
+with the neighbours that a sharded BM25 index returns for them.
+
+Two passes.  The first reads the words of every text: document frequencies of
+the whole corpus, and for each document its smallest word hashes.  Documents
+are dealt to index shards by these, so that texts which share words meet
+wherever they stand in the input.  The second pass encodes, indexes and packs
+shard by shard, with the frequencies of the whole corpus."""
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brook.llm.arrays import Ragged, taken
-from brook.llm.common import ready, text_key
+from brook.llm.common import ready, scratch, text_key
 
-# Characters of text in an index shard, words that a worker
+# Characters of text in an index shard and in a partition of
+# shards, characters that a row counts for beside its text, words that a worker
 # remembers, words encoded at once, and the usual constants of BM25.
 SHARD = 4_000_000
+PART = 16_000_000
+ROW = 64
 REMEMBERED = 1_500_000
 ENCODED = 2_000
 K1, B = 1.2, 0.75
+# Document frequencies are kept by word hash, in this many
+# buckets (4 MB however large the vocabulary is); word hashes that deal a
+# document to its shard; the hash of no word.
+BUCKETS = 1 << 20
+KEYS = 3
+NONE = (1 << 63) - 1
 # A word that ends in a letter and then ASCII punctuation; a word of letters
 # that are composed and whose lower case is one letter (ASCII and Latin-1).
 TAILED = re.compile(r"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 
 
+def word_hash(word: str) -> int:
+    """A word's hash below 2^62, A-Z as a-z; its low bits are its bucket."""
+    return xxhash.xxh64_intdigest(word.encode().lower()) >> 2
+
+
+class WordHashes:
+    """Hashes of the words of texts; each word is hashed once as long as it is
+    remembered."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of ``texts``, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        self.known.update((w, word_hash(w)) for w in words if w not in self.known)
+        each = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        blank = np.array([not w for w in words], bool)
+        at = coded.indices.to_numpy()
+        sizes = np.diff(split.offsets.to_numpy())
+        every, real = (each[at], ~blank[at]) if len(words) else (np.zeros(0, np.int64), np.zeros(0, bool))
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        return every[real], np.bincount(rows[real], minlength=len(sizes))
+
+
+def smallest(hashes: np.ndarray, sizes: np.ndarray, k: int = KEYS) -> np.ndarray:
+    """The ``k`` smallest distinct hashes of each run of ``sizes`` hashes."""
+    out = np.full((len(sizes), k), NONE)
+    full = sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[full]
+    for j in range(k if len(starts) else 0):
+        out[full, j] = np.minimum.reduceat(hashes, starts)
+        hashes = np.where(hashes == np.repeat(out[full, j], sizes[full]), NONE, hashes)
+    return out
+
+
+class Corpus:
+    """What BM25 has to know of all documents: their number, their mean length
+    in words, and how many hold a word of each bucket."""
+
+    def __init__(self, n: int, mean: float, held: np.ndarray):
+        self.mean = max(1.0, mean)
+        held = np.minimum(held, n)
+        self.idf = np.log1p((n - held + 0.5) / (held + 0.5)).astype(np.float32)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level models use for each byte: printable Latin-1
     characters stand for themselves, the others follow from U+0100 on."""
@@ -65,6 +135,7 @@ class WordIds:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.buckets = array("i", [0])
         self.table = Ragged()
         self.table.add([[]])
 
@@ -92,6 +163,7 @@ class WordIds:
 
     def _put(self, words: list[str], ids: list) -> None:
         self.known.update(zip(words, range(self.table.n, self.table.n + len(words)), strict=True))
+        self.buckets.extend(word_hash(w) % BUCKETS for w in words)
         self.table.add(ids)
 
     def learn(self, words: list[str]) -> None:
@@ -122,9 +194,11 @@ class WordIds:
 
 
 class Index:
-    """A BM25 index of some documents, given as arrays of term numbers."""
+    """A BM25 index of some documents, given as arrays of term numbers.
+    Frequencies and lengths are those of ``corpus`` (``buckets`` are the terms'
+    buckets there), or of these documents if there is none."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None, buckets: array | None = None):
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
         terms, coded = np.unique(np.concatenate(docs), return_inverse=True) if lengths.sum() else (np.zeros(0), np.zeros(0, np.int64))
@@ -135,8 +209,11 @@ class Index:
         doc, term, tf = doc[shared], term[shared], tf[shared]
         self.doc_ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
         self.doc_terms = term
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if self.n else 1.0))
+        if corpus is None:
+            idf, mean = np.log1p((self.n - df + 0.5) / (df + 0.5)), max(1.0, lengths.mean() if self.n else 1.0)
+        else:
+            idf, mean = corpus.idf[np.frombuffer(buckets, np.int32)[terms.astype(np.int64)]], corpus.mean
+        norm = K1 * (1 - B + B * lengths / mean)
         order = np.argsort(term, kind="stable")
         self.ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
         self.docs = doc[order]
@@ -181,11 +258,12 @@ class Packer:
             self.full.append(part)
 
 
-def fill(packer: Packer, docs: list, terms: list[np.ndarray], sizes: list[int]) -> None:
+def fill(packer: Packer, docs: list, terms: list[np.ndarray], sizes: list[int], corpus: Corpus | None = None,
+         buckets: array | None = None) -> None:
     """Put all ``docs`` into windows.  The seed is what is left of the document
     that the last window cut, else the first unused one; the index returns its
     neighbours, best first, and those still unused fill the window."""
-    index = Index(terms)
+    index = Index(terms, corpus, buckets)
     unused = np.ones(len(docs), bool)
     ahead, seed, done = 0, None, 0
     while True:
@@ -215,66 +293,147 @@ def fill(packer: Packer, docs: list, terms: list[np.ndarray], sizes: list[int])
                 break
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, like_col: str | None) -> DataFrame:
+    """Every row of ``docs`` with its number ``row``, words and word hashes,
+    written; and, in rows of their own (``row`` null), the frequencies of the
+    words by bucket, summed over a partition."""
+    like = F.lit(0).cast("long") if like_col is None else F.xxhash64(F.col(like_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("text_hash"),
+                       F.col(text_col).alias("t"), like.alias("part"))
+    names = [f"k{j}" for j in range(KEYS)]
+    fields = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("t", pa.string()),
+                        ("part", pa.int64()), ("words", pa.int64()), *[(x, pa.int64()) for x in names],
+                        ("bucket", pa.list_(pa.int32())), ("held", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, number = _word_hashes(), np.zeros(BUCKETS, np.int64), TaskContext.get().partitionId() << 33
+        for b in batches:
+            every, sizes = hashes.of(b.column("t"))
+            keys = smallest(every, sizes)
+            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + every % BUCKETS)
+            held += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(number, number + n)), b.column("doc"), b.column("text_hash"), b.column("t").cast(pa.string()),
+                b.column("part"), pa.array(sizes.astype(np.int64)), *[pa.array(keys[:, j]) for j in range(KEYS)],
+                pa.nulls(n, fields.field("bucket").type), pa.nulls(n, fields.field("held").type)], schema=fields)
+            number += n
+        seen = np.flatnonzero(held).astype(np.int32)
+        for i in range(0, len(seen), 1 << 16):
+            some = seen[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, f.type) for f in fields][:-2] + [pa.array([some], fields.field("bucket").type),
+                                                              pa.array([held[some]], fields.field("held").type)], schema=fields)
+
+    types = {pa.string(): "string", pa.int64(): "long"}
+    schema = ", ".join(f"{f.name} {types.get(f.type) or 'array<int>' if f.name != 'held' else 'array<long>'}" for f in fields)
+    return scratch(rows.mapInArrow(run, schema), "packing-rows")
+
+
+def _corpus(keyed: DataFrame, n: int, words: int) -> Corpus:
+    """Frequencies by bucket of all documents: at most ``BUCKETS`` rows."""
+    got = (keyed.where("row IS NULL").select(F.explode(F.arrays_zip("bucket", "held")).alias("x"))
+           .groupBy("x.bucket").agg(F.sum("x.held").alias("held")).toArrow())
+    held = np.zeros(BUCKETS, np.int64)
+    held[got.column("bucket").to_numpy()] = got.column("held").to_numpy()
+    return Corpus(n, words / max(1, n), held)
+
+
+def _dealt(keyed: DataFrame) -> tuple[DataFrame, Corpus]:
+    """The rows in partitions of about ``PART`` characters, sorted by their
+    smallest word hashes.  All rows of one smallest hash come into the same
+    partition, unless they are over a quarter of a partition: then they are cut
+    into parts of that size by row number."""
+    spark, size = keyed.sparkSession, F.coalesce(F.length("t"), F.lit(0)) + ROW
+    rows = keyed.where("row IS NOT NULL").drop("bucket", "held")
+    total = rows.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum(size).alias("size")).first()
+    corpus = _corpus(keyed, total["n"], total["words"] or 0)
+    parts = max(1, -(-(total["size"] or 0) // PART))
+    # At most four rows a partition.
+    hot = (rows.groupBy("part", "k0").agg(F.sum(size).alias("s")).where(F.col("s") > PART // 4)
+           .select(F.col("part").alias("hot_part"), F.col("k0").alias("hot_k0"), F.ceil(F.col("s") / (PART // 4)).alias("cuts")))
+    cut = F.coalesce(F.pmod(F.xxhash64("row"), "cuts"), F.lit(0))
+    dealt = (rows.join(F.broadcast(hot), (F.col("part") == F.col("hot_part")) & (F.col("k0") == F.col("hot_k0")), "left")
+             .withColumn("cut", cut).repartition(int(parts), "part", "k0", "cut")
+             .sortWithinPartitions("part", *[f"k{j}" for j in range(KEYS)], "text_hash", "doc", "row"))
+    return dealt.select("doc", "text_hash", "t"), corpus
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", like_col: str | None = None, shard: int = SHARD) -> DataFrame:
     """Every row of ``docs`` as pieces in sequences of at most ``size`` tokens:
-    ``doc, text_hash, start, length, ids, doc_tokens, sequence_id, offset``,
-    one row per piece; ``ids`` are little-endian unsigned 32-bit numbers.
+    ``doc, text_hash, start, length, ids, doc_tokens, sequence_id, offset,
+    shard``, one row per piece; ``ids`` are little-endian unsigned 32-bit numbers.
 
     A document is its token ids (tokenizers file ``tokenizer_path``, without
-    special tokens) and then ``end_id``.  An index shard is a run of about 4 MB
-    of text of an input partition, so no text is shuffled, memory is bounded,
-    and a lost task is run again from its own input.  Within a shard each
-    window starts from a seed and takes its unused BM25 neighbours, best first;
-    the last one is cut where the window is full and goes on as the next seed.
-    A window left open at the end of a shard goes on in the next one; at the
-    end of a partition it is split at powers of two.  So sequences are full or
-    a power of two long, and nothing is padded.  Ties go by input order.
-
-    The input should be a table or another frame that reads in the same order
-    again.  Null and empty texts are the end id alone.  Texts longer than a
-    window run on over several.  Repeated rows are packed row by row; null ids
-    are carried through; other columns are not read.  An empty table gives an
-    empty result."""
+    special tokens) and then ``end_id``.  Documents are sorted by ``like_col``
+    (a language, say; none: all are alike) and their smallest word hashes, so
+    copies and texts that share most of their words stand together wherever
+    they come from; an index shard is a run of about ``shard`` characters of
+    that order.  Document frequencies and the mean length are those of all
+    documents.  Words share a frequency if they share one of 2^20 buckets.
+    Within a shard each window starts from a seed and takes its unused BM25
+    neighbours, best first; the last one is cut where the window is full and
+    goes on as the next seed.  A window left open at the end of a shard goes on
+    in the next one; at the end of a partition it is split at powers of two.
+    So sequences are full or a power of two long, and nothing is padded.  Ties
+    go by the order of the rows in their shard.
+
+    The keyed texts are written once; a lost task is run again from there.  A
+    word hash that holds a third of the rows is cut over many partitions.  Null
+    and empty texts are the end id alone.  Texts longer than a window run on
+    over several.  Repeated rows are packed row by row; null ids are carried
+    through; other columns are not read.  An empty table gives an empty
+    result."""
     ready(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("text_hash"),
-                       F.col(text_col).alias("t"))
+    rows, corpus = _dealt(_keyed(docs, id_col, text_col, like_col))
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
     fields = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
-                        ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+                        ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
+                        ("shard", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(spec)
         packer, number = Packer(size), TaskContext.get().partitionId() << 32
+        first = number
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number
             got = []
             for k, window in enumerate(packer.full):
-                got += [(d[0], d[1], start, n, d[2][start:start + n].astype("<u4").tobytes(), len(d[2]), number + k, offset)
-                        for d, start, n, offset in window]
+                got += [(d[0], d[1], start, n, d[2][start:start + n].astype("<u4").tobytes(), len(d[2]), number + k, offset,
+                         d[3]) for d, start, n, offset in window]
             number += len(packer.full)
             packer.full = []
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), fields,
                                                                                       strict=True)], schema=fields)
 
-        for shard in _shards(batches):
+        for k, part in enumerate(_shards(batches, shard)):
             if len(words.known) > REMEMBERED:
                 words.forget()
-            terms = words.numbers([t for _, _, t in shard])
-            docs_ = [(d, h, np.append(words.table.take(x), np.int32(end_id))) for (d, h, _), x in zip(shard, terms, strict=True)]
-            fill(packer, docs_, terms, [len(d[2]) for d in docs_])
+            terms = words.numbers([t for _, _, t in part])
+            docs_ = [(d, h, np.append(words.table.take(x), np.int32(end_id)), first + k) for (d, h, _), x in zip(part, terms, strict=True)]
+            fill(packer, docs_, terms, [len(d[2]) for d in docs_], shared.value, words.buckets)
             yield from out()
         packer.tail()
         yield from out()
 
     return rows.mapInArrow(run, "doc long, text_hash long, start long, length long, ids binary, doc_tokens long, "
-                                "sequence_id long, offset long")
+                                "sequence_id long, offset long, shard long")
 
 
 _WORD_IDS: dict[int, WordIds] = {}
+_WORD_HASHES: list[WordHashes] = []
+
+
+def _word_hashes() -> WordHashes:
+    """One table of hashes for all tasks of a worker."""
+    if not _WORD_HASHES:
+        _WORD_HASHES.append(WordHashes())
+    return _WORD_HASHES[0]
 
 
 def _word_ids(spec: str) -> WordIds:
@@ -285,13 +444,13 @@ def _word_ids(spec: str) -> WordIds:
     return _WORD_IDS[key]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
     part, n = [], 0
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("doc", "text_hash", "t")), strict=True):
             part.append(row)
-            n += len(row[2] or "")
-            if n >= SHARD:
+            n += len(row[2] or "") + ROW
+            if n >= limit:
                 yield part
                 part, n = [], 0
     if part:

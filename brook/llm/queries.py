@@ -158,7 +158,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
+                       like_col="lang")
     return got.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                       "sequence_id", "offset")
 

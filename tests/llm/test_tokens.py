@@ -1,11 +1,13 @@
 """SentencePiece, packing and sharding: exact round trips."""
 
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brook.llm import packing, sentencepieces, shards
@@ -59,6 +61,62 @@ def test_packing_neighbours():
     assert [[p[0][0] for p in w] for w in packer.full] == [[0, 2], [1, 3]]
 
 
+def test_packing_scores():
+    """Scores against BM25 written out, frequencies from a larger corpus."""
+    rng = np.random.default_rng(3)
+    every = [[f"w{x}" for x in rng.zipf(1.4, rng.integers(1, 60)) % 50] for _ in range(80)]
+    held = np.zeros(packing.BUCKETS, np.int64)
+    for d in every:
+        for w in set(d):
+            held[packing.word_hash(w) % packing.BUCKETS] += 1
+    mean = np.mean([len(d) for d in every])
+    names = sorted({w for d in every for w in d})
+    buckets = packing.array("i", [packing.word_hash(w) % packing.BUCKETS for w in names])
+    index = packing.Index([np.array([names.index(w) for w in d]) for d in every[:30]],
+                          packing.Corpus(80, float(mean), held), buckets)
+    for q in range(30):
+        want = np.zeros(30)
+        for w in set(every[q]):
+            n = sum(w in d for d in every)
+            for i, d in enumerate(every[:30]):
+                tf = d.count(w)
+                if sum(w in x for x in every[:30]) > 1:
+                    want[i] += np.log1p((80 - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        assert np.allclose(index.scores(q), want, rtol=1e-5)
+
+
+def test_packing_statistics_and_reach(spark, documents):
+    """Frequencies of the whole corpus, whatever its partitions are; equal
+    texts share a shard wherever they stand; a hot text is cut."""
+    docs = documents.select("doc_id", "text").union(documents.select(F.col("doc_id") + 10_000, "text")).repartition(5)
+    keyed = packing._keyed(docs, "doc_id", "text", None)
+    dealt, corpus = packing._dealt(keyed)
+    texts = [r["text"] or "" for r in docs.collect()]
+    held = np.zeros(packing.BUCKETS, np.int64)
+    for t in texts:
+        held[list({packing.word_hash(w) % packing.BUCKETS for w in re.split(r"[\x20\x09-\x0D]+", t) if w})] += 1
+    want = packing.Corpus(len(texts), sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts) / len(texts), held)
+    assert np.array_equal(corpus.idf, want.idf) and abs(corpus.mean - want.mean) < 1e-9
+    assert dealt.count() == len(texts)
+    got = packing.pack(docs, WORDS, shard=30_000).select("doc", "shard").distinct().toPandas()
+    assert got.shard.nunique() > 5
+    shard = dict(zip(got.doc, got.shard, strict=True))
+    pairs = [(d, d + 10_000) for d in shard if d < 10_000]
+    assert np.mean([shard[a] == shard[b] for a, b in pairs]) > 0.9  # the others lie on the border of two runs
+    hot = spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit("the same words " * 2_000).alias("text"))
+    dealt, _ = packing._dealt(packing._keyed(hot, "doc_id", "text", None))
+    sizes = dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) > 2 and sizes.sum() == 4_000 and sizes.max() < 2_500
+
+
+def test_packing_smallest_hashes():
+    rng = np.random.default_rng(5)
+    runs = [rng.integers(0, 9, n) for n in (0, 1, 5, 0, 30, 2, 0)]
+    got = packing.smallest(np.concatenate(runs).astype(np.int64), np.array([len(r) for r in runs]))
+    for r, g in zip(runs, got.tolist(), strict=True):
+        assert g == (sorted(set(r.tolist())) + [packing.NONE] * 3)[:3]
+
+
 def test_packing_odd_rows(table):
     got = packing.pack(table, WORDS, size=64)
     assert got.groupBy().sum("length").first()[0] == sum(
