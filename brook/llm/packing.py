@@ -302,7 +302,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, like_col: str | None) ->
                        F.col(text_col).alias("t"), like.alias("part"))
     names = [f"k{j}" for j in range(KEYS)]
     fields = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("t", pa.string()),
-                        ("part", pa.int64()), ("words", pa.int64()), *[(x, pa.int64()) for x in names],
+                        ("part", pa.int64()), ("words", pa.int64()), ("size", pa.int64()), *[(x, pa.int64()) for x in names],
                         ("bucket", pa.list_(pa.int32())), ("held", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +312,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, like_col: str | None) ->
             keys = smallest(every, sizes)
             pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + every % BUCKETS)
             held += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-            n = b.num_rows
+            n, chars = b.num_rows, pc.fill_null(pc.utf8_length(b.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(number, number + n)), b.column("doc"), b.column("text_hash"), b.column("t").cast(pa.string()),
-                b.column("part"), pa.array(sizes.astype(np.int64)), *[pa.array(keys[:, j]) for j in range(KEYS)],
+                b.column("part"), pa.array(sizes.astype(np.int64)), pa.array(chars), *[pa.array(keys[:, j]) for j in range(KEYS)],
                 pa.nulls(n, fields.field("bucket").type), pa.nulls(n, fields.field("held").type)], schema=fields)
             number += n
         seen = np.flatnonzero(held).astype(np.int32)
@@ -343,20 +343,26 @@ def _dealt(keyed: DataFrame) -> tuple[DataFrame, Corpus]:
     """The rows in partitions of about ``PART`` characters, sorted by their
     smallest word hashes.  All rows of one smallest hash come into the same
     partition, unless they are over a quarter of a partition: then they are cut
-    into parts of that size by row number."""
-    spark, size = keyed.sparkSession, F.coalesce(F.length("t"), F.lit(0)) + ROW
+    by their other hashes into parts of that size.  Rows with the same hashes
+    throughout are cut by row number beyond that size."""
+    part = PART // 4
     rows = keyed.where("row IS NOT NULL").drop("bucket", "held")
-    total = rows.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum(size).alias("size")).first()
+    total = rows.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("size").alias("size")).first()
     corpus = _corpus(keyed, total["n"], total["words"] or 0)
     parts = max(1, -(-(total["size"] or 0) // PART))
-    # At most four rows a partition.
-    hot = (rows.groupBy("part", "k0").agg(F.sum(size).alias("s")).where(F.col("s") > PART // 4)
-           .select(F.col("part").alias("hot_part"), F.col("k0").alias("hot_k0"), F.ceil(F.col("s") / (PART // 4)).alias("cuts")))
-    cut = F.coalesce(F.pmod(F.xxhash64("row"), "cuts"), F.lit(0))
-    dealt = (rows.join(F.broadcast(hot), (F.col("part") == F.col("hot_part")) & (F.col("k0") == F.col("hot_k0")), "left")
-             .withColumn("cut", cut).repartition(int(parts), "part", "k0", "cut")
-             .sortWithinPartitions("part", *[f"k{j}" for j in range(KEYS)], "text_hash", "doc", "row"))
-    return dealt.select("doc", "text_hash", "t"), corpus
+    names = [f"k{j}" for j in range(KEYS)]
+
+    def cuts(by: list[str], name: str) -> DataFrame:
+        """Groups that are cut, at most four a partition, and into how many."""
+        return F.broadcast(rows.groupBy(*by).agg(F.ceil(F.sum("size") / part).alias(name)).where(F.col(name) > 1))
+
+    dealt = (rows.join(cuts(["part", "k0"], "cuts"), ["part", "k0"], "left")
+             .join(cuts(["part", *names], "row_cuts"), ["part", *names], "left")
+             .withColumn("cut", F.coalesce(F.pmod(F.xxhash64(*names), "cuts"), F.lit(0)))
+             .withColumn("row_cut", F.coalesce(F.pmod(F.xxhash64("row"), "row_cuts"), F.lit(0)))
+             .repartition(int(parts), "part", "k0", "cut", "row_cut")
+             .sortWithinPartitions("part", *names, "text_hash", "doc", "row"))
+    return dealt.select("doc", "text_hash", "t", *names), corpus
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id",
@@ -369,8 +375,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     special tokens) and then ``end_id``.  Documents are sorted by ``like_col``
     (a language, say; none: all are alike) and their smallest word hashes, so
     copies and texts that share most of their words stand together wherever
-    they come from; an index shard is a run of about ``shard`` characters of
-    that order.  Document frequencies and the mean length are those of all
+    they come from; an index shard is a run of ``shard`` to twice as many
+    characters of that order, which ends where the smallest hash changes.  Document frequencies and the mean length are those of all
     documents.  Words share a frequency if they share one of 2^20 buckets.
     Within a shard each window starts from a seed and takes its unused BM25
     neighbours, best first; the last one is cut where the window is full and
@@ -445,13 +451,18 @@ def _word_ids(spec: str) -> WordIds:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
-    part, n = [], 0
+    """Runs of at least ``limit`` characters.  A run ends where the smallest
+    word hash changes; beyond one and a half times the limit where any hash
+    does; at twice the limit."""
+    part, n, last = [], 0, []
+    names = ["doc", "text_hash", "t", *[f"k{j}" for j in range(KEYS)]]
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("doc", "text_hash", "t")), strict=True):
-            part.append(row)
-            n += len(row[2] or "") + ROW
-            if n >= limit:
+        for doc, text_hash, t, *keys in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            if n >= limit and (keys[0] != last[0] or keys != last and 2 * n >= 3 * limit or n >= 2 * limit):
                 yield part
                 part, n = [], 0
+            part.append((doc, text_hash, t))
+            last = keys
+            n += len(t or "") + ROW
     if part:
         yield part

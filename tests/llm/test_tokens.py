@@ -98,11 +98,13 @@ def test_packing_statistics_and_reach(spark, documents):
     want = packing.Corpus(len(texts), sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts) / len(texts), held)
     assert np.array_equal(corpus.idf, want.idf) and abs(corpus.mean - want.mean) < 1e-9
     assert dealt.count() == len(texts)
-    got = packing.pack(docs, WORDS, shard=30_000).select("doc", "shard").distinct().toPandas()
-    assert got.shard.nunique() > 5
+    got = packing.pack(docs, WORDS, shard=60_000).select("doc", "shard").distinct().toPandas()
+    assert got.shard.nunique() > 3
     shard = dict(zip(got.doc, got.shard, strict=True))
-    pairs = [(d, d + 10_000) for d in shard if d < 10_000]
-    assert np.mean([shard[a] == shard[b] for a, b in pairs]) > 0.9  # the others lie on the border of two runs
+    short = [r["doc_id"] for r in documents.where("length(text) < 10000").collect()]  # longer ones may fill a run
+    pairs = [(d, d + 10_000) for d in short]
+    assert len(pairs) > 50
+    assert all(shard[a] == shard[b] for a, b in pairs)
     hot = spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit("the same words " * 2_000).alias("text"))
     dealt, _ = packing._dealt(packing._keyed(hot, "doc_id", "text", None))
     sizes = dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]
