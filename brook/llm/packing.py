@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,42 +39,64 @@ K1, B = 1.2, 0.75
 BUCKETS = 1 << 20
 KEYS = 3
 NONE = (1 << 63) - 1
+HASHED = 2_000_000
 # A word that ends in a letter and then ASCII punctuation; a word of letters
 # that are composed and whose lower case is one letter (ASCII and Latin-1).
 TAILED = re.compile(r"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 
 
-def word_hash(word: str) -> int:
-    """A word's hash below 2^62, A-Z as a-z; its low bits are its bucket."""
-    return xxhash.xxh64_intdigest(word.encode().lower()) >> 2
-
-
-class WordHashes:
-    """Hashes of the words of texts; each word is hashed once as long as it is
-    remembered."""
+def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes below 2^62 of all words of the UTF-8 texts that lie in ``data``
+    one after another, A-Z as a-z, and how many words each text has.  A word's
+    hash is a sum of its bytes by place with random weights, then mixed; its
+    low bits are its bucket."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    begins = ~space
+    begins[1:] &= space[:-1]
+    firsts = ends[:-1][ends[:-1] < ends[1:]]
+    begins[firsts] = ~space[firsts]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(len(ends) - 1, np.int64)
+    at = np.arange(len(data))
+    at -= np.maximum.accumulate(np.where(begins, at, 0))
+    low = data + ((data >= 65) & (data <= 90)) * np.uint8(32) + np.uint8(1)
+    value = _weights()[at & 0xFFFF] * low
+    value[space] = 0
+    h = np.add.reduceat(value, starts)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    counts = np.diff(np.searchsorted(starts, ends))
+    return (h >> np.uint64(2)).astype(np.int64), counts
+
+
+_WEIGHTS: list[np.ndarray] = []
+
+
+def _weights() -> np.ndarray:
+    """Odd 64-bit numbers by place in a word; they repeat after 65,536."""
+    if not _WEIGHTS:
+        _WEIGHTS.append(np.random.default_rng(11).integers(0, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1))
+    return _WEIGHTS[0]
+
+
+def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_hashes`` of ``texts``, in runs of about ``HASHED`` bytes; a longer
+    text is a run.  Null texts have no words."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + HASHED, "right")) - 1)
+        yield _hashes(data[ends[i]:ends[j]], ends[i:j + 1] - ends[i])
+        i = j
 
-    def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words of ``texts``, and how many each text has."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-        coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        self.known.update((w, word_hash(w)) for w in words if w not in self.known)
-        each = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        blank = np.array([not w for w in words], bool)
-        at = coded.indices.to_numpy()
-        sizes = np.diff(split.offsets.to_numpy())
-        every, real = (each[at], ~blank[at]) if len(words) else (np.zeros(0, np.int64), np.zeros(0, bool))
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        return every[real], np.bincount(rows[real], minlength=len(sizes))
+def word_hash(word: str) -> int:
+    return int(_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0][0])
 
 
 def smallest(hashes: np.ndarray, sizes: np.ndarray, k: int = KEYS) -> np.ndarray:
@@ -163,7 +184,11 @@ class WordIds:
 
     def _put(self, words: list[str], ids: list) -> None:
         self.known.update(zip(words, range(self.table.n, self.table.n + len(words)), strict=True))
-        self.buckets.extend(word_hash(w) % BUCKETS for w in words)
+        # A word here holds no white space, so each has one hash.
+        got = [h for h, _ in word_hashes(pa.array(words, pa.large_string()))]
+        self.buckets.frombytes((np.concatenate(got) % BUCKETS).astype(np.int32).tobytes() if got else b"")
+        if len(self.buckets) != self.table.n + len(words):
+            raise ValueError("a word without characters, or with white space")
         self.table.add(ids)
 
     def learn(self, words: list[str]) -> None:
@@ -201,10 +226,11 @@ class Index:
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None, buckets: array | None = None):
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
-        terms, coded = np.unique(np.concatenate(docs), return_inverse=True) if lengths.sum() else (np.zeros(0), np.zeros(0, np.int64))
-        key, tf = np.unique(np.repeat(np.arange(self.n), lengths) * max(1, len(terms)) + coded, return_counts=True)
-        doc, term = np.divmod(key, max(1, len(terms)))
-        df = np.bincount(term, minlength=len(terms))
+        every = np.concatenate(docs).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
+        top = int(every.max(initial=0)) + 1
+        key, tf = np.unique(np.repeat(np.arange(self.n), lengths) * top + every, return_counts=True)
+        doc, term = np.divmod(key, top)
+        df = np.bincount(term, minlength=top)
         shared = df[term] > 1  # the others lead to no other document
         doc, term, tf = doc[shared], term[shared], tf[shared]
         self.doc_ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
@@ -212,10 +238,10 @@ class Index:
         if corpus is None:
             idf, mean = np.log1p((self.n - df + 0.5) / (df + 0.5)), max(1.0, lengths.mean() if self.n else 1.0)
         else:
-            idf, mean = corpus.idf[np.frombuffer(buckets, np.int32)[terms.astype(np.int64)]], corpus.mean
+            idf, mean = corpus.idf[np.frombuffer(buckets, np.int32, top)], corpus.mean
         norm = K1 * (1 - B + B * lengths / mean)
         order = np.argsort(term, kind="stable")
-        self.ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=top))))
         self.docs = doc[order]
         self.weights = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
 
@@ -306,13 +332,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, like_col: str | None) ->
                         ("bucket", pa.list_(pa.int32())), ("held", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, number = _word_hashes(), np.zeros(BUCKETS, np.int64), TaskContext.get().partitionId() << 33
+        held, number = np.zeros(BUCKETS, np.int64), TaskContext.get().partitionId() << 33
         for b in batches:
-            every, sizes = hashes.of(b.column("t"))
-            keys = smallest(every, sizes)
-            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + every % BUCKETS)
-            held += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-            n, chars = b.num_rows, pc.fill_null(pc.utf8_length(b.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW
+            n, keys, sizes = b.num_rows, [np.zeros((0, KEYS), np.int64)], [np.zeros(0, np.int64)]
+            for every, some in word_hashes(b.column("t")):
+                keys.append(smallest(every, some))
+                sizes.append(some)
+                pairs = np.sort(np.repeat(np.arange(len(some)), some) * BUCKETS + every % BUCKETS)
+                held += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % BUCKETS, minlength=BUCKETS)
+            keys, sizes = np.concatenate(keys), np.concatenate(sizes)
+            chars = pc.fill_null(pc.utf8_length(b.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(number, number + n)), b.column("doc"), b.column("text_hash"), b.column("t").cast(pa.string()),
                 b.column("part"), pa.array(sizes.astype(np.int64)), pa.array(chars), *[pa.array(keys[:, j]) for j in range(KEYS)],
@@ -432,14 +461,6 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
 
 
 _WORD_IDS: dict[int, WordIds] = {}
-_WORD_HASHES: list[WordHashes] = []
-
-
-def _word_hashes() -> WordHashes:
-    """One table of hashes for all tasks of a worker."""
-    if not _WORD_HASHES:
-        _WORD_HASHES.append(WordHashes())
-    return _WORD_HASHES[0]
 
 
 def _word_ids(spec: str) -> WordIds:

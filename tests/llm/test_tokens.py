@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -111,6 +112,18 @@ def test_packing_statistics_and_reach(spark, documents):
     assert len(sizes) > 2 and sizes.sum() == 4_000 and sizes.max() < 2_500
 
 
+def test_packing_word_hashes():
+    """Equal words have equal hashes wherever they stand, A-Z as a-z; others differ."""
+    texts = [*ODD, None, "", "x" * 70_000 + " y", "ab ba a b Ab\taB", " lead", "trail "]
+    got = [(h.tolist(), n.tolist()) for h, n in packing.word_hashes(pa.array(["skipped", *texts], pa.large_string())[1:])]
+    hashes, sizes = [h for x, _ in got for h in x], [n for _, x in got for n in x]
+    words = [[w.lower() for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode()) if w] for t in texts]
+    assert sizes == [len(w) for w in words]
+    flat = [w for x in words for w in x]
+    assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
+    assert hashes == [packing.word_hash(w.decode()) for w in flat] and min(hashes) >= 0
+
+
 def test_packing_smallest_hashes():
     rng = np.random.default_rng(5)
     runs = [rng.integers(0, 9, n) for n in (0, 1, 5, 0, 30, 2, 0)]
