@@ -205,14 +205,11 @@ def curated_two_runs(spark, sf):
 
 
 def _payload_files(spark, sf):
-    """One payload file per page, and the manifest of those files as Spark
-    lists them; the feed is named after the format."""
+    """One payload file per page, and the manifest of those files, with paths
+    as Spark lists them; the feed is named after the format."""
     files = scratch_path(spark, "payload-files")
-    # One record a file; folders by format only, however many pages there are.
-    (V.payloads(spark, sf).select("format", "body").write.option("maxRecordsPerFile", 1)
-      .partitionBy("format").text(files))
-    listed = spark.read.format("binaryFile").load(files)
-    return files, listed.select(F.col("path").alias("url"), "format", F.concat(F.lit("store-"), F.lower("format")).alias("source"))
+    listed = L.write_payload_files(V.payloads(spark, sf), files)
+    return files, listed.select("url", "format", F.concat(F.lit("store-"), F.lower("format")).alias("source"))
 
 
 @register("acquire_payloads", """
@@ -221,9 +218,8 @@ def _payload_files(spark, sf):
 def acquire_payloads(spark, sf):
     """Page files in a store that Spark reads, acquired by their manifest, which also names a file that is not there."""
     files = scratch_path(spark, "page-files")
-    p = V.table(spark, sf, "pages").select("html", F.when(F.col("page_id") % 2 == 0, "html").otherwise("htm").alias("format"))
-    p.write.option("maxRecordsPerFile", 1).partitionBy("format").text(files)
-    listed = spark.read.format("binaryFile").load(files).select(F.col("path").alias("url"), "format", F.lit("store").alias("source"))
+    p = V.table(spark, sf, "pages").select(F.col("html").alias("body"), F.when(F.col("page_id") % 2 == 0, "html").otherwise("htm").alias("format"))
+    listed = L.write_payload_files(p, files).select("url", "format", F.lit("store").alias("source"))
     lost = listed.limit(1).select(F.concat("url", F.lit(".gone")).alias("url"), F.lit("html").alias("format"), "source")
     got = FD.read_payload_files(listed.unionByName(lost), files)
     return got.select("format", F.md5("body").alias("body_md5"), F.col("error").isNotNull().alias("failed"))

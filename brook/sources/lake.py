@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -241,3 +245,58 @@ def write_manifest(df: DataFrame, path: str, files: int | None = None) -> None:
     if files:
         rows = rows.repartition(files)
     rows.mapInPandas(_json_array_lines, "value string").write.mode("overwrite").text(path)
+
+
+# ------------------------------------------------------------ payload files
+# Fixed value: payload files of one folder.  Spark lists many folders side by
+# side, but the files of one folder one after another.
+FILES_PER_FOLDER = 1_000
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a qualified path and the path within it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
+def write_payload_files(payloads: DataFrame, path: str, files_per_folder: int = FILES_PER_FOLDER) -> DataFrame:
+    """One file per row of ``payloads`` (``format``, ``body``; a line end
+    follows the body, none is an empty line) below ``path``; returns the rows
+    ``url, format`` of the files, paths as Spark lists them.
+
+    Tasks write their files themselves: a file costs no commit and no rename,
+    which the driver would make one after another, and no change of its mode,
+    for which local stores start a process.  A task attempt owns its folders,
+    and only files of attempts that ended well are returned.  Stores that
+    Arrow does not know are written by Spark."""
+    spark = payloads.sparkSession
+    fs, p = _files(spark, path)
+    root = fs.makeQualified(p).toString()
+    try:
+        _opened(root)
+    except (pa.ArrowException, OSError):
+        rows = payloads.select("format", "body").write.option("maxRecordsPerFile", 1)
+        rows.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("format").text(root)
+        return spark.read.format("binaryFile").load(root).select(F.col("path").alias("url"), F.col("format").cast("string").alias("format"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _opened(root)
+        context, n = TaskContext.get(), 0
+        for b in batches:
+            urls = []
+            for body in b.column("body"):
+                folder = f"part=p{context.partitionId()}_{context.taskAttemptId()}_{n // files_per_folder}"
+                if n % files_per_folder == 0:
+                    store.create_dir(f"{top}/{folder}")
+                with store.open_output_stream(f"{top}/{folder}/{n:09d}.txt") as out:
+                    if body.is_valid:
+                        out.write(body.as_buffer())
+                    out.write(b"\n")
+                urls.append(f"{root}/{folder}/{n:09d}.txt")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), b.column("format")], ["url", "format"])
+
+    listed = f"{path.rstrip('/')}-listed"
+    payloads.select("format", "body").mapInArrow(run, "url string, format string").write.parquet(listed)
+    return spark.read.schema("url string, format string").parquet(listed)

@@ -112,6 +112,19 @@ def test_payload_files_of_a_store(spark, tmp_dir):
     assert got["b.xml"].body is None and "no such file" in got["b.xml"].error and got["b.xml"].source.endswith("b.xml")
 
 
+def test_payload_files_are_written_by_tasks(spark, tmp_dir):
+    """One file a row in bounded folders, listed as Spark lists them; neither checksums nor a commit per file."""
+    rows = [("xml", f"body {i} \u00e9") for i in range(25)] + [(None, None), ("XML", "a\nb"), ("XML", "a\nb")]
+    listed = L.write_payload_files(spark.createDataFrame(rows, "format string, body string").coalesce(2), f"{tmp_dir}/f", files_per_folder=4)
+    files = spark.read.format("binaryFile").load(f"{tmp_dir}/f")
+    assert sorted(r.url for r in listed.collect()) == sorted(r.path for r in files.collect())
+    got = FD.read_payload_files(listed.withColumn("source", F.lit("s")), f"{tmp_dir}/f").collect()
+    assert sorted((r.format, r.body) for r in got) == sorted((f.lower() if f else "", f"{b or ''}\n") for f, b in rows)
+    assert {r.error for r in got} == {None}
+    folders = [names for _, _, names in os.walk(f"{tmp_dir}/f") if names]
+    assert max(map(len, folders)) == 4 and not [x for names in folders for x in names if x.endswith(".crc")]
+
+
 def test_elt_counts_every_row_and_keeps_rejects(spark, tmp_dir):
     """Counts come from the curated write; an input without rejects makes no quarantine."""
     schema = ("id string, source string, title string, link string, published_at string, summary string, category string,"
