@@ -204,6 +204,10 @@ def curated_two_runs(spark, sf):
     return good.union(bad).groupBy("kind", "published_date").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# Fixed value: entries of one manifest file.
+MANIFEST_ROWS = 10_000
+
+
 def _payload_files(spark, sf):
     """One payload file per page, and the manifest of those files, with paths
     as Spark lists them; the feed is named after the format."""
@@ -237,7 +241,8 @@ def scrape_job(spark, sf):
 
     files, manifest = _payload_files(spark, sf)
     listed = scratch_path(spark, "scrape-manifest")
-    L.write_manifest(manifest, listed)
+    # A manifest file is one array, which one task reads.
+    L.write_manifest(manifest, listed, files=-(-manifest.count() // MANIFEST_ROWS))
     dest = run_scrape(spark, listed, dest_base=scratch_path(spark, "scraped"), date="2024-06-01", store=files)
     return (L.raw_scan(spark, dest).groupBy("_source", F.col("scrape_date").cast("string").alias("scrape_date"))
             .agg(F.count(F.lit(1)).alias("n_items"), F.count("title").alias("n_titled"), F.countDistinct("id").alias("n_ids"))
