@@ -10,6 +10,8 @@ repeats fires twice.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,11 @@ def clocks(templates: DataFrame) -> DataFrame:
     """The distinct (schedule, zone name) pairs of the templates, with ``cron``
     (parsed fields), ``zone`` and ``reject_reason``: what a template fires
     depends on its pair alone, and templates share a handful of them."""
-    pairs = with_parsed_cron(templates.select("schedule", _zone().alias("zone_name")).distinct(), "schedule", "cron")
+    pairs = templates.select("schedule", _zone().alias("zone_name")).distinct()
+    # A one-row explode: a filter on what is parsed would else be pushed below
+    # the distinct, and every template be parsed.
+    pairs = pairs.select(F.explode(F.array(F.struct("schedule", "zone_name"))).alias("_pair")).select("_pair.*")
+    pairs = with_parsed_cron(pairs, "schedule", "cron")
     pairs = pairs.withColumn("_zone_ok", valid_zone(F.col("zone_name")))
     reason = F.when(~F.coalesce(F.col("cron.valid"), F.lit(False)), "bad_cron").when(~F.col("_zone_ok"), "bad_zone")
     # An invalid zone must never reach a conversion, even when Catalyst
@@ -82,20 +88,38 @@ def _fires_of(day: Column) -> Column:
     return day_instants(F.col("cron.day_minutes"), day, zone_parts(F.col("zone"), day))
 
 
-def fire_calendar(templates: DataFrame, start: str, end: str, include_suspended: bool = False) -> DataFrame:
+# Fixed value: templates of one task of the calendar.  A template fires up to
+# 1,440 times a day, so tasks are bounded by templates, not by their bytes.
+TEMPLATES_PER_TASK = 5_000
+
+
+# Fixed value: days of all clocks of a calendar that every task is sent as a whole.
+SENT_DAYS = 10_000
+
+
+def fire_calendar(templates: DataFrame, start: str, end: str, include_suspended: bool = False, shown=None) -> DataFrame:
     """Every fire time in [start, end) of each valid template (suspended
     templates give none).  The calendar is made once for each distinct
     (schedule, zone): days are exploded and filtered, then their fires; the
-    templates are joined to it last."""
+    templates are joined to it last, to all fires of a day at once.  ``shown``
+    makes something else of a fire time (its text, say), once for each of the
+    calendar."""
     t = templates if include_suspended else templates.filter(~F.coalesce(F.col("suspend"), F.lit(False)))
     s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     days = clocks(t).filter(F.col("reject_reason").isNull()).withColumn(
         "day", F.explode(F.sequence(F.date_sub(F.to_date(s), 1), F.date_add(F.to_date(e), 1))))
+    at = F.timestamp_seconds("t")
     fires = (days.filter(day_matches(F.col("cron"), F.col("day")))
-                 .select("schedule", "zone_name", F.explode(_fires_of(F.col("day"))).alias("t"))
-                 .select("schedule", "zone_name", F.timestamp_seconds("t").alias("fire_ts"))
-                 .filter((F.col("fire_ts") >= s) & (F.col("fire_ts") < e)))
-    return _with_clock(t.select(*KEY, "schedule", "time_zone"), fires).select(*KEY, "fire_ts")
+                 .select("schedule", "zone_name", "day", F.explode(_fires_of(F.col("day"))).alias("t"))
+                 .filter((at >= s) & (at < e))
+                 .groupBy("schedule", "zone_name", "day").agg(F.collect_list(shown(at) if shown else at).alias("fires")))
+    # Templates are dealt evenly over tasks: most fires may be those of one
+    # schedule, and a small table may come from one file.
+    seen = t.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("schedule", _zone()))).first()
+    tasks = t.sparkSession.sparkContext.defaultParallelism + -(-seen[0] // TEMPLATES_PER_TASK)
+    if seen[1] * ((date.fromisoformat(end[:10]) - date.fromisoformat(start[:10])).days + 3) <= SENT_DAYS:
+        fires = F.broadcast(fires)
+    return _with_clock(t.select(*KEY, "schedule", "time_zone").repartition(tasks), fires).select(*KEY, F.explode("fires").alias("fire_ts"))
 
 
 def _stored_last(templates: DataFrame) -> Column:
@@ -179,7 +203,7 @@ def fire_concurrency(due: DataFrame, templates: DataFrame, runs: DataFrame) -> D
 
 
 # Fixed value: width of the time bins in which fires meet runs, in microseconds.
-BIN = 3_600_000_000
+BIN = 86_400_000_000
 
 
 def _decision(policy: Column, n_active: Column) -> tuple[Column, Column]:
@@ -197,9 +221,11 @@ def fire_history(fires: DataFrame, templates: DataFrame, runs: DataFrame) -> Dat
     An interval overlap without pairs of intervals: creations and completions
     become +1 and -1, summed by instant before any shuffle.  Per template and
     ``BIN`` of time they are summed again, and a running sum over the bins says
-    how many runs were open as a bin began; a fire then meets only the instants
-    of its own bin.  A template with a third of all runs costs its instants,
-    not its runs times its fires."""
+    how many runs were open as a bin began.  That sum, the instants of the bin
+    and its fires then make one sequence, whose running sum is what each fire
+    meets.  So a fire is shuffled once, with its bin, and a template with a
+    third of all runs costs its instants, bin by bin, not its runs times its
+    fires."""
     policy = F.coalesce(F.nullif(F.col("concurrency_policy"), F.lit("")), F.lit("Forbid"))
     done = F.col("phase").isin(*TERMINAL)
     ends = F.when(done, F.coalesce("completion_time", "created")).otherwise(F.col("completion_time"))
@@ -207,17 +233,24 @@ def fire_history(fires: DataFrame, templates: DataFrame, runs: DataFrame) -> Dat
     at = lambda c: F.floor(F.unix_micros(c) / F.lit(BIN))
     changes = F.array(F.struct(F.col("created").alias("ts"), F.lit(1).alias("change")), F.struct(ends.alias("ts"), F.lit(-1).alias("change")))
     steps = (runs.filter("created IS NOT NULL").select(*KEY, F.explode(changes).alias("c")).filter("c.ts IS NOT NULL")
-             .groupBy(*KEY, F.col("c.ts").alias("ts")).agg(F.sum("c.change").alias("change")).withColumn("bin", at("ts")))
-    asked = fires.select(*KEY, "fire_ts").distinct().withColumn("bin", at("fire_ts"))
-    bins = (steps.select(*KEY, "bin", "change").unionByName(asked.select(*KEY, "bin", F.lit(0).cast("bigint").alias("change")))
-            .groupBy(*KEY, "bin").agg(F.sum("change").alias("change")))
+             .select(*KEY, at("c.ts").alias("bin"), F.col("c.ts").alias("ts"), F.col("c.change").cast("bigint").alias("change"), F.lit(0).alias("asked")))
+    asked = fires.filter("fire_ts IS NOT NULL").select(
+        *KEY, at("fire_ts").alias("bin"), F.col("fire_ts").alias("ts"), F.lit(0).cast("bigint").alias("change"), F.lit(1).alias("asked"))
+    both = asked.unionByName(steps)
+    bins = both.groupBy(*KEY, "bin").agg(F.sum("change").alias("change"), F.max("asked").alias("asked"))
     before = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    opened = bins.select(*KEY, "bin", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("open"))
-    near = (asked.join(steps, [*KEY, "bin"]).filter(F.col("ts") <= F.col("fire_ts"))
-            .groupBy(*KEY, "fire_ts").agg(F.sum("change").alias("change")))
-    d = (asked.join(opened, [*KEY, "bin"]).join(near, [*KEY, "fire_ts"], "left")
-         .join(templates.select(*KEY, policy.alias("policy")), KEY)
-         .withColumn("n_active", F.col("open") + F.coalesce("change", F.lit(0))))
+    opened = bins.withColumn("open", F.coalesce(F.sum("change").over(before), F.lit(0))).filter("asked = 1")
+    policies = templates.select(*KEY, policy.alias("policy")).groupBy(*KEY).agg(F.collect_list("policy").alias("policies"))
+    # What a bin begins with is the first of its sequence, as NULL sorts; the
+    # changes of an instant come before its fire, and that counts once.
+    first = opened.join(policies, KEY).select(*KEY, "bin", F.lit(None).cast("timestamp").alias("ts"), F.col("open").alias("change"),
+                                              F.lit(0).alias("asked"), "policies")
+    line = Window.partitionBy(*KEY, "bin").orderBy("ts", "asked")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    line = (both.withColumn("policies", F.lit(None).cast("array<string>")).unionByName(first)
+            .withColumns({"n_active": F.sum("change").over(upto), "policies": F.first("policies", True).over(upto),
+                          "again": F.lag("asked", 1, 0).over(line) * (F.lag("ts").over(line) == F.col("ts")).cast("int")}))
+    d = line.filter("asked = 1 AND coalesce(again, 0) = 0").select(*KEY, F.col("ts").alias("fire_ts"), F.explode("policies").alias("policy"), "n_active")
     action, replaced = _decision(F.col("policy"), F.col("n_active"))
     return d.select(*KEY, "fire_ts", "policy", "n_active", action.alias("action"), replaced.alias("n_replaced"))
 

@@ -172,8 +172,7 @@ def schedule_rejects(spark, sf):
 @register("fire_calendar", _duck_with(f"""
   SELECT namespace, template, strftime(fire_ts, '{DUCK_TS}') AS fire_ts FROM fires""", _CAL))
 def fire_calendar(spark, sf):
-    f = S.fire_calendar(_templates(spark, sf), CAL_START, CAL_END)
-    return f.select(*S.KEY, _fmt("fire_ts").alias("fire_ts"))
+    return S.fire_calendar(_templates(spark, sf), CAL_START, CAL_END, shown=_fmt)
 
 
 def _instants(start: str, end: str) -> str:
@@ -195,13 +194,13 @@ _FIRES_SQL = f"SELECT namespace, template, strftime(fire_ts, '{DUCK_TS}') AS fir
 @register("fire_calendar_spring", _duck_with(_FIRES_SQL, _instants(*SPRING)))
 def fire_calendar_spring(spark, sf):
     """Fires over the weeks in which clocks go forward: skipped minutes do not fire."""
-    return S.fire_calendar(_templates(spark, sf), *SPRING).select(*S.KEY, _fmt("fire_ts").alias("fire_ts"))
+    return S.fire_calendar(_templates(spark, sf), *SPRING, shown=_fmt)
 
 
 @register("fire_calendar_autumn", _duck_with(_FIRES_SQL, _instants(*AUTUMN)))
 def fire_calendar_autumn(spark, sf):
     """Fires over the weeks in which clocks go back: repeated minutes fire twice."""
-    return S.fire_calendar(_templates(spark, sf), *AUTUMN).select(*S.KEY, _fmt("fire_ts").alias("fire_ts"))
+    return S.fire_calendar(_templates(spark, sf), *AUTUMN, shown=_fmt)
 
 
 @register("fire_history", _duck_with(f"""

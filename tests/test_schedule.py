@@ -171,3 +171,28 @@ def test_names_repeat_across_namespaces(spark):
     got = {r.namespace: (r.phase, r.last_schedule_ts) for r in S.template_status(t, dec, runs, S.next_fire(t, now)).collect()}
     # Nothing ran in b: its last fire on record stays.
     assert got == {"a": ("Running", datetime(2024, 3, 7, 12)), "b": ("Running", datetime(2024, 3, 7, 12))}
+
+
+def test_calendar_of_one_schedule_is_spread_over_tasks(spark):
+    """Templates of one file and one schedule: their fires do not all come from one task, and show as asked."""
+    t = spark.range(12_000).coalesce(1).selectExpr("'n' AS namespace", "concat('t', id) AS template", "'*/15 * * * *' AS schedule",
+                                                   "CAST(NULL AS string) AS time_zone", "false AS suspend")
+    fires = S.fire_calendar(t, "2024-03-01 00:00:00", "2024-03-01 03:00:00", shown=lambda c: F.date_format(c, "HH:mm"))
+    n = [r["n"] for r in fires.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(n) == 12 * 12_000 and max(n) < 4 * sum(n) // spark.sparkContext.defaultParallelism
+    assert [r.fire_ts for r in fires.select("fire_ts").distinct().orderBy("fire_ts").limit(3).collect()] == ["00:00", "00:15", "00:30"]
+
+
+def test_fire_history_of_repeated_fires_templates_and_instants(spark):
+    """A repeated fire counts once, a repeated template once for each of its rows; changes of an instant come before its fire;
+    a bin begins with what is open."""
+    fires_ = [("n", "a", d) for d in ("2024-03-01 00:00:00", "2024-03-01 00:00:00", "2024-03-03 23:59:00", "2024-03-05 00:00:00")] + [(None, "a", "2024-03-01 00:00:00"), ("n", "b", None)]
+    runs = [("n", "a", "2024-03-01 00:00:00", "Running", None), ("n", "a", "2024-03-01 00:00:00", "Failed", "2024-03-03 23:59:00"),
+            ("n", "a", "2024-02-01 00:00:00", "Succeeded", "2024-03-04 00:00:00")]
+    times = lambda d, *c: d.withColumns({x: F.col(x).cast("timestamp") for x in c})
+    got = S.fire_history(times(spark.createDataFrame(fires_, "namespace string, template string, fire_ts string"), "fire_ts"),
+                         spark.createDataFrame([("n", "a", ""), ("n", "a", "Replace"), ("n", "b", "Allow")], "namespace string, template string, concurrency_policy string"),
+                         times(spark.createDataFrame(runs, "namespace string, template string, created string, phase string, completion_time string"), "created", "completion_time"))
+    rows = sorted((r.fire_ts.strftime("%d %H:%M"), r.policy, r.n_active, r.action, r.n_replaced) for r in got.collect())
+    assert rows == [(d, p, n, "run" if p == "Replace" else "skip", n if p == "Replace" else 0)
+                    for d, n in (("01 00:00", 3), ("03 23:59", 2), ("05 00:00", 1)) for p in ("Forbid", "Replace")]
