@@ -28,6 +28,9 @@ PAD_ID = 0
 # Fixed value: coefficients of a classifier (32 MB of doubles; the driver and each task hold some copies).
 MAX_COEFFICIENTS = 1 << 22
 
+# Fixed value: rows of a training step in one file.
+STEP_ROWS = 4_096
+
 
 def train_frame(df: DataFrame, text_col: str = TEXT_COLUMN, label_col: str = LABEL_COLUMN,
                 keep=()) -> DataFrame:
@@ -70,10 +73,12 @@ def tokens(df: DataFrame, text_col: str = "_text", max_length: int = MAX_LENGTH,
     words = F.split(F.trim(F.col(text_col)), r"\s+")
     words = F.when(F.trim(F.col(text_col)) == "", F.array().cast("array<string>")).otherwise(words)
     # The first 32 bits of a word's md5 choose its id: any engine can repeat it.
-    kept = F.transform(F.slice(words, 1, max_length), lambda w: (
+    # Sizes are those of the words: hashes would else be worked out once more for each.
+    first = F.slice(words, 1, max_length)
+    kept = F.transform(first, lambda w: (
         F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % (vocab_size - 1) + 1).cast("int"))
-    pad = F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(0), F.lit(max_length) - F.size(kept)))
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(kept)), F.array_repeat(F.lit(0), F.size(pad)))
+    pad = F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(0), F.lit(max_length) - F.size(first)))
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(first)), F.array_repeat(F.lit(0), F.size(pad)))
     return df.withColumns({"n_words": F.size(words), "input_ids": F.concat(kept, pad),
                            "attention_mask": mask})
 
@@ -202,17 +207,23 @@ def fit_steps(encoded: DataFrame, id_col: str = "id", world_size: int = 4, batch
     driver, which holds the weights (``MAX_COEFFICIENTS`` bounds them), gets one
     row per token of the step.  Steps follow each other, so their number is
     what a pass costs: the batch size has to grow with the rows.  The rows of a
-    pass are written once, clustered by step, and a step reads its own."""
+    pass are written once, in a folder a step, and a step reads its own: of
+    about ``STEP_ROWS`` rows a file, so as many tasks as there are share it."""
     from brook.session import scratch_path
 
     spark = encoded.sparkSession
     classes = num_labels or (encoded.agg(F.max("_label")).first()[0] or 0) + 1
     weights = np.zeros((vocab_size, check_classes(classes, vocab_size)))
     rows = tokens(encoded, max_length=max_length, vocab_size=vocab_size).select(id_col, F.col("_label").cast("int").alias("label"), "input_ids")
+    # Dealing samples and numbers its rows in jobs of their own: texts are read and hashed once, before.
+    path = scratch_path(spark, "training-rows")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     path = scratch_path(spark, "training-steps")
     dealt = batches(shard_epochs(rows, id_col, world_size, seed, range(epochs)), batch_size)
-    (dealt.select("epoch", F.col("batch").cast("int").alias("step"), "label", "input_ids").repartitionByRange("epoch", "step")
-          .sortWithinPartitions("epoch", "step").write.parquet(path))
+    files = -(-batch_size * world_size // STEP_ROWS)
+    (dealt.select("epoch", F.col("batch").cast("int").alias("step"), "label", "input_ids").repartition(files)
+          .write.partitionBy("epoch", "step").parquet(path))
     dealt = spark.read.schema("epoch int, step int, label int, input_ids array<int>").parquet(path)
     steps = {r["epoch"]: r["n"] for r in dealt.groupBy("epoch").agg((F.max("step") + 1).alias("n")).collect()}
     history = []

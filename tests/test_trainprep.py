@@ -103,3 +103,21 @@ def test_steps_equal_a_plain_run(spark):
     assert np.allclose(loss, want) and np.allclose(model.weights, w) and loss[1] < loss[0]
     predicted = {r["id"]: r["prediction"] for r in T.predict_steps(model, enc, 6).collect()}
     assert len(predicted) == 50 and predicted[1] == int(np.argmax(model.scores(np.array([ids[1]]))[0]))
+
+
+def test_rows_of_a_step_are_shared_by_tasks(spark, monkeypatch):
+    """A step of many rows is read from several files, and the texts are hashed into ids once, before they are dealt."""
+    from brook.session import scratch_path
+
+    paths, made = [], []
+    monkeypatch.setattr("brook.session.scratch_path", lambda *a: paths.append(scratch_path(*a)) or paths[-1])
+    monkeypatch.setattr(T, "STEP_ROWS", 50)
+    plain = T.tokens
+    monkeypatch.setattr(T, "tokens", lambda *a, **k: made.append(1) or plain(*a, **k))
+    frame = spark.range(400).selectExpr("id", "concat('w', id % 2, ' x', id) AS _text", "CAST(id % 2 AS int) AS _label")
+    model, loss = T.fit_steps(frame, "id", 2, 100, lr=4.0, epochs=2)
+    assert len(made) == 1 and loss[1] < loss[0]
+    steps = spark.read.parquet(paths[-1])
+    assert sorted((r.epoch, r.step, r["count"]) for r in steps.groupBy("epoch", "step").count().collect()) == [(e, s, 200) for e in (0, 1) for s in (0, 1)]
+    assert steps.filter("epoch = 0 AND step = 1").select(F.input_file_name()).distinct().count() == 4
+    assert len(paths) == 2  # ids, and the steps dealt from them
