@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 
@@ -15,15 +17,19 @@ class Ragged:
 
     def add(self, lists: list) -> None:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.extend(np.fromiter(chain.from_iterable(lists), self.flat.dtype, int(sizes.sum())), sizes)
+
+    def extend(self, flat, sizes) -> None:
+        """Add lists of ``sizes`` that lie in ``flat`` one after another."""
         used = int(self.ends[self.n])
-        need, rows = used + int(sizes.sum()), self.n + len(lists) + 1
+        need, rows = used + len(flat), self.n + len(sizes) + 1
         if need > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(max(need - len(self.flat), len(self.flat)), self.flat.dtype)))
         if rows > len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros(max(rows - len(self.ends), len(self.ends)), np.int64)))
-        self.flat[used:need] = np.fromiter((x for one in lists for x in one), self.flat.dtype, need - used)
+        self.flat[used:need] = flat
         self.ends[self.n + 1:rows] = used + np.cumsum(sizes)
-        self.n += len(lists)
+        self.n += len(sizes)
 
     def take(self, which: np.ndarray) -> np.ndarray:
         """The lists ``which``, one after another."""
@@ -33,6 +39,11 @@ class Ragged:
 def taken(ends: np.ndarray, flat: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Lists ``which`` of a ragged array, one after another: list i lies at
     ``flat[ends[i]:ends[i + 1]]``."""
+    return flat[places(ends, which)]
+
+
+def places(ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Where the items of lists ``which`` lie, one after another."""
     starts = ends[which]
     sizes = ends[which + 1] - starts
-    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -21,37 +22,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brook.llm.arrays import Ragged, taken
+from brook.llm.arrays import Ragged, places, taken
 from brook.llm.common import ready, scratch, text_key
 
 # Characters of text in an index shard and in a partition of
-# shards, characters that a row counts for beside its text, words that a worker
-# remembers, words encoded at once, and the usual constants of BM25.
+# shards, characters that a row counts for beside its text, parts of words that
+# a worker remembers, words encoded and rows taken out of a batch at
+# once, and the usual constants of BM25.
 SHARD = 4_000_000
 PART = 16_000_000
 ROW = 64
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 ENCODED = 2_000
+SLICE = 256
 K1, B = 1.2, 0.75
 # Document frequencies are kept by word hash, in this many
 # buckets (4 MB however large the vocabulary is); word hashes that deal a
-# document to its shard; the hash of no word.
+# document to its shard; the hash of no word; bytes hashed at once.
 BUCKETS = 1 << 20
 KEYS = 3
 NONE = (1 << 63) - 1
-HASHED = 2_000_000
-# A word that ends in a letter and then ASCII punctuation; a word of letters
-# that are composed and whose lower case is one letter (ASCII and Latin-1).
-TAILED = re.compile(r"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+HASHED = 250_000
+# ASCII punctuation, which is cut off after a letter; a word of letters that
+# are composed and whose lower case is one letter (ASCII and Latin-1).
+TAIL = string.punctuation
 LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 
 
-def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, ends: np.ndarray, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes below 2^62 of all words of the UTF-8 texts that lie in ``data``
     one after another, A-Z as a-z, and how many words each text has.  A word's
-    hash is a sum of its bytes by place with random weights, then mixed; its
-    low bits are its bucket."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    hash is a sum of its bytes by place with random weights (others for another
+    ``kind``), then mixed; its low bits are its bucket."""
+    space = (data == 32) | (data - np.uint8(9) <= 4)
     begins = ~space
     begins[1:] &= space[:-1]
     firsts = ends[:-1][ends[:-1] < ends[1:]]
@@ -59,10 +62,10 @@ def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(len(ends) - 1, np.int64)
-    at = np.arange(len(data))
-    at -= np.maximum.accumulate(np.where(begins, at, 0))
-    low = data + ((data >= 65) & (data <= 90)) * np.uint8(32) + np.uint8(1)
-    value = _weights()[at & 0xFFFF] * low
+    at = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    at -= np.maximum.accumulate(at * begins)
+    low = data + (data - np.uint8(65) <= 25) * np.uint8(32) + np.uint8(1)
+    value = _weights(kind)[at & 0xFFFF] * low
     value[space] = 0
     h = np.add.reduceat(value, starts)
     h ^= h >> np.uint64(33)
@@ -72,29 +75,44 @@ def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (h >> np.uint64(2)).astype(np.int64), counts
 
 
-_WEIGHTS: list[np.ndarray] = []
+_WEIGHTS: dict[int, np.ndarray] = {}
 
 
-def _weights() -> np.ndarray:
+def _weights(kind: int) -> np.ndarray:
     """Odd 64-bit numbers by place in a word; they repeat after 65,536."""
-    if not _WEIGHTS:
-        _WEIGHTS.append(np.random.default_rng(11).integers(0, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1))
-    return _WEIGHTS[0]
+    if kind not in _WEIGHTS:
+        random = np.random.default_rng(11 + kind)
+        _WEIGHTS[kind] = random.integers(0, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
+    return _WEIGHTS[kind]
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of large strings begins, where the last ends, and the bytes."""
+    ends = np.frombuffer(texts.buffers()[1] or bytes(8), np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    return ends, np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+
+
+def word_hashes(texts: pa.Array, kind: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``_hashes`` of ``texts``, in runs of about ``HASHED`` bytes; a longer
     text is a run.  Null texts have no words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    ends, data = _laid_out(texts)
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + HASHED, "right")) - 1)
-        yield _hashes(data[ends[i]:ends[j]], ends[i:j + 1] - ends[i])
+        yield _hashes(data[ends[i]:ends[j]], ends[i:j + 1] - ends[i], kind)
         i = j
 
 
+def _hash_each(words: pa.Array, kind: int = 0) -> np.ndarray:
+    """One hash for each of ``words``, which hold no white space; 0 if empty."""
+    out = np.zeros(len(words), np.int64)
+    runs = list(word_hashes(words, kind))
+    if runs:
+        out[np.concatenate([n for _, n in runs]) > 0] = np.concatenate([h for h, _ in runs])
+    return out
+
+
 def word_hash(word: str) -> int:
     return int(_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0][0])
 
@@ -128,21 +146,34 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Words:
+    """The distinct words of some texts: each text's word numbers, and each
+    word's token ids and bucket."""
+
+    def __init__(self, terms: list[np.ndarray], ids: np.ndarray, ends: np.ndarray, buckets: np.ndarray):
+        self.terms, self.ids, self.ends, self.buckets = terms, ids, ends, buckets
+
+    def tokens(self, terms: np.ndarray) -> np.ndarray:
+        return taken(self.ends, self.ids, terms)
+
+
 class WordIds:
     """Token ids by word, for tokenizers that drop white space.
 
     Such a tokenizer never joins characters across ASCII white space, so a
-    text's ids are its words' ids.  Each word is encoded once as long as it is
-    remembered.  Words are looked up in lower case if the tokenizer lower-cases
-    them anyway, and punctuation after a letter, where the tokenizer splits as
-    well, is encoded apart.  A word of letters alone, which normaliser and
-    splitter leave whole, goes straight to the model.  Texts that may hold a
-    special token are left as they are."""
+    text's ids are its words' ids.  Words are looked up in lower case if the
+    tokenizer lower-cases them anyway, and punctuation after a letter, where
+    the tokenizer splits as well, is encoded apart.  Each part is encoded once
+    as long as it is remembered: by two hashes of 62 and 32 bits, in arrays,
+    without its characters.  A word of letters alone, which normaliser and splitter
+    leave whole, goes straight to the model.  Texts that may hold a special
+    token are left as they are, and such words are not remembered."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
+        self.model = self.tok.model
         parts = json.loads(spec)
         norm = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
         split = [x["type"] for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -151,71 +182,90 @@ class WordIds:
         special = sorted(self.tok.get_added_tokens_decoder().items())
         self.sep_id, self.sep = special[0][0], special[0][1].content
         self.marks = {t.content[:2] for _, t in special}
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = {i: "".join(letters[b] for b in chr(i).lower().encode()) for i in range(0xC0, 0x100)}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.buckets = array("i", [0])
+        self.hashes = np.zeros(0, np.int64)  # of the parts remembered, sorted
+        self.checks, self.at = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.table = Ragged()
-        self.table.add([[]])
 
-    def _plain(self, data: str) -> bool:
-        return not any(m in data for m in self.marks)
-
-    def _of_letters(self, word: str) -> list[int]:
-        low = word.lower()
-        return [t.id for t in self.tok.model.tokenize(low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode())))]
+    def _marked(self, texts: pa.Array) -> np.ndarray:
+        """Which of ``texts`` may hold a special token."""
+        out = np.zeros(len(texts), bool)
+        for m in self.marks:
+            out |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        return out
 
-    def _encode(self, words: list[str]) -> None:
-        straight = [w for w in words if LETTERS.fullmatch(w)]
-        self._put(straight, list(map(self._of_letters, straight)))
-        plain = [w for w in words if w not in self.known and self._plain(w)]
-        for i in range(0, len(plain), ENCODED):
-            part = plain[i:i + ENCODED]
+    def _of_letters(self, words: list[str]) -> None:
+        flat, sizes = array("i"), array("q")
+        for w in words:
+            ids = [t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.letters))]
+            flat.extend(ids)
+            sizes.append(len(ids))
+        self.table.extend(flat, sizes)
+
+    def _of_others(self, words: list[str]) -> None:
+        for i in range(0, len(words), ENCODED):
+            part = words[i:i + ENCODED]
             ids = np.array(self.tok.encode(self.sep.join(part), add_special_tokens=False).ids, np.int32)
             cuts = np.flatnonzero(ids == self.sep_id)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep its special token apart")
-            self._put(part, [x[1 if k else 0:] for k, x in enumerate(np.split(ids, cuts))])
-        for w in words:
-            if w not in self.known:
-                self._put([w], [self.tok.encode(w, add_special_tokens=False).ids])
-
-    def _put(self, words: list[str], ids: list) -> None:
-        self.known.update(zip(words, range(self.table.n, self.table.n + len(words)), strict=True))
-        # A word here holds no white space, so each has one hash.
-        got = [h for h, _ in word_hashes(pa.array(words, pa.large_string()))]
-        self.buckets.frombytes((np.concatenate(got) % BUCKETS).astype(np.int32).tobytes() if got else b"")
-        if len(self.buckets) != self.table.n + len(words):
-            raise ValueError("a word without characters, or with white space")
-        self.table.add(ids)
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        tailed = {w: m.groups() for w in new if (m := TAILED.fullmatch(w)) and self._plain(w)}
-        first = dict.fromkeys([x for two in tailed.values() for x in two] + [w for w in new if w not in tailed])
-        self._encode([w for w in first if w not in self.known])
-        if tailed:
-            at = np.array([[self.known[a], self.known[b]] for a, b in tailed.values()])
-            both = self.table.take(at.ravel())
-            sizes = (self.table.ends[at + 1] - self.table.ends[at]).sum(axis=1)
-            self._put(list(tailed), np.split(both, np.cumsum(sizes)[:-1]))
-
-    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The numbers of each text's words in ``table``."""
+            self.table.extend(np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """The numbers of distinct parts in ``table``; new ones are encoded."""
+        hashes, checks = _hash_each(parts), _hash_each(parts, 1).astype(np.int32)
+        out = np.full(len(parts), -1, np.int64)
+        if len(self.hashes):
+            k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where((self.hashes[k] == hashes) & (self.checks[k] == checks), self.at[k], out)
+        new = np.flatnonzero(out < 0)
+        some = parts.take(pa.array(new))
+        words, marked = some.to_pylist(), self._marked(some)
+        straight = np.fromiter((LETTERS.fullmatch(w) is not None for w in words), bool, len(words))
+        first = self.table.n
+        order = np.concatenate([np.flatnonzero(x) for x in (straight, ~straight & ~marked, marked)])
+        self._of_letters([words[i] for i in np.flatnonzero(straight)])
+        self._of_others([words[i] for i in np.flatnonzero(~straight & ~marked)])
+        self.table.add([self.tok.encode(words[i], add_special_tokens=False).ids for i in np.flatnonzero(marked)])
+        out[new[order]] = np.arange(first, first + len(new))
+        new = new[~marked]
+        new = new[np.argsort(hashes[new], kind="stable")]
+        k = np.searchsorted(self.hashes, hashes[new])
+        self.hashes = np.insert(self.hashes, k, hashes[new])
+        self.checks = np.insert(self.checks, k, checks[new])
+        self.at = np.insert(self.at, k, out[new])
+        return out
+
+    def words(self, texts: list[str | None]) -> Words:
         t = pa.array([x or "" for x in texts], pa.large_string())
-        low = pc.ascii_lower(t)
-        for m in self.marks:
-            low = pc.if_else(pc.match_substring(t, m), t, low)
+        low = pc.if_else(pa.array(self._marked(t)), t, pc.ascii_lower(t))
         split = pc.ascii_split_whitespace(low)
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        every = at[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        ends = split.offsets.to_numpy()
-        return [(x := every[i:j])[x != 0] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        words = coded.dictionary
+        n = len(words)
+        # Each word is cut into two parts; the second is empty if it has no
+        # punctuation after a letter, or may hold a special token.
+        starts, data = _laid_out(words)
+        stems = pc.binary_length(pc.ascii_rtrim(words, TAIL)).to_numpy()
+        cuts = starts[:-1] + stems
+        tailed = stems > 0
+        last = data[cuts[tailed] - 1]
+        tailed[tailed] = (last >= 97) & (last <= 122)
+        tailed &= ~self._marked(words)
+        both = np.append(np.column_stack((starts[:-1], np.where(tailed, cuts, starts[1:]))).ravel(), starts[-1])
+        parts = pa.Array.from_buffers(pa.large_string(), 2 * n, [None, pa.py_buffer(both), pa.py_buffer(data)]).dictionary_encode()
+        numbers = self._numbers(parts.dictionary)[parts.indices.to_numpy()]
+        ids = self.table.take(numbers)
+        sizes = (self.table.ends[numbers + 1] - self.table.ends[numbers]).reshape(n, 2).sum(axis=1)
+        every = coded.indices.to_numpy()
+        real = (np.diff(starts) > 0)[every]  # white space at either end of a text leaves an empty word
+        ends = np.concatenate(([0], np.cumsum(real)))[split.offsets.to_numpy()]
+        return Words(np.split(every[real].astype(np.int64), ends[1:-1])[:len(texts)], ids, np.concatenate(([0], np.cumsum(sizes))),
+                     (_hash_each(words) % BUCKETS).astype(np.int32))
 
 
 class Index:
@@ -247,7 +297,8 @@ class Index:
 
     def scores(self, doc: int) -> np.ndarray:
         terms = self.doc_terms[self.doc_ends[doc]:self.doc_ends[doc + 1]]
-        return np.bincount(taken(self.ends, self.docs, terms), taken(self.ends, self.weights, terms), self.n)
+        at = places(self.ends, terms)
+        return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
 class Packer:
@@ -347,6 +398,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, like_col: str | None) ->
                 b.column("part"), pa.array(sizes.astype(np.int64)), pa.array(chars), *[pa.array(keys[:, j]) for j in range(KEYS)],
                 pa.nulls(n, fields.field("bucket").type), pa.nulls(n, fields.field("held").type)], schema=fields)
             number += n
+        pa.default_memory_pool().release_unused()
         seen = np.flatnonzero(held).astype(np.int32)
         for i in range(0, len(seen), 1 << 16):
             some = seen[i:i + (1 << 16)]
@@ -447,12 +499,14 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
                                                                                       strict=True)], schema=fields)
 
         for k, part in enumerate(_shards(batches, shard)):
-            if len(words.known) > REMEMBERED:
+            if words.table.n > REMEMBERED:
                 words.forget()
-            terms = words.numbers([t for _, _, t in part])
-            docs_ = [(d, h, np.append(words.table.take(x), np.int32(end_id)), first + k) for (d, h, _), x in zip(part, terms, strict=True)]
-            fill(packer, docs_, terms, [len(d[2]) for d in docs_], shared.value, words.buckets)
+            got = words.words([t for _, _, t in part])
+            docs_ = [(d, h, np.append(got.tokens(x), np.int32(end_id)), first + k) for (d, h, _), x in zip(part, got.terms, strict=True)]
+            fill(packer, docs_, got.terms, [len(d[2]) for d in docs_], shared.value, got.buckets)
             yield from out()
+            del got, docs_, part
+            pa.default_memory_pool().release_unused()
         packer.tail()
         yield from out()
 
@@ -477,7 +531,7 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
     does; at twice the limit."""
     part, n, last = [], 0, []
     names = ["doc", "text_hash", "t", *[f"k{j}" for j in range(KEYS)]]
-    for b in batches:
+    for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
         for doc, text_hash, t, *keys in zip(*(b.column(c).to_pylist() for c in names), strict=True):
             if n >= limit and (keys[0] != last[0] or keys != last and 2 * n >= 3 * limit or n >= 2 * limit):
                 yield part

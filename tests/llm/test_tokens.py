@@ -132,6 +132,52 @@ def test_packing_smallest_hashes():
         assert g == (sorted(set(r.tolist())) + [packing.NONE] * 3)[:3]
 
 
+def test_packing_remembers_little():
+    """Remembered words cost few bytes each, and their ids stay the library's,
+    from call to call, after forgetting, and if hashes are equal."""
+    import tracemalloc
+
+    tok = Tokenizer.from_file(WORDS)
+    rng = np.random.default_rng(9)
+    drawn = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyzéß"), (60_000, 9))]
+    texts = [" ".join(drawn[i:i + 200]) + "," for i in range(0, len(drawn), 200)]
+    with open(WORDS, encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+
+    def same(some):
+        got = words.words(some)
+        assert [got.tokens(t).tolist() for t in got.terms] == [tok.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert len(got.buckets) == len(got.ends) - 1
+
+    words.words(["warm"])
+    tracemalloc.start()
+    words.words(texts)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert words.table.n > 60_000 and kept < 120 * 60_000
+    n = words.table.n
+    same([*texts[:20], *ODD, None])
+    same([*ODD, None, *texts[:3], " ", "lead <| x|>", "Word word, <|x|>"])
+    assert words.table.n < n + 200
+    words.forget()
+    assert words.table.n == 0
+    same(texts[5:25])
+    same([""])
+    same([])
+
+
+def test_packing_equal_hashes(monkeypatch):
+    """Parts with one hash are told apart by the other."""
+    tok = Tokenizer.from_file(WORDS)
+    own = packing._hash_each
+    monkeypatch.setattr(packing, "_hash_each", lambda words, kind=0: own(words, kind) % 3 if kind == 0 else own(words, kind))
+    with open(WORDS, encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    for texts in (["one two three four five", "six, seven."], ["five six seven eight nine ten", "two, eleven!"]):
+        got = words.words(texts)
+        assert [got.tokens(t).tolist() for t in got.terms] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_odd_rows(table):
     got = packing.pack(table, WORDS, size=64)
     assert got.groupBy().sum("length").first()[0] == sum(
